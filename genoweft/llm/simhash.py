@@ -22,7 +22,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions
+from .common import materialize, shuffle_partitions
 
 #: Fixed value: what parts words (the six ASCII white-space characters).
 SPACE_RUN = "[ \\t\\n\\x0B\\f\\r]+"
@@ -89,9 +89,9 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     firsts = sorted((b, k) for b, k in rows.groupBy("bucket").agg(F.min("k")).collect())
     before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
     if before:
-        ghost = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("k")]
+        ghost = F.create_map(*[x for k, b in before.items() for x in (F.lit(k).cast("long"), F.lit(b))])[F.col("k")]
         dealt = F.array(F.struct(F.lit(False).alias("ghost"), F.col("bucket")), F.struct(F.lit(True).alias("ghost"), ghost.alias("bucket")))
-        rows = rows.drop("bucket").withColumn("to", F.explode(F.filter(dealt, lambda x: x["bucket"].isNotNull())))
+        rows = rows.select("doc_id", "text", "k", F.explode(F.filter(dealt, lambda x: x["bucket"].isNotNull())).alias("to"))
         rows = rows.select("doc_id", "text", "k", "to.ghost", "to.bucket")
     else:
         rows = rows.withColumn("ghost", F.lit(False))
@@ -122,8 +122,6 @@ def op2_simhash(spark, sf_dir: str) -> DataFrame:
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"),
         likeness(F.col("fp"), F.col("nfp")).alias("near_next"),
     )
-    from .common import materialize
-
     out = materialize(out, "simhash")
     asked = F.col("doc_id") % 50 == 0
     near = count_near(out.select("fp"), out.where(asked).select("fp"))
