@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, fold_column, text_chunks
+from .common import LOWER, fold, fold_column, materialize, text_chunks
 
 #: The letters that a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -215,7 +215,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     for at, n in learn.select("text").mapInArrow(_letters, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # 19,683 at most
         counts[at] = n
     restore = spark.sparkContext.broadcast(Restorer(counts))
-    labelled = learn.join(marks.distinct(), "doc_id")
+    labelled = materialize(learn.join(marks.distinct(), "doc_id"), "labelled")
     total = {r["toxic"]: r["count"] for r in labelled.select("toxic").groupBy("toxic").count().collect()}
     model: Scorer | None = None
     if total:
