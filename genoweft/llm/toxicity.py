@@ -8,8 +8,10 @@ path of least cost under a character trigram model of the corpus, plus the chann
 the restored text. A document's words, as written and as restored, are then scored by a logistic
 model over the words that tell the label best.
 
-Word counts by label, and the character model, are made of all rows outside the held-out fold;
-the logistic weights are fitted on a bounded sample of labelled rows (`sample_rows`).
+The character model is made of all rows outside the held-out fold. The telling words and their
+logistic weights are fitted on a bounded sample of the labelled rows among them: `label_rows` ids
+for the words and `sample_rows` of these for the weights. Only such ids and labels are sent to
+tasks; texts stay where they are read.
 
 Edge cases: null and empty texts get the score of a text without a telling word; unlabelled rows
 teach the character model only; conflicting labels of one id both count; null ids are scored,
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, fold_column, materialize, text_chunks
+from .common import LOWER, fold, fold_column, text_chunks
 
 #: The letters that a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -143,14 +145,31 @@ def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["at", "n"])
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch], restore) -> Iterator[pa.RecordBatch]:
+class Labels:
+    """How often an id is labelled clean and toxic."""
+
+    def __init__(self, rows: list[tuple[int, int, int]]):
+        rows = sorted(rows)
+        self.ids = np.array([r[0] for r in rows], np.int64)
+        self.n = np.array([r[1:] for r in rows], np.int64).reshape(-1, 2)
+
+    def find(self, ids: pa.Array) -> list[tuple[int, int, int]]:
+        """(row, clean, toxic) of the labelled rows of a batch."""
+        asked = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(self.ids, asked), len(self.ids) - 1)
+        rows = np.flatnonzero(self.ids[at] == asked)
+        return [(int(k), *map(int, self.n[at[k]])) for k in rows]
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch], restore, labels) -> Iterator[pa.RecordBatch]:
     """Texts with each word, by label; a task's share."""
     read, n = Reader(restore.value), {}
     for batch in batches:
-        for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
-            for w in read(text):
+        texts = batch["text"]
+        for k, clean, toxic in labels.value.find(batch["doc_id"]):
+            for w in read(texts[k].as_py()):
                 a, b = n.get(w, (0, 0))
-                n[w] = (a + 1 - toxic, b + toxic)
+                n[w] = (a + clean, b + toxic)
         if len(n) > 500_000:
             yield _counted(n)
             n = {}
@@ -189,11 +208,13 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(t, -50.0), 50.0)))
 
 
-def _hit_rows(batches: Iterator[pa.RecordBatch], restore, scorer: Scorer) -> Iterator[pa.RecordBatch]:
+def _hit_rows(batches: Iterator[pa.RecordBatch], restore, labels, scorer: Scorer) -> Iterator[pa.RecordBatch]:
     read = Reader(restore.value, scorer.at)
     for batch in batches:
-        hits = [sorted(read(t)) for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(hits, pa.list_(pa.int32())), batch["toxic"]], ["doc_id", "hits", "toxic"])
+        got = [(batch["doc_id"][k].as_py(), sorted(read(batch["text"][k].as_py())), t) for k, c, b in labels.value.find(batch["doc_id"]) for t in [0] * c + [1] * b]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.int32())], ["doc_id", "hits", "toxic"]
+        )
 
 
 def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held: int) -> Iterator[pa.RecordBatch]:
@@ -205,8 +226,8 @@ def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held:
         yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": pa.array([fold(i, parts) == held for i in ids], pa.bool_()), "score": pa.array(score, pa.float64())})
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 4, held: int = 2, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of `docs`; sample_rows bounds what the weights are fitted on."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 4, held: int = 2, label_rows: int = 200_000, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+    """(doc_id, held_out, score, predicted) for every row of `docs`; label_rows and sample_rows bound what is learned from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -215,21 +236,26 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
     for at, n in learn.select("text").mapInArrow(_letters, "at int, n long").groupBy("at").agg(F.sum("n")).collect():  # 19,683 at most
         counts[at] = n
     restore = spark.sparkContext.broadcast(Restorer(counts))
-    labelled = materialize(learn.join(marks.distinct(), "doc_id"), "labelled")
-    total = {r["toxic"]: r["count"] for r in labelled.select("toxic").groupBy("toxic").count().collect()}
+    marks = marks.where(fold_column(F.col("doc_id"), parts) != held).groupBy("doc_id").agg(
+        F.sum(1 - F.col("toxic")).alias("clean"), F.sum("toxic").alias("toxic")
+    )
+    share = min(1.0, label_rows / max(1, marks.count()))
+    grain, key = 1 << 20, F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    known = marks.where(key < int(share * grain) + 1).select("doc_id", "clean", "toxic")
+    rows_known = [tuple(map(int, r)) for r in zip(*(c.to_pylist() for c in known.toArrow().columns), strict=True)]  # label_rows
+    bad, good = max(1, sum(r[2] for r in rows_known)), max(1, sum(r[1] for r in rows_known))
     model: Scorer | None = None
-    if total:
-        bad, good = max(1, total.get(1, 0)), max(1, total.get(0, 0))
-        words = labelled.select("text", "toxic").mapInArrow(partial(_word_counts, restore=restore), "word string, clean long, toxic long")
+    if rows_known:
+        found = spark.sparkContext.broadcast(Labels(rows_known))
+        words = learn.mapInArrow(partial(_word_counts, restore=restore, labels=found), "word string, clean long, toxic long")
         words = words.groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"t >= {LEAST_TEXTS}")
         p, q = F.col("t") / bad, F.col("c") / good
         told = words.withColumn("z", (p - q) / F.sqrt((F.col("t") + 1) / (bad * bad) + (F.col("c") + 1) / (good * good)) * F.log((p + 0.5 / bad) / (q + 0.5 / good)))
         names = [r["word"] for r in told.where("z > 0").orderBy(F.desc("z"), "word").limit(TELLING).select("word").collect()]
         model = Scorer(names)
-        grain = 1 << 20
-        share = min(1.0, sample_rows / (bad + good))
-        sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < int(share * grain) + 1)
-        got = sorted(map(tuple, sample.mapInArrow(partial(_hit_rows, restore=restore, scorer=model), "doc_id long, hits array<int>, toxic int").collect()))
+        few = min(1.0, share * sample_rows / len(rows_known))
+        sample = learn.where(key < int(few * grain) + 1)
+        got = sorted(map(tuple, sample.mapInArrow(partial(_hit_rows, restore=restore, labels=found, scorer=model), "doc_id long, hits array<int>, toxic int").collect()))
         model.fit([list(h) for _, h, _ in got], np.array([t for _, _, t in got], float))
     sent = spark.sparkContext.broadcast(model)  # TELLING words
     scored = rows.mapInArrow(partial(_score, restore=restore, model=sent, parts=parts, held=held), "doc_id long, held_out boolean, score double")
