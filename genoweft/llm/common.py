@@ -133,8 +133,8 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix64(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def text_chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of whole texts of about `most` bytes: first row, row after the last, bytes, offsets.
+def text_chunks(column: pa.Array, most: int = 1 << 21, most_texts: int = 1 << 30) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of whole texts of about `most` bytes and `most_texts` at most: first row, row after the last, bytes, offsets.
     A null is an empty text. One text is never split, however long."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -148,7 +148,7 @@ def text_chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, in
     a = 0
     while a < n:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + most, "right")) - 1)
-        b = min(b, n)
+        b = min(b, n, a + most_texts)
         yield a, b, buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
         a = b
 

@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, LOWER, _power_tables, fold, fold_column, joined, materialize, mix64, per_group, text_chunks, word_bounds, word_hashes
 
 CHUNK = 3 << 20
+#: Distinct words whose bits are worked on at a time.
+SLICE = 20_000
 #: log2 of the slots of each predictor: last byte, last two, last three, word so far.
 SLOT_BITS = (17, 20, 21, 22)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
@@ -101,7 +103,7 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: i
     """Per run of texts and fragment: words, their postings, and the texts with training weight."""
     for batch in batches:
         learned = np.array([fold(i, parts) != held for i in batch.column(0).to_pylist()], np.int64)
-        for a, b, raw, offs in text_chunks(batch.column(1), CHUNK):
+        for a, b, raw, offs in text_chunks(batch.column(1), CHUNK, 1 << 16):
             w = Words(raw, offs)
             if not len(w.hash):
                 continue
@@ -113,7 +115,13 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: i
             word, at = np.unique(w.hash, return_inverse=True)
             own = text >= 0
             pair, tf = np.unique(at[own] * len(names) + text[own], return_counts=True)
-            at, text = pair // len(names), (pair % len(names)).astype(np.int32)
+            if (tf > 65535).any():  # postings are additive: a larger count is several of them
+                times = -(-tf // 65535)
+                pair, last = np.repeat(pair, times), np.cumsum(times) - 1
+                whole = np.full(len(pair), 65535)
+                whole[last] = tf - (times - 1) * 65535
+                tf = whole
+            at, text = pair // len(names), (pair % len(names)).astype(np.uint16)
             n = np.bincount(at, minlength=len(word)).astype(np.int32)
             frag = (word >> np.uint64(40)) * np.uint64(frags) >> np.uint64(24)  # sorted as words are
             cut = np.searchsorted(frag, np.arange(frags + 1, dtype=np.uint64))
@@ -125,7 +133,7 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: i
                     "word": pa.array([word[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary()),
                     "n": pa.array([n[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary()),
                     "text": pa.array([text[to[cut[k]] : to[cut[k + 1]]].tobytes() for k in rows], pa.binary()),
-                    "tf": pa.array([tf[to[cut[k]] : to[cut[k + 1]]].astype(np.int32).tobytes() for k in rows], pa.binary()),
+                    "tf": pa.array([tf[to[cut[k]] : to[cut[k + 1]]].astype(np.uint16).tobytes() for k in rows], pa.binary()),
                     "name": pa.array([names.tobytes()] * len(rows), pa.binary()),
                     "weight": pa.array([weight.tobytes()] * len(rows), pa.binary()),
                 }
@@ -136,11 +144,11 @@ def _base_parts(table: pa.Table) -> pa.Table:
     """Per text its part of the base sum; one row without a text has the fragment's N and V."""
     get = {k: table[k].to_pylist() for k in table.column_names}
     word, n = joined(get["word"], np.uint64), joined(get["n"], np.int32)
-    tf = joined(get["tf"], np.int32).astype(np.int64)
+    tf = joined(get["tf"], np.uint16).astype(np.int64)
     many = [len(x) // 8 for x in get["name"]]
     name, weight = joined(get["name"], np.int64), joined(get["weight"], np.int64)
     base = np.concatenate([[0], np.cumsum(many)])[:-1]
-    text = joined(get["text"], np.int32) + np.repeat(base, [len(x) // 4 for x in get["text"]])
+    text = joined(get["text"], np.uint16) + np.repeat(base, [len(x) // 2 for x in get["text"]])
     _, at = np.unique(word, return_inverse=True)
     at = np.repeat(at, n)
     c = np.bincount(at, tf * weight[text]).astype(np.int64)
@@ -211,10 +219,10 @@ class Bits:
 
 def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styles: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The task's share of all predictor tables: of each segment the slots met, with their zeros and ones."""
-    n = np.zeros((2, OFFSETS[-1]))
+    n = np.zeros((2, OFFSETS[-1]), np.uint32)
 
     def add(bits: Bits, weight: np.ndarray) -> None:
-        weight = weight[bits.owner].astype(np.float64)
+        weight = weight[bits.owner].astype(np.uint32)
         for bit, slots in bits.steps():
             one = bit == 1
             for s in slots:
@@ -227,8 +235,8 @@ def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styl
             w = Words(raw, offs, styles)
             if len(w.key):
                 _, one, count = np.unique(w.key, return_index=True, return_counts=True)
-                for a in range(0, len(one), 100_000):
-                    add(Bits(w, one[a : a + 100_000]), count[a : a + 100_000])
+                for a in range(0, len(one), SLICE):
+                    add(Bits(w, one[a : a + SLICE]), count[a : a + SLICE])
             kinds = np.bincount(w.last, minlength=KINDS)
             add(Bits(w, np.flatnonzero(kinds), ends=True), kinds[kinds > 0])
     yield _sparse(n)
@@ -365,8 +373,8 @@ def _score(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, most
             value = np.empty(len(uniq))
             value[known] = costs[at[known]]
             new = np.flatnonzero(~known)
-            for k in range(0, len(new), 60_000):
-                part = new[k : k + 60_000]
+            for k in range(0, len(new), SLICE):
+                part = new[k : k + SLICE]
                 value[part] = mixer.cost(Bits(w, one[part]), len(part))
             if len(keys) + len(new) > most:  # forgotten costs are worked out again
                 keys, costs = np.empty(0, np.uint64), np.empty(0)
@@ -428,7 +436,9 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, sample_docs: int
             if len(w.key):
                 _, one, count = np.unique(w.key, return_index=True, return_counts=True)
                 first = np.argsort(one)
-                mixer.learn(Bits(w, one[first]), count[first], 0.1 / (1 + r))
+                for k in range(0, len(first), SLICE):
+                    part = first[k : k + SLICE]
+                    mixer.learn(Bits(w, one[part]), count[part], 0.1 / (1 + r))
     mixer.freeze()
     model = spark.sparkContext.broadcast(mixer)  # bounded by OFFSETS
     scored = texts.mapInArrow(
