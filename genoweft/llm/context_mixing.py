@@ -5,14 +5,13 @@ byte. Every bit is predicted by several predictors, each looking up a hash of it
 (last byte, last two, last three, the word so far) and of the bits of the byte already known.
 Their stretched probabilities are mixed in the logistic domain by weights that a gate chooses
 (how often the word so far and the last three bytes were seen); an adaptive probability map,
-chosen by the kind of byte the previous word ended in, refines the result. The cost is the sum
-of -log2 p over all bits.
+chosen by the style of the text so far, refines the result. The cost is the sum of -log2 p over
+all bits.
 
-Contexts reach back to the start of the word, plus the kind of the previous word's last byte
-and the style that the words before it speak for (a small mixture of word distributions, fitted
-on the sample). The cost of a word is hence a function of (kind, style, word), and is worked
-out once for every distinct triple in a task instead of once for every occurrence: the same
-sum, far fewer bits.
+Contexts reach back to the start of the word, plus the style that the words before it speak for
+(a small mixture of word distributions, fitted on the sample). The cost of a word is hence a
+function of (style, word), and is worked out once for every distinct pair in a task instead of
+once for every occurrence: the same sum, far fewer bits.
 
 Predictor tables gather all training text (each task adds up its share, tables are summed per
 segment). Mixing weights and the map are learned online, in small steps in text order, on a
@@ -40,18 +39,18 @@ from pyspark.sql import functions as F
 
 from .common import IS_SPACE, LOWER, _power_tables, fold, fold_column, joined, materialize, mix64, per_group, text_chunks, word_bounds, word_hashes
 
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 #: Distinct words whose bits are worked on at a time.
 SLICE = 20_000
 #: log2 of the slots of each predictor: last byte, last two, last three, word so far.
 SLOT_BITS = (17, 20, 21, 22)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
 SEGMENT = 1 << 16
-KINDS, LEVELS, APM = 8, 9, 33
+KINDS, LEVELS, APM = 8, 9, 33  # kinds: of a last byte, or styles with 0 for none
 #: Styles of text, hash buckets of the words that tell them, and how many words back are asked.
 STYLES, STYLE_BUCKETS, STYLE_SPAN = 6, 1 << 12, 32
 #: Text bytes of one fragment of the base counts, and the least number of fragments.
-PER_FRAGMENT, LEAST_FRAGMENTS = 64 << 20, 32
+PER_FRAGMENT, LEAST_FRAGMENTS = 64 << 20, 64
 
 _KIND = np.full(256, 4, np.uint8)  # of a word's last byte; 0: no word before
 _KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
@@ -63,7 +62,7 @@ _KIND[128:] = 7
 
 
 class Words:
-    """Words of a run of texts: place, hash, and the kind of the word before (0 at a text's start)."""
+    """Words of a run of texts: place, hash, kind of each text's last byte, and the style before each word."""
 
     def __init__(self, raw: np.ndarray, offs: np.ndarray, styles: np.ndarray | None = None):
         self.buf = LOWER[raw]
@@ -71,13 +70,10 @@ class Words:
         self.hash = word_hashes(self.buf, self.start, self.end)
         self.first = np.searchsorted(self.start, offs)
         last = _KIND[self.buf[self.end - 1]] if len(self.end) else np.empty(0, np.uint8)
-        self.kind = np.concatenate([[0], last[:-1]]).astype(np.uint8) if len(last) else last
-        lead = self.first[:-1]
-        self.kind[lead[lead < len(self.kind)]] = 0
         self.last = np.zeros(len(offs) - 1, np.uint8)
         some = self.first[1:] > self.first[:-1]
         self.last[some] = last[self.first[1:][some] - 1]
-        self.style = np.zeros(len(self.kind), np.uint8)
+        self.style = np.zeros(len(self.hash), np.uint8)
         if styles is not None and len(self.hash):
             # The style that the last few words of the text speak for; 0 before its first word.
             told = np.zeros((len(self.hash) + 1, styles.shape[1]))
@@ -86,7 +82,7 @@ class Words:
             at = np.arange(len(self.hash))
             self.style = (np.argmax(told[at] - told[np.maximum(head, at - STYLE_SPAN)], 1) + 1).astype(np.uint8)
             self.style[at == head] = 0
-        self.key = mix64(self.hash + self.kind.astype(np.uint64) + (self.style.astype(np.uint64) << np.uint64(8)))
+        self.key = mix64(self.hash + (self.style.astype(np.uint64) << np.uint64(8)))
 
 
 def text_hashes(w: Words) -> np.ndarray:
@@ -175,7 +171,7 @@ def _base_parts(table: pa.Table) -> pa.Table:
 
 
 class Bits:
-    """The bit stream of distinct (kind, word) pairs: slots of each predictor for all bits of a byte."""
+    """The bit stream of distinct (style, word) pairs: slots of each predictor for all bits of a byte."""
 
     def __init__(self, w: Words, which: np.ndarray, ends: bool = False):
         """which: numbers of words; ends: the end byte after each kind of last word instead."""
@@ -193,7 +189,7 @@ class Bits:
             src = np.minimum(w.start[which][self.owner] + inside, len(w.buf) - 1)
             self.byte = w.buf[src].copy()
             self.byte[begin + size - 1] = 32
-            self.kind = w.kind[which][self.owner]
+            self.kind = w.style[which][self.owner]
             b = self.byte.astype(np.uint64)
             c1, c2, c3 = (np.where(inside >= k, np.concatenate([np.zeros(k, np.uint64), b[:-k]])[: len(b)], np.uint64(0)) for k in (1, 2, 3))
             up, down = _power_tables(len(b) + 1)
@@ -229,19 +225,54 @@ def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styl
                 np.add.at(n[0], s[~one], weight[~one])
                 np.add.at(n[1], s[one], weight[one])
 
+    met, ends = _Met(), np.zeros(KINDS, np.int64)
+
+    def flush() -> None:
+        for a in range(0, len(met.keys), SLICE):
+            add(Bits(met, np.arange(a, min(a + SLICE, len(met.keys)))), met.count[a : a + SLICE])
+
     for batch in batches:
         learned = np.array([fold(i, parts) != held for i in batch.column(0).to_pylist()], bool)
         for _, _, raw, offs in text_chunks(batch.column(1).filter(pa.array(learned)), CHUNK):
             w = Words(raw, offs, styles)
-            if len(w.key):
-                _, one, count = np.unique(w.key, return_index=True, return_counts=True)
-                for a in range(0, len(one), SLICE):
-                    add(Bits(w, one[a : a + SLICE]), count[a : a + SLICE])
-            kinds = np.bincount(w.last, minlength=KINDS)
-            add(Bits(w, np.flatnonzero(kinds), ends=True), kinds[kinds > 0])
+            met.add(w)
+            ends += np.bincount(w.last, minlength=KINDS)
+            if len(met.keys) > 1_000_000:
+                flush()
+                met = _Met()
+    flush()
+    if ends.any():
+        add(Bits(met, np.flatnonzero(ends), ends=True), ends[ends > 0])
     yield _sparse(n)
 
 
+class _Met:
+    """Distinct (style, word) pairs of a task with their counts; bytes kept once."""
+
+    def __init__(self):
+        self.keys, self.count = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.start, self.end, self.style = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
+        self.buf = np.zeros(1, np.uint8)
+
+    def add(self, w: Words) -> None:
+        uniq, one, count = np.unique(w.key, return_index=True, return_counts=True)
+        at = np.searchsorted(self.keys, uniq)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == uniq[known]
+        self.count[at[known]] += count[known]
+        one, count, uniq = one[~known], count[~known], uniq[~known]
+        size = (w.end - w.start)[one]
+        ends = np.cumsum(size)
+        place = np.repeat(w.start[one] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
+        start = ends - size + len(self.buf)
+        self.buf = np.concatenate([self.buf, w.buf[place]])
+        keys = np.concatenate([self.keys, uniq])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        for name, new in (("count", count), ("start", start), ("end", start + size), ("style", w.style[one])):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+
+
 def _sparse(n: np.ndarray, segments: np.ndarray | None = None) -> pa.RecordBatch:
     rows: dict[str, list] = {"segment": [], "at": [], "n": []}
     for k in range(-(-n.shape[1] // SEGMENT)):
