@@ -12,9 +12,11 @@ each fragment is one group that knows every holder of its n-grams:
 4. fragments count partial overlaps of each n-gram's most central holder (largest shared
    part) with its other holders; the sums per pair prove most links with one row per member
    instead of one per pair;
-5. pairs of different components of those links that meet in their prefixes are listed per
-   fragment, verified on their n-grams, and added. Pairs inside one component cannot change
-   the components and are not listed.
+5. in `chance_rounds` rounds each place in a prefix proposes its next holder of another
+   component, in a random order; proposals are verified on their n-grams and links join
+   components, so that groups of near copies grow together at a cost linear in their size;
+6. last, all pairs of different components that meet in their prefixes are listed per fragment,
+   verified and added. Pairs inside one component cannot change it and are not listed.
 
 The components are therefore exact at any size of group.
 
@@ -238,9 +240,11 @@ def _star_overlaps(table: pa.Table) -> pa.Table:
     return pa.table({"a": f.cls[a], "b": f.cls[b], "na": f.n[a], "nb": f.n[b], "c": c})
 
 
-def _crossing(table: pa.Table, percent: int) -> pa.Table:
-    """Pairs of classes of different components (aux) that meet in a prefix and whose sizes allow a link."""
+def _crossing(table: pa.Table, percent: int, salt: int | None = None) -> pa.Table:
+    """Pairs of classes of different components (aux) that meet in a prefix and whose sizes allow a
+    link: all of them, or, with a salt, at most one for each place in a prefix."""
     f = _Fragment(table)
+    sorted_tok = f.tok[f.order]
     found: list[np.ndarray] = []
     run = f.run[f.order]
     comp = f.aux[run]
@@ -248,11 +252,19 @@ def _crossing(table: pa.Table, percent: int) -> pa.Table:
         mixed = (np.minimum.reduceat(comp, f.first) != np.maximum.reduceat(comp, f.first)) & (f.df > 1)
         for a, m in zip(f.first[mixed], f.df[mixed], strict=True):
             runs = run[a : a + m]
+            if salt is not None:  # each holder with the next in a random order
+                runs = runs[np.argsort(mix64(f.cls[runs].view(np.uint64) ^ mix64(sorted_tok[a : a + 1] + np.uint64(salt))), kind="stable")]
+                x, y = runs[:-1], runs[1:]
+                small, large = np.minimum(f.n[x], f.n[y]).astype(np.int64), np.maximum(f.n[x], f.n[y]).astype(np.int64)
+                fit = (f.aux[x] != f.aux[y]) & (small * 100 >= large * percent)
+                found.append(np.minimum(x, y)[fit] * len(f.cls) + np.maximum(x, y)[fit])
+                continue
             runs = runs[np.argsort(f.n[runs], kind="stable")]
             n, c = f.n[runs].astype(np.int64), f.aux[runs]
-            last = np.searchsorted(n, n * 100 // percent, "right")
-            for i in range(m - 1):
-                j = np.arange(i + 1, last[i])
+            first, last = np.searchsorted(n, -(-n * percent // 100), "left"), np.searchsorted(n, n * 100 // percent, "right")
+            names, size = np.unique(c, return_counts=True)
+            for i in np.flatnonzero(c != names[np.argmax(size)]):  # pairs inside the largest component are none
+                j = np.arange(first[i], last[i])
                 j = j[c[j] != c[i]]
                 if len(j):
                     x, y = np.minimum(runs[i], runs[j]), np.maximum(runs[i], runs[j])
@@ -270,7 +282,7 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("a", "b", "na", "nb")), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chance_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links 100 |A & B| >= percent |A | B|."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     light = materialize(
@@ -298,24 +310,24 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
     )
     links = materialize(stars.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
     first = materialize(connected_components(links), "comp")
-    cut = near.join(first.withColumnRenamed("node", "cls"), "cls", "left").select(
-        *near.columns, F.coalesce("component", "cls").alias("aux")
-    )
-    runs = cut.mapInArrow(partial(_cut_classes, frags=frags, prefixes=True), RUNS)
-    pairs = per_group(runs, "frag", _crossing, "a long, b long", percent=percent).distinct()
+    comp, known = first, first.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     a = near.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("tok").alias("ta"))
     b = near.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("tok").alias("tb"))
-    more = (
-        pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ta", "tb")
-        .mapInArrow(_overlap, "a long, b long, na int, nb int, c long")
-        .where(enough)
-    )
-    more = materialize(more.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    if more.isEmpty():
-        comp = first
-    else:
-        stars_only = first.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        comp = connected_components(stars_only.union(more))
+    for salt in (*range(1, chance_rounds + 1), None):
+        cut = near.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select(
+            *near.columns, F.coalesce("component", "cls").alias("aux")
+        )
+        runs = cut.mapInArrow(partial(_cut_classes, frags=frags, prefixes=True), RUNS)
+        pairs = per_group(runs, "frag", _crossing, "a long, b long", percent=percent, salt=salt).distinct()
+        more = (
+            pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "ta", "tb")
+            .mapInArrow(_overlap, "a long, b long, na int, nb int, c long")
+            .where(enough)
+        )
+        more = materialize(more.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        if not more.isEmpty():
+            comp = materialize(connected_components(known.union(more)), "comp")
+            known = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
     classes = light.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
         "component", F.coalesce("component", "cls")
