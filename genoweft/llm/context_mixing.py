@@ -476,6 +476,7 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, sample_docs: int
         partial(_score, parts=parts, held=held, model=model),
         "doc_id long, held_out boolean, n_tokens long, name long, bits double, n_bytes long",
     )
+    scored = materialize(scored, "scored")
     end = float(np.log10(ends + 1.0))
     return (
         scored.join(base.where("name is not null").drop("tokens"), "name", "left")

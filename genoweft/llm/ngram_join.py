@@ -282,7 +282,7 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch[k] for k in ("a", "b", "na", "nb")), pa.array(c, pa.int64())], ["a", "b", "na", "nb", "c"])
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chance_rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chance_rounds: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): components of the links 100 |A & B| >= percent |A | B|."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     light = materialize(
