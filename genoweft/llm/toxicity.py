@@ -109,11 +109,11 @@ class Reader:
         self.restore, self.keep, self.most = restore, keep, most
         self.known: dict[str, tuple] = {}
 
-    def token(self, token: str) -> tuple:
+    def token(self, token: str, spaced: bool = False) -> tuple:
         got = self.known.get(token)
         if got is None:
             words = set(_WORD.findall(token))
-            if _TOUCHED.search(token):
+            if spaced or _TOUCHED.search(token):
                 words.update(_WORD.findall(self.restore(token)))
             got = tuple(words if self.keep is None else [self.keep[w] for w in words if w in self.keep])
             if len(self.known) >= self.most:
@@ -131,7 +131,7 @@ class Reader:
                 found.update(self.token(t))
             if sum(len(t) == 1 for t in tokens) >= 3:
                 for m in _SPACED.finditer(low):
-                    found.update(self.token(m.group(0)))
+                    found.update(self.token(m.group(0), True))
         return found
 
 
