@@ -157,9 +157,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def joined(values, dtype) -> np.ndarray:
-    """One array out of a column of binaries."""
-    parts = [np.frombuffer(v, dtype) for v in values if v]
+def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
+    """One array out of a column of binaries, whose buffers already lie end to end."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            offs = np.frombuffer(chunk.buffers()[1], np.int32)
+            first, last = offs[chunk.offset], offs[chunk.offset + len(chunk)]
+            if last > first:
+                parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[first:last].view(dtype))
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 

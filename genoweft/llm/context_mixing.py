@@ -34,6 +34,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,13 +139,12 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: i
 
 def _base_parts(table: pa.Table) -> pa.Table:
     """Per text its part of the base sum; one row without a text has the fragment's N and V."""
-    get = {k: table[k].to_pylist() for k in table.column_names}
-    word, n = joined(get["word"], np.uint64), joined(get["n"], np.int32)
-    tf = joined(get["tf"], np.uint16).astype(np.int64)
-    many = [len(x) // 8 for x in get["name"]]
-    name, weight = joined(get["name"], np.int64), joined(get["weight"], np.int64)
+    word, n = joined(table["word"], np.uint64), joined(table["n"], np.int32)
+    tf = joined(table["tf"], np.uint16).astype(np.int64)
+    many = pc.binary_length(table["name"]).to_numpy() // 8
+    name, weight = joined(table["name"], np.int64), joined(table["weight"], np.int64)
     base = np.concatenate([[0], np.cumsum(many)])[:-1]
-    text = joined(get["text"], np.uint16) + np.repeat(base, [len(x) // 2 for x in get["text"]])
+    text = joined(table["text"], np.uint16) + np.repeat(base, pc.binary_length(table["text"]).to_numpy() // 2)
     _, at = np.unique(word, return_inverse=True)
     at = np.repeat(at, n)
     c = np.bincount(at, tf * weight[text]).astype(np.int64)

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, connected_components, joined, materialize, mix64, per_group, text_chunks, word_bounds, word_hashes
 
 #: n-grams that one fragment should hold, and the least number of fragments.
-PER_FRAGMENT, LEAST_FRAGMENTS = 4_000_000, 32
+PER_FRAGMENT, LEAST_FRAGMENTS = 1_000_000, 32
 _STEP = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 1 << 62, 64) * 2 + 1]
 
 
@@ -136,16 +136,18 @@ class _Fragment:
     """All n-grams of one fragment: token, and the number of the run (class) each is of."""
 
     def __init__(self, table: pa.Table):
-        tok, cnt = joined(table["tok"].to_pylist(), np.uint64), joined(table["cnt"].to_pylist(), np.int32)
-        self.cls, self.n = joined(table["cls"].to_pylist(), np.int64), joined(table["n"].to_pylist(), np.int32)
-        self.aux = joined(table["aux"].to_pylist(), np.int64)
+        tok, cnt = joined(table["tok"], np.uint64), joined(table["cnt"], np.int32)
+        self.cls, self.n = joined(table["cls"], np.int64), joined(table["n"], np.int32)
+        self.aux = joined(table["aux"], np.int64)
         # Equal sets that came from several batches: one run of each class stays.
         once = np.zeros(len(self.cls), bool)
         once[np.unique(self.cls, return_index=True)[1]] = True
-        stay = np.repeat(once, cnt)
-        self.tok, self.cnt = tok[stay], cnt[once]
+        if once.all():
+            self.tok, self.cnt = tok, cnt
+        else:
+            self.tok, self.cnt = tok[np.repeat(once, cnt)], cnt[once]
         self.cls, self.n, self.aux = self.cls[once], self.n[once], self.aux[once]
-        self.run = np.repeat(np.arange(len(self.cnt)), self.cnt)
+        self.run = np.repeat(np.arange(len(self.cnt), dtype=np.int32), self.cnt)
         self.order = np.argsort(self.tok, kind="stable")
         sorted_tok = self.tok[self.order]
         self.first = np.concatenate([[0], np.flatnonzero(np.diff(sorted_tok)) + 1]) if len(tok) else np.empty(0, np.int64)
@@ -181,9 +183,9 @@ def _shared(table: pa.Table, frags: int) -> pa.Table:
 
 def _survivors(table: pa.Table, percent: int) -> pa.Table:
     """Classes whose shared n-grams reach the least overlap a link needs, n-grams by (df, hash)."""
-    tok, cnt = joined(table["tok"].to_pylist(), np.uint64), joined(table["cnt"].to_pylist(), np.int32)
-    df = joined(table["df"].to_pylist(), np.int32)
-    key, size = joined(table["cls"].to_pylist(), np.int64), joined(table["n"].to_pylist(), np.int32)
+    tok, cnt = joined(table["tok"], np.uint64), joined(table["cnt"], np.int32)
+    df = joined(table["df"], np.int32)
+    key, size = joined(table["cls"], np.int64), joined(table["n"], np.int32)
     cls = np.repeat(key, cnt)
     names, where, shared = np.unique(cls, return_index=True, return_counts=True)
     n = np.repeat(size, cnt)[where].astype(np.int64)
@@ -246,7 +248,7 @@ def _crossing(table: pa.Table, percent: int, salt: int | None = None) -> pa.Tabl
     f = _Fragment(table)
     sorted_tok = f.tok[f.order]
     found: list[np.ndarray] = []
-    run = f.run[f.order]
+    run = f.run[f.order].astype(np.int64)
     comp = f.aux[run]
     if len(run):
         mixed = (np.minimum.reduceat(comp, f.first) != np.maximum.reduceat(comp, f.first)) & (f.df > 1)
