@@ -15,8 +15,8 @@ each fragment is one group that knows every holder of its n-grams:
 5. in `chance_rounds` rounds each place in a prefix proposes its next holder of another
    component, in a random order; proposals are verified on their n-grams and links join
    components, so that groups of near copies grow together at a cost linear in their size;
-6. last, all pairs of different components that meet in their prefixes are listed per fragment,
-   verified and added. Pairs inside one component cannot change it and are not listed.
+6. last, all pairs of different components that meet in their prefixes are found per fragment;
+   those whose bitmaps do not rule a link out are listed, verified and added. Pairs inside one component cannot change it and are not listed.
 
 The components are therefore exact at any size of group.
 
@@ -39,6 +39,8 @@ from .common import LOWER, connected_components, joined, materialize, mix64, per
 
 #: n-grams that one fragment should hold, and the least number of fragments.
 PER_FRAGMENT, LEAST_FRAGMENTS = 1_000_000, 32
+#: Words of a class's bitmap: one bit for each shared n-gram, by its hash.
+BITMAP = 64
 _STEP = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 1 << 62, 64) * 2 + 1]
 
 
@@ -81,10 +83,10 @@ def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         )
 
 
-RUNS = "frag int, tok binary, cls binary, n binary, aux binary, cnt binary"
+RUNS = "frag int, tok binary, cls binary, n binary, aux binary, cnt binary, bits binary"
 
 
-def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cnt: np.ndarray, frags: int) -> pa.RecordBatch | None:
+def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cnt: np.ndarray, frags: int, bits: np.ndarray | None = None) -> pa.RecordBatch | None:
     """Rows of RUNS: per fragment its n-grams and the runs (class, size, aux, length) they come in."""
     if not len(tok):
         return None
@@ -97,7 +99,7 @@ def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cn
     heads, sizes = run[edge[:-1]], np.diff(edge).astype(np.int32)
     bounds = np.concatenate([[0], cut, [len(tok)]])
     at = np.searchsorted(edge[:-1], bounds)
-    out: dict[str, list] = {k: [] for k in ("frag", "tok", "cls", "n", "aux", "cnt")}
+    out: dict[str, list] = {k: [] for k in ("frag", "tok", "cls", "n", "aux", "cnt", "bits")}
     for k in range(len(bounds) - 1):
         a, b, r = bounds[k], bounds[k + 1], slice(at[k], at[k + 1])
         out["frag"].append(int(frag[a]))
@@ -105,7 +107,8 @@ def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cn
         for name, values in (("cls", cls), ("n", n), ("aux", aux)):
             out[name].append(values[heads[r]].tobytes())
         out["cnt"].append(sizes[r].tobytes())
-    kinds = [pa.int32()] + [pa.binary()] * 5
+        out["bits"].append(b"" if bits is None else bits[heads[r]].tobytes())
+    kinds = [pa.int32()] + [pa.binary()] * 6
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
@@ -138,7 +141,7 @@ class _Fragment:
     def __init__(self, table: pa.Table):
         tok, cnt = joined(table["tok"], np.uint64), joined(table["cnt"], np.int32)
         self.cls, self.n = joined(table["cls"], np.int64), joined(table["n"], np.int32)
-        self.aux = joined(table["aux"], np.int64)
+        self.aux, self.bits = joined(table["aux"], np.int64), joined(table["bits"], np.uint64).reshape(-1, BITMAP + 1)
         # Equal sets that came from several batches: one run of each class stays.
         once = np.zeros(len(self.cls), bool)
         once[np.unique(self.cls, return_index=True)[1]] = True
@@ -146,6 +149,7 @@ class _Fragment:
             self.tok, self.cnt = tok, cnt
         else:
             self.tok, self.cnt = tok[np.repeat(once, cnt)], cnt[once]
+            self.bits = self.bits[once] if len(self.bits) else self.bits
         self.cls, self.n, self.aux = self.cls[once], self.n[once], self.aux[once]
         self.run = np.repeat(np.arange(len(self.cnt), dtype=np.int32), self.cnt)
         self.order = np.argsort(self.tok, kind="stable")
@@ -207,10 +211,22 @@ def _survivors(table: pa.Table, percent: int) -> pa.Table:
     )
 
 
+def _bitmaps(toks: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
+    """Per class a bit for each of its shared n-grams, and the number of its other n-grams."""
+    out = np.zeros((len(toks), BITMAP + 1), np.uint64)
+    row, tok = np.repeat(np.arange(len(toks)), [len(t) for t in toks]), np.concatenate(toks)
+    place = (tok >> np.uint64(8)) % np.uint64(64 * BITMAP)
+    np.bitwise_or.at(out, (row, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    out[:, BITMAP] = rest
+    return out
+
+
 def _cut_classes(batches: Iterator[pa.RecordBatch], frags: int, prefixes: bool) -> Iterator[pa.RecordBatch]:
-    """Classes (cls, n, shared, prefix, tok, aux) to RUNS; only the prefixes if so asked."""
+    """Classes (cls, n, shared, prefix, tok, aux) to RUNS; only the prefixes, with bitmaps, if so asked."""
     for batch in batches:
-        toks = [np.frombuffer(t, np.uint64)[: p if prefixes else None] for t, p in zip(batch["tok"].to_pylist(), batch["prefix"].to_pylist(), strict=True)]
+        whole = [np.frombuffer(t, np.uint64) for t in batch["tok"].to_pylist()]
+        rest = (batch["n"].to_numpy() - batch["shared"].to_numpy()).astype(np.uint64)
+        toks = [t[:p] for t, p in zip(whole, batch["prefix"].to_pylist(), strict=True)] if prefixes else whole
         a = 0
         while a < len(toks):
             b, held = a, 0
@@ -218,7 +234,7 @@ def _cut_classes(batches: Iterator[pa.RecordBatch], frags: int, prefixes: bool)
                 held += len(toks[b])
                 b += 1
             cols = [batch[c].to_numpy(zero_copy_only=False)[a:b] for c in ("cls", "n", "aux")]
-            out = _packed(np.concatenate(toks[a:b]), *cols, np.array([len(t) for t in toks[a:b]], np.int64), frags)
+            out = _packed(np.concatenate(toks[a:b]), *cols, np.array([len(t) for t in toks[a:b]], np.int64), frags, _bitmaps(whole[a:b], rest[a:b]) if prefixes else None)
             if out is not None:
                 yield out
             a = b
@@ -244,8 +260,20 @@ def _star_overlaps(table: pa.Table) -> pa.Table:
 
 def _crossing(table: pa.Table, percent: int, salt: int | None = None) -> pa.Table:
     """Pairs of classes of different components (aux) that meet in a prefix and whose sizes allow a
-    link: all of them, or, with a salt, at most one for each place in a prefix."""
+    link: all of them, or, with a salt, at most one for each place in a prefix. Bits that differ
+    and n-grams that no other class holds are each an n-gram of one side only; pairs with more of
+    these than a link allows are none (never a link lost: the count is a lower bound)."""
     f = _Fragment(table)
+
+    def possible(pairs: list[np.ndarray]) -> np.ndarray:
+        pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        good = np.empty(len(pair), bool)
+        for k in range(0, len(pair), 20_000):
+            x, y = pair[k : k + 20_000] // len(f.cls), pair[k : k + 20_000] % len(f.cls)
+            apart = np.bitwise_count(f.bits[x, :BITMAP] ^ f.bits[y, :BITMAP]).sum(1, dtype=np.int64) + (f.bits[x, BITMAP] + f.bits[y, BITMAP]).astype(np.int64)
+            good[k : k + 20_000] = apart * (100 + percent) <= (f.n[x].astype(np.int64) + f.n[y]) * (100 - percent)
+        return pair[good]
+
     sorted_tok = f.tok[f.order]
     found: list[np.ndarray] = []
     run = f.run[f.order].astype(np.int64)
@@ -272,8 +300,8 @@ def _crossing(table: pa.Table, percent: int, salt: int | None = None) -> pa.Tabl
                     x, y = np.minimum(runs[i], runs[j]), np.maximum(runs[i], runs[j])
                     found.append(x * len(f.cls) + y)
             if sum(map(len, found)) > 2_000_000:
-                found = [np.unique(np.concatenate(found))]
-    pair = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+                found = [possible(found)]
+    pair = possible(found)
     return pa.table({"a": f.cls[pair // max(1, len(f.cls))], "b": f.cls[pair % max(1, len(f.cls))]})
 
 
@@ -302,6 +330,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chanc
         per_group(shared, "bucket", _survivors, "cls long, n int, shared int, prefix int, tok binary", percent=percent),
         "near",
     )
+    frags = max(LEAST_FRAGMENTS, -(-(near.agg(F.sum(F.col("shared").cast("long"))).first()[0] or 0) // PER_FRAGMENT))
     cut = near.withColumn("aux", F.col("shared").cast("long"))
     runs = cut.mapInArrow(partial(_cut_classes, frags=frags, prefixes=False), RUNS)
     stars = (
