@@ -4,6 +4,8 @@ buffers, 64-bit hashing in numpy, and distributed connected components."""
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import tempfile
 import uuid
 import zlib
@@ -169,11 +171,32 @@ def joined(column: pa.ChunkedArray, dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.empty(0, dtype)
 
 
+def give_back() -> None:
+    """Free memory that allocators keep, so that reused Python workers do not grow from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def tidy(fn):
+    """A function of batches that gives memory back when its task ends."""
+
+    @functools.wraps(fn)
+    def call(batches, *args, **kw):
+        yield from fn(batches, *args, **kw)
+        give_back()
+
+    return call
+
+
 def per_group(df: DataFrame, key: str, fn, schema: str, **kw) -> DataFrame:
     """groupBy(key).applyInArrow of `fn(table, **kw)`."""
 
     def call(table: pa.Table) -> pa.Table:
-        return fn(table, **kw)
+        out = fn(table, **kw)
+        give_back()
+        return out
 
     return df.groupBy(key).applyInArrow(call, schema)
 
@@ -184,6 +207,7 @@ def per_group(df: DataFrame, key: str, fn, schema: str, **kw) -> DataFrame:
 ONE_TASK_EDGES = 1_000_000
 
 
+@tidy
 def _union_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     parts = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
     if not parts:

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, _power_tables, fold, fold_column, joined, materialize, mix64, per_group, text_chunks, word_bounds, word_hashes
+from .common import IS_SPACE, LOWER, fold, fold_column, joined, materialize, mix64, per_group, _power_tables, text_chunks, tidy, word_bounds, word_hashes
 
 CHUNK = 2 << 20
 #: Distinct words whose bits are worked on at a time.
@@ -96,6 +96,7 @@ def text_hashes(w: Words) -> np.ndarray:
 # ---------------------------------------------------------------- unigram base
 
 
+@tidy
 def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: int) -> Iterator[pa.RecordBatch]:
     """Per run of texts and fragment: words, their postings, and the texts with training weight."""
     for batch in batches:
@@ -213,6 +214,7 @@ class Bits:
             node = node * np.uint64(2) + bit
 
 
+@tidy
 def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styles: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The task's share of all predictor tables: of each segment the slots met, with their zeros and ones."""
     n = np.zeros((2, OFFSETS[-1]), np.uint32)
@@ -391,6 +393,7 @@ class Mixer:
         return self.cost(Bits(none, np.arange(KINDS), ends=True), KINDS)
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     mixer: Mixer = model.value
     ends = mixer.end_costs()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, fold_column, text_chunks
+from .common import LOWER, fold, fold_column, text_chunks, tidy
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 STEP = WINDOW - max(WIDTHS) + 1
@@ -118,6 +118,7 @@ def has_letter(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return found
 
 
+@tidy
 def _sample_windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, raw, offs in text_chunks(batch["text"], 1 << 19):
@@ -152,6 +153,7 @@ def fit(docs: DataFrame, parts: int, held: int, sample_per_lang: int, windows_pe
     return net
 
 
+@tidy
 def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model) -> Iterator[pa.RecordBatch]:
     net: ByteNet | None = model.value
     for batch in batches:

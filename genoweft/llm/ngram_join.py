@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, joined, materialize, mix64, per_group, text_chunks, word_bounds, word_hashes
+from .common import LOWER, connected_components, joined, materialize, mix64, per_group, text_chunks, tidy, word_bounds, word_hashes
 
 #: n-grams that one fragment should hold, and the least number of fragments.
 PER_FRAGMENT, LEAST_FRAGMENTS = 1_000_000, 32
@@ -72,6 +72,7 @@ def set_digest(grams: np.ndarray) -> int:
     return int(mix64(np.append(x, np.uint64(len(grams))).cumsum(dtype=np.uint64)[-1:]).view(np.int64)[0])
 
 
+@tidy
 def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, digest = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
@@ -112,6 +113,7 @@ def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cn
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
+@tidy
 def _cut_texts(batches: Iterator[pa.RecordBatch], width: int, frags: int, most: int = 500_000) -> Iterator[pa.RecordBatch]:
     sets: dict[int, np.ndarray] = {}
 
@@ -221,6 +223,7 @@ def _bitmaps(toks: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _cut_classes(batches: Iterator[pa.RecordBatch], frags: int, prefixes: bool) -> Iterator[pa.RecordBatch]:
     """Classes (cls, n, shared, prefix, tok, aux) to RUNS; only the prefixes, with bitmaps, if so asked."""
     for batch in batches:
@@ -230,8 +233,8 @@ def _cut_classes(batches: Iterator[pa.RecordBatch], frags: int, prefixes: bool)
         a = 0
         while a < len(toks):
             b, held = a, 0
-            while b < len(toks) and held < 1_000_000:
-                held += len(toks[b])
+            while b < len(toks) and held < 500_000:
+                held += len(whole[b])
                 b += 1
             cols = [batch[c].to_numpy(zero_copy_only=False)[a:b] for c in ("cls", "n", "aux")]
             out = _packed(np.concatenate(toks[a:b]), *cols, np.array([len(t) for t in toks[a:b]], np.int64), frags, _bitmaps(whole[a:b], rest[a:b]) if prefixes else None)
@@ -305,6 +308,7 @@ def _crossing(table: pa.Table, percent: int, salt: int | None = None) -> pa.Tabl
     return pa.table({"a": f.cls[pair // max(1, len(f.cls))], "b": f.cls[pair % max(1, len(f.cls))]})
 
 
+@tidy
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b, na, nb, ta, tb) to (a, b, na, nb, c)."""
     for batch in batches:

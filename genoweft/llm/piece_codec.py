@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -153,7 +155,7 @@ class Codec:
         got = {u: e.ids for u, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True)}
         return [got[u] if u in got else self.merge(u) for u in units]
 
-    def encode(self, texts: list[str], most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each)."""
         marked = [self.normalise(t) for t in texts]
         if self.unit is None:
@@ -211,6 +213,7 @@ def parity(texts: list[str], path: str = MODEL) -> list[bool]:
     return [ids[a:b].tolist() == w and d.decode("utf-8", "replace") == theirs.decode(w) for a, b, w, d in zip(offs[:-1], offs[1:], want, back, strict=True)]
 
 
+@tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for batch in batches:
@@ -220,6 +223,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.ListArray.from_arrays(offs.astype(np.int32), ids)], ["doc_id", "ids"])
 
 
+@tidy
 def _digest(batches: Iterator[pa.RecordBatch], path: str, every: int) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, mix64, per_group
+from .common import connected_components, materialize, mix64, per_group, tidy
 
 
 def _direction(seed: int, tree: int, level: int, dim: int) -> np.ndarray:
@@ -40,6 +40,7 @@ def _units(column: pa.Array) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
+@tidy
 def _route(batches: Iterator[pa.RecordBatch], trees: int, seed: int, tops) -> Iterator[pa.RecordBatch]:
     """Each row to its group of every tree: label and top node."""
     tops = tops.value

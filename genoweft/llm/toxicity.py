@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, fold_column, text_chunks
+from .common import LOWER, fold, fold_column, text_chunks, tidy
 
 #: The letters that a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -135,6 +135,7 @@ class Reader:
         return found
 
 
+@tidy
 def _letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(27**3, np.int64)
     for batch in batches:
@@ -161,6 +162,7 @@ class Labels:
         return [(int(k), *map(int, self.n[at[k]])) for k in rows]
 
 
+@tidy
 def _word_counts(batches: Iterator[pa.RecordBatch], restore, labels) -> Iterator[pa.RecordBatch]:
     """Texts with each word, by label; a task's share."""
     read, n = Reader(restore.value), {}
@@ -208,6 +210,7 @@ class Scorer:
         return 1 / (1 + math.exp(-min(max(t, -50.0), 50.0)))
 
 
+@tidy
 def _hit_rows(batches: Iterator[pa.RecordBatch], restore, labels, scorer: Scorer) -> Iterator[pa.RecordBatch]:
     read = Reader(restore.value, scorer.at)
     for batch in batches:
@@ -217,6 +220,7 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], restore, labels, scorer: Scorer
         )
 
 
+@tidy
 def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held: int) -> Iterator[pa.RecordBatch]:
     scorer: Scorer | None = model.value
     read = Reader(restore.value, scorer.at if scorer else {})
