@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from .common import IS_SPACE, LOWER, fold, fold_column, joined, materialize, mix64, per_group, _power_tables, text_chunks, tidy, word_bounds, word_hashes
 
 CHUNK = 2 << 20
-#: Distinct words whose bits are worked on at a time.
-SLICE = 20_000
+#: Distinct words whose bits are worked on at a time: in learning, and in counting and costs.
+SLICE, FEW = 20_000, 3_000
 #: log2 of the slots of each predictor: last byte, last two, last three, word so far.
 SLOT_BITS = (17, 20, 21, 22)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
@@ -141,19 +141,20 @@ def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: i
 def _base_parts(table: pa.Table) -> pa.Table:
     """Per text its part of the base sum; one row without a text has the fragment's N and V."""
     word, n = joined(table["word"], np.uint64), joined(table["n"], np.int32)
-    tf = joined(table["tf"], np.uint16).astype(np.int64)
+    tf = joined(table["tf"], np.uint16).astype(np.int32)  # four bytes each for what is as long as the postings
     many = pc.binary_length(table["name"]).to_numpy() // 8
     name, weight = joined(table["name"], np.int64), joined(table["weight"], np.int64)
-    base = np.concatenate([[0], np.cumsum(many)])[:-1]
+    base = np.concatenate([[0], np.cumsum(many)])[:-1].astype(np.int32)
     text = joined(table["text"], np.uint16) + np.repeat(base, pc.binary_length(table["text"]).to_numpy() // 2)
     _, at = np.unique(word, return_inverse=True)
-    at = np.repeat(at, n)
+    at = np.repeat(at.astype(np.int32), n)
     c = np.bincount(at, tf * weight[text]).astype(np.int64)
     names, once, who = np.unique(name, return_index=True, return_inverse=True)
     first = np.zeros(len(name), bool)
     first[once] = True
     own = first[text]  # a text met in several runs is summed once
-    at, tf, who = at[own], tf[own], who[text[own]]
+    at, tf, who = at[own], tf[own], who.astype(np.int32)[text[own]]
+    del own, text
     s = np.bincount(who, tf * np.log10(c[at] + 1.0), len(names))
     known = np.bincount(who, tf * (c[at] > 0), len(names)).astype(np.int64)
     tokens = np.bincount(who, tf, len(names)).astype(np.int64)
@@ -217,21 +218,19 @@ class Bits:
 @tidy
 def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styles: np.ndarray) -> Iterator[pa.RecordBatch]:
     """The task's share of all predictor tables: of each segment the slots met, with their zeros and ones."""
-    n = np.zeros((2, OFFSETS[-1]), np.uint32)
+    n = np.zeros(2 * OFFSETS[-1], np.uint32)  # zeros and ones of a slot side by side
 
     def add(bits: Bits, weight: np.ndarray) -> None:
         weight = weight[bits.owner].astype(np.uint32)
         for bit, slots in bits.steps():
-            one = bit == 1
             for s in slots:
-                np.add.at(n[0], s[~one], weight[~one])
-                np.add.at(n[1], s[one], weight[one])
+                np.add.at(n, 2 * s + bit, weight)
 
     met, ends = _Met(), np.zeros(KINDS, np.int64)
 
     def flush() -> None:
-        for a in range(0, len(met.keys), SLICE):
-            add(Bits(met, np.arange(a, min(a + SLICE, len(met.keys)))), met.count[a : a + SLICE])
+        for a in range(0, len(met.keys), FEW):
+            add(Bits(met, np.arange(a, min(a + FEW, len(met.keys)))), met.count[a : a + FEW])
 
     for batch in batches:
         learned = np.array([fold(i, parts) != held for i in batch.column(0).to_pylist()], bool)
@@ -245,7 +244,7 @@ def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styl
     flush()
     if ends.any():
         add(Bits(met, np.flatnonzero(ends), ends=True), ends[ends > 0])
-    yield _sparse(n)
+    yield _sparse(n.reshape(-1, 2).T)
 
 
 class _Met:
@@ -345,22 +344,31 @@ class Mixer:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k not in ("n0", "n1")}
 
-    def predict(self, slots: list[np.ndarray], kind: np.ndarray, bit: np.ndarray | None = None):
-        """Inputs, gate, mixed and refined probability of a one; with `bit`, its own occurrence left out."""
-        if bit is None:
-            x = np.stack([self.stretch[s] for s in slots], 1)
-            gate = self.level[slots[3]].astype(np.int64) * LEVELS + self.level[slots[2]]
-        else:
-            n = [(np.maximum(self.n0[s] - (bit == 0), 0), np.maximum(self.n1[s] - (bit == 1), 0)) for s in slots]
-            x = np.stack([np.log((b + 0.05) / (a + 0.05)) for a, b in n], 1).astype(np.float32)
-            gate = _level(sum(n[3])).astype(np.int64) * LEVELS + _level(sum(n[2]))
-        t = np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -15.9, 15.9)
+    def refine(self, t: np.ndarray, kind: np.ndarray):
+        """Mixed and refined probability of a one for a mixed stretch, and the nearest cell of the map."""
+        np.clip(t, np.float32(-15.9), np.float32(15.9), out=t)
         p = 1 / (1 + np.exp(-t))
-        at = np.minimum(np.maximum(t, -7.99), 7.99) * 2 + APM // 2
-        low = at.astype(np.int64)
-        part = at - low
-        refined = self.map[kind, low] * (1 - part) + self.map[kind, low + 1] * part
-        return x, gate, p, np.clip((p + refined) / 2, 2e-6, 1 - 2e-6), low + (part > 0.5)
+        at = np.clip(t, np.float32(-7.99), np.float32(7.99)) * np.float32(2) + np.float32(APM // 2)
+        low = at.astype(np.intp)
+        part = at - low.astype(np.float32)
+        cell, flat = kind.astype(np.intp) * APM + low, self.map.reshape(-1)
+        refined = flat[cell] * (1 - part) + flat[cell + 1] * part
+        return p, np.clip((p + refined) / 2, np.float32(2e-6), np.float32(1 - 2e-6)), low + (part > 0.5)
+
+    def chance(self, slots: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
+        """Refined probability of a one."""
+        gate = (self.level[slots[3]] * np.uint8(LEVELS) + self.level[slots[2]]).astype(np.intp)
+        t = np.zeros(len(gate), np.float32)
+        for s, w in zip(slots, np.ascontiguousarray(self.weights.T), strict=True):
+            t += self.stretch[s] * w[gate]
+        return self.refine(t, kind)[1]
+
+    def predict(self, slots: list[np.ndarray], kind: np.ndarray, bit: np.ndarray):
+        """Inputs, gate, mixed and refined probability of a one, the occurrence of `bit` left out."""
+        n = [(np.maximum(self.n0[s] - (bit == 0), 0), np.maximum(self.n1[s] - (bit == 1), 0)) for s in slots]
+        x = np.stack([np.log((b + 0.05) / (a + 0.05)) for a, b in n], 1).astype(np.float32)
+        gate = _level(sum(n[3])).astype(np.int64) * LEVELS + _level(sum(n[2]))
+        return x, gate, *self.refine(np.einsum("ij,ij->i", x, self.weights[gate]), kind)
 
     def learn(self, bits: Bits, weight: np.ndarray, rate: float, block: int = 8192) -> None:
         """Online steps over the stream, `block` bits at a time; weight: how often each owner occurs."""
@@ -384,7 +392,7 @@ class Mixer:
         """Bits of each owner."""
         total = np.zeros(len(bits.byte))
         for bit, slots in bits.steps():
-            p = self.predict(slots, bits.kind)[3]
+            p = self.chance(slots, bits.kind)
             total -= np.log2(np.where(bit == 1, p, 1 - p))
         return np.bincount(bits.owner, total, owners)
 
@@ -407,8 +415,8 @@ def _score(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, most
             value = np.empty(len(uniq))
             value[known] = costs[at[known]]
             new = np.flatnonzero(~known)
-            for k in range(0, len(new), SLICE):
-                part = new[k : k + SLICE]
+            for k in range(0, len(new), FEW):
+                part = new[k : k + FEW]
                 value[part] = mixer.cost(Bits(w, one[part]), len(part))
             if len(keys) + len(new) > most:  # forgotten costs are worked out again
                 keys, costs = np.empty(0, np.uint64), np.empty(0)
