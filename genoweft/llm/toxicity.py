@@ -37,10 +37,14 @@ from .common import LOWER, fold, fold_column, text_chunks, tidy
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 SWAP_COST, REPEAT_COST, MARK_COST, KEEP_COST = 1.2, 0.7, 0.5, 5.0
 _WORD = re.compile(r"[^\W\d_]+")
-#: What a token must hold to have more than one reading: a sign before a letter, a letter three
-#: times, or four letters parted by marks. Signs behind the last letter are punctuation.
-_TOUCHED = re.compile(rf"[{re.escape(''.join(LOOKS))}]+[^\W\d_]|([^\W\d_])\1\1|(?:[^\W\d_][.\-_*]{{1,2}}){{3}}[^\W\d_]")
-_SPACED = re.compile(r"(?<!\S)[^\W\d_](?:[ .\-_*]{1,2}[^\W\d_](?!\w)){3,}")
+_LETTER = re.compile(r"[^\W\d_]")
+#: What a token must hold, besides a letter, to have more than one reading: a sign at any place, a
+#: letter twice, or three letters or signs parted by marks.
+_LIKE = rf"(?:[^\W\d_]|[{re.escape(''.join(LOOKS))}])"
+_TOUCHED = re.compile(rf"[{re.escape(''.join(LOOKS))}]|([^\W\d_])\1|(?:{_LIKE}[.\-_*]{{1,2}}){{2}}{_LIKE}")
+_SPACED = re.compile(rf"(?<!\S){_LIKE}(?:[ .\-_*]{{1,2}}{_LIKE}(?![^\W_])){{2,}}")
+#: Signs around a word that may be punctuation; a token is read with and without them.
+_OUTER = "!|(+).,;:?\"'"
 _MARKS = frozenset(" .-_*")
 TELLING, LEAST_TEXTS = 300, 4
 
@@ -102,6 +106,10 @@ class Restorer:
         return "".join(reversed(out))
 
 
+def _touched(token: str) -> bool:
+    return _TOUCHED.search(token) is not None and _LETTER.search(token) is not None
+
+
 class Reader:
     """Words of a text as written and as restored. What a token gives is kept (`most` tokens at most)."""
 
@@ -113,8 +121,11 @@ class Reader:
         got = self.known.get(token)
         if got is None:
             words = set(_WORD.findall(token))
-            if spaced or _TOUCHED.search(token):
+            if spaced or _touched(token):
                 words.update(_WORD.findall(self.restore(token)))
+                bare = token.strip(_OUTER)
+                if bare != token and (spaced or _touched(bare)):
+                    words.update(_WORD.findall(self.restore(bare)))
             got = tuple(words if self.keep is None else [self.keep[w] for w in words if w in self.keep])
             if len(self.known) >= self.most:
                 self.known.clear()
@@ -126,11 +137,10 @@ class Reader:
         found: set = set()
         if text:
             low = text.lower()
-            tokens = set(low.split())
-            for t in tokens:
+            for t in set(low.split()):
                 found.update(self.token(t))
-            if sum(len(t) == 1 for t in tokens) >= 3:
-                for m in _SPACED.finditer(low):
+            for m in _SPACED.finditer(low):
+                if _LETTER.search(m.group(0)):
                     found.update(self.token(m.group(0), True))
         return found
 

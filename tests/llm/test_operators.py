@@ -173,6 +173,19 @@ def test_restoring():
     assert read(None) == set()
 
 
+def test_restoring_every_place():
+    n = np.zeros(27**3, int)
+    batch = pa.RecordBatch.from_pydict({"text": ["idiot stupid hate garbage useless die moron " * 50]})
+    for b in toxicity._letters(iter([batch])):
+        n[b["at"].to_numpy()] = b["n"].to_numpy()
+    read = toxicity.Reader(toxicity.Restorer(n))
+    seen = {"hat3": "hate", "garbag3": "garbage", "useles$": "useless", "usele55": "useless", "idi07": "idiot", "(hat3!)": "hate", "stuupid": "stupid", "i-d-1-o-t": "idiot", "d.i.e": "die"}
+    assert {t: w for t, w in seen.items() if w not in read(f"so {t} it")} == {}
+    parted = {"i d 1 0 t": "idiot", "s t u p 1 d": "stupid", "1 d i o t": "idiot", "d i e": "die", "m. o. r. o. n": "moron"}
+    assert {t: w for t, w in parted.items() if w not in read(f"they {t}")} == {}
+    assert read("1 2 3 and 507") == {"and"}
+
+
 def test_toxicity_rows(spark, rows):
     docs = _docs(spark, [(i, (t or "") + (" trash" if i % 3 == 0 else ""), *r) for i, t, *r in rows])
     labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(len(rows))], "doc_id long, quality int, toxic int")
