@@ -114,6 +114,11 @@ def test_codec_rows(spark, rows):
     assert len(got) == len(rows) and all(r.round_trip for r in got) and all(r.parity for r in got if r.doc_id % 50 == 0)
 
 
+def test_parity_of_every_row(spark, rows):
+    docs = _docs(spark, [*rows, (None, "no id 12", "en", "s", 0, "x")])
+    assert all(r.parity is True for r in piece_codec.codec_report(docs).collect())
+
+
 def test_forest_finds_links(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(60, 16))
