@@ -6,7 +6,7 @@ each stage's result as Parquet in the shared folder and reads it again for the n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from genoweft.llm.common import materialize
@@ -21,28 +21,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 
 
+def _row(docs: DataFrame) -> DataFrame:
+    """Adds `row`, a 64-bit hash of all columns, nulls told apart: equal only for rows that are equal."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]))
+
+
+def _kept(decided: DataFrame) -> DataFrame:
+    return decided.select(*[F.col(f"kept_{c}").alias(c) for c in COLUMNS])
+
+
+def _one_each(rows: DataFrame) -> DataFrame:
+    """One of the rows that share `row`."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("nth = 1").drop("nth")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: `und` and predictions below LEAST_SCORE go."""
-    good = identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*COLUMNS)
+    """Rows with a language: `und` and predictions below LEAST_SCORE go. Each row is decided by its own
+    text, whatever its id; repeated rows stay."""
+    return _kept(identify(docs, keep=tuple(COLUMNS)).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
-    bad = score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*COLUMNS)
+    """Rows that are not predicted toxic, each decided by its own text; repeated rows stay."""
+    return _kept(score_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), keep=tuple(COLUMNS)).where("predicted = 0"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each near-duplicate group."""
-    keep = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each near-duplicate group: that of least id, null last, and of least hash among equal
+    ids. A row without words is a group of its own; of rows equal in all columns one stays."""
+    rows = _row(docs)
+    groups = jaccard_components(rows, id_col="row").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    named = groups.join(rows.select("row", "doc_id").distinct(), "row")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("least")
+    keep = named.groupBy("component_id").agg(least).select("least.row")
+    return _one_each(rows.join(keep, "row", "left_semi")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    taken = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    mixed = docs.join(taken, "doc_id").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    """Each row as often as the mix takes it; equal rows as often as it takes them together."""
+    rows = _row(docs)
+    taken = mix_sources(rows, id_col="row").groupBy(F.col("doc_id").alias("row")).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    mixed = _one_each(rows).join(taken, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     return mixed.select(*COLUMNS)
 
 

@@ -78,6 +78,13 @@ def fold(doc_id: int | None, parts: int) -> int | None:
     return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % parts
 
 
+def kept_columns(docs: DataFrame, keep: tuple[str, ...]) -> tuple[list[Column], list[str], str]:
+    """Columns that an operator hands on beside its result: as kept_*, their names, their part of a schema."""
+    names = [f"kept_{c}" for c in keep]
+    kinds = "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
+    return [F.col(c).alias(n) for n, c in zip(names, keep, strict=True)], names, kinds
+
+
 # ---------------------------------------------------------------- words in numpy
 
 #: The six ASCII white-space bytes that part words.

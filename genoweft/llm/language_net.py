@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, fold_column, text_chunks, tidy
+from .common import LOWER, fold, fold_column, kept_columns, text_chunks, tidy
 
 WINDOW, WIDTHS, FILTERS, EMBED = 128, (2, 3, 4), 16, 8
 STEP = WINDOW - max(WIDTHS) + 1
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, parts: int, held: int, sample_per_lang: int, windows_pe
 
 
 @tidy
-def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, keep: list[str]) -> Iterator[pa.RecordBatch]:
     net: ByteNet | None = model.value
     for batch in batches:
         for a, b, raw, offs in text_chunks(batch["text"], 1 << 19):
@@ -171,16 +171,18 @@ def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model) ->
                     score[some] = np.clip(total.max(1), 0, 1)
             ids = batch["doc_id"].slice(a, b - a)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": ids, "held_out": pa.array([fold(i, parts) == held for i in ids.to_pylist()], pa.bool_()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)}
+                {"doc_id": ids, "held_out": pa.array([fold(i, parts) == held for i in ids.to_pylist()], pa.bool_()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)} | {c: batch[c].slice(a, b - a) for c in keep}
             )
 
 
-def identify(docs: DataFrame, parts: int = 5, held: int = 0, sample_per_lang: int = 600, windows_per_text: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row."""
+def identify(docs: DataFrame, parts: int = 5, held: int = 0, sample_per_lang: int = 600, windows_per_text: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score, kept_* of the columns in `keep`) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, parts, held, sample_per_lang, windows_per_text))  # a few thousand numbers
-    return rows.select("doc_id", "text").mapInArrow(
-        partial(_predict, parts=parts, held=held, model=model), "doc_id long, held_out boolean, lang_pred string, score double"
+    kept, names, kinds = kept_columns(docs, keep)
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
+    return read.mapInArrow(
+        partial(_predict, parts=parts, held=held, model=model, keep=names), "doc_id long, held_out boolean, lang_pred string, score double" + kinds
     )
 
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, fold_column, text_chunks, tidy
+from .common import LOWER, fold, fold_column, kept_columns, text_chunks, tidy
 
 #: The letters that a sign may stand for.
 LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
@@ -231,17 +231,17 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], restore, labels, scorer: Scorer
 
 
 @tidy
-def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held: int) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
     scorer: Scorer | None = model.value
     read = Reader(restore.value, scorer.at if scorer else {})
     for batch in batches:
         ids = batch["doc_id"].to_pylist()
         score = [scorer.score(sorted(read(t))) if scorer else 0.0 for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": pa.array([fold(i, parts) == held for i in ids], pa.bool_()), "score": pa.array(score, pa.float64())})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": pa.array([fold(i, parts) == held for i in ids], pa.bool_()), "score": pa.array(score, pa.float64())} | {c: batch[c] for c in keep})
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 4, held: int = 2, label_rows: int = 200_000, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of `docs`; label_rows and sample_rows bound what is learned from."""
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 4, held: int = 2, label_rows: int = 200_000, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, held_out, score, predicted, kept_* of the columns in `keep`) for every row of `docs`; label_rows and sample_rows bound what is learned from."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).where("toxic in (0, 1) and doc_id is not null")
@@ -265,14 +265,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
         words = words.groupBy("word").agg(F.sum("clean").alias("c"), F.sum("toxic").alias("t")).where(f"t >= {LEAST_TEXTS}")
         p, q = F.col("t") / bad, F.col("c") / good
         told = words.withColumn("z", (p - q) / F.sqrt((F.col("t") + 1) / (bad * bad) + (F.col("c") + 1) / (good * good)) * F.log((p + 0.5 / bad) / (q + 0.5 / good)))
-        names = [r["word"] for r in told.where("z > 0").orderBy(F.desc("z"), "word").limit(TELLING).select("word").collect()]
-        model = Scorer(names)
+        telling = [r["word"] for r in told.where("z > 0").orderBy(F.desc("z"), "word").limit(TELLING).select("word").collect()]
+        model = Scorer(telling)
         few = min(1.0, share * sample_rows / len(rows_known))
         sample = learn.where(key < int(few * grain) + 1)
         got = sorted(map(tuple, sample.mapInArrow(partial(_hit_rows, restore=restore, labels=found, scorer=model), "doc_id long, hits array<int>, toxic int").collect()))
         model.fit([list(h) for _, h, _ in got], np.array([t for _, _, t in got], float))
     sent = spark.sparkContext.broadcast(model)  # TELLING words
-    scored = rows.mapInArrow(partial(_score, restore=restore, model=sent, parts=parts, held=held), "doc_id long, held_out boolean, score double")
+    kept, names, kinds = kept_columns(docs, keep)
+    read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
+    scored = read.mapInArrow(partial(_score, restore=restore, model=sent, parts=parts, held=held, keep=names), "doc_id long, held_out boolean, score double" + kinds)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

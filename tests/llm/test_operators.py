@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from genoweft.llm import common, context_mixing, html_text, language_net, ngram_join, piece_codec, projection_forest, simhash, source_mix, token_counts, toxicity
 
@@ -200,6 +201,33 @@ def test_toxicity_rows(spark, rows):
     assert len(none) == len(rows) and all(r.score == 0 for r in none)
 
 
+def test_pipeline_rows(spark, rows, monkeypatch):
+    import corpus_pipeline as cp
+
+    long = " ".join(WORDS[:20])
+    data = [(1, long, "en", "a", 9), (1, long, "en", "a", 9), (1, "other " + " ".join(WORDS[5:24]), "de", "a", 9), (None, " ".join(WORDS[::-1]), None, None, None), (7, long, "en", "b", 9), (None, None, "en", "b", None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    out = Counter(map(tuple, cp.near_duplicates(spark, docs, "").collect()))
+    assert out == Counter([data[0], data[2], data[3], data[5]])
+    want = Counter()
+    for r in source_mix.mix_sources(cp._row(docs), id_col="row").collect():
+        want[r.doc_id] += r.copies
+    got = Counter(r["row"] for r in cp._row(cp.mixing(spark, docs, "")).collect())
+    assert got == +want and sum(got.values()) <= 2 * len(data)
+    toxic = {data[2][1]}
+    monkeypatch.setattr(cp, "identify", lambda d, keep: d.select("doc_id", F.when(F.col("text").isNull(), "und").otherwise("en").alias("lang_pred"), F.lit(0.9).alias("score"), *[F.col(c).alias(f"kept_{c}") for c in keep]))
+    assert Counter(map(tuple, cp.language_id(spark, docs, "").collect())) == Counter(data[:5])
+    monkeypatch.setattr(cp, "score_toxicity", lambda d, labels, keep: d.select("doc_id", F.col("text").isin(*toxic).cast("int").alias("predicted"), *[F.col(c).alias(f"kept_{c}") for c in keep]).fillna(0, "predicted"))
+    assert Counter(map(tuple, cp.toxicity(spark, docs, "/root/testdata/sf0.001").collect())) == Counter([*data[:2], *data[3:]])
+
+
+def test_kept_columns(spark, rows):
+    docs = _docs(spark, rows)
+    want = Counter((i, t) for i, t, *_ in rows)
+    for got in (language_net.identify(docs, keep=("doc_id", "text")), toxicity.score_toxicity(docs, spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int"), keep=("doc_id", "text"))):
+        assert Counter((r.kept_doc_id, r.kept_text) for r in got.collect()) == want
+
+
 def test_language(spark):
     rnd = random.Random(3)
     make = lambda parts: " ".join("".join(rnd.choice(parts) for _ in range(3)) for _ in range(60))
