@@ -9,9 +9,10 @@ blocks that repeats cover are boilerplate; unique runs stay. Pages with a main z
 whole: a passage that other articles share is still theirs. Pages without one return the unique
 runs of their open blocks.
 
-Hosts with more than `shard_pages` pages are dealt to shards by page hash; template text is on
-all pages of a host and so in every shard. Page counts are kept per hash bucket of hosts, so the
-table of large hosts has a fixed bound.
+Hosts with more than `shard_pages` pages are dealt to shards by page hash. Hashes (64 bits) of all
+runs of `run` tokens of such hosts are exchanged by hash range: those on different pages of the
+host, of whatever shards, are repeats and go back to the shards that have them, so that results
+are those of the whole host. The table of large hosts has one row per `shard_pages` pages at most.
 
 Edge cases: null or empty html gives an empty text; broken, unclosed or truncated markup is read
 to its end; a null url is a host of its own; pages with equal block streams count as one page
@@ -20,17 +21,18 @@ when repeats are sought; repeated rows stay; an empty table gives an empty resul
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_group
+from .common import give_back, joined, materialize, mix64, per_group
 
 #: Elements whose content is no text, those that end a block, those that hold no main text.
 SILENT = frozenset("script style noscript template svg math iframe object canvas head select textarea button title".split())
@@ -50,7 +52,8 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-BUCKETS = 1 << 16
+#: Least number of hash ranges in which windows of large hosts are compared.
+LEAST_RANGES = 64
 
 
 def _is_chrome(tag: str, attrs: str) -> bool:
@@ -155,28 +158,103 @@ def _ranks(rank: np.ndarray, shift: int, n: int) -> np.ndarray:
     return np.unique(rank.astype(np.int64) * (n + 1) + second + 1, return_inverse=True)[1]
 
 
-def _parse(batches: Iterator[pa.RecordBatch], many) -> Iterator[pa.RecordBatch]:
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Main text of each page, and its other blocks for the suffix array."""
-    many = many.value
     for batch in batches:
-        rows: dict[str, list] = {k: [] for k in ("grp", "main", "has_main", "zones", "texts")}
-        for html, host, bucket, salt in zip(*(batch[c].to_pylist() for c in ("html", "host", "bucket", "salt")), strict=True):
+        rows: dict[str, list] = {k: [] for k in ("main", "has_main", "zones", "texts")}
+        for html in batch["html"].to_pylist():
             found = blocks(html)
             main = [t for z, t in found if z == "main"]
             rest = [(z, t) for z, t in found if z != "main"]
-            rows["grp"].append(f"{host}\t{salt % many.get(bucket, 1)}")
             rows["main"].append("\n".join(main))
             rows["has_main"].append(bool(main))
             rows["zones"].append([z for z, _ in rest])
             rows["texts"].append([t for _, t in rest])
-        kinds = (pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
+        kinds = (pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
         yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))], ["page_id", "url", *rows]
+            [batch["page_id"], batch["url"], batch["grp"], batch["host"], *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))],
+            ["page_id", "url", "grp", "host", *rows],
         )
 
 
-def _keep_unique(table: pa.Table, run: int) -> pa.Table:
-    """Texts of the pages of one host shard."""
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _windows(streams: list[np.ndarray], run: int, host: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, block and place of each run of `run` tokens; streams are hashes of words, the host is part of each hash."""
+    size = np.array([len(s) for s in streams], np.int64)
+    text = np.concatenate([*streams, np.empty(0, np.uint64)]).astype(np.uint64)
+    block = np.repeat(np.arange(len(streams)), size)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    at = np.flatnonzero(place + run <= size[block]) if len(text) else np.empty(0, np.int64)
+    h = np.full(len(at), _hash(host), np.uint64)
+    for k in range(run):
+        h = mix64(h + text[at + k] + np.uint64(k + 1))
+    return h, block[at], place[at]
+
+
+def _streams(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
+    words: dict[str, int] = {}
+    streams, pages = [], []
+    for blocks_of in table["texts"].to_pylist():
+        page = _hash("\n".join(blocks_of))
+        for t in blocks_of:
+            for w in set(t.split(" ")) - words.keys():
+                words[w] = _hash(w)
+            streams.append(np.array([words[w] for w in t.split(" ")], np.uint64))
+            pages.append(page)
+    return streams, pages
+
+
+def _shard_windows(table: pa.Table, run: int, ranges: int) -> pa.Table:
+    """By hash range: distinct windows of a shard with their least and greatest page."""
+    streams, pages = _streams(table)
+    h, block, _ = _windows(streams, run, table["host"][0].as_py())
+    page = np.array(pages, np.uint64)[block] if len(block) else np.empty(0, np.uint64)
+    order = np.lexsort((page, h))
+    h, page = h[order], page[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    last = np.append(first[1:], len(h)) - 1 if len(h) else first
+    h, low, high = h[first], page[first], page[last]
+    to = (h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
+    cut = np.searchsorted(to, np.arange(ranges + 1, dtype=np.uint64))
+    some = [k for k in range(ranges) if cut[k + 1] > cut[k]]
+    parts = {c: [x[cut[k] : cut[k + 1]].tobytes() for k in some] for c, x in (("hash", h), ("low", low), ("high", high))}
+    return pa.table(
+        {"part": pa.array(some, pa.int32()), "grp": pa.array([table["grp"][0].as_py()] * len(some), pa.string()), **{c: pa.array(v, pa.binary()) for c, v in parts.items()}}
+    )
+
+
+def _repeated_windows(table: pa.Table) -> pa.Table:
+    """Of a hash range, for each shard its windows that lie on different pages of the host."""
+    h, low, high = (joined(table[c], np.uint64) for c in ("hash", "low", "high"))
+    names, at = np.unique(h, return_inverse=True)
+    least, most = np.full(len(names), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(names), np.uint64)
+    np.minimum.at(least, at, low)
+    np.maximum.at(most, at, high)
+    many = (least < most)[at]
+    size = pc.binary_length(table["hash"]).to_numpy() // 8
+    ends = np.cumsum(size)
+    got = [h[e - n : e][many[e - n : e]].tobytes() for n, e in zip(size, ends, strict=True)]
+    return pa.table({"grp": table["grp"], "hash": pa.array(got, pa.binary())})
+
+
+def _keep_unique_shard(table: pa.Table, repeated: pa.Table, run: int) -> pa.Table:
+    """Texts of the pages of one shard of a large host."""
+    if not table.num_rows:
+        return _keep_unique(table, run)
+    streams, _ = _streams(table)
+    h, block, place = _windows(streams, run, table["host"][0].as_py())
+    hit = np.isin(h, joined(repeated["hash"], np.uint64)) if repeated.num_rows else np.zeros(len(h), bool)
+    covered = [np.zeros(len(s), bool) for s in streams]
+    for k, i in zip(block[hit], place[hit], strict=True):
+        covered[k][i : i + run] = True
+    return _keep_unique(table, run, covered)
+
+
+def _keep_unique(table: pa.Table, run: int, covered: list[np.ndarray] | None = None) -> pa.Table:
+    """Texts of the pages of one host, or of a shard whose repeats are known."""
     words: dict[str, int] = {}
     same: dict[tuple, int] = {}
     streams, pages, where = [], [], []
@@ -184,10 +262,12 @@ def _keep_unique(table: pa.Table, run: int) -> pa.Table:
     for i, blocks_of in enumerate(texts):
         page = same.setdefault(tuple(blocks_of), len(same))
         for k, t in enumerate(blocks_of):
-            streams.append([words.setdefault(w, len(words)) for w in t.split(" ")])
+            if covered is None:
+                streams.append([words.setdefault(w, len(words)) for w in t.split(" ")])
             pages.append(page)
             where.append((i, k))
-    covered = repeats(streams, pages, run)
+    if covered is None:
+        covered = repeats(streams, pages, run)
     unique: list[list[str]] = [[] for _ in texts]
     n_repeated = [0] * len(texts)
     for (i, k), c in zip(where, covered, strict=True):
@@ -209,13 +289,26 @@ def main_texts(pages: DataFrame, run: int = 5, shard_pages: int = 200, id_col: s
     """(page_id, url, text, n_chars, n_repeated) for every row."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     host = F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
-    rows = rows.withColumn("host", host).withColumn("bucket", F.pmod(F.xxhash64("host"), F.lit(BUCKETS)).cast("int"))
-    large = rows.groupBy("bucket").count().where(F.col("count") > shard_pages).collect()  # BUCKETS at most
-    many = pages.sparkSession.sparkContext.broadcast({b: -(-n // shard_pages) for b, n in large})
-    parsed = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))).mapInArrow(
-        partial(_parse, many=many), "page_id long, url string, grp string, main string, has_main boolean, zones array<string>, texts array<string>"
-    )
-    return per_group(parsed, "grp", _keep_unique, "page_id long, url string, text string, n_chars long, n_repeated long", run=run)
+    rows = rows.withColumn("host", host)
+    large = materialize(rows.groupBy("host").count().where(F.col("count") > shard_pages).select("host", F.ceil(F.col("count") / shard_pages).alias("shards")), "hosts")
+    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
+    parsed, schema = "page_id long, url string, grp string, host string, main string, has_main boolean, zones array<string>, texts array<string>", "page_id long, url string, text string, n_chars long, n_repeated long"
+    small = rows.join(F.broadcast(large), "host", "left_anti").withColumn("grp", F.col("host")).mapInArrow(_parse, parsed)
+    texts = per_group(small, "grp", _keep_unique, schema, run=run)
+    shards = large.agg(F.sum("shards")).first()[0]
+    if not shards:
+        return texts
+    dealt = rows.join(F.broadcast(large), "host").withColumn("grp", F.concat("host", F.lit("\t"), (salt % F.col("shards")).cast("string")))
+    dealt = dealt.drop("shards").mapInArrow(_parse, parsed)
+    found = per_group(dealt, "grp", _shard_windows, "part int, grp string, hash binary, low binary, high binary", run=run, ranges=max(LEAST_RANGES, shards))
+    repeated = per_group(found, "part", _repeated_windows, "grp string, hash binary")
+
+    def keep(table: pa.Table, hashes: pa.Table) -> pa.Table:
+        out = _keep_unique_shard(table, hashes, run)
+        give_back()
+        return out
+
+    return texts.union(dealt.groupBy("grp").cogroup(repeated.groupBy("grp")).applyInArrow(keep, schema))
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:

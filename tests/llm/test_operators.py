@@ -153,6 +153,17 @@ def test_html_pages(spark):
     assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == {1: "t one", 2: "", 3: ""}
 
 
+def test_html_shards_agree(spark):
+    rnd = random.Random(5)
+    say = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(n))
+    notes = [say(9) for _ in range(8)]
+    data = [(i, f"http://{'big' if i % 6 else 'small'}/{i}", f"<p>{say(20)}</p><p>{notes[rnd.randrange(8)]}</p>") for i in range(60)]
+    data += [(60, "http://big/0", data[1][2]), (61, "http://big/0", None), (None, None, "<p>one</p>")]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    whole, dealt = (Counter(map(tuple, html_text.main_texts(pages, shard_pages=n).collect())) for n in (200, 11))
+    assert whole == dealt and sum(whole.values()) == len(data) and sum(r[4] > 0 for r in whole) > 40
+
+
 def test_token_rules():
     first, size, starts = np.array([0, 4, 8]), np.array([4, 4, 2]), np.array([0, 5])
     assert token_counts.attribute(first, size, starts, 10, "start")[0].tolist() == [2, 1]
