@@ -2,29 +2,41 @@
 
 A page is cut into blocks of text, each with its zone: `main` inside article or main, `chrome`
 inside menus, headers, footers, sidebars, forms, notices, adverts or comments (by element or by
-a name in class, id or role), `open` elsewhere. The token streams of the pages of a host are
-joined, one end sign per block, and sorted into a suffix array by prefix doubling; equal
-neighbours of `run` tokens or more that lie on different pages are repeats. Tokens of open
-blocks that repeats cover are boilerplate; unique runs stay. Pages with a main zone return it
-whole: a passage that other articles share is still theirs. Pages without one return the unique
-runs of their open blocks.
-
-Hosts with more than `shard_pages` pages are dealt to shards by page hash. Hashes (64 bits) of all
-runs of `run` tokens of such hosts are exchanged by hash range: those on different pages of the
-host, of whatever shards, are repeats and go back to the shards that have them, so that results
-are those of the whole host. The table of large hosts has one row per `shard_pages` pages at most.
+a name in class, id or role), `open` elsewhere.
+
+The token streams of all blocks of all pages of a host are one array of suffixes, ordered by a
+64-bit hash of their first `run` tokens: suffixes that begin alike are neighbours, which is all
+that the search for repeats asks of the order. A block of fewer tokens is one suffix, whole. A
+stretch of neighbours is a repeat, its support the number of distinct pages it comes from; a
+longer repeat is a chain of such suffixes at places one after another. A repeat is boilerplate
+if its support is `share` of the host's distinct pages, and `least` pages, at least. Then
+
+- open blocks lose the tokens that boilerplate covers; unique runs stay;
+- main blocks go only if boilerplate of `main_share` and `main_least` covers them whole: a
+  passage that other articles share is still theirs;
+- chrome blocks go; they are in the array, so that a menu is known as one wherever it turns up.
+
+A page with main text returns it alone, unless its open text that stays is longer (the body of a
+page whose article element is a teaser): then both, in page order.
+
+The array of a host lies in as many tasks as its pages need: hosts beyond `frag_pages` pages are
+cut into ranges of the hash, hosts beyond `part_pages` also into parts by page, whose supports
+are added (a part in which a repeat is on less than one page in 1,000 adds nothing). Boilerplate
+windows of a host are at most 1 / share times those of its mean page; they are joined to the
+pages by host. No page is sent anywhere to be compared.
 
 Edge cases: null or empty html gives an empty text; broken, unclosed or truncated markup is read
 to its end; a null url is a host of its own; pages with equal block streams count as one page
-when repeats are sought; repeated rows stay; an empty table gives an empty result.
+when repeats are sought; null ids and repeated rows stay; texts of any length are read whole; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, joined, materialize, mix64, per_group
+from .common import joined, materialize, mix64, per_group, tidy, word_bounds, word_hashes
 
 #: Elements whose content is no text, those that end a block, those that hold no main text.
 SILENT = frozenset("script style noscript template svg math iframe object canvas head select textarea button title".split())
@@ -52,16 +64,26 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
-#: Least number of hash ranges in which windows of large hosts are compared.
-LEAST_RANGES = 64
+#: Class names that mark no article text even inside an article (whole names only).
+WITHIN = frozenset(
+    "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie-banner cookie-notice cookies disqus menu modal nav navigation "
+    "newsletter notice pagination popup promo related related-posts respond share share-buttons sharing sidebar social sponsored subscribe".split()
+)
+_MARK = np.uint64(0x5851F42D4C957F2D)
 
 
-def _is_chrome(tag: str, attrs: str) -> bool:
+def _is_chrome(attrs: str, inside: str) -> bool:
     if not attrs or "=" not in attrs:
         return False
     for name, value in _ATTR.findall(attrs):
         value = value.strip("\"'")
-        if value.lower() in _ROLE if name.lower() == "role" else bool(_NAMED.search(value)):
+        if name.lower() == "role":
+            if value.lower() in _ROLE:
+                return True
+        elif inside == "main":
+            if not WITHIN.isdisjoint(value.lower().split()):
+                return True
+        elif _NAMED.search(value):
             return True
     return False
 
@@ -110,7 +132,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
             if tag not in VOID and not m[4].rstrip().endswith("/"):
                 inside = stack[-1][1] if stack else "open"
                 if inside != "chrome":
-                    if tag in CHROME and not (tag == "header" and inside == "main") or (tag not in ("html", "body", "article", "main") and _is_chrome(tag, m[4])):
+                    if tag in CHROME and not (tag == "header" and inside == "main") or (tag not in ("html", "body", "main") and (tag != "article" or inside == "main") and _is_chrome(m[4], inside)):
                         inside = "chrome"
                     elif tag in ("article", "main"):
                         inside = "main"
@@ -124,191 +146,173 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
     return out
 
 
-def repeats(streams: list[list[int]], pages: list[int], run: int) -> list[np.ndarray]:
-    """For each block's tokens, which lie in a repeat of `run` tokens or more on different pages."""
-    size = np.array([len(s) for s in streams], np.int64)
-    text = np.zeros(int(size.sum()) + len(streams), np.int64)
-    begin = np.cumsum(size + 1) - size - 1
-    page = np.repeat(np.asarray(pages, np.int64), size + 1)
-    for k, s in enumerate(streams):  # end signs differ, so no repeat crosses one
-        text[begin[k] : begin[k] + size[k]] = s
-        text[begin[k] + size[k]] = -1 - k
-    rank = np.unique(text, return_inverse=True)[1]
-    n, width = len(text), 1
-    while width * 2 <= run:  # ranks by the first `width` tokens, doubled
-        rank = _ranks(rank, width, n)
-        width *= 2
-    if width < run:
-        rank = _ranks(rank, run - width, n)
-    order = np.argsort(rank, kind="stable")  # the suffix array, by its first `run` tokens
-    first = np.concatenate([[0], np.flatnonzero(np.diff(rank[order])) + 1]) if n else np.empty(0, np.int64)
-    p = page[order]
-    many = np.minimum.reduceat(p, first) != np.maximum.reduceat(p, first) if n else np.empty(0, bool)
-    hit = np.zeros(n + 1, np.int64)
-    starts = order[np.repeat(many, np.diff(np.append(first, n)))]
-    np.add.at(hit, starts, 1)
-    np.add.at(hit, np.minimum(starts + run, n), -1)
-    covered = np.cumsum(hit)[:n] > 0
-    return [covered[b : b + s] for b, s in zip(begin, size, strict=True)]
-
-
-def _ranks(rank: np.ndarray, shift: int, n: int) -> np.ndarray:
-    second = np.full(n, -1, np.int64)
-    second[: n - shift] = rank[shift:]
-    return np.unique(rank.astype(np.int64) * (n + 1) + second + 1, return_inverse=True)[1]
-
-
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Main text of each page, and its other blocks for the suffix array."""
+class Streams:
+    """Token streams of the blocks of some pages, and their suffixes: `run` tokens each, or a whole shorter block."""
+
+    def __init__(self, pages: list[list[tuple[str, str]]], hosts: np.ndarray, run: int):
+        """hosts: a hash of each page's host, part of every suffix's hash."""
+        texts = [t.encode("utf-8", "surrogatepass") + b"\n" for found in pages for _, t in found]
+        n_blocks = np.array([len(found) for found in pages], np.int64)
+        offs = np.concatenate([[0], np.cumsum(np.array([len(t) for t in texts], np.int64))])
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        start, end = word_bounds(buf, offs)
+        token = word_hashes(buf, start, end)
+        self.page = np.repeat(np.arange(len(pages)), n_blocks)  # of each block
+        self.first = np.searchsorted(start, offs)  # token number at each block's start
+        size = np.diff(self.first)
+        edge = offs[np.concatenate([[0], np.cumsum(n_blocks)])]
+        self.name = word_hashes(buf, edge[:-1], edge[1:])  # of each page's block streams
+        many = np.where(size > 0, np.maximum(size - run, 0) + 1, 0)
+        self.block = np.repeat(np.arange(len(size)), many)
+        self.at = np.arange(len(self.block)) - np.repeat(np.cumsum(many) - many, many) + self.first[:-1][self.block]
+        self.length = np.minimum(size, run)[self.block]
+        h = mix64(hosts[self.page[self.block]].astype(np.uint64) + self.length.astype(np.uint64)) if len(self.block) else np.empty(0, np.uint64)
+        for k in range(run):
+            inside = np.flatnonzero(self.length > k)
+            h[inside] = mix64(h[inside] + token[self.at[inside] + k] + np.uint64(k + 1))
+        self.suffix = h
+
+    def covered(self, known: np.ndarray) -> np.ndarray:
+        """Which tokens lie in a suffix's beginning that is among `known` (sorted)."""
+        hit = np.zeros(self.first[-1] + 1, np.int64)
+        if len(known) and len(self.suffix):
+            got = known[np.minimum(np.searchsorted(known, self.suffix), len(known) - 1)] == self.suffix
+            np.add.at(hit, self.at[got], 1)
+            np.add.at(hit, (self.at + self.length)[got], -1)
+        return np.cumsum(hit)[:-1] > 0
+
+
+def _runs(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Rows of about `most` bytes of html at a time; one page is never split."""
+    size = pc.fill_null(pc.binary_length(batch["html"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(size)])
+    a = 0
+    while a < len(size):
+        b = min(max(a + 1, int(np.searchsorted(upto, upto[a] + most, "right")) - 1), len(size))
+        yield a, b
+        a = b
+
+
+@tidy
+def _suffixes(batches: Iterator[pa.RecordBatch], run: int, frag_pages: int, part_pages: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """By fragment: the hosts in it, their pages, and distinct (suffix, page) of each; one more suffix marks every page."""
     for batch in batches:
-        rows: dict[str, list] = {k: [] for k in ("main", "has_main", "zones", "texts")}
-        for html in batch["html"].to_pylist():
-            found = blocks(html)
-            main = [t for z, t in found if z == "main"]
-            rest = [(z, t) for z, t in found if z != "main"]
-            rows["main"].append("\n".join(main))
-            rows["has_main"].append(bool(main))
-            rows["zones"].append([z for z, _ in rest])
-            rows["texts"].append([t for _, t in rest])
-        kinds = (pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
-        yield pa.RecordBatch.from_arrays(
-            [batch["page_id"], batch["url"], batch["grp"], batch["host"], *(pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True))],
-            ["page_id", "url", "grp", "host", *rows],
-        )
-
-
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-
-
-def _windows(streams: list[np.ndarray], run: int, host: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, block and place of each run of `run` tokens; streams are hashes of words, the host is part of each hash."""
-    size = np.array([len(s) for s in streams], np.int64)
-    text = np.concatenate([*streams, np.empty(0, np.uint64)]).astype(np.uint64)
-    block = np.repeat(np.arange(len(streams)), size)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-    at = np.flatnonzero(place + run <= size[block]) if len(text) else np.empty(0, np.int64)
-    h = np.full(len(at), _hash(host), np.uint64)
-    for k in range(run):
-        h = mix64(h + text[at + k] + np.uint64(k + 1))
-    return h, block[at], place[at]
-
-
-def _streams(table: pa.Table) -> tuple[list[np.ndarray], list[int]]:
-    words: dict[str, int] = {}
-    streams, pages = [], []
-    for blocks_of in table["texts"].to_pylist():
-        page = _hash("\n".join(blocks_of))
-        for t in blocks_of:
-            for w in set(t.split(" ")) - words.keys():
-                words[w] = _hash(w)
-            streams.append(np.array([words[w] for w in t.split(" ")], np.uint64))
-            pages.append(page)
-    return streams, pages
-
-
-def _shard_windows(table: pa.Table, run: int, ranges: int) -> pa.Table:
-    """By hash range: distinct windows of a shard with their least and greatest page."""
-    streams, pages = _streams(table)
-    h, block, _ = _windows(streams, run, table["host"][0].as_py())
-    page = np.array(pages, np.uint64)[block] if len(block) else np.empty(0, np.uint64)
-    order = np.lexsort((page, h))
-    h, page = h[order], page[order]
-    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
-    last = np.append(first[1:], len(h)) - 1 if len(h) else first
-    h, low, high = h[first], page[first], page[last]
-    to = (h >> np.uint64(40)) * np.uint64(ranges) >> np.uint64(24)
-    cut = np.searchsorted(to, np.arange(ranges + 1, dtype=np.uint64))
-    some = [k for k in range(ranges) if cut[k + 1] > cut[k]]
-    parts = {c: [x[cut[k] : cut[k + 1]].tobytes() for k in some] for c, x in (("hash", h), ("low", low), ("high", high))}
-    return pa.table(
-        {"part": pa.array(some, pa.int32()), "grp": pa.array([table["grp"][0].as_py()] * len(some), pa.string()), **{c: pa.array(v, pa.binary()) for c, v in parts.items()}}
-    )
-
-
-def _repeated_windows(table: pa.Table) -> pa.Table:
-    """Of a hash range, for each shard its windows that lie on different pages of the host."""
-    h, low, high = (joined(table[c], np.uint64) for c in ("hash", "low", "high"))
-    names, at = np.unique(h, return_inverse=True)
-    least, most = np.full(len(names), np.iinfo(np.uint64).max, np.uint64), np.zeros(len(names), np.uint64)
-    np.minimum.at(least, at, low)
-    np.maximum.at(most, at, high)
-    many = (least < most)[at]
-    size = pc.binary_length(table["hash"]).to_numpy() // 8
-    ends = np.cumsum(size)
-    got = [h[e - n : e][many[e - n : e]].tobytes() for n, e in zip(size, ends, strict=True)]
-    return pa.table({"grp": table["grp"], "hash": pa.array(got, pa.binary())})
-
-
-def _keep_unique_shard(table: pa.Table, repeated: pa.Table, run: int) -> pa.Table:
-    """Texts of the pages of one shard of a large host."""
-    if not table.num_rows:
-        return _keep_unique(table, run)
-    streams, _ = _streams(table)
-    h, block, place = _windows(streams, run, table["host"][0].as_py())
-    hit = np.isin(h, joined(repeated["hash"], np.uint64)) if repeated.num_rows else np.zeros(len(h), bool)
-    covered = [np.zeros(len(s), bool) for s in streams]
-    for k, i in zip(block[hit], place[hit], strict=True):
-        covered[k][i : i + run] = True
-    return _keep_unique(table, run, covered)
-
-
-def _keep_unique(table: pa.Table, run: int, covered: list[np.ndarray] | None = None) -> pa.Table:
-    """Texts of the pages of one host, or of a shard whose repeats are known."""
-    words: dict[str, int] = {}
-    same: dict[tuple, int] = {}
-    streams, pages, where = [], [], []
-    texts, zones = table["texts"].to_pylist(), table["zones"].to_pylist()
-    for i, blocks_of in enumerate(texts):
-        page = same.setdefault(tuple(blocks_of), len(same))
-        for k, t in enumerate(blocks_of):
-            if covered is None:
-                streams.append([words.setdefault(w, len(words)) for w in t.split(" ")])
-            pages.append(page)
-            where.append((i, k))
-    if covered is None:
-        covered = repeats(streams, pages, run)
-    unique: list[list[str]] = [[] for _ in texts]
-    n_repeated = [0] * len(texts)
-    for (i, k), c in zip(where, covered, strict=True):
-        n_repeated[i] += int(c.sum())
-        if zones[i][k] == "open":
-            kept = [w for w, hit in zip(texts[i][k].split(" "), c, strict=True) if not hit]
-            if kept:
-                unique[i].append(" ".join(kept))
-    text = [m if has else "\n".join(u) for m, has, u in zip(table["main"].to_pylist(), table["has_main"].to_pylist(), unique, strict=True)]
-    return pa.table(
-        {
-            "page_id": table["page_id"], "url": table["url"], "text": pa.array(text, pa.string()),
-            "n_chars": pa.array([len(t) for t in text], pa.int64()), "n_repeated": pa.array(n_repeated, pa.int64()),
-        }
+        for a, b in _runs(batch):
+            rows = batch.slice(a, b - a)
+            hosts = rows["host"].to_numpy().view(np.uint64)
+            count = rows["n"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            s = Streams([blocks(h) for h in rows["html"].to_pylist()], hosts, run)
+            suffix = np.concatenate([s.suffix, mix64(hosts ^ _MARK)])
+            page = np.concatenate([s.page[s.block], np.arange(len(rows))])
+            name = s.name[page]
+            order = np.lexsort((name, suffix))
+            suffix, page, name = suffix[order], page[order], name[order]
+            once = np.append(True, (suffix[1:] != suffix[:-1]) | (name[1:] != name[:-1]))
+            suffix, page, name = suffix[once], page[once], name[once]
+            host, n = hosts[page], count[page]
+            parts = np.maximum(n + np.uint64(part_pages - 1), np.uint64(part_pages)) // np.uint64(part_pages)
+            ranges = np.maximum(n // parts + np.uint64(frag_pages - 1), np.uint64(frag_pages)) // np.uint64(frag_pages)
+            cut = mix64(host + mix64((name >> np.uint64(8)) % parts * np.uint64(1 << 20) + (suffix >> np.uint64(8)) % ranges))
+            frag = np.where((parts > 1) | (ranges > 1), cut, mix64(host) % np.uint64(buckets)).view(np.int64)
+            order = np.lexsort((host, frag))
+            frag, host, n, parts, suffix, name = (x[order] for x in (frag, host, n, parts, suffix, name))
+            runs = np.flatnonzero(np.append(True, (frag[1:] != frag[:-1]) | (host[1:] != host[:-1])))
+            size = np.diff(np.append(runs, len(frag))).astype(np.int32)
+            rows_at = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
+            run_at = np.append(np.searchsorted(runs, rows_at), len(runs))
+            edge = np.append(rows_at, len(frag))
+            pack = lambda x, e: pa.array([x[e[k] : e[k + 1]].tobytes() for k in range(len(rows_at))], pa.binary())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "frag": pa.array(frag[rows_at]), "host": pack(host[runs], run_at), "parts": pack(parts[runs], run_at), "size": pack(size, run_at),
+                    "suffix": pack(suffix, edge), "page": pack(name.astype(np.uint32), edge),
+                }
+            )
+
+
+FRAGMENT = "frag long, host binary, parts binary, size binary, suffix binary, page binary"
+
+
+def _supports(table: pa.Table, least: int) -> pa.Table:
+    """(host, suffix, support) of a fragment's suffixes on `least` pages or more; a null suffix has the number of pages."""
+    suffix, page, size = joined(table["suffix"], np.uint64), joined(table["page"], np.uint32), joined(table["size"], np.int32)
+    host, parts = np.repeat(joined(table["host"], np.uint64), size), joined(table["parts"], np.uint64)
+    if (parts > 1).any():  # one part of one host
+        least = max(1, len(np.unique(page)) // 1000)
+    order = np.lexsort((page, suffix))  # the fragment's part of the suffix array
+    suffix, page, host = suffix[order], page[order], host[order]
+    new = np.append(True, suffix[1:] != suffix[:-1])[: len(suffix)]
+    once = new | np.append(True, page[1:] != page[:-1])[: len(suffix)]
+    first = np.flatnonzero(new)
+    support = np.add.reduceat(once.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
+    mark = suffix[first] == mix64(host[first] ^ _MARK)
+    some = mark | (support >= least)
+    first, mark = first[some], mark[some]
+    return pa.table({"host": host[first].view(np.int64), "suffix": pa.array(suffix[first].view(np.int64), mask=mark), "support": support[some]})
+
+
+@tidy
+def _extract(batches: Iterator[pa.RecordBatch], run: int) -> Iterator[pa.RecordBatch]:
+    """Text of each page, boilerplate of its host known."""
+    for batch in batches:
+        for a, b in _runs(batch):
+            rows = batch.slice(a, b - a)
+            pages = [blocks(h) for h in rows["html"].to_pylist()]
+            hosts = rows["host"].to_numpy().view(np.uint64)
+            s = Streams(pages, hosts, run)
+            one = pa.array(np.unique(hosts, return_index=True)[1])
+            often, most = (s.covered(np.unique(rows[c].take(one).flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))) for c in ("often", "most"))
+            out: dict[str, list] = {"text": [], "n_chars": [], "n_repeated": []}
+            k = 0
+            for found in pages:
+                main, every, n_main, n_open, n_repeated = [], [], 0, 0, 0
+                for zone, text in found:
+                    x, y = s.first[k], s.first[k + 1]
+                    k += 1
+                    n_repeated += int(often[x:y].sum())
+                    if zone == "main" and not most[x:y].all():
+                        main.append(text)
+                        every.append(text)
+                        n_main += y - x
+                    elif zone == "open" and not often[x:y].all():
+                        kept = " ".join(w for w, hit in zip(text.split(" "), often[x:y], strict=True) if not hit) if often[x:y].any() else text
+                        every.append(kept)
+                        n_open += kept.count(" ") + 1
+                text = "\n".join(every if n_open > n_main else main)
+                for c, v in (("text", text), ("n_chars", len(text)), ("n_repeated", n_repeated)):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_arrays([rows["page_id"], rows["url"], pa.array(out["text"], pa.string()), pa.array(out["n_chars"], pa.int64()), pa.array(out["n_repeated"], pa.int64())], ["page_id", "url", *out])
+
+
+def boilerplate(rows: DataFrame, run: int, share: float, least: int, main_share: float, main_least: int, frag_pages: int, part_pages: int) -> DataFrame:
+    """(host, often, most) of hosts with boilerplate: hashes of the suffixes that open and main blocks lose."""
+    count = rows.groupBy("host").agg(F.count("*").alias("n"))
+    total = rows.count()
+    large = materialize(count.where(F.col("n") > frag_pages), "hosts")
+    cut = rows.select("host", "html").join(large, "host", "left").select("host", "html", "n")
+    cut = cut.mapInArrow(partial(_suffixes, run=run, frag_pages=frag_pages, part_pages=part_pages, buckets=max(1, -(-total // frag_pages))), FRAGMENT)
+    found = per_group(cut, "frag", _supports, "host long, suffix long, support long", least=min(least, main_least))
+    found = materialize(found.groupBy("host", "suffix").agg(F.sum("support").alias("support")), "supports")
+    pages = found.where("suffix is null").select("host", F.col("support").alias("pages"))
+    found = found.where(F.col("suffix").isNotNull() & (F.col("support") >= min(least, main_least))).join(pages, "host")
+    reach = lambda part, n: (F.col("support") >= F.col("pages") * part) & (F.col("support") >= n)
+    found = found.where(reach(share, least) | reach(main_share, main_least))
+    known = found.groupBy("host").agg(
+        F.collect_list(F.when(reach(share, least), F.col("suffix"))).alias("often"), F.collect_list(F.when(reach(main_share, main_least), F.col("suffix"))).alias("most")
     )
+    return materialize(known, "boilerplate")
 
 
-def main_texts(pages: DataFrame, run: int = 5, shard_pages: int = 200, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars, n_repeated) for every row."""
+def main_texts(pages: DataFrame, run: int = 10, share: float = 0.5, least: int = 3, main_share: float = 0.8, main_least: int = 5, frag_pages: int = 2000, part_pages: int = 50_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, url, text, n_chars, n_repeated) for every row; n_repeated: tokens in boilerplate, of any zone."""
+    if not 0 < share <= main_share <= 1 or least < 2 or main_least < 2 or run < 1:
+        raise ValueError("0 < share <= main_share <= 1, least and main_least of 2 or more, and run of 1 or more are needed")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    host = F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))
-    rows = rows.withColumn("host", host)
-    large = materialize(rows.groupBy("host").count().where(F.col("count") > shard_pages).select("host", F.ceil(F.col("count") / shard_pages).alias("shards")), "hosts")
-    salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30))
-    parsed, schema = "page_id long, url string, grp string, host string, main string, has_main boolean, zones array<string>, texts array<string>", "page_id long, url string, text string, n_chars long, n_repeated long"
-    small = rows.join(F.broadcast(large), "host", "left_anti").withColumn("grp", F.col("host")).mapInArrow(_parse, parsed)
-    texts = per_group(small, "grp", _keep_unique, schema, run=run)
-    shards = large.agg(F.sum("shards")).first()[0]
-    if not shards:
-        return texts
-    dealt = rows.join(F.broadcast(large), "host").withColumn("grp", F.concat("host", F.lit("\t"), (salt % F.col("shards")).cast("string")))
-    dealt = dealt.drop("shards").mapInArrow(_parse, parsed)
-    found = per_group(dealt, "grp", _shard_windows, "part int, grp string, hash binary, low binary, high binary", run=run, ranges=max(LEAST_RANGES, shards))
-    repeated = per_group(found, "part", _repeated_windows, "grp string, hash binary")
-
-    def keep(table: pa.Table, hashes: pa.Table) -> pa.Table:
-        out = _keep_unique_shard(table, hashes, run)
-        give_back()
-        return out
-
-    return texts.union(dealt.groupBy("grp").cogroup(repeated.groupBy("grp")).applyInArrow(keep, schema))
+    rows = rows.withColumn("host", F.xxhash64(F.coalesce(F.lower(F.regexp_extract("url", HOST, 1)), F.lit(""))))
+    known = boilerplate(rows, run, share, least, main_share, main_least, frag_pages, part_pages)
+    none = F.array().cast("array<long>")
+    read = rows.join(known, "host", "left").select("page_id", "url", "html", "host", F.coalesce("often", none).alias("often"), F.coalesce("most", none).alias("most"))
+    return read.mapInArrow(partial(_extract, run=run), "page_id long, url string, text string, n_chars long, n_repeated long")
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:

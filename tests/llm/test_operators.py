@@ -143,25 +143,80 @@ def test_html_blocks():
     assert html_text.blocks(None) == [] and html_text.blocks("plain") == [("open", "plain")]
 
 
-def test_html_repeats():
-    got = html_text.repeats([[1, 2, 3, 4, 5, 6], [9, 1, 2, 3, 4, 5], [7, 7, 7, 7, 7, 7, 7]], [0, 1, 2], 5)
-    assert [g.tolist() for g in got] == [[True] * 5 + [False], [False] + [True] * 5, [False] * 7]
-
-
-def test_html_pages(spark):
-    pages = spark.createDataFrame([(1, "http://a/x", "<article><p>t one</article>"), (2, "http://a/y", None), (3, None, "")], "page_id long, url string, html string")
-    assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == {1: "t one", 2: "", 3: ""}
-
-
-def test_html_shards_agree(spark):
+def _brute_texts(data, run=10, share=0.5, least=3, main_share=0.8, main_least=5):
+    """Boilerplate by comparing all pages of a host, token by token."""
+    hosts = {}
+    for i, url, html in data:
+        hosts.setdefault(re.sub(r"^\w+://([^/]*).*", r"\1", url or ""), []).append((i, html_text.blocks(html)))
+    out = {}
+    for pages in hosts.values():
+        distinct = {tuple(t for _, t in found) for _, found in pages}
+        grams = lambda t: [tuple(w[k : k + run]) for w in [t.split(" ")] for k in range(max(1, len(w) - run + 1))]
+        on = Counter(g for page in distinct for g in {g for t in page for g in grams(t)})
+
+        def covered(t, part, n):
+            hit = [False] * len(t.split(" "))
+            for k, g in enumerate(grams(t)):
+                if on[g] >= part * len(distinct) and on[g] >= n:
+                    hit[k : k + len(g)] = [True] * len(g)
+            return hit
+
+        for i, found in pages:
+            main = [t for z, t in found if z == "main" and not all(covered(t, main_share, main_least))]
+            every, n_open = [], 0
+            for z, t in found:
+                kept = [w for w, hit in zip(t.split(" "), covered(t, share, least), strict=True) if not hit]
+                if z == "main" and t in main:
+                    every.append(t)
+                elif z == "open" and kept:
+                    every.append(" ".join(kept))
+                    n_open += len(kept)
+            out.setdefault(i, []).append("\n".join(every if n_open > sum(len(t.split(" ")) for t in main) else main))
+    return out
+
+
+def _site_pages(n):
     rnd = random.Random(5)
-    say = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(n))
-    notes = [say(9) for _ in range(8)]
-    data = [(i, f"http://{'big' if i % 6 else 'small'}/{i}", f"<p>{say(20)}</p><p>{notes[rnd.randrange(8)]}</p>") for i in range(60)]
-    data += [(60, "http://big/0", data[1][2]), (61, "http://big/0", None), (None, None, "<p>one</p>")]
+    say = lambda k: " ".join(rnd.choice(WORDS) + str(rnd.randrange(99)) for _ in range(k))
+    menu, notes, share = [say(2) for _ in range(4)], [say(30) for _ in range(8)], say(12)
+    data = []
+    for i in range(n):
+        host = "big" if i % 6 else f"small{i % 5}"
+        body = f"<p>{say(40)}</p><p>{notes[rnd.randrange(8)]}</p><p>{share} {say(15)}</p>"
+        main = f"<article><h1>{say(5)}</h1><p>{notes[rnd.randrange(8)]}<p>{share}</article>" if i % 4 == 0 else ""
+        data.append((i, f"http://{host}/{i}", "".join(f"<div>{m}</div>" for m in menu) + (main + body if i % 8 else main) + "<footer>f</footer>"))
+    return data
+
+
+def test_html_pages_by_brute_force(spark):
+    """Menus, share lines and other repeats go, passages that some pages share stay, in hosts of any size and any dealing of them."""
+    data = _site_pages(240)
+    data += [(500, "http://big/0", data[1][2]), (501, "http://big/0", None), (None, None, "<p>one</p>"), (502, "http://big/x", ""), (1, "http://big/1", data[1][2])]
+    table = spark.createDataFrame(data, "page_id long, url string, html string").withColumn("host", F.lit("x")).withColumn("text", F.lit("y"))
+    want = {i: sorted(v) for i, v in _brute_texts(data).items()}
+    assert any(v != ["\n".join(t for z, t in html_text.blocks(h) if z != "chrome")] for (i, v), (_, _, h) in zip(want.items(), data, strict=False))
+    for deal in ({}, {"frag_pages": 20}, {"frag_pages": 7, "part_pages": 50}):
+        rows = html_text.main_texts(table.repartition(5), **deal).collect()
+        got = {}
+        for r in rows:
+            got.setdefault(r.page_id, []).append(r.text)
+        assert {i: sorted(v) for i, v in got.items()} == want, deal
+        assert len(rows) == len(data) and all(r.n_chars == len(r.text) for r in rows)
+
+
+def test_html_zones():
+    main = lambda page: [t for z, t in html_text.blocks(page) if z == "main"]
+    assert main('<article><div class="article-header"><h1>Head</h1></div><p class="related-work">one<p class="search-results">two<div class="ad">buy</div></article>') == ["Head", "one", "two"]
+    assert main('<main><p>x</p><article class="comment"><p>reader</p></article></main>') == ["x"]
+    assert html_text.blocks('<div class="site-header">a</div><div class="cookie-banner">b</div><p>c') == [("chrome", "a"), ("chrome", "b"), ("open", "c")]
+
+
+def test_html_teaser_and_edges(spark):
+    long = " ".join(f"w{k}" for k in range(50_000))
+    data = [(1, "http://a/x", "<article><p>teaser</article><div>the body of it</div>"), (2, "http://b/y", "<article><p>t one</article><div>x</div>"), (3, "http://c", f"<p>{long}</p><p>two &amp; three")]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
-    whole, dealt = (Counter(map(tuple, html_text.main_texts(pages, shard_pages=n).collect())) for n in (200, 11))
-    assert whole == dealt and sum(whole.values()) == len(data) and sum(r[4] > 0 for r in whole) > 40
+    assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == {1: "teaser\nthe body of it", 2: "t one", 3: long + "\ntwo & three"}
+    assert html_text.main_texts(pages.limit(0)).count() == 0
 
 
 def test_token_rules():
