@@ -5,7 +5,7 @@ inside menus, headers, footers, sidebars, forms, notices, adverts or comments (b
 a name in class, id or role), `open` elsewhere.
 
 The token streams of all blocks of all pages of a host are one array of suffixes, ordered by a
-64-bit hash of their first `run` tokens: suffixes that begin alike are neighbours, which is all
+48-bit hash of their first `run` tokens: suffixes that begin alike are neighbours, which is all
 that the search for repeats asks of the order. A block of fewer tokens is one suffix, whole. A
 stretch of neighbours is a repeat, its support the number of distinct pages it comes from; a
 longer repeat is a chain of such suffixes at places one after another. A repeat is boilerplate
@@ -69,6 +69,8 @@ WITHIN = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie-banner cookie-notice cookies disqus menu modal nav navigation "
     "newsletter notice pagination popup promo related related-posts respond share share-buttons sharing sidebar social sponsored subscribe".split()
 )
+#: Bytes of a suffix's hash: of 48 bits, as hosts tell suffixes apart besides.
+SUFFIX_BYTES = 6
 _MARK = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -170,7 +172,7 @@ class Streams:
         for k in range(run):
             inside = np.flatnonzero(self.length > k)
             h[inside] = mix64(h[inside] + token[self.at[inside] + k] + np.uint64(k + 1))
-        self.suffix = h
+        self.suffix = h >> np.uint64(64 - 8 * SUFFIX_BYTES)
 
     def covered(self, known: np.ndarray) -> np.ndarray:
         """Which tokens lie in a suffix's beginning that is among `known` (sorted)."""
@@ -193,59 +195,75 @@ def _runs(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[tuple[int, int
         a = b
 
 
+def _packed(x: np.ndarray, edge: np.ndarray) -> pa.Array:
+    return pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+
+
 @tidy
 def _suffixes(batches: Iterator[pa.RecordBatch], run: int, frag_pages: int, part_pages: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    """By fragment: the hosts in it, their pages, and distinct (suffix, page) of each; one more suffix marks every page."""
+    """By fragment: its hosts, the pages of each, and the suffixes of each page; one more suffix marks every page."""
     for batch in batches:
         for a, b in _runs(batch):
             rows = batch.slice(a, b - a)
             hosts = rows["host"].to_numpy().view(np.uint64)
             count = rows["n"].fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)
             s = Streams([blocks(h) for h in rows["html"].to_pylist()], hosts, run)
-            suffix = np.concatenate([s.suffix, mix64(hosts ^ _MARK)])
-            page = np.concatenate([s.page[s.block], np.arange(len(rows))])
-            name = s.name[page]
-            order = np.lexsort((name, suffix))
-            suffix, page, name = suffix[order], page[order], name[order]
-            once = np.append(True, (suffix[1:] != suffix[:-1]) | (name[1:] != name[:-1]))
-            suffix, page, name = suffix[once], page[once], name[once]
-            host, n = hosts[page], count[page]
-            parts = np.maximum(n + np.uint64(part_pages - 1), np.uint64(part_pages)) // np.uint64(part_pages)
-            ranges = np.maximum(n // parts + np.uint64(frag_pages - 1), np.uint64(frag_pages)) // np.uint64(frag_pages)
-            cut = mix64(host + mix64((name >> np.uint64(8)) % parts * np.uint64(1 << 20) + (suffix >> np.uint64(8)) % ranges))
-            frag = np.where((parts > 1) | (ranges > 1), cut, mix64(host) % np.uint64(buckets)).view(np.int64)
-            order = np.lexsort((host, frag))
-            frag, host, n, parts, suffix, name = (x[order] for x in (frag, host, n, parts, suffix, name))
-            runs = np.flatnonzero(np.append(True, (frag[1:] != frag[:-1]) | (host[1:] != host[:-1])))
-            size = np.diff(np.append(runs, len(frag))).astype(np.int32)
-            rows_at = np.flatnonzero(np.append(True, frag[1:] != frag[:-1]))
-            run_at = np.append(np.searchsorted(runs, rows_at), len(runs))
-            edge = np.append(rows_at, len(frag))
-            pack = lambda x, e: pa.array([x[e[k] : e[k + 1]].tobytes() for k in range(len(rows_at))], pa.binary())
+            # Of pages of one name and host one is enough.
+            one = np.zeros(len(rows), bool)
+            one[np.unique(mix64(s.name + mix64(hosts)), return_index=True)[1]] = True
+            suffix, page = np.concatenate([s.suffix, _marks(hosts)]), np.concatenate([s.page[s.block], np.arange(len(rows))])
+            own = one[page]
+            suffix, page = suffix[own], page[own]
+            parts = np.maximum(count + np.uint64(part_pages - 1), np.uint64(part_pages)) // np.uint64(part_pages)
+            ranges = np.maximum(count // parts + np.uint64(frag_pages - 1), np.uint64(frag_pages)) // np.uint64(frag_pages)
+            small = mix64(hosts) % np.uint64(buckets)
+            part = mix64(hosts + mix64((s.name >> np.uint64(8)) % parts + np.uint64(1)))
+            frag = np.where(((parts > 1) | (ranges > 1))[page], mix64(part[page] + suffix % ranges[page]), small[page]).view(np.int64)
+            order = np.lexsort((page, hosts[page], frag))
+            frag, page, suffix = frag[order], page[order], suffix[order]
+            row = np.append(True, frag[1:] != frag[:-1])[: len(frag)]
+            host_run = row | np.append(True, hosts[page][1:] != hosts[page][:-1])[: len(frag)]
+            page_run = np.flatnonzero(host_run | np.append(True, page[1:] != page[:-1])[: len(frag)])
+            host_run, row = np.flatnonzero(host_run), np.append(np.flatnonzero(row), len(frag))
+            by_host, by_page = (np.append(np.searchsorted(x, row[:-1]), len(x)) for x in (host_run, page_run))
+            low = suffix.view(np.uint8).reshape(-1, 8)[:, :SUFFIX_BYTES]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "frag": pa.array(frag[rows_at]), "host": pack(host[runs], run_at), "parts": pack(parts[runs], run_at), "size": pack(size, run_at),
-                    "suffix": pack(suffix, edge), "page": pack(name.astype(np.uint32), edge),
+                    "frag": pa.array(frag[row[:-1]]),
+                    "host": _packed(hosts[page[host_run]], by_host), "parts": _packed(parts[page[host_run]], by_host),
+                    "pages": _packed(np.diff(np.append(np.searchsorted(page_run, host_run), len(page_run))).astype(np.int32), by_host),
+                    "name": _packed(s.name[page[page_run]], by_page), "size": _packed(np.diff(np.append(page_run, len(frag))).astype(np.int32), by_page),
+                    "suffix": _packed(low, row),
                 }
             )
 
 
-FRAGMENT = "frag long, host binary, parts binary, size binary, suffix binary, page binary"
+FRAGMENT = "frag long, host binary, parts binary, pages binary, name binary, size binary, suffix binary"
+
+
+def _marks(hosts: np.ndarray) -> np.ndarray:
+    """The suffix that stands for a page of a host."""
+    return mix64(hosts ^ _MARK) >> np.uint64(64 - 8 * SUFFIX_BYTES)
 
 
 def _supports(table: pa.Table, least: int) -> pa.Table:
     """(host, suffix, support) of a fragment's suffixes on `least` pages or more; a null suffix has the number of pages."""
-    suffix, page, size = joined(table["suffix"], np.uint64), joined(table["page"], np.uint32), joined(table["size"], np.int32)
-    host, parts = np.repeat(joined(table["host"], np.uint64), size), joined(table["parts"], np.uint64)
-    if (parts > 1).any():  # one part of one host
-        least = max(1, len(np.unique(page)) // 1000)
+    low = joined(table["suffix"], np.uint8).reshape(-1, SUFFIX_BYTES)
+    suffix = np.zeros((len(low), 8), np.uint8)
+    suffix[:, :SUFFIX_BYTES] = low
+    suffix, size = suffix.view(np.uint64).ravel(), joined(table["size"], np.int32)
+    names, page = np.unique(joined(table["name"], np.uint64), return_inverse=True)
+    host = np.repeat(np.repeat(joined(table["host"], np.uint64), joined(table["pages"], np.int32)), size)
+    page = np.repeat(page.astype(np.int32), size)
+    if (joined(table["parts"], np.uint64) > 1).any():  # one part of one host
+        least = max(1, len(names) // 1000)
     order = np.lexsort((page, suffix))  # the fragment's part of the suffix array
     suffix, page, host = suffix[order], page[order], host[order]
     new = np.append(True, suffix[1:] != suffix[:-1])[: len(suffix)]
     once = new | np.append(True, page[1:] != page[:-1])[: len(suffix)]
     first = np.flatnonzero(new)
     support = np.add.reduceat(once.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-    mark = suffix[first] == mix64(host[first] ^ _MARK)
+    mark = suffix[first] == _marks(host[first])
     some = mark | (support >= least)
     first, mark = first[some], mark[some]
     return pa.table({"host": host[first].view(np.int64), "suffix": pa.array(suffix[first].view(np.int64), mask=mark), "support": support[some]})
