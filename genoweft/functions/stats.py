@@ -57,15 +57,18 @@ def normal_sf(z: Column) -> Column:
 PADJ_METHODS = ("fdr_bh", "fdr_by", "bonferroni", "sidak", "holm", "simes-hochberg")
 
 
-def adjust_pvalues(df: DataFrame, p: str = "pval", out: str = "padj", method: str = "fdr_bh", buckets: int = 4096) -> DataFrame:
+def adjust_pvalues(df: DataFrame, p: str = "pval", out: str = "padj", method: str = "fdr_bh", grain: int = 1024) -> DataFrame:
     """`df` with adjusted p-values; null p are left out and stay null.
 
-    Equal p-values are one row with a count. Ranks are prefix sums over `buckets` ranges of p, so
-    only one small row per range meets in one task, never all p-values."""
+    Equal p-values are one row with a count. Ranks are prefix sums over ranges of p, `grain` to
+    every halving of p below 0.5 and of 1 - p above, so that values that crowd near 0 or 1 part
+    as well as others; only one small row per range meets in one task, never all p-values."""
     if method not in PADJ_METHODS:
         raise ValueError(f"unknown method {method!r}")
     tested = df.where(F.col(p).isNotNull()).groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("_n"))
-    tested = tested.withColumn("_b", F.least(F.floor(F.col("_p") * buckets), F.lit(buckets - 1)).cast("int"))
+    edge = F.lit(1 << 30)
+    low, high = F.floor(F.log2("_p") * grain), -F.floor(F.log2(1 - F.col("_p")) * grain)
+    tested = tested.withColumn("_b", F.when(F.col("_p") <= 0, -edge).when(F.col("_p") >= 1, edge).when(F.col("_p") < 0.5, low).otherwise(high).cast("int"))
     parts = tested.groupBy("_b").agg(F.sum("_n").alias("_s"))
     up = Window.orderBy("_b")
     parts = parts.select("_b", (F.sum("_s").over(up) - F.col("_s")).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_m"))

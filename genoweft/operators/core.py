@@ -33,7 +33,10 @@ def _within(value: float, low: float, high: float, name: str) -> None:
 
 
 def select_genes(genes: DataFrame, selector: str | Sequence[str] | None = None, force: Sequence[str] | None = None, name_col: str = "gene") -> DataFrame:
-    """`genes` with `selected`: a boolean column, a list of names, or all; forced names are added."""
+    """`genes` with `selected`: a boolean column, a list of names, or all; forced names are added.
+
+    Warns of names that are not there and of names that forcing adds; raises if nothing is selected."""
+    require_columns(genes, name_col)
     if isinstance(selector, str):
         chosen = require_columns(genes, selector)[selector].cast("boolean")
     elif selector is None:
@@ -41,9 +44,19 @@ def select_genes(genes: DataFrame, selector: str | Sequence[str] | None = None,
     else:
         chosen = F.col(name_col).isin(list(selector))
     chosen = F.coalesce(chosen, F.lit(False))
+    asked = sorted({*(force or ()), *(selector if isinstance(selector, (list, tuple, set)) else ())})
+    found = {r["n"]: r["c"] for r in genes.where(F.col(name_col).isin(asked)).select(F.col(name_col).alias("n"), chosen.alias("c")).collect()} if asked else {}
+    missing, added = [n for n in asked if n not in found], [n for n in force or () if found.get(n) is False]
+    if missing:
+        warnings.warn(f"genes not found: {missing}", UserWarning, stacklevel=2)
+    if added:
+        warnings.warn(f"genes added by force: {added}", UserWarning, stacklevel=2)
     if force:
         chosen = chosen | F.col(name_col).isin(list(force))
-    return genes.withColumn("selected", chosen)
+    out = genes.withColumn("selected", chosen)
+    if out.where("selected").isEmpty():
+        raise ValueError("no genes selected")
+    return out
 
 
 def sample_sizes(cells: DataFrame, min_cells: int = 5, key: str = "sample_id") -> DataFrame:
@@ -111,31 +124,60 @@ def nmf_fit(expr: DataFrame, cells: DataFrame, n_genes: int, k: Sequence[int] =
         raise ValueError("ranks must be at least 1")
     if solver == "cd" and loss != "frobenius":
         raise ValueError("solver 'cd' needs loss 'frobenius'")
+    if init not in kernels.INITS or loss not in kernels.LOSSES or solver not in ("cd", "mu"):
+        raise ValueError(f"init must be one of {kernels.INITS}, loss one of {kernels.LOSSES}, solver 'cd' or 'mu'")
+    if n_genes < 1:
+        raise ValueError("no genes selected")
+    require_columns(expr, "cell_id", "sample_id", "gene_idx", "value")
     sizes = sample_sizes(cells, min_cells)
+    if sizes.isEmpty():
+        raise ValueError(f"no sample has {min_cells} cells")
     kept = cells.join(sizes.select("sample_id"), "sample_id", "left_semi")
     data = preprocess(expr.join(sizes.select("sample_id"), "sample_id", "left_semi"), kept, n_genes, target_sum, normalize, log1p, clip_quantile, center)
     # A row per cell keeps cells without a value in the block.
     rows = kept.select("sample_id", "cell_id").join(
         data.groupBy("cell_id").agg(F.collect_list("gene_idx").alias("genes"), F.collect_list("value").alias("values")), "cell_id", "left"
     )
-    ranks = F.explode(F.array(*[F.struct(F.lit(r).alias("k"), F.lit(i).alias("k_idx")) for i, r in enumerate(k)]))
-    rows = rows.withColumn("rank", ranks).select("sample_id", "cell_id", "genes", "values", "rank.k", "rank.k_idx")
 
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        sample, rank, index = key
         pdf = pdf.sort_values("cell_id")
         x = np.zeros((len(pdf), n_genes))
         for i, (g, v) in enumerate(zip(pdf["genes"], pdf["values"], strict=True)):
             if g is not None:
                 x[i, np.asarray(g, int)] = v
-        w, h = kernels.nmf(x, int(rank), solver, loss, init, alpha, l1_ratio, tol, max_iter, seed)
-        out = [("gene", p, g, h[p, g]) for p in range(int(rank)) for g in range(n_genes)]
-        if keep_scores:
-            out += [("cell", p, c, w[i, p]) for p in range(int(rank)) for i, c in enumerate(pdf["cell_id"])]
-        frame = pd.DataFrame(out, columns=["record", "pos", "item", "value"])
-        return frame.assign(sample_id=sample, k=rank, k_idx=index)[["record", "sample_id", "k", "k_idx", "pos", "item", "value"]]
+        cell_ids, parts = pdf["cell_id"].to_numpy(), []
+        for index, rank in enumerate(k):
+            w, h = kernels.nmf(x, int(rank), solver, loss, init, alpha, l1_ratio, tol, max_iter, seed)
+            blocks = [("gene", np.arange(n_genes), h)] + ([("cell", cell_ids, w.T)] if keep_scores else [])
+            for record, items, m in blocks:
+                parts.append(pd.DataFrame({"record": record, "sample_id": key[0], "k": rank, "k_idx": index, "pos": np.repeat(np.arange(rank), len(items)), "item": np.tile(items, rank), "value": m.ravel()}))
+        return pd.concat(parts)
+
+    return rows.groupBy("sample_id").applyInPandas(fit, FACTORS)
+
+
+def factor_loadings(loadings: DataFrame, keep: DataFrame | None = None, kept_only: bool = True, samples: Sequence | None = None, per_sample: int | None = None) -> DataFrame:
+    """Wide gene x factor table: gene_idx and one column `{sample}_F{n}` per factor, n counted
+    within the kept factors of a sample. keep: (factor_id, keep). The labels are read first unless
+    samples and the number of factors per sample name them."""
+    if kept_only and keep is not None:
+        loadings = loadings.join(require_columns(keep, "factor_id", "keep").where("keep"), "factor_id", "left_semi")
+    names = loadings.select("sample_id", "factor_id").distinct().withColumn("n", F.row_number().over(Window.partitionBy("sample_id").orderBy("factor_id")) - 1)
+    names = names.select("factor_id", F.concat(F.col("sample_id").cast("string"), F.lit("_F"), "n").alias("label"))
+    if samples is not None and per_sample is not None:
+        labels = [f"{x}_F{n}" for x in samples for n in range(per_sample)]
+    else:
+        labels = [r["label"] for r in names.join(loadings.select("factor_id", "sample_id").distinct(), "factor_id").orderBy("factor_id").collect()]
+    return loadings.join(names, "factor_id").groupBy("gene_idx").pivot("label", labels).agg(F.max("loading"))
+
 
-    return rows.groupBy("sample_id", "k", "k_idx").applyInPandas(fit, FACTORS)
+def factor_scores(records: DataFrame, k: Sequence[int]) -> DataFrame:
+    """Wide cell x local factor table (cell_id, F0, F1, ...) of nmf_fit(keep_scores=True)."""
+    cell = require_columns(records, "record", "k_idx", "pos", "item", "value").where("record = 'cell'")
+    if cell.isEmpty():
+        raise KeyError("no cell scores: fit with keep_scores=True")
+    at = F.element_at(F.array(*[F.lit(sum(k[:i])) for i in range(len(k))]), (F.col("k_idx") + 1).cast("int")) + F.col("pos")
+    return cell.groupBy(F.col("item").alias("cell_id")).agg(*[F.max(F.when(at == n, F.col("value"))).alias(f"F{n}") for n in range(sum(k))])
 
 
 def number_factors(df: DataFrame, k: Sequence[int]) -> DataFrame:
@@ -220,14 +262,17 @@ def metric_pairs(loadings: DataFrame, metric: Callable, top_k: int | None, inter
     return pairs.mapInPandas(run, "i int, j int, sim double")
 
 
-def similarity(loadings: DataFrame, metric: str | Callable = "jaccard", top_k: int | None = 50, intra_sample: bool = True, use_combined: bool = False) -> DataFrame:
-    """Pairs with a non-zero similarity."""
+def similarity(loadings: DataFrame, metric: str | Callable = "jaccard", top_k: int | None = 50, intra_sample: bool = True, use_combined: bool = False, n_genes: int | None = None) -> DataFrame:
+    """Pairs with a non-zero similarity. n_genes, if told, bounds top_k."""
+    require_columns(loadings, "factor_id", "sample_id", "gene_idx", "loading")
     if not callable(metric) and metric != "jaccard":
         raise ValueError("metric must be 'jaccard' or callable")
     if metric == "jaccard" and top_k is None:
         raise ValueError("top_k is required for 'jaccard'")
     if top_k is not None and top_k < 1:
         raise ValueError("top_k must be at least 1")
+    if top_k is not None and n_genes is not None and top_k > n_genes:
+        raise ValueError("top_k exceeds the number of genes")
     if callable(metric):
         return metric_pairs(loadings, metric, top_k, not intra_sample).where("sim <> 0")
     live = loadings.join(loadings.groupBy("factor_id").agg(F.sum("loading").alias("s")).where("s <> 0"), "factor_id", "left_semi")
@@ -247,6 +292,13 @@ def max_similarity(factors: DataFrame, edges: DataFrame) -> DataFrame:
     return factors.select("factor_id").distinct().join(best, "factor_id", "left").select("factor_id", F.coalesce("m", F.lit(0.0)).alias("max_sim"))
 
 
+def drop_zeros(factors: DataFrame, edges: DataFrame, atol: float = 1e-8) -> DataFrame:
+    """`factors` without those whose similarities are all (near) zero."""
+    live = edges.where(F.abs("sim") > atol)
+    ends = live.select(F.col("i").alias("factor_id")).union(live.select("j"))
+    return factors.join(ends, "factor_id", "left_semi")
+
+
 def similarity_filter(factors: DataFrame, edges: DataFrame, min_similarity: float) -> DataFrame:
     """(factor_id, max_sim, keep): best similarity at least min_similarity, and not all near 0."""
     _within(min_similarity, 0, 1, "min_similarity")
@@ -281,14 +333,26 @@ def match_greedy(pairs: DataFrame, min_similarity: float) -> DataFrame:
     return pairs.groupBy(F.col("a").alias("factor_id"), F.col("kb").alias("k_other")).agg(F.max("sim").alias("m")).where(F.col("m") >= min_similarity).drop("m")
 
 
+def rank_grid(factors: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`pairs` with those of no common gene at 0: all factors of two ranks of a sample (at most the
+    square of a rank each)."""
+    f = factors.select("factor_id", "sample_id", "k_idx").distinct()
+    a = f.select("sample_id", F.col("k_idx").alias("ka"), F.col("factor_id").alias("a"))
+    b = f.select("sample_id", F.col("k_idx").alias("kb"), F.col("factor_id").alias("b"))
+    every = a.join(b, "sample_id").where("ka <> kb")
+    return every.join(pairs.select("a", "b", "sim"), ["a", "b"], "left").select("sample_id", "ka", "kb", "a", "b", F.coalesce("sim", F.lit(0.0)).alias("sim"))
+
+
 def match_hungarian(pairs: DataFrame, min_similarity: float = 0.0) -> DataFrame:
-    """(sample_id, ka, kb, a, b, sim): one-to-one matches of greatest total similarity, per rank pair."""
+    """(sample_id, ka, kb, a, b, sim): one-to-one matches of greatest total similarity, per rank
+    pair. pairs: those of rank_grid(), or only such as share a gene; a match of 0 counts at
+    min_similarity 0 if its pair is given."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = np.unique(pdf["a"]), np.unique(pdf["b"])
-        gain = np.zeros((len(a), len(b)))
+        gain = np.full((len(a), len(b)), np.nan)
         gain[np.searchsorted(a, pdf["a"]), np.searchsorted(b, pdf["b"])] = pdf["sim"]
-        rows = [(*key, a[i], b[j], gain[i, j]) for i, j in kernels.assign(gain) if gain[i, j] >= min_similarity and gain[i, j] > 0]
+        rows = [(*key, a[i], b[j], gain[i, j]) for i, j in kernels.assign(np.nan_to_num(gain)) if gain[i, j] >= min_similarity]
         return pd.DataFrame(rows, columns=["sample_id", "ka", "kb", "a", "b", "sim"])
 
     return pairs.groupBy("sample_id", "ka", "kb").applyInPandas(run, "sample_id long, ka int, kb int, a int, b int, sim double")
@@ -311,14 +375,17 @@ def deduplicate(top: DataFrame, threshold: float) -> DataFrame:
         label = np.arange(len(ids))
         for i, j in np.argwhere(np.triu(s >= threshold, 1)):
             label[label == label[j]] = label[i]
-        keep = [own[int(np.argmax(s[np.ix_(own, own)].mean(1)))] for c in np.unique(label) for own in [np.flatnonzero(label == c)]]
+        keep = [own[int(np.argmax(np.round(s[np.ix_(own, own)].mean(1), 9)))] for c in np.unique(label) for own in [np.flatnonzero(label == c)]]
         return pd.DataFrame({"factor_id": ids[sorted(keep)]})
 
     return top.groupBy("sample_id").applyInPandas(run, "factor_id int")
 
 
-def nmf_prune(loadings: DataFrame, n_ranks: int, top_k: int = 50, min_similarity: float = 0.1, dedup_similarity: float = 0.7, min_other_resolutions: int = 1, matching: str = "hungarian", deduplicate_factors: bool = True, use_combined: bool = False) -> DataFrame:
-    """(factor_id, prune_matches, keep)."""
+def nmf_prune(loadings: DataFrame, n_ranks: int, top_k: int = 50, min_similarity: float = 0.1, dedup_similarity: float = 0.7, min_other_resolutions: int = 1, matching: str = "hungarian", deduplicate_factors: bool = True, use_combined: bool = False, n_genes: int | None = None) -> DataFrame:
+    """(factor_id, prune_matches, keep). n_genes, if told, bounds top_k."""
+    require_columns(loadings, "factor_id", "sample_id", "k_idx", "gene_idx", "loading")
+    if n_genes is not None and top_k > n_genes:
+        raise ValueError("top_k exceeds the number of genes")
     if top_k < 1:
         raise ValueError("top_k must be at least 1")
     _within(min_similarity, 0, 1, "min_similarity")
@@ -333,9 +400,9 @@ def nmf_prune(loadings: DataFrame, n_ranks: int, top_k: int = 50, min_similarity
     top = top_genes(scored, top_k, "score" if use_combined else "loading")
     pairs = cross_rank_pairs(top)
     if matching == "greedy":
-        matches = match_greedy(pairs, min_similarity)
+        matches = match_greedy(rank_grid(top, pairs) if min_similarity == 0 else pairs, min_similarity)
     else:
-        matches = match_hungarian(pairs, min_similarity).select(F.col("a").alias("factor_id"), F.col("kb").alias("k_other"))
+        matches = match_hungarian(rank_grid(top, pairs), min_similarity).select(F.col("a").alias("factor_id"), F.col("kb").alias("k_other"))
     counted = recurrence(loadings, matches).withColumn("keep", F.col("prune_matches") >= min_other_resolutions)
     if not deduplicate_factors:
         return counted

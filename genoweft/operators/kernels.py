@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 
 # ---------------------------------------------------------------- factorisation
 
 
-def nndsvda(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative start from the SVD, zeros filled with the mean of x."""
+INITS = ("random", "nndsvd", "nndsvda", "nndsvdar")
+LOSSES = ("frobenius", "kullback-leibler", "itakura-saito")
+
+
+def nndsvd(x: np.ndarray, k: int, fill: str = "mean", seed: int = 123) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative start from the SVD; zeros stay ("zero"), become the mean of x ("mean") or small random values ("random")."""
     u, s, vt = np.linalg.svd(x, full_matrices=False)
     w, h = np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
     w[:, 0], h[0] = np.sqrt(s[0]) * np.abs(u[:, 0]), np.sqrt(s[0]) * np.abs(vt[0])
@@ -20,8 +26,13 @@ def nndsvda(x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         if na > 0 and nb > 0:
             scale = np.sqrt(s[j] * na * nb)
             w[:, j], h[j] = scale * a / na, scale * b / nb
-    mean = x.mean()
-    w[w < 1e-6], h[h < 1e-6] = mean, mean
+    w[w < 1e-6], h[h < 1e-6] = 0, 0
+    if fill == "mean":
+        w[w == 0], h[h == 0] = x.mean(), x.mean()
+    elif fill == "random":
+        rng = np.random.default_rng(seed)
+        for m in (w, h):
+            m[m == 0] = np.abs(x.mean() * rng.standard_normal(int((m == 0).sum())) / 100)
     return w, h
 
 
@@ -45,11 +56,18 @@ def _sweep(a: np.ndarray, gram: np.ndarray, cross: np.ndarray, l1: float, l2: fl
 
 def nmf(x: np.ndarray, k: int, solver: str = "cd", loss: str = "frobenius", init: str = "nndsvda", alpha: float = 0.0, l1_ratio: float = 0.0, tol: float = 1e-5, max_iter: int = 10000, seed: int = 123) -> tuple[np.ndarray, np.ndarray]:
     """x ~ w @ h, all >= 0."""
+    if init not in INITS:
+        raise ValueError(f"init must be one of {INITS}")
+    if loss not in LOSSES:
+        raise ValueError(f"loss must be one of {LOSSES}")
+    if solver not in ("cd", "mu"):
+        raise ValueError("solver must be 'cd' or 'mu'")
     if init.startswith("nndsvd") and k > min(x.shape):
         raise ValueError(f"k={k} exceeds the least side of a {x.shape[0]} x {x.shape[1]} block")
     if not x.any():
         return np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
-    w, h = nndsvda(x, k) if init.startswith("nndsvd") else random_start(x, k, seed)
+    fill = {"nndsvd": "zero", "nndsvda": "mean", "nndsvdar": "random"}.get(init)
+    w, h = nndsvd(x, k, fill, seed) if fill else random_start(x, k, seed)
     n, m = x.shape
     l1w, l2w = alpha * l1_ratio * m, alpha * (1 - l1_ratio) * m
     l1h, l2h = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
@@ -152,51 +170,69 @@ def linkage_tree(distance: np.ndarray, method: str = "average"):
 
 
 def optimal_leaf_order(tree, distance: np.ndarray) -> list[int]:
-    """The order of the tree's leaves, by flips alone, of least total distance between neighbours."""
-    best: dict[int, dict] = {}
+    """The order of the tree's leaves, by flips alone, of least total distance between neighbours.
 
-    def solve(node) -> tuple[list[int], dict]:
-        """Leaves, and {(first, last): (cost, order)}."""
-        if not isinstance(node, tuple):
-            return [node], {(node, node): (0.0, [node])}
-        left, lo = solve(node[0])
-        right, ro = solve(node[1])
-        out: dict = {}
-        for (a, b), (c1, o1) in lo.items():
-            for (c, d), (c2, o2) in ro.items():
-                cost = c1 + c2 + float(distance[b, c])
-                if cost < out.get((a, d), (np.inf,))[0]:
-                    out[a, d] = (cost, o1 + o2)
-        for (a, d), (cost, order) in list(out.items()):
-            if cost < out.get((d, a), (np.inf,))[0]:
-                out[d, a] = (cost, order[::-1])
-        return left + right, out
-
-    del best
-    if not isinstance(tree, tuple):
-        return [tree]
-    if not tree:
+    Per node the least cost of every pair of outer leaves, by two min-plus products: cubic in the leaves."""
+    if tree == ():
         return []
-    _, ends = solve(tree)
-    return min(ends.values(), key=lambda v: (v[0], v[1]))[1]
+    nodes: dict[int, tuple] = {}  # by id of the subtree: leaves of the left and right part, costs of outer pairs
+    todo = [(tree, False)]
+    while todo:
+        node, ready = todo.pop()
+        if not isinstance(node, tuple):
+            nodes[id(node), node] = (np.array([node]), None, np.zeros((1, 1)))
+            continue
+        if not ready:
+            todo += [(node, True), (node[0], False), (node[1], False)]
+            continue
+        (la, _, lc), (ra, _, rc) = (nodes[_key(n)] for n in node)
+        inner = _min_plus(_min_plus(lc, distance[np.ix_(la, ra)]), rc)
+        cost = np.full((len(la) + len(ra),) * 2, np.inf)
+        cost[: len(la), len(la) :] = inner
+        cost[len(la) :, : len(la)] = inner.T
+        nodes[_key(node)] = (np.concatenate([la, ra]), (len(la),), cost)
+
+    leaf, _, cost = nodes[_key(tree)]
+    if len(leaf) == 1:
+        return [int(leaf[0])]
+    first, last = np.unravel_index(int(np.argmin(cost)), cost.shape)
+    out: list[int] = []
+    todo = [(tree, int(leaf[first]), int(leaf[last]))]
+    while todo:
+        node, i, j = todo.pop()
+        if not isinstance(node, tuple):
+            out.append(node)
+            continue
+        left, right = node
+        if i not in nodes[_key(left)][0]:
+            left, right = right, left
+        (la, _, lc), (ra, _, rc) = nodes[_key(left)], nodes[_key(right)]
+        total = lc[np.flatnonzero(la == i)[0]][:, None] + distance[np.ix_(la, ra)] + rc[:, np.flatnonzero(ra == j)[0]][None]
+        a, b = np.unravel_index(int(np.argmin(total)), total.shape)
+        todo += [(right, int(ra[b]), j), (left, i, int(la[a]))]
+    return out
 
 
-def leaves(tree) -> list[int]:
-    return leaves(tree[0]) + leaves(tree[1]) if isinstance(tree, tuple) and tree else ([] if tree == () else [tree])
+def _key(node):
+    return (id(node), node if not isinstance(node, tuple) else None)
 
 
-def display_order(s: np.ndarray, labels: np.ndarray, method: str = "average", most_exact: int = 60) -> list[int]:
+def _min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.empty((len(a), b.shape[1]))
+    for i in range(len(a)):
+        out[i] = (a[i][:, None] + b).min(0)
+    return out
+
+
+def display_order(s: np.ndarray, labels: np.ndarray, method: str = "average") -> list[int]:
     """Positions of retained rows: clusters by size, each in leaf order, pairs by mean, singles as they are."""
     out: list[int] = []
-    names, first, size = np.unique(labels[labels >= 0], return_index=True, return_counts=True)
-    del first
+    names, size = np.unique(labels[labels >= 0], return_counts=True)
     for c in names[np.lexsort((names, -size))]:
         own = np.flatnonzero(labels == c)
         if len(own) > 2:
             d = 1.0 - s[np.ix_(own, own)]
-            tree = linkage_tree(d, method)
-            order = optimal_leaf_order(tree, d) if len(own) <= most_exact else leaves(tree)
-            own = own[order[::-1]]
+            own = own[optimal_leaf_order(linkage_tree(d, method), d)[::-1]]
         elif len(own) == 2:
             own = own[np.argsort(-s[own].mean(1), kind="stable")]
         out += own.tolist()
@@ -206,40 +242,66 @@ def display_order(s: np.ndarray, labels: np.ndarray, method: str = "average", mo
 # ---------------------------------------------------------------- clustering
 
 
-def merge_clusters(s: np.ndarray, samples: np.ndarray, threshold: float, inter_only: bool = False, most: int = 10_000) -> np.ndarray:
-    """Average-linkage merging while the best mean similarity exceeds threshold; label per row."""
-    n = len(s)
-    if inter_only:
-        allowed = (samples[:, None] != samples[None, :]).astype(float)
-    else:
-        allowed = np.ones((n, n))
-    total, pairs = s * allowed, allowed.copy()
-    labels, alive = np.arange(n), np.ones(n, bool)
-    for _ in range(most):
-        with np.errstate(invalid="ignore", divide="ignore"):
-            mean = np.where(pairs > 0, total / pairs, 0.0)
-        mean[~alive] = -np.inf
-        mean[:, ~alive] = -np.inf
+class Merges:
+    """Average-linkage merges of `s`, best pair first; the sequence is found once for all thresholds.
+
+    Each row keeps its best partner, so a merge looks at one row and at rows whose partner went.
+    The cap of 10,000 merges is that of the method as published by its users."""
+
+    def __init__(self, s: np.ndarray, samples: np.ndarray, inter_only: bool = False, most: int = 10_000):
+        n = len(s)
+        pairs = (samples[:, None] != samples[None, :]).astype(float) if inter_only else np.ones((n, n))
+        total = s * pairs
+        self.steps: list[tuple[int, int, float]] = []
+        mean = self._mean(total, pairs)
         np.fill_diagonal(mean, -np.inf)
-        if n < 2:
-            break
-        i, j = np.unravel_index(int(np.argmax(mean)), mean.shape)
-        if mean[i, j] <= threshold:
-            break
-        i, j = min(i, j), max(i, j)
-        for a in (total, pairs):
-            a[i] += a[j]
-            a[:, i] += a[:, j]
-        labels[labels == j] = i
-        alive[j] = False
-    return labels
+        best = mean.argmax(1) if n else np.empty(0, np.int64)
+        high = mean[np.arange(n), best]
+        for _ in range(min(most, max(0, n - 1))):
+            i = int(np.argmax(high))
+            if high[i] == -np.inf:
+                break
+            j = int(best[i])
+            self.steps.append((min(i, j), max(i, j), float(high[i])))
+            i, j = min(i, j), max(i, j)
+            for a in (total, pairs):
+                a[i] += a[j]
+                a[:, i] += a[:, j]
+            row = self._mean(total[i], pairs[i])
+            dead = mean[i] == -np.inf
+            row[dead], row[j], row[i] = -np.inf, -np.inf, -np.inf
+            mean[i] = mean[:, i] = row
+            mean[j] = mean[:, j] = -np.inf
+            stale = np.flatnonzero((best == i) | (best == j))
+            for k in np.union1d(stale, [i, j]):
+                best[k] = mean[k].argmax()
+                high[k] = mean[k, best[k]]
+            better = (row > high) | ((row == high) & (i < best))
+            best[better], high[better] = i, row[better]
+
+    @staticmethod
+    def _mean(total: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        return np.divide(total, pairs, out=np.zeros_like(total), where=pairs > 0)
+
+    def labels(self, n: int, threshold: float) -> np.ndarray:
+        """Label per row after the merges before the first at or below `threshold`."""
+        out = np.arange(n)
+        for i, j, mean in self.steps:
+            if mean <= threshold:
+                break
+            out[out == j] = i
+        return out
 
 
-def centroid_clusters(s: np.ndarray, samples: np.ndarray, threshold: float, min_cluster: int, inter_only: bool = False) -> np.ndarray:
-    """Labels, -1 for dropped rows: clusters of fewer than min_cluster samples go and merging restarts."""
+def centroid_clusters(s: np.ndarray, samples: np.ndarray, threshold: float, min_cluster: int, inter_only: bool = False, known: dict | None = None) -> np.ndarray:
+    """Labels, -1 for dropped rows: clusters of fewer than min_cluster samples go and merging restarts.
+    known: merges by the rows they are of, shared between thresholds."""
+    known = {} if known is None else known
     keep = np.arange(len(s))
     while len(keep):
-        labels = merge_clusters(s[np.ix_(keep, keep)], samples[keep], threshold, inter_only)
+        if keep.tobytes() not in known:
+            known[keep.tobytes()] = Merges(s[np.ix_(keep, keep)], samples[keep], inter_only)
+        labels = known[keep.tobytes()].labels(len(keep), threshold)
         few = np.array([len(set(samples[keep][labels == c])) < min_cluster for c in labels])
         if not few.any():
             out = np.full(len(s), -1)
@@ -425,12 +487,14 @@ def two_normals(x: np.ndarray, rounds: int = 300, starts: int = 5, seed: int = 0
 
 
 def crossover(x: np.ndarray) -> float | None:
-    """First of 500 points between the extremes where the higher normal is at least as likely; null if unclear."""
+    """First of 500 points on [0, 1] where the higher normal is at least as likely as the lower; null below 4 values."""
     x = np.asarray(x, float)
     if len(x) < 4:
         return None
     weight, mean, dev = two_normals(x)
-    grid = np.linspace(x.min(), x.max(), 500)
-    dense = weight * np.exp(-0.5 * ((grid[:, None] - mean) / dev) ** 2) / dev
-    over = np.flatnonzero((dense[:, 1] >= dense[:, 0]) & (grid >= mean[0]))
-    return float(grid[over[0]]) if len(over) else None
+    if mean[1] - mean[0] < 0.05:
+        warnings.warn("the two components have close means; the threshold may be unreliable", UserWarning, stacklevel=2)
+    grid = np.linspace(0, 1, 500)
+    with np.errstate(divide="ignore"):
+        log = np.log(weight) - np.log(dev) - 0.5 * ((grid[:, None] - mean) / dev) ** 2
+    return float(grid[int(np.argmax(log[:, 1] >= log[:, 0]))])

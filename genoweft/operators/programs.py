@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import adjust_pvalues, hypergeom_sf
 from . import kernels
-from .core import combined_score, top_genes
+from .core import combined_score, require_columns, top_genes
 
 METHODS = ("single", "complete", "average", "ward")
 METRICS = ("ratio", "delta", "silhouette")
@@ -119,8 +119,9 @@ def programs_threshold(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, samples, s = _split(pdf)
         values: list[float | None] = []
+        known: dict = {}
         for t in grid:
-            labels = kernels.centroid_clusters(s, samples, float(t), min_cluster)
+            labels = kernels.centroid_clusters(s, samples, float(t), min_cluster, known=known)
             own = labels >= 0
             names = np.unique(labels[own])
             value = None
@@ -133,6 +134,8 @@ def programs_threshold(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[
                 else:
                     value = q["inner"] / q["outer"] if q["outer"] > 0 else None
             values.append(value)
+        if all(v is None for v in values):
+            raise ValueError("no threshold gives a valid partition")
         y = np.array([-np.inf if v is None else v for v in values])
         with np.errstate(invalid="ignore"):
             sign = np.sign(np.nan_to_num(np.diff(y), nan=0.0, posinf=1, neginf=-1))
@@ -149,6 +152,19 @@ def programs_threshold(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[
     return out.withColumn("metric", F.when(~F.isnan("metric"), F.col("metric")))
 
 
+def best_threshold(sweep: DataFrame) -> float:
+    """The threshold that a sweep marks as optimal."""
+    row = require_columns(sweep, "threshold", "is_optimal").where("is_optimal").first()
+    if row is None:
+        raise ValueError("no threshold gives a valid partition")
+    return float(row["threshold"])
+
+
+def sweep_peaks(sweep: DataFrame) -> DataFrame:
+    """(threshold, metric) of local maxima other than the optimum."""
+    return sweep.where("is_local_max and not is_optimal").select("threshold", "metric")
+
+
 # ---------------------------------------------------------------- what a program is
 
 
@@ -171,6 +187,12 @@ def meta_genes(members: DataFrame, top: DataFrame, k: int) -> DataFrame:
     return freq.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
+def gene_lists(genes: DataFrame) -> DataFrame:
+    """(name, genes): `C{program}` and its genes in rank order."""
+    ordered = F.array_sort(F.collect_list(F.struct("rank", "gene_idx")))
+    return require_columns(genes, "program", "rank", "gene_idx").groupBy("program").agg(F.transform(ordered, lambda s: s["gene_idx"]).alias("genes")).select(F.concat(F.lit("C"), F.col("program").cast("string")).alias("name"), "genes")
+
+
 def program_samples(members: DataFrame) -> DataFrame:
     return members.groupBy("program").agg(F.array_sort(F.collect_set("sample_id")).alias("samples"))
 
@@ -183,6 +205,22 @@ def donor_counts(members: DataFrame) -> DataFrame:
     return out.withColumn("fraction", F.col("n_factors") / F.sum("n_factors").over(Window.partitionBy("program")))
 
 
+def program_share(members: DataFrame, metric: str = "n_factors", scores: DataFrame | None = None) -> DataFrame:
+    """(program, donor, value) of the full grid: factors, their share of the program, or the donor's
+    aggregate score P{program} of `scores` (sample_id, P0, ...), 0 for donors that it lacks."""
+    if metric not in ("n_factors", "fraction", "mean_score"):
+        raise ValueError("metric must be 'n_factors', 'fraction' or 'mean_score'")
+    grid = donor_counts(members)
+    if metric != "mean_score":
+        return grid.select("program", "donor", F.col(metric).cast("double").alias("value"))
+    if scores is None:
+        raise KeyError("mean_score needs aggregate scores")
+    programs = sorted(_known(members))
+    require_columns(scores, "sample_id", *[f"P{p}" for p in programs])
+    long = scores.select(F.col("sample_id").alias("donor"), F.explode(F.create_map(*[x for p in programs for x in (F.lit(p), F.col(f"P{p}").cast("double"))])).alias("program", "value"))
+    return grid.select("program", "donor").join(long, ["program", "donor"], "left").select("program", "donor", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
 def partition_quality(members: DataFrame, edges: DataFrame) -> DataFrame:
     """(inner, outer, ratio, delta): mean similarity of same-program cells (zero diagonal included) and of the others."""
     m = members.select("factor_id", "program")
@@ -215,8 +253,10 @@ def _known(members: DataFrame) -> set[int]:
     return {r["program"] for r in members.select("program").distinct().collect()}  # programs, not rows
 
 
-def programs_merge(members: DataFrame, clusters: Sequence) -> DataFrame:
-    """Members with every group of labels merged into its least; labels are made contiguous."""
+def programs_merge(members: DataFrame, clusters: Sequence, edges: DataFrame | None = None, method: str = "average") -> DataFrame:
+    """Members with every group of labels merged into its least; with `edges`, ordered anew and
+    labelled in display order (rebuild()), else made contiguous."""
+    require_columns(members, "factor_id", "sample_id", "program")
     groups = [list(g) for g in clusters] if clusters and isinstance(clusters[0], Iterable) else [list(clusters)] if clusters else []
     if not groups:
         raise ValueError("clusters must not be empty")
@@ -233,11 +273,13 @@ def programs_merge(members: DataFrame, clusters: Sequence) -> DataFrame:
     label = F.col("program")
     for g in groups:
         label = F.when(F.col("program").isin([int(x) for x in g]), int(min(g))).otherwise(label)
-    return _contiguous(members.withColumn("program", label))
+    merged = members.withColumn("program", label)
+    return _contiguous(merged) if edges is None else rebuild(merged, edges, method)
 
 
-def programs_remove(members: DataFrame, clusters: Sequence[int]) -> DataFrame:
-    """Members without the labels; the rest are made contiguous."""
+def programs_remove(members: DataFrame, clusters: Sequence[int], edges: DataFrame | None = None, method: str = "average") -> DataFrame:
+    """Members without the labels; the rest ordered and labelled as in programs_merge()."""
+    require_columns(members, "factor_id", "sample_id", "program")
     if not clusters:
         raise ValueError("clusters must not be empty")
     known = _known(members)
@@ -248,7 +290,8 @@ def programs_remove(members: DataFrame, clusters: Sequence[int]) -> DataFrame:
         raise ValueError("duplicate programs")
     if set(clusters) == known:
         raise ValueError("cannot remove all programs")
-    return _contiguous(members.where(~F.col("program").isin([int(c) for c in clusters])))
+    left = members.where(~F.col("program").isin([int(c) for c in clusters]))
+    return _contiguous(left) if edges is None else rebuild(left, edges, method)
 
 
 def _contiguous(members: DataFrame) -> DataFrame:
@@ -256,6 +299,40 @@ def _contiguous(members: DataFrame) -> DataFrame:
     return members.join(new, "program").drop("program").withColumnRenamed("p", "program")
 
 
+def rebuild(members: DataFrame, edges: DataFrame, method: str = "average") -> DataFrame:
+    """(factor_id, sample_id, program, display_pos) of members whose labels changed: display order
+    found anew, labels contiguous in it. One group: members are ranks times samples."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {METHODS}")
+    label = members.select(F.col("factor_id").cast("int"), F.col("program").cast("int").alias("program")).distinct()
+    rows = _nodes_and_edges(members, edges).join(label, "factor_id", "left")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, samples, s = _split(pdf)
+        labels = pdf[pdf["factor_id"] >= 0].sort_values("factor_id")["program"].to_numpy().astype(int)
+        return _finish(ids, samples, labels, s, True, method)
+
+    return rows.groupBy("g").applyInPandas(run, LABELS)
+
+
+def finalise(members: DataFrame, loadings: DataFrame, edges: DataFrame, n_top: int = 50, member_top: DataFrame | None = None) -> dict[str, DataFrame]:
+    """What belongs to a clustering: members, centroids, genes (program, rank, gene_idx), samples and
+    stats (inner, outer, silhouette). With member_top (progressive mode) the genes are those most
+    members have, else those of highest combined score. After programs_merge() or
+    programs_remove() the same call gives the rebuilt state."""
+    require_columns(members, "factor_id", "sample_id", "program")
+    if n_top < 1:
+        raise ValueError("n_top must be at least 1")
+    cents = centroids(members, loadings)
+    if member_top is None:
+        genes = program_genes(cents, n_top)
+    else:
+        order = Window.partitionBy("program").orderBy("gene_idx")
+        genes = meta_genes(members, member_top, n_top).select("program", F.row_number().over(order).alias("rank"), "gene_idx")
+    stats = partition_quality(members, edges).select("inner", "outer").crossJoin(silhouette(members, edges))
+    return {"members": members, "centroids": cents, "genes": genes, "samples": program_samples(members), "stats": stats}
+
+
 # ---------------------------------------------------------------- comparison
 
 
@@ -270,34 +347,63 @@ def program_overlaps(a: DataFrame, b: DataFrame, metric: str = "jaccard") -> Dat
     return sa.crossJoin(sb).select("program_a", "program_b", F.coalesce(both / F.nullif(under, F.lit(0)), F.lit(0.0)).alias("value"))
 
 
-def programs_stability(members: DataFrame, loadings: DataFrame, genes: DataFrame, top_k: int = 50, mode: str = "centroid", member_top: DataFrame | None = None) -> DataFrame:
+def programs_stability(members: DataFrame, loadings: DataFrame, genes: DataFrame, top_k: int = 50, mode: str = "centroid", member_top: DataFrame | None = None, min_program_genes: int = 1) -> DataFrame:
     """(program, donor, jaccard, contributed): gene set without one donor's factors against the
-    program's own first top_k genes (program, rank, gene_idx); null when no member is left."""
+    program's own first top_k genes (program, rank, gene_idx); null when no member is left.
+
+    Sums over a program less those of one donor give what is left, so no factor is copied per
+    donor; donors without a member of a program share one result of the whole program."""
+    require_columns(members, "factor_id", "sample_id", "program")
+    require_columns(genes, "program", "rank", "gene_idx")
+    if top_k < 1 or min_program_genes < 1:
+        raise ValueError("top_k and min_program_genes must be at least 1")
     if mode not in ("centroid", "progressive"):
         warnings.warn("unknown mode; using 'centroid'", UserWarning, stacklevel=2)
         mode = "centroid"
-    m = members.select("factor_id", "program", "sample_id")
-    donors = m.select(F.col("sample_id").alias("donor")).distinct()
-    left = m.crossJoin(donors).where("sample_id <> donor").select("factor_id", "program", "donor")
+    held = {r["program"]: r["n"] for r in genes.groupBy("program").agg(F.count("*").alias("n")).collect()}  # programs, not rows
+    few, cut = sorted(p for p, n in held.items() if n < min_program_genes), sorted(p for p, n in held.items() if n > top_k)
+    if few:
+        warnings.warn(f"programs of fewer than {min_program_genes} genes: {few}", UserWarning, stacklevel=2)
+    if cut:
+        warnings.warn(f"programs of more than {top_k} genes are cut to these: {cut}", UserWarning, stacklevel=2)
+    m = members.select("factor_id", "program", F.col("sample_id").alias("donor"))
     canonical = genes.where(F.col("rank") <= top_k).select("program", "gene_idx")
+    size = m.groupBy("program", "donor").agg(F.count("*").alias("n_donor"))
+    size = size.withColumn("n_left", F.sum("n_donor").over(Window.partitionBy("program")) - F.col("n_donor"))
+    whole_size = m.groupBy("program").agg(F.count("*").alias("n_left"))
+    rows = loadings if mode == "centroid" else (member_top if member_top is not None else top_genes(loadings, top_k))
+    part = m.join(rows.select("factor_id", "gene_idx", "loading"), "factor_id").groupBy("program", "donor", "gene_idx").agg(
+        F.sum("loading").alias("s"), F.count("*").alias("c"), F.max("loading").alias("best")
+    )
+    whole = part.groupBy("program", "gene_idx").agg(F.sum("s").alias("ts"), F.sum("c").alias("tc"), F.slice(F.sort_array(F.collect_list("best"), False), 1, 2).alias("tops"))
+    # A donor that holds the greatest loading leaves the second; a tie leaves an equal one.
+    left = size.where("n_left > 0").join(whole, "program").join(part, ["program", "donor", "gene_idx"], "left")
+    without = F.when(F.col("best") == F.col("tops")[0], F.col("tops")[1]).otherwise(F.col("tops")[0])
+    left = left.select("program", "donor", "n_left", "gene_idx", (F.col("ts") - F.coalesce("s", F.lit(0.0))).alias("s"), (F.col("tc") - F.coalesce("c", F.lit(0))).alias("c"), without.alias("best"))
+    nobody = whole.join(whole_size, "program").select("program", F.lit(None).cast("long").alias("donor"), "n_left", "gene_idx", F.col("ts").alias("s"), F.col("tc").alias("c"), F.col("tops")[0].alias("best"))
+    both = left.unionByName(nobody).where("c > 0")
     if mode == "centroid":
-        mean = left.join(loadings.select("factor_id", "gene_idx", "loading"), "factor_id").groupBy("program", "donor", "gene_idx").agg(F.avg("loading").alias("loading"))
-        g = F.col("loading")
-        scored = mean.withColumn("score", F.greatest(g * F.log(g / (g + 1e-8) + 1e-8), F.lit(0.0)))
-        order = Window.partitionBy("program", "donor").orderBy(F.desc("score"), F.desc("gene_idx"))
+        g = F.greatest(F.col("s") / F.col("n_left"), F.lit(0.0))
+        score = F.greatest(F.coalesce(g * F.log(g / (g + 1e-8) + 1e-8), F.lit(0.0)), F.lit(0.0))
+        order = Window.partitionBy("program", "donor").orderBy(F.desc(score), F.desc("gene_idx"))
     else:
-        held = left.join((member_top if member_top is not None else top_genes(loadings, top_k)).select("factor_id", "gene_idx", "loading"), "factor_id")
-        scored = held.groupBy("program", "donor", "gene_idx").agg(F.count("*").alias("freq"), F.max("loading").alias("best"))
-        order = Window.partitionBy("program", "donor").orderBy(F.desc("freq"), F.desc("best"), "gene_idx")
-    kept = scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).select("program", "donor", "gene_idx")
+        order = Window.partitionBy("program", "donor").orderBy(F.desc("c"), F.desc("best"), "gene_idx")
+    kept = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top_k).select("program", "donor", "gene_idx")
     na = canonical.groupBy("program").agg(F.count("*").alias("na"))
-    nb = kept.groupBy("program", "donor").agg(F.count("*").alias("nb"))
-    both = kept.join(canonical, ["program", "gene_idx"]).groupBy("program", "donor").agg(F.count("*").alias("c"))
-    grid = members.select("program").distinct().crossJoin(donors)
-    owners = m.select("program", F.col("sample_id").alias("donor"), F.lit(True).alias("own")).distinct()
-    out = grid.join(na, "program", "left").join(nb, ["program", "donor"], "left").join(both, ["program", "donor"], "left").join(owners, ["program", "donor"], "left")
-    c = F.coalesce("c", F.lit(0)).cast("double")
-    return out.select("program", "donor", F.when(F.col("nb").isNotNull(), c / (F.col("na") + F.col("nb") - c)).alias("jaccard"), F.coalesce("own", F.lit(False)).alias("contributed"))
+    hit = kept.join(canonical.withColumn("own", F.lit(1)), ["program", "gene_idx"], "left").groupBy("program", "donor").agg(F.count("*").alias("nb"), F.sum("own").alias("hit"))
+    c = F.coalesce("hit", F.lit(0)).cast("double")
+    value = hit.join(na, "program").select("program", "donor", (c / (F.col("na") + F.col("nb") - c)).alias("jaccard"))
+    grid = m.select("program").distinct().crossJoin(m.select("donor").distinct())
+    out = grid.join(size, ["program", "donor"], "left").join(value.where("donor is not null"), ["program", "donor"], "left")
+    out = out.join(value.where("donor is null").select("program", F.col("jaccard").alias("all")), "program", "left").join(na, "program", "left")
+    found = F.when(F.col("na").isNull(), 0.0).when(F.col("n_donor").isNull(), F.col("all")).otherwise(F.col("jaccard"))
+    return out.select("program", "donor", found.alias("jaccard"), F.col("n_donor").isNotNull().alias("contributed"))
+
+
+def stability_table(stability: DataFrame, donors: Sequence) -> DataFrame:
+    """(program, one column per donor, mean): the matrix of jaccards and its mean over donors with a value."""
+    mean = stability.groupBy("program").agg(F.avg("jaccard").alias("mean"))
+    return stability.groupBy("program").pivot("donor", list(donors)).agg(F.max("jaccard")).join(mean, "program")
 
 
 # ---------------------------------------------------------------- enrichment
@@ -308,19 +414,42 @@ def programs_annotate(genes: DataFrame, gene_sets: DataFrame, universe: DataFram
     genes(program, gene_idx), gene_sets(gene_set, gene_idx) and universe(gene_idx)."""
     if min_overlap < 0:
         raise ValueError("min_overlap must be at least 0")
+    require_columns(genes, "program", "gene_idx")
+    require_columns(gene_sets, "gene_set", "gene_idx")
     p = genes.select("program", "gene_idx").distinct()
     s = gene_sets.select("gene_set", "gene_idx").distinct().join(universe.select("gene_idx"), "gene_idx", "left_semi")
+    if s.isEmpty():
+        raise ValueError("no gene of a set is in the universe")
     np_, ns = p.groupBy("program").agg(F.count("*").alias("n_program")), s.groupBy("gene_set").agg(F.count("*").alias("n_geneset"))
     both = p.join(s, "gene_idx").groupBy("program", "gene_set").agg(F.count("*").alias("c"))
     size = universe.select("gene_idx").distinct().agg(F.count("*").alias("n_background"))
-    grid = np_.crossJoin(ns).join(both, ["program", "gene_set"], "left").withColumn("n_overlap", F.coalesce("c", F.lit(0))).where(F.col("n_overlap") >= min_overlap).crossJoin(size)
+    if min_overlap >= 1:  # only pairs that share a gene can reach it
+        grid = both.where(F.col("c") >= min_overlap).withColumnRenamed("c", "n_overlap").join(np_, "program").join(ns, "gene_set")
+    else:
+        grid = np_.crossJoin(ns).join(both, ["program", "gene_set"], "left").withColumn("n_overlap", F.coalesce("c", F.lit(0)))
+    grid = grid.crossJoin(size)
     d = lambda c: F.col(c).cast("double")
     out = grid.select(
         "program", "gene_set", F.round(d("n_overlap") / (F.col("n_program") + F.col("n_geneset") - F.col("n_overlap")), 6).alias("jaccard"),
         "n_overlap", "n_program", "n_geneset", "n_background",
         F.when(F.col("n_overlap") == 0, 1.0).otherwise(hypergeom_sf(F.col("n_overlap"), d("n_background"), d("n_geneset"), d("n_program"))).alias("pval"),
     )
-    return adjust_pvalues(out, "pval", "padj", padj_method)
+    return adjust_pvalues(out, "pval", "padj", padj_method).orderBy("padj", "program", "gene_set")
+
+
+def set_order(hits: DataFrame) -> DataFrame:
+    """(gene_set, pos, jaccard): sets by their best Jaccard, highest first."""
+    best = hits.groupBy("gene_set").agg(F.max("jaccard").alias("jaccard"))
+    return best.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("jaccard"), "gene_set")) - 1)
+
+
+def annotation_cells(hits: DataFrame, level: float = 0.05) -> DataFrame:
+    """(gene_set, pos, program, jaccard, padj, significant) of the full grid of sets, in order, and
+    programs: 0 and 1 where a program lacks a set."""
+    grid = set_order(hits).select("gene_set", "pos").crossJoin(hits.select("program").distinct())
+    out = grid.join(hits.select("program", "gene_set", "jaccard", "padj"), ["program", "gene_set"], "left")
+    padj = F.coalesce("padj", F.lit(1.0))
+    return out.select("gene_set", "pos", "program", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"), padj.alias("padj"), (padj < level).alias("significant"))
 
 
 def top_hits(annotation: DataFrame, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import adjust_pvalues, normal_sf
 from . import kernels
+from .core import require_columns
 
 # ---------------------------------------------------------------- scores
 
@@ -24,6 +25,43 @@ def gene_means(expr: DataFrame, n_cells: int, n_genes: int) -> DataFrame:
     return every.join(sums, "gene_idx", "left").select("gene_idx", (F.coalesce("s", F.lit(0.0)) / n_cells).alias("mean_expr"))
 
 
+def align_genes(program_genes: DataFrame, cell_genes: DataFrame, fitted_genes: DataFrame, n_top: int, name_col: str = "gene") -> DataFrame:
+    """Rows of program_genes whose gene is among those of the cells and of the fit, by name.
+
+    Raises if these share no gene or fewer than n_top; warns of fitted genes that the cells lack
+    and of programs left short or empty. Names are gene-level metadata, never rows."""
+    for df in (program_genes, cell_genes, fitted_genes):
+        require_columns(df, name_col)
+    if n_top < 1:
+        raise ValueError("n_top must be at least 1")
+    fitted = fitted_genes.select(name_col).distinct()
+    shared = fitted.join(cell_genes.select(name_col).distinct(), name_col, "left_semi")
+    n_shared, n_fitted = shared.count(), fitted.count()
+    if n_shared == 0:
+        raise ValueError("the cells have none of the fitted genes")
+    if n_shared < n_top:
+        raise ValueError(f"only {n_shared} genes are shared, n_top is {n_top}")
+    if n_shared < n_fitted:
+        warnings.warn(f"{n_fitted - n_shared} fitted genes are not among the cells' and are left out", UserWarning, stacklevel=2)
+    out = program_genes.join(shared, name_col, "left_semi")
+    left = {r["program"]: r["n"] for r in out.groupBy("program").agg(F.count("*").alias("n")).collect()}
+    names = [r["program"] for r in program_genes.select("program").distinct().collect()]
+    for p in sorted(names):
+        if left.get(p, 0) == 0:
+            warnings.warn(f"program C{p} has no gene left", UserWarning, stacklevel=2)
+        elif left[p] < n_top:
+            warnings.warn(f"program C{p} has {left[p]} genes of {n_top}", UserWarning, stacklevel=2)
+    return out
+
+
+def warn_if_raw(expr: DataFrame, most: float = 40.0) -> DataFrame:
+    """`expr`; warns if a value above `most` says that it holds counts rather than logarithms."""
+    top = require_columns(expr, "value").agg(F.max("value")).first()[0]
+    if top is not None and top > most:
+        warnings.warn(f"values up to {top:g}: these look like raw counts", UserWarning, stacklevel=2)
+    return expr
+
+
 def gene_bins(means: DataFrame, bins: int = 25) -> DataFrame:
     """`means` with `bin`: number of percentile edges at or below the mean, less one; the last edge is nudged."""
     edges = means.agg(F.percentile("mean_expr", [i / bins for i in range(bins + 1)]).alias("e"))
@@ -84,18 +122,30 @@ def score_aggregate(scores: DataFrame, cells: DataFrame, programs: Sequence[int]
     per = scores.join(cells.select("cell_id", "sample_id"), "cell_id").groupBy("sample_id").pivot("program", list(programs)).agg(how)
     per = per.select("sample_id", *[F.col(str(p)).alias(f"P{p}") for p in programs])
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("cell_id"))).alias(c) for c in obs_cols]
-    kept = cells.groupBy("sample_id").agg(F.count("*").alias("n_cells"), *first).where(F.col("n_cells") >= min_cells).drop("n_cells")
+    counts = cells.groupBy("sample_id").agg(F.count("*").alias("n_cells"), *first)
+    enough = {bool(r["e"]): r["n"] for r in counts.groupBy((F.col("n_cells") >= min_cells).alias("e")).agg(F.count("*").alias("n")).collect()}
+    if not enough.get(True):
+        raise ValueError(f"no sample has {min_cells} cells")
+    if enough.get(False):
+        warnings.warn(f"{enough[False]} samples of fewer than {min_cells} cells are left out", UserWarning, stacklevel=2)
+    kept = counts.where(F.col("n_cells") >= min_cells).drop("n_cells")
     return per.join(kept, "sample_id")
 
 
 def score_classify(scores: DataFrame, expr: DataFrame, cells: DataFrame, genes: DataFrame, n_shuffles: int = 20, n_cells_per_shuffle: int = 5000, padj_thresh: float = 0.05, seed: int = 123) -> DataFrame:
     """(cell_id, program, score, pval, padj, label). The null of a program is the mean expression of
     its genes over drawn cells: shuffling a gene's values cannot change its mean, so none is shuffled.
-    Cells are drawn by the rank of a seeded hash within each shuffle."""
+    Cells are drawn by the rank of a seeded hash within each shuffle, exactly n_cells_per_shuffle of
+    them: counts per range of the hash tell the range in which the last is, and only that is ranked."""
     if n_shuffles < 1 or n_cells_per_shuffle < 1:
         raise ValueError("n_shuffles and n_cells_per_shuffle must be at least 1")
     if not 0 < padj_thresh <= 1:
         raise ValueError("padj_thresh must be in (0, 1]")
+    require_columns(scores, "cell_id", "program", "score")
+    require_columns(genes, "program", "gene_idx")
+    empty = scores.select("program").distinct().join(genes, "program", "left_anti").collect()
+    if empty:
+        warnings.warn(f"programs without genes: {sorted(r['program'] for r in empty)}", UserWarning, stacklevel=2)
     n_cells = cells.count()
     take = min(n_cells, n_cells_per_shuffle)
     size = genes.groupBy("program").agg(F.count("*").alias("n"))
@@ -104,12 +154,16 @@ def score_classify(scores: DataFrame, expr: DataFrame, cells: DataFrame, genes:
         nulls = sums.groupBy("program").agg(F.sum("v").alias("t")).join(size, "program").select("program", (F.col("t") / (F.col("n") * take)).alias("mean"), F.lit(1e-8).alias("std"))
     else:
         drawn = cells.select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("s"))
-        drawn = drawn.withColumn("u", F.xxhash64(F.lit(seed), "s", "cell_id"))
-        cut = drawn.groupBy("s").agg(F.percentile_approx("u", take / n_cells, 10000).alias("c"))
-        drawn = drawn.join(cut, "s").where("u <= c").select("cell_id", "s")
-        held = drawn.groupBy("s").agg(F.count("*").alias("m"))
-        per = drawn.join(sums, "cell_id").groupBy("s", "program").agg(F.sum("v").alias("t")).join(size, "program").join(held, "s")
-        per = per.select("program", (F.col("t") / (F.col("n") * F.col("m"))).alias("x"))
+        drawn = drawn.withColumn("u", F.xxhash64(F.lit(seed), "s", "cell_id")).withColumn("b", F.shiftrightunsigned("u", 48))
+        upto = drawn.groupBy("s", "b").agg(F.count("*").alias("m"))
+        upto = upto.withColumn("upto", F.sum("m").over(Window.partitionBy("s").orderBy("b")))
+        last = upto.where((F.col("upto") >= take) & (F.col("upto") - F.col("m") < take)).select("s", F.col("b").alias("last"), (take - F.col("upto") + F.col("m")).alias("more"))
+        drawn = drawn.join(F.broadcast(last), "s")  # one row per shuffle
+        edge = drawn.where("b = last").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("u", "cell_id"))).where("r <= more")
+        drawn = drawn.where("b < last").select("cell_id", "s").union(edge.select("cell_id", "s"))
+        per = drawn.join(sums, "cell_id").groupBy("s", "program").agg(F.sum("v").alias("t")).join(size, "program")
+        every = genes.select("program").distinct().crossJoin(cells.sparkSession.range(n_shuffles).select(F.col("id").cast("int").alias("s")))
+        per = every.join(per, ["program", "s"], "left").select("program", F.coalesce(F.col("t") / (F.col("n") * take), F.lit(0.0)).alias("x"))
         std = F.stddev_pop("x")
         nulls = per.groupBy("program").agg(F.avg("x").alias("mean"), F.when(std == 0, 1e-8).otherwise(std).alias("std"))
     tested = scores.join(nulls, "program").withColumn("pval", normal_sf((F.col("score") - F.col("mean")) / F.col("std"))).drop("mean", "std")
@@ -211,7 +265,7 @@ def score_associate(samples: DataFrame, formula: str, reml: bool = True, padj_me
     out = long.groupBy("program").applyInPandas(fit, ASSOCIATION)
     clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se", "pval")]
     out = out.select("program", "covariate", *clean, "n_obs", "model", "groups")
-    return adjust_pvalues(out, "pval", "padj", padj_method)
+    return adjust_pvalues(out, "pval", "padj", padj_method).orderBy(F.asc_nulls_last("padj"), "program")
 
 
 def associate_native(samples: DataFrame, programs: Sequence[str], covariate: str) -> DataFrame:
@@ -256,6 +310,26 @@ def heatmap_limits(edges: DataFrame) -> DataFrame:
     return q.select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias("vmin"), F.coalesce(F.col("q")[1], F.lit(1.0)).alias("vmax"))
 
 
+def heatmap_cells(members: DataFrame, edges: DataFrame, transform: bool = False) -> DataFrame:
+    """(row, col, value) by display position: similarities of members, the diagonal 1, absent pairs 0
+    and left out; transform: J / (1 - J), 1 where J is 1."""
+    pos = require_columns(members, "factor_id", "display_pos").select("factor_id", "display_pos")
+    both = edges.select("i", "j", "sim").union(edges.select("j", "i", "sim"))
+    off = both.join(pos.select(F.col("factor_id").alias("i"), F.col("display_pos").alias("row")), "i").join(pos.select(F.col("factor_id").alias("j"), F.col("display_pos").alias("col")), "j")
+    cells = off.select("row", "col", "sim").union(pos.select("display_pos", "display_pos", F.lit(1.0)))
+    return cells.select("row", "col", (F.when(F.col("sim") < 1, F.col("sim") / (1 - F.col("sim"))).otherwise(1.0) if transform else F.col("sim")).alias("value"))
+
+
+def heatmap_scale(cells: DataFrame) -> DataFrame:
+    """(vmin, vmax) of heatmap cells off the diagonal: 1st and 99th percentile of positive values;
+    0 and the greatest if these are within 1e-6; 0 and 1 without any."""
+    q = cells.where("row <> col and value > 0").agg(F.percentile("value", [0.01, 0.99]).alias("q"), F.max("value").alias("top"))
+    flat = F.col("q")[1] - F.col("q")[0] < 1e-6
+    return q.select(
+        F.coalesce(F.when(flat, 0.0).otherwise(F.col("q")[0]), F.lit(0.0)).alias("vmin"), F.coalesce(F.when(flat, F.col("top")).otherwise(F.col("q")[1]), F.lit(1.0)).alias("vmax")
+    )
+
+
 def block_bounds(members: DataFrame) -> DataFrame:
     """(program, first, last) display positions of each program's block."""
     return members.groupBy("program").agg(F.min("display_pos").alias("first"), F.max("display_pos").alias("last"))
@@ -267,11 +341,16 @@ def loading_bars(cents: DataFrame, genes: DataFrame) -> DataFrame:
     return most.join(genes.select("program", "gene_idx"), ["program", "gene_idx"]).select("program", "gene_idx", F.when(F.col("m") > 0, F.col("loading") / F.col("m")).otherwise(0.0).alias("norm_loading"))
 
 
-def colour_limits(scores: DataFrame) -> DataFrame:
-    """(vmin, vmax): 1st and 99th percentile of finite scores."""
-    q = scores.where(~F.isnan("score")).agg(F.percentile("score", [0.01, 0.99]).alias("q"))
-    return q.select(F.col("q")[0].alias("vmin"), F.col("q")[1].alias("vmax"))
+def colour_limits(scores: DataFrame, centre: float = 0.0) -> DataFrame:
+    """(vmin, vmax, two_slope): 1st and 99th percentile of finite scores, and whether the centre lies
+    between; equal limits are parted by 1e-6."""
+    q = scores.where(~F.isnan("score") & (F.abs("score") < float("inf"))).agg(F.percentile("score", [0.01, 0.99]).alias("q"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    high = F.when(low == high, low + 1e-6).otherwise(high)
+    return q.select(low.alias("vmin"), high.alias("vmax"), ((low < centre) & (high > centre)).alias("two_slope"))
 
 
 def association_forest(association: DataFrame, level: float = 0.05) -> DataFrame:
-    return association.select("program", (F.col("beta") - F.col("se")).alias("lo"), "beta", (F.col("beta") + F.col("se")).alias("hi"), (F.coalesce("padj", F.lit(1.0)) < level).alias("significant"))
+    """(program, lo, beta, hi, significant): beta and one standard error about it, by beta."""
+    out = association.select("program", (F.col("beta") - F.col("se")).alias("lo"), "beta", (F.col("beta") + F.col("se")).alias("hi"), (F.coalesce("padj", F.lit(1.0)) < level).alias("significant"))
+    return out.orderBy("beta", "program")

@@ -154,6 +154,13 @@ def _gene_sets(s, d):
     return g.select("gene_set", F.size("genes").cast("long").alias("n_genes"), F.size(F.array_distinct("genes")).cast("long").alias("n_distinct"))
 
 
+@query("collections_nested", "SELECT p_name AS gene_set, min(p_type) AS collection, count(*) AS n_genes FROM part GROUP BY 1 HAVING min(p_type) IN ('ECONOMY', 'PROMO')")
+def _collections(s, d):
+    path = gene_sets.write_collections(s.read.parquet(f"{d}/part.parquet"), "p_name", "p_brand", "p_partkey", "p_type")
+    g = gene_sets.read_msigdb(s, path, ["ECONOMY", "PROMO"])
+    return g.select("gene_set", "collection", F.size("genes").cast("long").alias("n_genes"))
+
+
 @query("gene_select", "SELECT CAST(i AS INT) AS gene_idx, i < 21 OR i IN (40, 41) AS selected FROM range(0, 64) t(i)")
 def _gene_select(s, d):
     genes = s.range(GENES).select(F.col("id").cast("int").alias("gene_idx"), F.concat(F.lit("G"), "id").alias("gene"), (F.col("id") <= 20).alias("highly_variable"))
@@ -209,8 +216,24 @@ query("combined_score", f"WITH {_PF} SELECT factor_id, gene_idx, round(greatest(
 query("factor_top_genes", f"WITH {_TOP} SELECT factor_id, CAST(rank AS INT) AS rank, gene_idx FROM tg")(lambda s, d: core.top_genes(factors(s, d), TOP).select("factor_id", F.col("rank").cast("int"), "gene_idx"))
 _LABELS = [f"{x}_F{n}" for x in range(10) for n in range(5)]
 query("factor_loadings_wide", f"WITH {_PF} SELECT gene_idx, " + ", ".join(f'round(max(loading) FILTER (WHERE sample_id = {c.split("_F")[0]} AND factor_id % 5 = {c.split("_F")[1]}), 6) AS "{c}"' for c in _LABELS) + " FROM pf GROUP BY 1")(
-    lambda s, d: _r(factors(s, d).withColumn("label", F.concat(F.col("sample_id").cast("string"), F.lit("_F"), F.dense_rank().over(Window.partitionBy("sample_id").orderBy("factor_id")) - 1)).groupBy("gene_idx").pivot("label", _LABELS).agg(F.max("loading")), *_LABELS)
+    lambda s, d: _r(core.factor_loadings(factors(s, d), samples=range(10), per_sample=5), *_LABELS)
 )
+_KEPT = [f"{x}_F{n}" for x in range(10) for n in range(3)]
+
+
+@query("factor_loadings_kept", f"WITH {_PF} SELECT gene_idx, " + ", ".join(f'round(max(loading) FILTER (WHERE sample_id = {c.split("_F")[0]} AND factor_id % 5 = {2 * int(c.split("_F")[1])}), 6) AS "{c}"' for c in _KEPT) + " FROM pf GROUP BY 1")
+def _kept(s, d):
+    f = factors(s, d)
+    keep = f.select("factor_id", (F.col("factor_id") % 5 % 2 == 0).alias("keep")).distinct()
+    return _r(core.factor_loadings(f, keep, True, range(10), 3), *_KEPT)
+
+
+@query("factor_scores_wide")
+def _scores_wide(s, d):
+    out = core.nmf_fit(expr(s, d), cells(s, d), GENES, (2, 3), min_cells=10, center=False, tol=1e-4, max_iter=300, keep_scores=True)
+    return _r(core.factor_scores(out, (2, 3)), *[f"F{n}" for n in range(5)])
+
+
 query("factor_similarity", f"WITH {_SIM} SELECT i, j, round(sim, 6) AS sim FROM sim")(lambda s, d: _r(edges(s, d), "sim"))
 query("factor_similarity_inter", f"WITH {_SIM} SELECT i, j, round(sim, 6) AS sim FROM sim WHERE si <> sj")(lambda s, d: _r(core.similarity(factors(s, d), top_k=TOP, intra_sample=False), "sim"))
 query("factor_similarity_combined", f"""WITH {_PF}, c AS (SELECT *, greatest(loading * ln(loading / (avg(loading) OVER (PARTITION BY gene_idx) + 1e-8) + 1e-8), 0) AS score FROM pf),
@@ -232,8 +255,25 @@ def _greedy(s, d):
 
 
 query("match_greedy", f"WITH {_XR} SELECT factor_id, prune_matches FROM mt")(_greedy)
-query("match_hungarian")(lambda s, d: _r(core.match_hungarian(core.cross_rank_pairs(core.top_genes(factors(s, d), TOP))), "sim"))
+_HUN = _TOP + """, g AS (SELECT DISTINCT factor_id, sample_id, k_idx FROM pf), xs AS (SELECT a.sample_id, a.factor_id AS a, b.factor_id AS b, (SELECT count(*) / (40.0 - count(*)) FROM tg x JOIN tg y ON x.gene_idx = y.gene_idx WHERE x.factor_id = a.factor_id AND y.factor_id = b.factor_id) AS sim
+ FROM g a JOIN g b USING (sample_id) WHERE a.k_idx = 0 AND b.k_idx = 1), best AS (SELECT p.sample_id, max(p.sim + q.sim) AS total FROM xs p JOIN xs q ON p.sample_id = q.sample_id AND p.a < q.a AND p.b <> q.b GROUP BY 1)"""
+
+
+@query("match_hungarian", f"WITH {_HUN} SELECT sample_id, ka, CAST(1 - ka AS INT) AS kb, CAST(2 AS BIGINT) AS n, round(total, 6) AS total FROM best, (VALUES (0), (1)) t(ka)")
+def _hungarian(s, d):
+    top = core.top_genes(factors(s, d), TOP)
+    found = core.match_hungarian(core.rank_grid(top, core.cross_rank_pairs(top)))
+    return _r(found.groupBy("sample_id", "ka", "kb").agg(F.count("*").alias("n"), F.sum("sim").alias("total")), "total")
+
+
 query("prune_dedup")(lambda s, d: core.nmf_prune(factors(s, d), 2, TOP, 0.2, 0.5))
+query("prune_greedy", f"""WITH RECURSIVE {_XR}, kp AS (SELECT factor_id, prune_matches, prune_matches >= 1 AS ok FROM mt), sg AS (SELECT a.factor_id AS a, b.factor_id AS b, any_value(a.sample_id) AS sample_id, count(*) / (40.0 - count(*)) AS sim
+ FROM tg a JOIN tg b ON a.gene_idx = b.gene_idx AND a.sample_id = b.sample_id AND a.factor_id <> b.factor_id JOIN kp x ON x.factor_id = a.factor_id AND x.ok JOIN kp y ON y.factor_id = b.factor_id AND y.ok GROUP BY 1, 2),
+rc(f, g) AS (SELECT factor_id, factor_id FROM kp WHERE ok UNION SELECT rc.f, sg.b FROM rc JOIN sg ON sg.a = rc.g AND sim >= 0.3),
+cp AS (SELECT f, min(g) AS c FROM rc GROUP BY 1), ms AS (SELECT x.f, x.c, round(coalesce(sum(sg.sim) / (SELECT count(*) FROM cp z WHERE z.c = x.c), 0), 9) AS m FROM cp x LEFT JOIN (SELECT sg.*, cp.c FROM sg JOIN cp ON cp.f = sg.b) sg ON sg.a = x.f AND sg.c = x.c GROUP BY 1, 2),
+kt AS (SELECT f FROM (SELECT f, row_number() OVER (PARTITION BY c ORDER BY m DESC, f) AS r FROM ms) WHERE r = 1)
+SELECT factor_id, prune_matches, ok AND factor_id IN (SELECT f FROM kt) AS keep FROM kp""")(lambda s, d: core.nmf_prune(factors(s, d), 2, TOP, 0.3, 0.3, matching="greedy"))
+query("drop_zeros", f"WITH {_SIM}, st AS (SELECT * FROM sim WHERE sim >= 0.35) SELECT DISTINCT factor_id FROM pf WHERE factor_id IN (SELECT i FROM st UNION ALL SELECT j FROM st)")(lambda s, d: core.drop_zeros(factors(s, d).select("factor_id").distinct(), edges(s, d).where("sim >= 0.35")))
 query("similarity_filter", f"WITH {_MAX} SELECT factor_id, round(max_sim, 6) AS max_sim, max_sim >= 0.35 AS keep FROM mx")(lambda s, d: _r(core.similarity_filter(factors(s, d), edges(s, d), 0.35), "max_sim"))
 
 
@@ -257,9 +297,13 @@ query("program_samples", f"WITH {_MEM} SELECT program, string_agg(DISTINCT CAST(
 query("donor_counts", f"WITH {_MEM} SELECT sample_id AS donor, program, count(*) AS n_factors, round(count(*) / sum(count(*)) OVER (PARTITION BY program), 6) AS fraction FROM mem GROUP BY 1, 2")(lambda s, d: _r(programs.donor_counts(members(s, d)), "fraction"))
 _PQ = _MEM + """, n AS (SELECT sum(c * c) AS ci, sum(c) * sum(c) AS al FROM (SELECT count(*) AS c FROM mem GROUP BY program)),
 e AS (SELECT sum(CASE WHEN a.program = b.program THEN 2 * sim ELSE 0 END) AS si, sum(CASE WHEN a.program <> b.program THEN 2 * sim ELSE 0 END) AS so FROM sim JOIN mem a ON a.factor_id = i JOIN mem b ON b.factor_id = j), q AS (SELECT si / ci AS inn, so / (al - ci) AS outr FROM e, n)"""
+query("program_share_scores", f"WITH {_SCO}, ss AS (SELECT sample_id, program, avg(score) AS v FROM sc GROUP BY 1, 2 HAVING count(DISTINCT cell_id) >= 10) SELECT m.program, m.donor, round(coalesce(v, 0), 6) AS value FROM (SELECT DISTINCT a.program, b.sample_id AS donor FROM mem a, mem b) m LEFT JOIN ss ON ss.program = m.program AND ss.sample_id = m.donor")(
+    lambda s, d: _r(programs.program_share(members(s, d), "mean_score", sample_scores(s, d)), "value")
+)
 query("partition_quality", f'WITH {_PQ} SELECT round(inn, 6) AS "inner", round(outr, 6) AS "outer", round(inn / outr, 6) AS ratio, round(inn - outr, 6) AS delta FROM q')(lambda s, d: _r(programs.partition_quality(members(s, d), edges(s, d)), "inner", "outer", "ratio", "delta"))
-query("silhouette", f"""WITH {_MEM}, es AS (SELECT i, j, sim FROM sim UNION ALL SELECT j, i, sim FROM sim), dd AS (SELECT a.factor_id, a.program AS p, b.program AS o, sum(CASE WHEN a.factor_id = b.factor_id THEN 0 ELSE 1 - coalesce(sim, 0) END) AS t, count(*) AS n FROM mem a CROSS JOIN mem b LEFT JOIN es ON es.i = a.factor_id AND es.j = b.factor_id GROUP BY 1, 2, 3),
-ab AS (SELECT factor_id, max(CASE WHEN p = o THEN t / (n - 1) END) AS a, min(CASE WHEN p <> o THEN t / n END) AS b FROM dd GROUP BY 1) SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab""")(lambda s, d: _r(programs.silhouette(members(s, d), edges(s, d)), "silhouette"))
+_SIL = _MEM + """, es AS (SELECT i, j, sim FROM sim UNION ALL SELECT j, i, sim FROM sim), dd AS (SELECT a.factor_id, a.program AS p, b.program AS o, sum(CASE WHEN a.factor_id = b.factor_id THEN 0 ELSE 1 - coalesce(sim, 0) END) AS t, count(*) AS n FROM mem a CROSS JOIN mem b LEFT JOIN es ON es.i = a.factor_id AND es.j = b.factor_id GROUP BY 1, 2, 3),
+ab AS (SELECT factor_id, max(CASE WHEN p = o THEN t / (n - 1) END) AS a, min(CASE WHEN p <> o THEN t / n END) AS b FROM dd GROUP BY 1)"""
+query("silhouette", f"WITH {_SIL} SELECT round(avg((b - a) / greatest(a, b)), 6) AS silhouette FROM ab")(lambda s, d: _r(programs.silhouette(members(s, d), edges(s, d)), "silhouette"))
 
 
 def _strong(s, d):
@@ -270,8 +314,23 @@ query("cluster_centroid")(lambda s, d: programs.programs_cluster("centroid", fac
 query("cluster_progressive")(lambda s, d: programs.programs_cluster("progressive", factors(s, d), _strong(s, d), GENES, top_k=TOP, min_overlap=8, min_founder_overlaps=1).select("factor_id", "program", "display_pos"))
 query("threshold_sweep")(lambda s, d: programs.programs_threshold(factors(s, d), _strong(s, d), [i / 20 for i in range(21)]))
 query("sweep_curve")(lambda s, d: programs.programs_threshold(factors(s, d), _strong(s, d), [i / 20 for i in range(21)], metric="delta").select("threshold", "metric"))
-query("programs_merge", f"WITH {_MEM} SELECT factor_id, sample_id, CAST(CASE program WHEN 0 THEN 0 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INT) AS program FROM mem")(lambda s, d: programs.programs_merge(members(s, d), [[0, 2]]).select("factor_id", "sample_id", "program"))
-query("programs_remove", f"WITH {_MEM} SELECT factor_id, sample_id, CAST(CASE WHEN program < 1 THEN 0 ELSE program - 1 END AS INT) AS program FROM mem WHERE program <> 1")(lambda s, d: programs.programs_remove(members(s, d), [1]).select("factor_id", "sample_id", "program"))
+query("programs_merge", f"WITH {_MEM} SELECT factor_id, sample_id, CAST(CASE program WHEN 0 THEN 0 WHEN 2 THEN 0 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 3 END AS INT) AS program FROM mem")(lambda s, d: programs.programs_merge(members(s, d), [[0, 2]], edges(s, d)).select("factor_id", "sample_id", "program"))
+query("programs_remove", f"WITH {_MEM} SELECT factor_id, sample_id, CAST(CASE WHEN program < 1 THEN 0 ELSE program - 1 END AS INT) AS program FROM mem WHERE program <> 1")(lambda s, d: programs.programs_remove(members(s, d), [1], edges(s, d)).select("factor_id", "sample_id", "program"))
+# The rebuilt state: labels by size (the merged one first, the removed one gone), then everything that hangs on them.
+_RB = _SIM + ", mem AS (SELECT factor_id, sample_id, CASE p WHEN 1 THEN 0 WHEN 3 THEN 0 WHEN 0 THEN 1 ELSE 2 END AS program FROM (SELECT DISTINCT factor_id, sample_id, k_idx * 2 + pos AS p FROM pf) WHERE p <> 4)"
+_RBG = _RB + _GEN[len(_MEM):]
+
+
+def _rebuilt(s, d):
+    e = edges(s, d)
+    left = programs.programs_remove(programs.programs_merge(members(s, d), [1, 3], e), [3], e)
+    return programs.finalise(left, factors(s, d), e, N_TOP)
+
+
+query("rebuild_genes", f"WITH {_RBG} SELECT program, CAST(rank AS INT) AS rank, gene_idx FROM gen")(lambda s, d: _rebuilt(s, d)["genes"].withColumn("rank", F.col("rank").cast("int")))
+query("rebuild_centroids", f"WITH {_RBG} SELECT program, gene_idx, round(loading, 6) AS loading FROM cen")(lambda s, d: _r(_rebuilt(s, d)["centroids"], "loading"))
+query("rebuild_stats", f"WITH {_RB}{_PQ[len(_MEM):]}{_SIL[len(_MEM):]} SELECT round(inn, 6) AS \"inner\", round(outr, 6) AS \"outer\", (SELECT round(avg((b - a) / greatest(a, b)), 6) FROM ab) AS silhouette FROM q")(lambda s, d: _r(_rebuilt(s, d)["stats"], "inner", "outer", "silhouette"))
+query("program_gene_lists", f"WITH {_GEN} SELECT 'C' || program AS name, string_agg(CAST(gene_idx AS VARCHAR), ',' ORDER BY rank) AS genes FROM gen GROUP BY program")(lambda s, d: programs.gene_lists(program_table(s, d)).select("name", F.array_join(F.transform("genes", lambda x: x.cast("string")), ",").alias("genes")))
 query("program_compare", f"WITH {_GEN} SELECT a.program AS program_a, b.program AS program_b, round(count(c.gene_idx) / (30.0 - count(c.gene_idx)), 6) AS value FROM gen a CROSS JOIN (SELECT DISTINCT program FROM gen) b LEFT JOIN gen c ON c.program = b.program AND c.gene_idx = a.gene_idx GROUP BY 1, 2")(lambda s, d: _r(programs.program_overlaps(program_table(s, d), program_table(s, d)), "value"))
 query("program_overlap_coef", f"WITH {_GEN} SELECT a.program AS program_a, b.program AS program_b, round(count(c.gene_idx) / 15.0, 6) AS value FROM gen a CROSS JOIN (SELECT DISTINCT program FROM gen) b LEFT JOIN gen c ON c.program = b.program AND c.gene_idx = a.gene_idx GROUP BY 1, 2")(lambda s, d: _r(programs.program_overlaps(program_table(s, d), program_table(s, d), "overlap_coefficient"), "value"))
 _LEFT = _GEN + ", lo AS (SELECT m.program, m.factor_id, x.sample_id AS donor FROM mem m, (SELECT DISTINCT sample_id FROM mem) x WHERE m.sample_id <> x.sample_id)"
@@ -283,6 +342,11 @@ kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY program, donor O
     lambda s, d: _r(programs.programs_stability(members(s, d), factors(s, d), program_table(s, d), N_TOP, "progressive", core.top_genes(factors(s, d), TOP)).select("program", "donor", "jaccard"), "jaccard")
 )
 
+_DONORS = list(range(10))
+query("stability_table", f"WITH {_LEFT}, c AS (SELECT program, donor, gene_idx, count(*) AS f, max(loading) AS l FROM lo JOIN tg USING (factor_id) GROUP BY 1, 2, 3), kp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY program, donor ORDER BY f DESC, l DESC, gene_idx) AS r FROM c) WHERE r <= 15), js AS (SELECT k.program, k.donor, count(g.gene_idx) / (15.0 + count(*) - count(g.gene_idx)) AS j FROM kp k LEFT JOIN gen g ON g.program = k.program AND g.gene_idx = k.gene_idx GROUP BY 1, 2) SELECT program, " + ", ".join(f'round(max(j) FILTER (WHERE donor = {x}), 6) AS "{x}"' for x in _DONORS) + ", round(avg(j), 6) AS mean FROM js GROUP BY 1")(
+    lambda s, d: _r(programs.stability_table(programs.programs_stability(members(s, d), factors(s, d), program_table(s, d), N_TOP, "progressive", core.top_genes(factors(s, d), TOP)), _DONORS), *map(str, _DONORS), "mean")
+)
+
 # ---------------------------------------------------------------- scores
 
 query("gene_bins", f"WITH {_BIN} SELECT gene_idx, round(mean_expr, 6) AS mean_expr, bin FROM bn")(lambda s, d: _r(scoring.gene_bins(scoring.gene_means(expr(s, d), cells(s, d).count(), GENES)), "mean_expr"))
@@ -305,11 +369,27 @@ def _bh(s, d):
     return _r(adjust_pvalues(p, "p"), "p", "padj")
 
 
+_ADJ = "WITH p AS (SELECT o_orderkey AS key, (o_orderkey * 7919 % 10007 + 1) / 1000800.0 AS p FROM orders), c AS (SELECT p, count(*) AS n FROM p GROUP BY 1), r AS (SELECT p, sum(n) OVER (ORDER BY p) AS last, sum(n) OVER () AS m, n FROM c)"
+for _method, _value in {
+    "fdr_by": "least(1, min(p * m / last * (SELECT sum(1.0 / i) FROM range(1, (SELECT count(*) + 1 FROM p)) t(i))) OVER (ORDER BY p DESC))",
+    "bonferroni": "least(1, p * m)",
+    "sidak": "1 - pow(1 - p, m)",
+    "holm": "least(1, max(p * (m - last + n)) OVER (ORDER BY p))",
+    "simes-hochberg": "least(1, min(p * (m - last + 1)) OVER (ORDER BY p DESC))",
+}.items():
+    query(f"adjust_{_method.replace('-', '_')}", f"{_ADJ}, q AS (SELECT p, {_value} AS a FROM r) SELECT key, round(a, 6) AS padj FROM p JOIN q USING (p)")(
+        lambda s, d, method=_method: _r(adjust_pvalues(s.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("key"), ((F.col("o_orderkey") * 7919 % 10007 + 1) / 1000800.0).alias("p")), "p", method=method).select("key", "padj"), "padj")
+    )
+
 _OLS = _SCO + ", ss AS (SELECT sample_id, program, avg(score) AS y, 30.0 + 5 * sample_id AS x FROM sc GROUP BY 1, 2 HAVING count(*) >= 10), z AS (SELECT program, x, (y - avg(y) OVER (PARTITION BY program)) / stddev_samp(y) OVER (PARTITION BY program) AS y FROM ss), b AS (SELECT program, regr_slope(y, x) AS beta, sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS se FROM z GROUP BY 1)"
 query("associate_ols", f"WITH {_OLS} SELECT 'P' || program AS program, round(beta, 6) AS beta, round(se, 6) AS se FROM b")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age").select("program", "beta", "se"), "beta", "se"))
 query("associate_native", f"WITH {_OLS} SELECT 'P' || program AS program, round(beta, 6) AS beta, round(se, 6) AS se FROM b")(lambda s, d: _r(scoring.associate_native(sample_scores(s, d), [f"P{p}" for p in range(5)], "age"), "beta", "se"))
 query("associate_lmm")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age + (1|study)").select("program", "beta", "se", "pval", "padj"), "beta", "se", "pval", "padj", digits=4))
-query("association_forest")(lambda s, d: _r(scoring.association_forest(scoring.score_associate(sample_scores(s, d), "age")), "lo", "beta", "hi"))
+_FOREST = _OLS + """, tt AS (SELECT program, beta, se, abs(beta / se) AS t FROM b), th AS (SELECT *, atan(t / sqrt(8.0)) AS h FROM tt),
+pv AS (SELECT *, 1 - sin(h) * (1 + pow(cos(h), 2) / 2 + 3 * pow(cos(h), 4) / 8 + 5 * pow(cos(h), 6) / 16) AS p FROM th),
+pa AS (SELECT *, min(least(1, p * m / rk)) OVER (ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS padj FROM (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p) AS rk FROM pv))"""
+query("associate_padj", f"WITH {_FOREST} SELECT 'P' || program AS program, round(p, 5) AS pval, round(padj, 5) AS padj FROM pa")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age").select("program", "pval", "padj"), "pval", "padj", digits=5))
+query("association_forest", f"WITH {_FOREST} SELECT 'P' || program AS program, round(beta - se, 6) AS lo, round(beta, 6) AS beta, round(beta + se, 6) AS hi, padj < 0.05 AS significant FROM pa")(lambda s, d: _r(scoring.association_forest(scoring.score_associate(sample_scores(s, d), "age")), "lo", "beta", "hi"))
 
 # ---------------------------------------------------------------- enrichment and plot tables
 
@@ -317,10 +397,26 @@ query("annotate_programs", f"WITH {_ANN} SELECT program, gene_set, jaccard, n_ov
 query("annotate_top_n", f"WITH {_ANN} SELECT program, gene_set, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY program ORDER BY padj, jaccard DESC, gene_set) AS r FROM ann) WHERE r <= 2")(lambda s, d: programs.top_hits(annotation(s, d), 2).select("program", "gene_set", F.col("rank").cast("int")))
 _SETS = ("GS_A", "GS_B", "GS_C")
 query("annotate_pivot", f"WITH {_ANN} SELECT program, " + ", ".join(f"coalesce(max(jaccard) FILTER (WHERE gene_set = '{g}'), 0) AS {g}" for g in _SETS) + " FROM ann GROUP BY 1")(lambda s, d: annotation(s, d).groupBy("program").pivot("gene_set", list(_SETS)).agg(F.max("jaccard")).na.fill(0.0))
+_HIT = _ANN + ", hit AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY program ORDER BY padj, jaccard DESC, gene_set) AS r FROM ann) WHERE r <= 2), so AS (SELECT gene_set, row_number() OVER (ORDER BY max(jaccard) DESC, gene_set) - 1 AS pos FROM hit GROUP BY 1)"
+query("annotate_cells", f"WITH {_HIT} SELECT so.gene_set, CAST(pos AS INT) AS pos, p.program, coalesce(jaccard, 0) AS jaccard, round(coalesce(padj, 1), 6) AS padj, coalesce(padj, 1) < 0.05 AS significant FROM so CROSS JOIN (SELECT DISTINCT program FROM hit) p LEFT JOIN hit ON hit.gene_set = so.gene_set AND hit.program = p.program")(
+    lambda s, d: _r(programs.annotation_cells(programs.top_hits(annotation(s, d), 2)).withColumn("pos", F.col("pos").cast("int")), "padj")
+)
 query("retention_curve", f"WITH {_MAX} SELECT round(t / 99.0, 6) AS threshold, count(*) FILTER (WHERE max_sim >= t / 99.0) AS n FROM mx, range(0, 100) r(t) GROUP BY t")(lambda s, d: _r(scoring.retention_curve(maxima(s, d)), "threshold"))
 query("max_sim_histogram", f"WITH {_MAX} SELECT CAST(least(floor(max_sim * 50), 49) AS INT) AS bin, count(*) AS n FROM mx GROUP BY 1")(lambda s, d: scoring.histogram(maxima(s, d)))
 query("gmm_threshold")(lambda s, d: _r(scoring.similarity_cutoff(maxima(s, d)), "threshold", digits=4))
 query("heatmap_limits", f"WITH {_SIM} SELECT round(quantile_cont(sim, 0.01), 6) AS vmin, round(quantile_cont(sim, 0.99), 6) AS vmax FROM sim")(lambda s, d: _r(scoring.heatmap_limits(edges(s, d)), "vmin", "vmax"))
+_HM = _PQ.split(", n AS")[0] + ", dp AS (SELECT factor_id, CAST(row_number() OVER (ORDER BY program, factor_id) - 1 AS INT) AS pos FROM mem), hc AS (SELECT a.pos AS row, b.pos AS col, sim FROM (SELECT i, j, sim FROM sim UNION ALL SELECT j, i, sim FROM sim) e JOIN dp a ON a.factor_id = i JOIN dp b ON b.factor_id = j UNION ALL SELECT pos, pos, 1.0 FROM dp)"
+
+
+def _placed(s, d):
+    """Members at display positions by program and id."""
+    return members(s, d).withColumn("display_pos", (F.row_number().over(Window.orderBy("program", "factor_id")) - 1).cast("int"))
+
+
+query("heatmap_cells", f"WITH {_HM} SELECT row, col, round(CASE WHEN sim < 1 THEN sim / (1 - sim) ELSE 1 END, 6) AS value FROM hc")(lambda s, d: _r(scoring.heatmap_cells(_placed(s, d), edges(s, d), True), "value"))
+query("heatmap_scale", f"WITH {_HM} SELECT round(quantile_cont(sim, 0.01), 6) AS vmin, round(quantile_cont(sim, 0.99), 6) AS vmax FROM hc WHERE row <> col AND sim > 0")(lambda s, d: _r(scoring.heatmap_scale(scoring.heatmap_cells(_placed(s, d), edges(s, d))), "vmin", "vmax"))
+query("block_bounds", f"WITH {_HM} SELECT program, min(pos) AS first, max(pos) AS last FROM dp JOIN mem USING (factor_id) GROUP BY 1")(lambda s, d: scoring.block_bounds(_placed(s, d)))
+query("colour_limits", f"WITH {_SCO} SELECT round(quantile_cont(score, 0.01), 6) AS vmin, round(quantile_cont(score, 0.99), 6) AS vmax, quantile_cont(score, 0.01) < 0 AND quantile_cont(score, 0.99) > 0 AS two_slope FROM sc")(lambda s, d: _r(scoring.colour_limits(cell_scores(s, d)), "vmin", "vmax"))
 query("loading_bars", f"WITH {_GEN}, mm AS (SELECT program, max(loading) AS m FROM cen GROUP BY 1) SELECT c.program, c.gene_idx, round(c.loading / m, 6) AS norm_loading FROM cen c JOIN gen g ON g.program = c.program AND g.gene_idx = c.gene_idx JOIN mm ON mm.program = c.program")(lambda s, d: _r(scoring.loading_bars(programs.centroids(members(s, d), factors(s, d)), program_table(s, d)), "norm_loading"))
 query("embedding_scores", f"WITH {_SCO} SELECT cell_id, round(CAST(embedding[1] AS DOUBLE), 6) AS x, round(CAST(embedding[2] AS DOUBLE), 6) AS y, program, round(score, 6) AS score FROM sc JOIN embeddings ON vec_id = cell_id")(
     lambda s, d: _r(_emb(s, d).select(F.col("vec_id").alias("cell_id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y")).join(cell_scores(s, d), "cell_id"), "x", "y", "score")

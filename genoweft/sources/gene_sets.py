@@ -6,12 +6,13 @@ and `geneSymbols`. Files are read whole: a gene-set file is one object, far belo
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import shared_folder
+
 FLAT = "map<string,array<string>>"
 NESTED = "map<string,struct<collection:string,geneSymbols:array<string>>>"
 
@@ -59,19 +60,51 @@ class GeneSets:
         return {k: list(v) for k, v in self._sets.items()}
 
     def __repr__(self) -> str:
-        return f"{self._name}({len(self._sets)} sets)"
+        return f"{self._name}(n_sets={len(self._sets)}, n_genes={len(self.all())})"
+
+
+class Catalogue:
+    """The collections of a folder: each `name.json` in it is one, read when asked for."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+
+    def available_sets(self) -> list[str]:
+        jvm = self._spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self._folder)
+        files = at.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        names = [f.getPath().getName() for f in files]
+        return sorted(n.removesuffix(".json") for n in names if n.endswith(".json") and not n.startswith(("_", ".")))
+
+    def __getattr__(self, name: str) -> GeneSets:
+        if name.startswith("_") or name not in self.available_sets():
+            raise AttributeError(name)
+        return GeneSets(self._spark, f"{self._folder}/{name}.json", name)
+
+
+def _json_text(key: str, value: str):
+    """One-line JSON of a group: its name and the list or object in `value`."""
+    return F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), F.to_json(value))
+
+
+def _write_object(entries: DataFrame, name: str) -> str:
+    """One JSON object of all (n, entry) rows, in order of n: a file is one object, so one task joins the entries."""
+    path = f"{shared_folder(entries.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    whole = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda e: e["entry"]), ",").alias("v"))
+    whole.select(F.concat(F.lit("{"), "v", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    return path
 
 
 def write_json(df: DataFrame, set_col: str, gene_col: str, order_col: str) -> str:
     """A flat file made of a table, in the shared folder; returns its path."""
-    spark = df.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        import tempfile
-
-        where = "file://" + tempfile.mkdtemp(prefix="genoweft-")
-    rows = df.groupBy(set_col).agg(F.transform(F.array_sort(F.collect_list(F.struct(order_col, gene_col))), lambda s: s[gene_col]).alias("genes")).collect()
-    text = json.dumps({r[set_col]: r["genes"] for r in rows})
-    path = f"{where.rstrip('/')}/gene-sets-{uuid.uuid4().hex}"
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    return path
+    rows = df.groupBy(F.col(set_col).alias("n")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order_col, gene_col))), lambda s: s[gene_col]).alias("genes"))
+    return _write_object(rows.select("n", _json_text("n", "genes").alias("entry")), "gene-sets")
+
+
+def write_collections(df: DataFrame, set_col: str, gene_col: str, order_col: str, collection_col: str) -> str:
+    """A collection file made of a table, in the shared folder; a set's collection is the least of its rows'."""
+    rows = df.groupBy(F.col(set_col).alias("n")).agg(
+        F.min(collection_col).alias("collection"), F.transform(F.array_sort(F.collect_list(F.struct(order_col, gene_col))), lambda s: s[gene_col]).alias("geneSymbols")
+    )
+    rows = rows.select("n", F.struct("collection", F.filter("geneSymbols", lambda g: g.isNotNull()).alias("geneSymbols")).alias("v"))
+    return _write_object(rows.select("n", _json_text("n", "v").alias("entry")), "collections")
