@@ -103,6 +103,80 @@ def test_mix(spark, rows):
     assert sorted(map(tuple, got)) == sorted(map(tuple, source_mix.mix_sources(_docs(spark, rows)).collect()))
 
 
+def _brute_mix(rows, draw, power=0.5, top_ups=3):
+    """Copies of each row by the definition: targets by water filling, certain documents found one by one, order sampling, top-ups."""
+    sizes = [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows]
+    key = lambda s: (s is None, s or "")
+    names = sorted({r[3] for r in rows}, key=key)
+    own = {n: [k for k, r in enumerate(rows) if r[3] == n] for n in names}
+    total = {n: sum(sizes[k] for k in own[n]) for n in names}
+    weight, fixed, left = {n: (3, 1, 2)[i % 3] for i, n in enumerate(names)}, {}, 1.5 * sum(total.values())
+    while True:
+        free = [n for n in names if n not in fixed]
+        share = {n: left * weight[n] / sum(weight[m] for m in free) for n in free}
+        over = [n for n in free if share[n] > 2 * total[n] + 1e-9]
+        if not over:
+            break
+        for n in over:
+            fixed[n] = 2.0 * total[n]
+            left -= fixed[n]
+    target = {**share, **fixed}
+    copies = [0] * len(rows)
+    for n in names:
+        whole = int(target[n] // total[n]) if total[n] else 0
+        rest = target[n] - whole * total[n]
+        pool, sure = [k for k in own[n] if sizes[k]], []
+        while pool:
+            factor = (rest - sum(sizes[k] for k in sure)) / sum(sizes[k] ** (power + 1) for k in pool)
+            big = [k for k in pool if factor * sizes[k] ** power >= 1]
+            if not big:
+                break
+            sure += big
+            pool = [k for k in pool if k not in big]
+        odds = lambda p: p / (1 - p)
+        order = sorted(pool, key=lambda k: (math.log(odds(draw[k])) - math.log(odds(max(factor * sizes[k] ** power, 1e-12))), rows[k][0] or -1))
+        held, taken = sum(sizes[k] for k in sure), set(sure)
+        for k in order:
+            held += sizes[k]
+            if held > rest:
+                break
+            taken.add(k)
+        for _ in range(top_ups):
+            gap = rest - sum(sizes[k] for k in taken)
+            fit = [k for k in pool if k not in taken and sizes[k] <= gap]
+            if fit:
+                most = max(sizes[k] for k in fit)
+                taken.add([k for k in order if k in fit and sizes[k] == most][-1])
+        for k in own[n]:
+            copies[k] = whole + (k in taken)
+    return copies
+
+
+def test_mix_by_brute_force(spark, rows):
+    rnd = random.Random(8)
+    data = [r for r in rows] + [(1000 + i, "w " * n, "en", "s1", 0, "x") for i, n in enumerate([900, 500, 3, 2])] + [(2000 + i, "v " * rnd.randrange(1, 9), "en", "tiny", 0, "x") for i in range(5)]
+    table = _docs(spark, data)
+    u = {r.doc_id: r.u for r in table.select("doc_id", ((F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).collect()}
+    got = {r.doc_id: r.copies for r in source_mix.mix_sources(table).collect()}
+    assert got == {r[0]: c for r, c in zip(data, _brute_mix(data, [u[r[0]] for r in data]), strict=True)}
+
+
+def test_mix_buckets_are_bounded(spark):
+    """A source at its cap, with nothing left to sample, and one of tiny probabilities part as well as others."""
+    n = 40_000
+    sizes = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("skey"), (F.col("id") % 300 + 1).alias("size"))
+    hist = sizes.groupBy("skey", "size").agg(F.count("*").alias("m"))
+    source = spark.createDataFrame([("a", n // 2, 0.0), ("b", n // 2, 500.0)], "skey string, n long, rest double")
+    got = source_mix.ranked(sizes, source_mix.inclusion(hist, source, 0.5), 0.5, 1).groupBy("skey", "bucket").count().collect()
+    assert sum(r["count"] for r in got) == n and max(r["count"] for r in got) <= 1.3 * source_mix.PER_BUCKET
+
+
+def test_mix_edges(spark):
+    data = [(1, "a b", "en", "s", 0, "x")] * 3 + [(None, "c d e", "en", "s", 0, "x")] * 2 + [(4, None, "en", None, 0, "x"), (5, "word " * 60_000, "en", "t", 0, "x")]
+    got = source_mix.mix_sources(_docs(spark, data)).collect()
+    assert len(got) == len(data) and all(r.taken <= 2 * r["size"] for r in got) and max(r["size"] for r in got) == 60_000
+
+
 def test_parity_with_sentencepiece():
     rnd = random.Random(1)
     signs = " \n\t()abté中.▁12"
