@@ -5,11 +5,13 @@ widest filter less one, so that every stretch of bytes is seen once. Bytes are e
 of widths 2, 3 and 4 slide over them, each filter's maximum over the window passes a rectifier,
 and a softmax gives the language. A text's probabilities are the means over its windows, by
 their bytes. The net is trained with Adam on windows spread evenly over the texts of a bounded
-sample (`sample_per_lang` texts of each language, by hash of the id).
+sample (`sample_per_lang` texts of each language, `sample_rows` of all, by hash of the id). All
+languages are learned, however many; their names and counts, one row each, go to the driver.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; with no labelled row
 to learn from all texts are `und`; null ids are scored and are not held out nor learned from;
-repeated rows stay; an empty table gives an empty result; other columns are ignored.
+repeated rows stay; texts of any length are read whole; an empty table gives an empty result;
+other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
@@ -132,13 +134,13 @@ def _sample_windows(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa
             yield pa.RecordBatch.from_pydict({"lang": batch["lang"].slice(a, b - a).take(pa.array(doc[keep])), "bytes": pa.array([w.tobytes() for w in windows[keep]], pa.binary())})
 
 
-def fit(docs: DataFrame, parts: int, held: int, sample_per_lang: int, windows_per_text: int) -> ByteNet | None:
+def fit(docs: DataFrame, parts: int, held: int, sample_per_lang: int, windows_per_text: int, sample_rows: int) -> ByteNet | None:
     """The net, from at most about sample_per_lang texts of each language whose fold is not `held`."""
     learn = docs.where((fold_column(F.col("doc_id"), parts) != held) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(500).collect()}
+    counts = {r["lang"]: r["n"] for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
     if not counts:
         return None
-    grain = 1 << 20
+    grain, sample_per_lang = 1 << 20, max(1, min(sample_per_lang, sample_rows // len(counts)))
     rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(grain, sample_per_lang * grain // n + 1)))])
     sample = learn.where(F.pmod(F.xxhash64("doc_id"), F.lit(grain)) < rate[F.col("lang")]).select("lang", "text")
     got = sample.mapInArrow(partial(_sample_windows, most=windows_per_text), "lang string, bytes binary").toArrow()
@@ -175,10 +177,10 @@ def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, ke
             )
 
 
-def identify(docs: DataFrame, parts: int = 5, held: int = 0, sample_per_lang: int = 600, windows_per_text: int = 8, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, parts: int = 5, held: int = 0, sample_per_lang: int = 600, windows_per_text: int = 8, sample_rows: int = 60_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, kept_* of the columns in `keep`) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = docs.sparkSession.sparkContext.broadcast(fit(rows, parts, held, sample_per_lang, windows_per_text))  # a few thousand numbers
+    model = docs.sparkSession.sparkContext.broadcast(fit(rows, parts, held, sample_per_lang, windows_per_text, sample_rows))  # a few thousand numbers
     kept, names, kinds = kept_columns(docs, keep)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
     return read.mapInArrow(
