@@ -6,7 +6,6 @@ from __future__ import annotations
 import atexit
 import ctypes
 import functools
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,20 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_folder
+
 # ---------------------------------------------------------------- shared storage
 
 _written: list[tuple[SparkSession, str]] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one set here if it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="genoweft-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -52,7 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: computed once, lineage cut,
     safe when executors are lost. Removed when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/genoweft-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/genoweft-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
