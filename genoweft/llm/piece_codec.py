@@ -92,7 +92,9 @@ class Codec:
             pairs = [(-s, i, p[:k], p[k:]) for p, (s, i) in self.real.items() for k in range(1, len(p)) if p[:k] in self.real and p[k:] in self.real]
             model = models.BPE(vocab, [(a, b) for _, _, a, b in sorted(pairs)], unk_token=self.pieces[self.unk][0], byte_fallback=self.fallback, fuse_unk=True)
         elif self.kind == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unk, self.fallback)
+            # Only normal pieces may match: the others keep their ids under names with a space, which no
+            # normalised text holds. Signs of no piece come back as unknown and fall back to bytes here.
+            model = models.Unigram([(p if t == NORMAL else f" {i}", s) for i, (p, s, t) in enumerate(self.pieces)], self.unk, False)
         else:
             raise ValueError("only unigram and BPE models are supported")
         self.tokenizer = Tokenizer(model)
@@ -155,11 +157,19 @@ class Codec:
         got = {u: e.ids for u, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True)}
         return [got[u] if u in got else self.merge(u) for u in units]
 
+    def _with_bytes(self, text: str, found) -> list[int]:
+        if not self.fallback or self.unk not in found.ids:
+            return found.ids
+        out: list[int] = []
+        for i, (a, b) in zip(found.ids, found.offsets, strict=True):
+            out += [self.byte_id[x] for x in text[a:b].encode()] if i == self.unk else [i]
+        return out
+
     def encode(self, texts: list[str], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each)."""
         marked = [self.normalise(t) for t in texts]
         if self.unit is None:
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(marked, add_special_tokens=False)]
+            ids = [self._with_bytes(m, e) for m, e in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True)]
             return np.concatenate([np.array(i, np.int32) for i in ids] or [np.empty(0, np.int32)]), np.cumsum([0, *map(len, ids)])
         parts = [self.unit.findall(m) for m in marked]
         if len(self.known) > most:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter
 
@@ -184,6 +185,42 @@ def test_parity_with_sentencepiece():
     assert all(piece_codec.parity(texts))
 
 
+def _varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _field(number, value):
+    if isinstance(value, int):
+        return _varint(number << 3) + _varint(value)
+    if isinstance(value, float):
+        return _varint(number << 3 | 5) + struct.pack("<f", value)
+    return _varint(number << 3 | 2) + _varint(len(value)) + value
+
+
+@pytest.mark.parametrize("fallback", [0, 1])
+def test_unigram_parity(tmp_path, fallback):
+    """A hand-written unigram model: plain text never becomes a control, unknown or byte piece."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if fallback]
+    rnd = random.Random(3)
+    pieces += [(c, -5.0 - rnd.random(), 1) for c in "abct<>/s0x41 unk".replace(" ", "▁")]
+    pieces += [(p, -2.0 - 3 * rnd.random(), 1) for p in ("▁a", "ab", "▁ab", "cab", "bc", "▁t", "▁<", "s>", "un", "▁▁")]
+    seen, kept = set(), []
+    for p in pieces:
+        if p[0] not in seen:
+            kept.append(p)
+            seen.add(p[0])
+    data = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, t)) for p, s, t in kept)
+    data += _field(2, _field(3, 1) + _field(4, len(kept)) + _field(35, fallback)) + _field(3, _field(1, b"identity") + _field(3, 1) + _field(4, 0) + _field(5, 1))
+    path = str(tmp_path / "unigram.model")
+    with open(path, "wb") as f:
+        f.write(data)
+    texts = ["<s> x", "</s>", "<unk>", "<0x41>", "ab cab", "", "é中 a", "a  b", " ⁇ "] + ["".join(rnd.choice("abc t<>s/0x41é中") for _ in range(rnd.randrange(30))) for _ in range(300)]
+    assert [t for t, same in zip(texts, piece_codec.parity(texts, path), strict=True) if not same] == []
+
+
 def test_codec_rows(spark, rows):
     got = piece_codec.codec_report(_docs(spark, rows)).collect()
     assert len(got) == len(rows) and all(r.round_trip for r in got) and all(r.parity for r in got if r.doc_id % 50 == 0)
