@@ -248,6 +248,50 @@ def test_forest_finds_links(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (900, 901, 902, 903))
 
 
+def _brute_forest(data):
+    """(n_links, component_id, kept) of each (id, vector, label) row by all pairs."""
+    good = lambda v, y: y is not None and v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+    items = sorted({(i, tuple(v), y) for i, v, y in data if good(v, y)}, key=repr)
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in items]
+    near = [[a != b and items[a][2] == items[b][2] and len(unit[a]) == len(unit[b]) and (items[a][1] == items[b][1] or unit[a] @ unit[b] >= 0.93) for b in range(len(items))] for a in range(len(items))]
+    out = []
+    for i, v, y in data:
+        if not good(v, y):
+            out.append((i, 0, i, True))
+            continue
+        at, seen = items.index((i, tuple(v), y)), set()
+        todo = [at]
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += [m for m in range(len(items)) if near[k][m]]
+        least = min((items[k][0] for k in seen if items[k][0] is not None), default=None)
+        out.append((i, sum(near[at]), least, i == least))
+    return out
+
+
+@pytest.mark.parametrize("deal", [{}, {"leaf": 30}, {"leaf": 12, "group_rows": 40, "round_levels": 1, "spill": 0.25, "trees": 8}])
+def test_forest_by_brute_force(spark, deal):
+    rng = np.random.default_rng(1)
+    base = rng.normal(size=(60, 8))
+    v = np.concatenate([base, base[:40] + 0.03 * rng.normal(size=(40, 8)), base[:20] + 0.03 * rng.normal(size=(20, 8)), base[:6]])
+    data = [(i, [float(z) for z in x], int(i % 60 % 2)) for i, x in enumerate(v)]
+    data += [data[3], data[70], (None, data[5][1], 1), (None, data[5][1], 1), (None, [9.0, -9.0] * 4, 0), (700, [0.5, 1.0], 1), (701, [0.51, 1.0], 1)]
+    data += [(900, None, 1), (901, [0.0] * 8, 1), (902, [float("nan")] * 8, 1), (903, [1.0] * 8, None), (904, [], 1), (905, [None] * 8, 1), (906, [float("inf")] * 8, 1)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumn("cid", F.lit(1)).withColumn("node", F.lit("x"))
+    got = Counter(tuple(r) for r in projection_forest.near_vectors(table, **deal).collect())
+    want = Counter(_brute_forest(data))
+    if not deal:
+        assert got == want  # one leaf holds all
+    else:  # the forest is approximate: no link too many, nine in ten found
+        key = lambda c: {(r[0],): r for r in c}
+        a, b = key(got), key(want)
+        assert sum(got.values()) == len(data) and all(a[k][1] <= b[k][1] for k in b)
+        assert sum(a[k][1] for k in b) >= 0.9 * sum(b[k][1] for k in b) and sum(a[k][2] == b[k][2] for k in b) >= 0.9 * len(b)
+    assert projection_forest.near_vectors(table.limit(0)).count() == 0
+
+
 def test_html_blocks():
     page = "<html><head><title>t</title><script>x</p></script></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Big &amp; bold</h1><p>one\n two<p>three<br>four</article><footer>f</footer>"
     assert [t for z, t in html_text.blocks(page) if z == "main"] == ["Big & bold", "one two", "three", "four"]
