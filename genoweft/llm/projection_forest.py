@@ -185,7 +185,7 @@ def deal(classes: DataFrame, trees: int, spill: float, group_rows: int, round_le
         sizes = dealt.groupBy(*node).agg(F.count("*").alias("rows"))
 
 
-def near_vectors(table: DataFrame, least: float = 0.93, trees: int = 6, leaf: int = 256, spill: float = 0.05, group_rows: int = 8192, round_levels: int = 10, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_vectors(table: DataFrame, least: float = 0.93, trees: int = 12, leaf: int = 256, spill: float = 0.05, group_rows: int = 8192, round_levels: int = 10, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vec_col).cast("array<double>").alias("vec"))
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
