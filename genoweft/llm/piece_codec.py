@@ -10,6 +10,7 @@ No piece holds the marker after another sign, nor a sign that only byte fallback
 text parts into units there, and the units' ids joined are the text's. Distinct units of a task
 are encoded once, in multithreaded batches, and their ids gathered for all texts. Units with a
 run of markers, whose merges tie in score, go through an exact leftmost-best merge instead.
+Parity with the sentencepiece library is verified for every row (codec_report).
 
 Edge cases: null and empty texts have no ids and decode to the empty string; equal texts get
 equal ids; texts of any length are encoded whole; repeated rows stay; an empty table gives an
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -107,8 +109,10 @@ class Codec:
         self.size = np.array([len(x) for x in out], np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.blob = np.frombuffer(b"".join(out), np.uint8)
-        self.known: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self._forget()
+        # A text that begins with a sign parted from all others shows the library a unit as it stands inside a text.
+        self.lead = alone[:1] if self.unit is not None and alone and not self.squeeze else None
+        self.parting = frozenset(alone)
 
     def normalise(self, text: str) -> str:
         if self.map is not None:
@@ -152,10 +156,25 @@ class Codec:
                 out.append(self.unk)
         return out
 
-    def _encode_units(self, units: list[str]) -> list[list[int]]:
-        plain = [u for u in units if MARK + MARK not in u]
-        got = {u: e.ids for u, e in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False), strict=True)}
-        return [got[u] if u in got else self.merge(u) for u in units]
+    def _encode_units(self, units: list[str], chunk: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all units, how many each has). Units go to the tokenizer by the line, parted by a
+        sign that no piece holds; those with a run of markers, or such a sign, through merge()."""
+        odd = [k for k, u in enumerate(units) if MARK + MARK in u or self.lead is None or u in self.parting]
+        own = set(odd)
+        plain = [u for k, u in enumerate(units) if k not in own] if odd else units
+        lines = [self.lead.join(plain[a : a + chunk]) + self.lead for a in range(0, len(plain), chunk)] if plain else []
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.empty(0, np.int32)])
+        end = ids == self.byte_id[ord(self.lead)] if self.lead else np.zeros(len(ids), bool)
+        at = np.flatnonzero(end)
+        size = np.diff(np.append(-1, at)) - 1
+        ids = ids[~end]
+        if odd:
+            merged = {k: self.merge(units[k]) for k in odd}
+            begin, rest = np.cumsum(size) - size, iter(range(len(plain)))
+            parts = [np.array(merged[k], np.int32) if k in own else ids[begin[n] : begin[n] + size[n]] for k in range(len(units)) for n in [0 if k in own else next(rest)]]
+            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, size
 
     def _with_bytes(self, text: str, found) -> list[int]:
         if not self.fallback or self.unk not in found.ids:
@@ -165,26 +184,56 @@ class Codec:
             out += [self.byte_id[x] for x in text[a:b].encode()] if i == self.unk else [i]
         return out
 
-    def encode(self, texts: list[str], most: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each)."""
+    def _forget(self) -> None:
+        """No unit known: number of each, and per number its ids' place and count and whether the library agrees."""
+        self.known: dict[str, int] = {}
+        self.flat, self.begin_of, self.size_of = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.agree = np.empty(0, bool)
+
+    def _learn(self, units: list[str], theirs) -> None:
+        ids, size = self._encode_units(units)
+        self.known.update(zip(units, range(len(self.size_of), len(self.size_of) + len(units)), strict=True))
+        agree = np.ones(len(units), bool) if theirs is None else self._compare(units, ids, size, theirs)
+        self.begin_of = np.concatenate([self.begin_of, len(self.flat) + np.cumsum(size) - size])
+        self.size_of, self.agree = np.concatenate([self.size_of, size]), np.concatenate([self.agree, agree])
+        self.flat = np.concatenate([self.flat, ids])
+
+    def _compare(self, units: list[str], ids: np.ndarray, size: np.ndarray, theirs, chunk: int = 4000) -> np.ndarray:
+        """Whether the library gives each unit the same ids, where it stands between parting signs."""
+        sign = self.byte_id[ord(self.lead)]
+        head = [*self.merge(self.normalise(self.lead)[:-1]), sign]
+        edge = np.concatenate([[0], np.cumsum(size)])
+        agree = np.ones(len(units), bool)
+        todo = [(a, min(a + chunk, len(units))) for a in range(0, len(units), chunk)]
+        while todo:
+            a, b = todo.pop()
+            want = theirs.encode(self.lead + self.lead.join(units[a:b]).replace(MARK, " "), num_threads=1)
+            got = np.insert(ids[edge[a] : edge[b]], edge[a + 1 : b] - edge[a], sign).tolist()
+            if head + got != want:
+                if b - a == 1:
+                    agree[a] = False
+                else:
+                    todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        return agree
+
+    def encode(self, texts: list[str], most: int = 600_000, theirs=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets of each, whether the library `theirs` agrees on normalised text and units)."""
         marked = [self.normalise(t) for t in texts]
+        same = np.array([theirs.Normalize(t) == m for t, m in zip(texts, marked, strict=True)], bool) if theirs is not None else np.ones(len(texts), bool)
         if self.unit is None:
             ids = [self._with_bytes(m, e) for m, e in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True)]
-            return np.concatenate([np.array(i, np.int32) for i in ids] or [np.empty(0, np.int32)]), np.cumsum([0, *map(len, ids)])
+            return np.concatenate([np.array(i, np.int32) for i in ids] or [np.empty(0, np.int32)]), np.cumsum([0, *map(len, ids)]), same
         parts = [self.unit.findall(m) for m in marked]
         if len(self.known) > most:
-            self.known, self.ids = {}, []
-        new = sorted(set().union(*parts) - self.known.keys())
-        for u, ids in zip(new, self._encode_units(new), strict=True):
-            self.known[u] = len(self.ids)
-            self.ids.append(np.array(ids, np.int32))
-        known = self.known
-        at = np.array([known[u] for p in parts for u in p], np.int64)
-        size = np.array([len(i) for i in self.ids], np.int64) if self.ids else np.empty(0, np.int64)
-        flat = np.concatenate(self.ids) if self.ids else np.empty(0, np.int32)
-        ids = _gather(flat, (np.cumsum(size) - size)[at], size[at])
+            self._forget()
+        new = list(set().union(*parts) - self.known.keys())
+        if new:
+            self._learn(new, theirs)
+        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        ids = _gather(self.flat, self.begin_of[at], self.size_of[at])
         units = np.cumsum([0, *map(len, parts)])
-        return ids, np.concatenate([[0], np.cumsum(size[at])])[units]
+        bad = np.concatenate([[0], np.cumsum(~self.agree[at])])[units]
+        return ids, np.concatenate([[0], np.cumsum(self.size_of[at])])[units], same & (np.diff(bad) == 0)
 
     def decode(self, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
         """UTF-8 text of each run of ids."""
@@ -215,9 +264,9 @@ def reference_processor(path: str):
 
 
 def parity(texts: list[str], path: str = MODEL) -> list[bool]:
-    """Whether ids and decoded text are those of the sentencepiece library."""
+    """Whether ids and decoded text are those of the sentencepiece library, each text whole."""
     c = codec(path)
-    ids, offs = c.encode(texts)
+    ids, offs, _ = c.encode(texts)
     return _same(texts, ids, offs, c.decode(ids, offs), path)
 
 
@@ -233,24 +282,25 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
     for batch in batches:
         texts = [t or "" for t in batch.column(1).to_pylist()]
         for a in range(0, len(texts), 500):
-            ids, offs = c.encode(texts[a : a + 500])
+            ids, offs, _ = c.encode(texts[a : a + 500])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.ListArray.from_arrays(offs.astype(np.int32), ids)], ["doc_id", "ids"])
 
 
 @tidy
-def _digest(batches: Iterator[pa.RecordBatch], path: str, every: int) -> Iterator[pa.RecordBatch]:
-    c = codec(path)
+def _digest(batches: Iterator[pa.RecordBatch], path: str, whole: bool) -> Iterator[pa.RecordBatch]:
+    c, theirs = codec(path), reference_processor(path)
+    c._forget()  # units of other uses of this worker were not compared
+    whole = whole or c.unit is None or c.lead is None
     for batch in batches:
-        names, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in batch.column(1).to_pylist()]
         for a in range(0, len(texts), 500):
-            part, who = texts[a : a + 500], names[a : a + 500]
-            ids, offs = c.encode(part)
+            part = texts[a : a + 500]
+            ids, offs, same = c.encode(part, theirs=None if whole else theirs)
             back = c.decode(ids, offs)
-            if every == 1:
-                same = dict(enumerate(_same(part, ids, offs, back, path)))
+            if whole:
+                same = _same(part, ids, offs, back, path)
             else:
-                ask = [k for k, i in enumerate(who) if i is not None and i % every == 0]
-                same = dict(zip(ask, parity([part[k] for k in ask], path), strict=True)) if ask else {}
+                same = [bool(s) and d.decode("utf-8", "replace") == theirs.decode(i.tolist()) for s, d, i in zip(same, back, np.split(ids, offs[1:-1]), strict=True)]
             runs = [ids[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -259,9 +309,10 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, every: int) -> Iterato
                     "ids_sha256": pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in runs]),
                     "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in back]),
                     "round_trip": pa.array([b == t.encode("utf-8") for b, t in zip(back, part, strict=True)], pa.bool_()),
-                    "parity": pa.array([same.get(k) for k in range(len(part))], pa.bool_()),
+                    "parity": pa.array(same, pa.bool_()),
                 }
             )
+    c._forget()
 
 
 def encode_texts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,13 +321,17 @@ def encode_texts(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", te
     return rows.mapInArrow(partial(_encode, path=model), "doc_id long, ids array<int>")
 
 
-def codec_report(docs: DataFrame, model: str = MODEL, parity_every: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def codec_report(docs: DataFrame, model: str = MODEL, whole_parity: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes and decodes every row; (doc_id, n_tokens, ids_sha256 of little-endian int32 ids,
-    decoded_sha256, round_trip, parity). parity compares every row with the sentencepiece library;
-    with `parity_every` above 1 only ids that it divides, and is null elsewhere."""
+    decoded_sha256, round_trip, parity).
+
+    parity compares every row with the sentencepiece library: its normalised text, the ids of each
+    of its units (each distinct unit of a task once, standing as inside a text) and the decoded
+    whole; with whole_parity the library also encodes every text anew as a whole. A model whose
+    texts do not part into units is always compared whole."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(
-        partial(_digest, path=model, every=parity_every),
+        partial(_digest, path=model, whole=whole_parity),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean, parity boolean",
     )
 

@@ -226,9 +226,32 @@ def test_codec_rows(spark, rows):
     assert len(got) == len(rows) and all(r.round_trip for r in got) and all(r.parity for r in got if r.doc_id % 50 == 0)
 
 
-def test_parity_of_every_row(spark, rows):
-    docs = _docs(spark, [*rows, (None, "no id 12", "en", "s", 0, "x")])
-    assert all(r.parity is True for r in piece_codec.codec_report(docs).collect())
+def test_parity_of_every_row(spark, rows, monkeypatch):
+    docs = _docs(spark, [*rows, (None, "no id 12", "en", "s", 0, "x"), (900, "word " * 80_000, "en", "s", 0, "x"), (900, "tab\tand\nline  two ▁ é中", "en", "s", 0, "x")])
+    for whole in (False, True):
+        got = piece_codec.codec_report(docs, whole_parity=whole).collect()
+        assert len(got) == len(rows) + 3 and all(r.parity is True for r in got)
+
+
+def test_parity_sees_differences():
+    """A wrong unit, wherever it stands, or a wrong normalised text makes parity false."""
+    c, theirs = piece_codec.Codec(piece_codec.MODEL), piece_codec.reference_processor(piece_codec.MODEL)
+    texts = ["one two", "two three", "a\ttwo b", "four"]
+    assert c.encode(texts, theirs=theirs)[2].all()
+    c._forget()
+    good = c._encode_units
+
+    def wrong(units):
+        ids, size = good(units)
+        at = np.repeat(np.array([u == "▁two" for u in units]), size)
+        return np.where(at, 5, ids).astype(np.int32), size
+
+    c._encode_units = wrong
+    assert c.encode(texts, theirs=theirs)[2].tolist() == [False, False, True, True]  # after a tab the unit is "two"
+    c._forget()
+    c._encode_units, plain = good, c.normalise
+    c.normalise = lambda t: plain(t).replace("four", "for")
+    assert c.encode(texts, theirs=theirs)[2].tolist() == [True, True, True, False]
 
 
 def test_forest_finds_links(spark):
