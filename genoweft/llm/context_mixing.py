@@ -1,34 +1,46 @@
 """Language-model scoring by online logistic context mixing.
 
 A text is the byte stream of its words (A-Z lowered), each followed by one space, and one end
-byte. Every bit is predicted by several predictors, each looking up a hash of its own context
-(last byte, last two, last three, the word so far) and of the bits of the byte already known.
-Their stretched probabilities are mixed in the logistic domain by weights that a gate chooses
-(how often the word so far and the last three bytes were seen); an adaptive probability map,
-chosen by the style of the text so far, refines the result. The cost is the sum of -log2 p over
-all bits.
-
-Contexts reach back to the start of the word, plus the style that the words before it speak for
-(a small mixture of word distributions, fitted on the sample). The cost of a word is hence a
-function of (style, word), and is worked out once for every distinct pair in a task instead of
-once for every occurrence: the same sum, far fewer bits.
-
-Predictor tables gather all training text (each task adds up its share, tables are summed per
-segment). Mixing weights and the map are learned online, in small steps in text order, on a
-bounded sample (`sample_docs`), each bit predicted with its own occurrence left out.
-
-The unigram base needs exact counts of every word. Words are cut into fragments by hash; a
-fragment holds all postings of its words, so counts and each text's part of the sum are made
-there, and the parts are added per text. No vocabulary is broadcast or joined.
-
-Edge cases: a null text is empty and costs its end byte alone; equal texts get equal scores;
-repeated rows stay; a null id is neither held out nor left out of training (its fold is null,
-so it is learned from); an empty table gives an empty result; an empty training set leaves
-flat predictors. Words of any length are scored whole.
+byte; bytes are written in a prefix code fitted on the training text, so that a byte takes about
+four bits instead of eight. Every bit is predicted by several predictors, each looking up a hash
+of its own context and of the bits of the byte already known: the last two and the last three
+bytes of the word within a style, and all of the word so far, within a style and in any. Their
+stretched probabilities are mixed in the logistic domain by weights that a gate chooses (how
+often the word so far was seen), learned online over all words of the training text.
+
+Contexts reach across words in two ways. The style of a place is the group of frequent words
+that the 32 words before it hold most of; groups are those of words that share texts. And before
+a word is written bit by bit, one bit says whether it is the word that followed most often after
+the words before (two, or up to four where these are frequent ones). The odds of that bit come
+from an adaptive map, by how sure the counts are and how the text's bits before turned out: a
+text that has followed others is trusted to go on, one that has not is not.
+
+All that is known of the corpus grows with it: every (style, word) and every context with its
+followers is counted exactly, in fragments by hash; only tables of contexts of three bytes at
+most, bounded by the alphabet, are sent to all tasks (SLOT_BITS). Texts are packed in runs. A run
+asks each fragment for its distinct words and contexts once and gets an answer as long as the
+question, so that nothing a task holds is larger than its share. Words are gathered by their
+first bytes, for the predictors of the word so far, after equal ones of all runs have become one.
+
+Every word and flag is priced as often as it occurs; that a word in a style costs the same
+wherever it stands lets its bits be worked out once.
+
+In learning, each occurrence is left out of its own counts. In scoring, a training text's own
+occurrence of a context is left out of what is predicted to follow, or every text learned from
+would merely repeat itself: it is priced by the others, as a held-out text is, and only texts that
+others share follow them. Words keep their counts, as in the unigram base, which is exact. Equal
+texts get equal scores if they are all learned from or all held out.
+
+Edge cases: a null text is empty and costs its end alone; repeated rows stay; a null id is neither
+held out nor left out of training (its fold is null, so it is learned from); words and texts of
+any length are scored whole; an empty table gives an empty result; an empty training set leaves
+flat predictors; other columns, of whatever names, are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import random
 from collections.abc import Iterator
 from functools import partial
 
@@ -38,469 +50,622 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, fold, fold_column, joined, materialize, mix64, per_group, _power_tables, text_chunks, tidy, word_bounds, word_hashes
+from .common import LOWER, fold, give_back, joined, materialize, mix64, per_group, release, text_chunks, tidy, word_bounds, word_hashes
 
 CHUNK = 2 << 20
-#: Distinct words whose bits are worked on at a time: in learning, and in counting and costs.
-SLICE, FEW = 20_000, 3_000
-#: log2 of the slots of each predictor: last byte, last two, last three, word so far.
-SLOT_BITS = (17, 20, 21, 22)
+#: log2 of the slots of the bounded tables: last two bytes, last three, first bytes of the word in any style and in one.
+SLOT_BITS = (21, 22, 19, 21)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
-SEGMENT = 1 << 16
-KINDS, LEVELS, APM = 8, 9, 33  # kinds: of a last byte, or styles with 0 for none
-#: Styles of text, hash buckets of the words that tell them, and how many words back are asked.
-STYLES, STYLE_BUCKETS, STYLE_SPAN = 6, 1 << 12, 32
-#: Text bytes of one fragment of the base counts, and the least number of fragments.
-PER_FRAGMENT, LEAST_FRAGMENTS = 64 << 20, 64
-
-_KIND = np.full(256, 4, np.uint8)  # of a word's last byte; 0: no word before
-_KIND[list(b"abcdefghijklmnopqrstuvwxyz")] = 1
-_KIND[list(b"0123456789")] = 2
-_KIND[list(b".!?")] = 3
-_KIND[list(b",;:")] = 5
-_KIND[list(b"*#$%&|")] = 6
-_KIND[128:] = 7
-
-
-class Words:
-    """Words of a run of texts: place, hash, kind of each text's last byte, and the style before each word."""
-
-    def __init__(self, raw: np.ndarray, offs: np.ndarray, styles: np.ndarray | None = None):
-        self.buf = LOWER[raw]
-        self.start, self.end = word_bounds(self.buf, offs)
-        self.hash = word_hashes(self.buf, self.start, self.end)
-        self.first = np.searchsorted(self.start, offs)
-        last = _KIND[self.buf[self.end - 1]] if len(self.end) else np.empty(0, np.uint8)
-        self.last = np.zeros(len(offs) - 1, np.uint8)
-        some = self.first[1:] > self.first[:-1]
-        self.last[some] = last[self.first[1:][some] - 1]
-        self.style = np.zeros(len(self.hash), np.uint8)
-        if styles is not None and len(self.hash):
-            # The style that the last few words of the text speak for; 0 before its first word.
-            told = np.zeros((len(self.hash) + 1, styles.shape[1]))
-            np.cumsum(styles[(self.hash >> np.uint64(20)) % np.uint64(len(styles))], 0, out=told[1:])
-            head = np.repeat(self.first[:-1], np.diff(self.first))
-            at = np.arange(len(self.hash))
-            self.style = (np.argmax(told[at] - told[np.maximum(head, at - STYLE_SPAN)], 1) + 1).astype(np.uint8)
-            self.style[at == head] = 0
-        self.key = mix64(self.hash + (self.style.astype(np.uint64) << np.uint64(8)))
-
-
-def text_hashes(w: Words) -> np.ndarray:
-    """A 64-bit hash of each text's word sequence, as long."""
-    place = np.arange(len(w.hash), dtype=np.uint64) - np.repeat(w.first[:-1], np.diff(w.first)).astype(np.uint64)
-    parts = np.concatenate([[0], np.cumsum(mix64(w.hash + mix64(place + np.uint64(1))), dtype=np.uint64)]).astype(np.uint64)
-    return mix64(parts[w.first[1:]] - parts[w.first[:-1]] + np.diff(w.first).astype(np.uint64)).view(np.int64)
-
-
-# ---------------------------------------------------------------- unigram base
+SEGMENT = 1 << 13
+#: Bytes of a word that the bounded tables hold; from there on words of one beginning are together.
+HEAD = 3
+LEVELS = 8
+#: Frequent words that tell styles, styles, words back that are asked, and how many frequent words extend a context.
+ANCHORS, STYLES, SPAN, FREQUENT = 96, 8, 32, 1000
+#: Cells of the map of the predicted word: sureness, how the bits before turned out, the bit itself.
+SURE, PAST = 8, 4
+END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of text for one fragment.
+PER_FRAGMENT, LEAST_FRAGMENTS = 24 << 20, 32
+_SALT = [np.uint64(x) for x in np.random.default_rng(17).integers(1, 1 << 62, 16) * 2 + 1]
+
+
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(size)
+    return data[np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def _rows(part: np.ndarray, fixed: dict[str, np.ndarray], blob: tuple | None = None) -> dict[str, pa.Array]:
+    """Packed columns, one row for each value of `part`; blob: (bytes, size of each entry's)."""
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    edge = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])[: len(part)]), len(part))
+    out = {"part": pa.array(part[edge[:-1]], pa.int64())}
+    for name, x in fixed.items():
+        x = x[order]
+        out[name] = pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    if blob is not None:
+        data, size = blob
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        data, cut = _gather(data, begin, size), np.append(0, np.cumsum(size))[edge]
+        out["size"] = pa.array([size[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+        out["bytes"] = pa.array([data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+    return out
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+# ---------------------------------------------------------------- runs of texts
 
 
 @tidy
-def _postings(batches: Iterator[pa.RecordBatch], parts: int, held: int, frags: int) -> Iterator[pa.RecordBatch]:
-    """Per run of texts and fragment: words, their postings, and the texts with training weight."""
+def _pack(batches: Iterator[pa.RecordBatch], parts: int, held: int) -> Iterator[pa.RecordBatch]:
+    """Runs of texts: ids, lowered bytes, offsets, and of the training texts the frequent words and bytes."""
     for batch in batches:
-        learned = np.array([fold(i, parts) != held for i in batch.column(0).to_pylist()], np.int64)
-        for a, b, raw, offs in text_chunks(batch.column(1), CHUNK, 1 << 16):
-            w = Words(raw, offs)
-            if not len(w.hash):
-                continue
-            names, one, which = np.unique(text_hashes(w), return_index=True, return_inverse=True)
-            weight = np.bincount(which, learned[a:b], len(names)).astype(np.int64)
-            text = np.full(b - a, -1)
-            text[one] = np.arange(len(names))
-            text = np.repeat(text, np.diff(w.first))  # copies within the run count by weight only
-            word, at = np.unique(w.hash, return_inverse=True)
-            own = text >= 0
-            pair, tf = np.unique(at[own] * len(names) + text[own], return_counts=True)
-            if (tf > 65535).any():  # postings are additive: a larger count is several of them
-                times = -(-tf // 65535)
-                pair, last = np.repeat(pair, times), np.cumsum(times) - 1
-                whole = np.full(len(pair), 65535)
-                whole[last] = tf - (times - 1) * 65535
-                tf = whole
-            at, text = pair // len(names), (pair % len(names)).astype(np.uint16)
-            n = np.bincount(at, minlength=len(word)).astype(np.int32)
-            frag = (word >> np.uint64(40)) * np.uint64(frags) >> np.uint64(24)  # sorted as words are
-            cut = np.searchsorted(frag, np.arange(frags + 1, dtype=np.uint64))
-            to = np.concatenate([[0], np.cumsum(n)])
-            rows = [k for k in range(frags) if cut[k + 1] > cut[k]]
+        for a, b, raw, offs in text_chunks(batch.column(1), CHUNK):
+            buf, ids = LOWER[raw], batch.column(0).slice(a, b - a)
+            learned = np.array([fold(i, parts) != held for i in ids.to_pylist()])
+            start, end = word_bounds(buf, offs)
+            h = word_hashes(buf, start, end)[np.repeat(learned, np.diff(np.searchsorted(start, offs)))]
+            words, n = np.unique(h, return_counts=True)
+            some = n * FREQUENT >= len(h)
+            used = np.bincount(buf[np.repeat(learned, np.diff(offs))], minlength=256)
+            used[32] += len(h)
+            used[10] += learned.sum()
             yield pa.RecordBatch.from_pydict(
                 {
-                    "frag": pa.array(rows, pa.int32()),
-                    "word": pa.array([word[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary()),
-                    "n": pa.array([n[cut[k] : cut[k + 1]].tobytes() for k in rows], pa.binary()),
-                    "text": pa.array([text[to[cut[k]] : to[cut[k + 1]]].tobytes() for k in rows], pa.binary()),
-                    "tf": pa.array([tf[to[cut[k]] : to[cut[k + 1]]].astype(np.uint16).tobytes() for k in rows], pa.binary()),
-                    "name": pa.array([names.tobytes()] * len(rows), pa.binary()),
-                    "weight": pa.array([weight.tobytes()] * len(rows), pa.binary()),
+                    "run": pa.array([random.SystemRandom().getrandbits(62)], pa.int64()),
+                    "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
+                    "text": pa.array([buf.tobytes()], pa.binary()), "offs": pa.array([offs.astype(np.int64).tobytes()], pa.binary()), "learned": pa.array([learned.astype(np.uint8).tobytes()], pa.binary()),
+                    "top": pa.array([words[some].tobytes()], pa.binary()), "n": pa.array([n[some].astype(np.int64).tobytes()], pa.binary()), "used": pa.array([used.astype(np.int64).tobytes()], pa.binary()),
                 }
             )
 
 
-def _base_parts(table: pa.Table) -> pa.Table:
-    """Per text its part of the base sum; one row without a text has the fragment's N and V."""
-    word, n = joined(table["word"], np.uint64), joined(table["n"], np.int32)
-    tf = joined(table["tf"], np.uint16).astype(np.int32)  # four bytes each for what is as long as the postings
-    many = pc.binary_length(table["name"]).to_numpy() // 8
-    name, weight = joined(table["name"], np.int64), joined(table["weight"], np.int64)
-    base = np.concatenate([[0], np.cumsum(many)])[:-1].astype(np.int32)
-    text = joined(table["text"], np.uint16) + np.repeat(base, pc.binary_length(table["text"]).to_numpy() // 2)
-    _, at = np.unique(word, return_inverse=True)
-    at = np.repeat(at.astype(np.int32), n)
-    c = np.bincount(at, tf * weight[text]).astype(np.int64)
-    names, once, who = np.unique(name, return_index=True, return_inverse=True)
-    first = np.zeros(len(name), bool)
-    first[once] = True
-    own = first[text]  # a text met in several runs is summed once
-    at, tf, who = at[own], tf[own], who.astype(np.int32)[text[own]]
-    del own, text
-    s = np.bincount(who, tf * np.log10(c[at] + 1.0), len(names))
-    known = np.bincount(who, tf * (c[at] > 0), len(names)).astype(np.int64)
-    tokens = np.bincount(who, tf, len(names)).astype(np.int64)
-    some = tokens > 0
-    return pa.table(
-        {
-            "name": pa.concat_arrays([pa.array(names[some]), pa.array([None], pa.int64())]),
-            "s": np.append(s[some], 0.0),
-            "known": np.append(known[some], int((c > 0).sum())),
-            "tokens": np.append(tokens[some], int(c.sum())),
-        }
-    )
+RUN = "run long, ids array<long>, text binary, offs binary, learned binary, top binary, n binary, used binary"
+
+
+class Tokens:
+    """Words and ends of a run of texts, in order, with style, context and place of each."""
+
+    def __init__(self, text: bytes, offs: bytes, frame: dict):
+        offs, buf = np.frombuffer(offs, np.int64), np.frombuffer(text, np.uint8)
+        start, end = word_bounds(buf, offs)
+        first = np.searchsorted(start, offs)
+        words = word_hashes(buf, start, end)
+        self.hash = np.insert(words, first[1:], END)
+        self.first = first + np.arange(len(offs))  # first token of each text
+        # Bytes of each token lie in one buffer, those of an end behind all texts.
+        self.buf = np.append(buf, np.uint8(10))
+        self.start, self.size = np.insert(start, first[1:], len(buf)), np.insert(end - start, first[1:], 1)
+        at = np.arange(len(self.hash))
+        head = np.repeat(self.first[:-1], np.diff(self.first))
+        self.style = np.zeros(len(at), np.uint8)
+        if len(frame["anchors"]):
+            k = np.minimum(np.searchsorted(frame["anchors"], self.hash), len(frame["anchors"]) - 1)
+            own = np.where(frame["anchors"][k] == self.hash, frame["style"][k], 0)
+            told = np.zeros((len(at) + 1, STYLES + 1), np.int32)
+            told[1:][at, own] = 1
+            told[:, 0] = 0
+            told = np.cumsum(told, 0, dtype=np.int32)
+            told = told[at] - told[np.maximum(head, at - SPAN)]
+            self.style = np.where(told.max(1) > 0, told.argmax(1), 0).astype(np.uint8)
+        self.key = mix64(self.hash + mix64(self.style.astype(np.uint64) + np.uint64(3)))
+        place = at - head
+        back = [np.where(place >= k, np.concatenate([np.full(k, START), self.hash[:-k]])[: len(at)], START) for k in (1, 2, 3, 4)]
+        often = [np.isin(w, frame["frequent"]).astype(np.int8) for w in back[:3]] if len(at) else [np.zeros(0, np.int8)] * 3
+        ctx = mix64(back[0] * _SALT[0] + back[1] * _SALT[1])
+        more = often[0] + often[1]
+        ctx = np.where(more >= 1, mix64(ctx + back[2] * _SALT[2]), ctx)
+        ctx = np.where((more >= 1) & (more + often[2] >= 2), mix64(ctx + back[3] * _SALT[3]), ctx)
+        self.asked = np.flatnonzero(place >= 2)  # both words before are words
+        self.ctx, self.next = ctx[self.asked], (self.hash[self.asked] >> np.uint64(32)).astype(np.uint32)
+
+    def distinct_words(self):
+        """(first place, number of each token's) of the distinct (style, word)."""
+        _, one, which = np.unique(self.key, return_index=True, return_inverse=True)
+        return one, which
+
+    def distinct_contexts(self):
+        """(first place, number of each asked token's) of the distinct (context, follower)."""
+        _, one, which = np.unique(mix64(self.ctx + self.next.astype(np.uint64) * _SALT[4]), return_index=True, return_inverse=True)
+        return one, which
+
+
+def _each_run(batches: Iterator[pa.RecordBatch], frame: dict):
+    for batch in batches:
+        for r in range(len(batch)):
+            learned = np.frombuffer(batch["learned"][r].as_buffer(), np.uint8).astype(bool)
+            t = Tokens(batch["text"][r].as_buffer(), batch["offs"][r].as_buffer(), frame)
+            yield batch["run"][r].as_py(), t, np.repeat(learned, np.diff(t.first))
 
 
-# ---------------------------------------------------------------- bit predictors
+# ---------------------------------------------------------------- styles
 
 
-class Bits:
-    """The bit stream of distinct (style, word) pairs: slots of each predictor for all bits of a byte."""
-
-    def __init__(self, w: Words, which: np.ndarray, ends: bool = False):
-        """which: numbers of words; ends: the end byte after each kind of last word instead."""
-        if ends:
-            self.kind = which.astype(np.uint8)
-            self.byte, self.owner = np.zeros(len(which), np.uint8), np.arange(len(which))
-            back = [np.zeros(len(which), np.uint64)] * 3
-            prefix = np.zeros(len(which), np.uint64)
-            c1 = c2 = c3 = style = back[0]
-        else:
-            size = (w.end - w.start)[which] + 1
-            self.owner = np.repeat(np.arange(len(which)), size)
-            begin = np.cumsum(size) - size
-            inside = np.arange(len(self.owner)) - np.repeat(begin, size)
-            src = np.minimum(w.start[which][self.owner] + inside, len(w.buf) - 1)
-            self.byte = w.buf[src].copy()
-            self.byte[begin + size - 1] = 32
-            self.kind = w.style[which][self.owner]
-            b = self.byte.astype(np.uint64)
-            c1, c2, c3 = (np.where(inside >= k, np.concatenate([np.zeros(k, np.uint64), b[:-k]])[: len(b)], np.uint64(0)) for k in (1, 2, 3))
-            up, down = _power_tables(len(b) + 1)
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((b + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-            head = np.repeat(begin, size)
-            prefix = (total[:-1] - total[head]) * down[head]
-            style = w.style[which][self.owner].astype(np.uint64)
-            prefix = prefix + style * np.uint64(0xA0761D6478BD642F)
-        last = c1 + np.uint64(1) + (style << np.uint64(32))
-        two = last + (c2 << np.uint64(9))
-        three = two + (c3 << np.uint64(18))
-        self.context = [mix64(x + np.uint64(k << 56)) for k, x in enumerate((last, two, three, prefix))]
-
-    def steps(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each of eight bits: its value and the slots of the predictors."""
-        node = np.ones(len(self.byte), np.uint64)
-        for k in range(7, -1, -1):
-            bit = (self.byte >> k) & 1
-            salt = node * np.uint64(0x9E3779B97F4A7C15)
-            yield bit, [((h + salt) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (h, n) in enumerate(zip(self.context, SLOT_BITS, strict=True))]
-            node = node * np.uint64(2) + bit
+@tidy
+def _together(batches: Iterator[pa.RecordBatch], anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """How much pairs of anchors share training texts: sums over texts of the product of their shares."""
+    total = np.zeros((len(anchors), len(anchors)))
+    for batch in batches:
+        for r in range(len(batch)):
+            learned = np.frombuffer(batch["learned"][r].as_buffer(), np.uint8).astype(bool)
+            buf, offs = np.frombuffer(batch["text"][r].as_buffer(), np.uint8), np.frombuffer(batch["offs"][r].as_buffer(), np.int64)
+            start, end = word_bounds(buf, offs)
+            h = word_hashes(buf, start, end)
+            k = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
+            doc = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(start, offs)))
+            own = (anchors[k] == h) & learned[doc]
+            n = np.bincount(doc[own] * len(anchors) + k[own], minlength=(len(offs) - 1) * len(anchors)).reshape(-1, len(anchors)).astype(float)
+            n /= np.maximum(n.sum(1, keepdims=True), 20)
+            total += n.T @ n
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "v": pa.array(total.ravel()[at])})
+
+
+def group_anchors(together: np.ndarray) -> np.ndarray:
+    """Style (from 1) of each anchor: average-linkage merging of the cosines of how they share texts."""
+    norm = together / np.sqrt(np.maximum(np.outer(together.diagonal(), together.diagonal()), 1e-300))
+    groups = [[k] for k in range(len(together))]
+    while len(groups) > 1:
+        mean = np.array([[norm[np.ix_(a, b)].mean() if a is not b else -1.0 for b in groups] for a in groups])
+        i, j = divmod(int(mean.argmax()), len(groups))
+        if len(groups) <= STYLES and mean[i, j] < 0.25:
+            break
+        groups[min(i, j)] += groups.pop(max(i, j))
+    style = np.zeros(len(together), np.int64)
+    for s, g in enumerate(groups):
+        style[g] = s + 1
+    return style
+
+
+def prefix_code(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(value, length) of each byte's code: shortest for bytes used as often as told."""
+    heap = [(float(n) + 1e-3, k, (k,)) for k, n in enumerate(used)]
+    heapq.heapify(heap)
+    value, length, name = np.zeros(256, np.uint64), np.zeros(256, np.int64), 256
+    while len(heap) > 1:
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        value[list(y)] |= np.uint64(1) << length[list(y)].astype(np.uint64)
+        length[list(x + y)] += 1
+        heapq.heappush(heap, (a + b, name, x + y))
+        name += 1
+    return value, length
+
+
+# ---------------------------------------------------------------- words
 
 
 @tidy
-def _count_tables(batches: Iterator[pa.RecordBatch], parts: int, held: int, styles: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The task's share of all predictor tables: of each segment the slots met, with their zeros and ones."""
-    n = np.zeros(2 * OFFSETS[-1], np.uint32)  # zeros and ones of a slot side by side
+def _ask_words(batches: Iterator[pa.RecordBatch], frame: dict, parts: int) -> Iterator[pa.RecordBatch]:
+    """Per run and fragment: its distinct (style, word), how often training texts have each, and bytes."""
+    for run, t, learned in _each_run(batches, frame):
+        one, which = t.distinct_words()
+        n = np.bincount(which, learned, len(one)).astype(np.int32)
+        size = t.size[one]
+        out = _rows(_part(t.hash[one], parts), {"style": t.style[one], "n": n}, (_gather(t.buf, t.start[one], size), size))
+        yield pa.RecordBatch.from_pydict({"run": pa.array([run] * len(out["part"]), pa.int64())} | out)
 
-    def add(bits: Bits, weight: np.ndarray) -> None:
-        weight = weight[bits.owner].astype(np.uint32)
-        for bit, slots in bits.steps():
-            for s in slots:
-                np.add.at(n, 2 * s + bit, weight)
 
-    met, ends = _Met(), np.zeros(KINDS, np.int64)
+ASKED = "run long, part long, style binary, n binary, size binary, bytes binary"
 
-    def flush() -> None:
-        for a in range(0, len(met.keys), FEW):
-            add(Bits(met, np.arange(a, min(a + FEW, len(met.keys)))), met.count[a : a + FEW])
 
-    for batch in batches:
-        learned = np.array([fold(i, parts) != held for i in batch.column(0).to_pylist()], bool)
-        for _, _, raw, offs in text_chunks(batch.column(1).filter(pa.array(learned)), CHUNK):
-            w = Words(raw, offs, styles)
-            met.add(w)
-            ends += np.bincount(w.last, minlength=KINDS)
-            if len(met.keys) > 1_000_000:
-                flush()
-                met = _Met()
-    flush()
-    if ends.any():
-        add(Bits(met, np.flatnonzero(ends), ends=True), ends[ends > 0])
-    yield _sparse(n.reshape(-1, 2).T)
-
-
-class _Met:
-    """Distinct (style, word) pairs of a task with their counts; bytes kept once."""
-
-    def __init__(self):
-        self.keys, self.count = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.start, self.end, self.style = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)
-        self.buf = np.zeros(1, np.uint8)
-
-    def add(self, w: Words) -> None:
-        uniq, one, count = np.unique(w.key, return_index=True, return_counts=True)
-        at = np.searchsorted(self.keys, uniq)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == uniq[known]
-        self.count[at[known]] += count[known]
-        one, count, uniq = one[~known], count[~known], uniq[~known]
-        size = (w.end - w.start)[one]
-        ends = np.cumsum(size)
-        place = np.repeat(w.start[one] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
-        start = ends - size + len(self.buf)
-        self.buf = np.concatenate([self.buf, w.buf[place]])
-        keys = np.concatenate([self.keys, uniq])
-        order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        for name, new in (("count", count), ("start", start), ("end", start + size), ("style", w.style[one])):
-            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
-
-
-def _sparse(n: np.ndarray, segments: np.ndarray | None = None) -> pa.RecordBatch:
-    rows: dict[str, list] = {"segment": [], "at": [], "n": []}
-    for k in range(-(-n.shape[1] // SEGMENT)):
-        part = n[:, k * SEGMENT : (k + 1) * SEGMENT]
-        at = np.flatnonzero(part.any(0))
-        if len(at):
-            rows["segment"].append(k if segments is None else int(segments[k]))
-            rows["at"].append(at.astype(np.uint16).tobytes())
-            rows["n"].append(part[:, at].astype(np.float32).tobytes())
-    kinds = (pa.int32(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows.values(), kinds, strict=True)], list(rows))
-
-
-def _sum_segments(table: pa.Table) -> pa.Table:
-    total = np.zeros((2, SEGMENT))
-    for at, n in zip(table["at"].to_pylist(), table["n"].to_pylist(), strict=True):
-        total[:, np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.float32).reshape(2, -1)
-    return pa.Table.from_batches([_sparse(total, table["segment"].to_numpy())])
-
-
-def learn_styles(texts: pa.Array, rounds: int = 12) -> np.ndarray:
-    """log p(word bucket | style) of a mixture of word distributions, from the bounded sample."""
-    counts = []
-    for _, _, raw, offs in text_chunks(texts, CHUNK):
-        w = Words(raw, offs)
-        doc = np.repeat(np.arange(len(offs) - 1), np.diff(w.first))
-        at = (w.hash >> np.uint64(20)) % np.uint64(STYLE_BUCKETS)
-        counts.append(np.bincount(doc * STYLE_BUCKETS + at.astype(np.int64), minlength=(len(offs) - 1) * STYLE_BUCKETS).reshape(-1, STYLE_BUCKETS))
-    x = np.concatenate(counts).astype(np.float32) if counts else np.zeros((0, STYLE_BUCKETS), np.float32)
-    x = x[x.sum(1) >= 20]
-    x = x / np.maximum(1, x.sum(1, keepdims=True) / 200)
-    whole = x.sum(0) + 0.5
-    log_p = np.tile(np.log(whole / whole.sum()), (STYLES, 1))
-    rng = np.random.default_rng(3)
-    best = -np.inf
-    for _ in range(4 if len(x) >= STYLES else 0):
-        lp = np.log(x[rng.choice(len(x), STYLES, False)] + 0.2 * whole / whole.sum() * 200 + 1e-3)
-        lp -= np.log(np.exp(lp).sum(1, keepdims=True))
-        for _ in range(rounds):
-            score = x @ lp.T
-            one = np.eye(STYLES, dtype=np.float32)[score.argmax(1)]
-            lp = np.log(one.T @ x + 2 * whole / whole.sum() * 20 + 1e-3)
-            lp -= np.log(np.exp(lp).sum(1, keepdims=True))
-        if (total := score.max(1).sum()) > best:
-            best, log_p = total, lp
-    return log_p.T.astype(np.float32)
+class Entries:
+    """Rows of ASKED put together: style, count and bytes of each entry."""
+
+    def __init__(self, table: pa.Table):
+        self.style, self.n, self.size = joined(table["style"], np.uint8), joined(table["n"], np.int64 if table.schema.metadata else np.int32).astype(np.int64), joined(table["size"], np.int32).astype(np.int64)
+        self.buf = joined(table["bytes"], np.uint8)
+        end = np.cumsum(self.size)
+        self.begin = end - self.size
+        self.word = word_hashes(self.buf, self.begin, end)
+        self.word[(self.size == 1) & (self.buf[self.begin] == 10)] = END
+        self.key = mix64(self.word + mix64(self.style.astype(np.uint64) + np.uint64(3)))
+
+
+def _vocabulary(table: pa.Table, heads: int) -> pa.Table:
+    """Distinct (style, word) of a fragment with their counts, by the first bytes of the word."""
+    e = Entries(table)
+    _, one, which = np.unique(e.key, return_index=True, return_inverse=True)
+    n = np.bincount(which, e.n, len(one)).astype(np.int64)
+    words, at = np.unique(e.word[one], return_inverse=True)
+    c = np.bincount(at, n, len(words))
+    few = np.minimum(e.size[one], HEAD)
+    head = np.zeros(len(one), np.uint64)
+    for k in range(HEAD):
+        head = np.where(few > k, head * np.uint64(257) + e.buf[np.minimum(e.begin[one] + k, len(e.buf) - 1)] + np.uint64(1), head)
+    out = _rows(_part(mix64(head), heads), {"style": e.style[one], "n": n}, (_gather(e.buf, e.begin[one], e.size[one]), e.size[one]))
+    own = table["part"][0].as_py()
+    out = {"of": pa.array([own] * len(out["part"]), pa.int64())} | out
+    whole = {"tokens": [int(c.sum())] + [0] * (len(out["part"]) - 1), "words": [int((c > 0).sum())] + [0] * (len(out["part"]) - 1)}
+    return pa.table(out | {k: pa.array(v, pa.int64()) for k, v in whole.items()})
+
+
+VOCABULARY = "of long, part long, style binary, n binary, size binary, bytes binary, tokens long, words long"
+
+
+class Bits:
+    """The bits of some (style, word): predicted by bounded tables and by the words themselves.
+
+    All words that share their first HEAD bytes must be given together."""
+
+    def __init__(self, style: np.ndarray, n: np.ndarray, begin: np.ndarray, size: np.ndarray, buf: np.ndarray, code: tuple):
+        self.n, ends = n, (size == 1) & (buf[begin] == 10) if len(begin) else np.zeros(0, bool)
+        full = size + ~ends  # a space behind each word
+        self.owner = np.repeat(np.arange(len(n)), full)
+        inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(full) - full, full)
+        last = inside >= size[self.owner]
+        self.byte = np.where(last, np.uint8(32), buf[np.minimum(begin[self.owner] + inside, len(buf) - 1)]) if len(buf) else np.zeros(0, np.uint8)
+        b = self.byte.astype(np.uint64) + np.uint64(1)
+        back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.uint64), b[:-k]])[: len(b)], np.uint64(0)) for k in (1, 2, 3)]
+        s = mix64(style.astype(np.uint64) + np.uint64(11))[self.owner]
+        two = back[0] + (back[1] << np.uint64(9))
+        three = two + (back[2] << np.uint64(18))
+        # The word so far: a running hash, restarted at every word.
+        step = mix64(b + (inside.astype(np.uint64) << np.uint64(16)))
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(step, dtype=np.uint64)])
+        so_far = mix64(upto[:-1] - upto[np.arange(len(b)) - inside] + inside.astype(np.uint64))
+        self.context = [mix64(two + s), mix64(three + s + np.uint64(1)), so_far, mix64(so_far + s)]
+        self.local = inside >= HEAD
+        self.value, self.length = code
+
+    def steps(self):
+        """For each bit of the code: the bytes that have it, its value, slots of the tables and node keys of the word so far."""
+        for k in range(int(self.length[self.byte].max(initial=0))):
+            at = np.flatnonzero(self.length[self.byte] > k)
+            rest = (self.length[self.byte[at]] - k).astype(np.uint64)
+            value = self.value[self.byte[at]]
+            bit = ((value >> (rest - np.uint64(1))) & np.uint64(1)).astype(np.int64)
+            node = (np.uint64(1) << np.uint64(k) | value >> rest) * np.uint64(0x9E3779B97F4A7C15)
+            yield at, bit, [mix64(c[at] + node) for c in self.context]
+
+    @staticmethod
+    def slots(keys: list[np.ndarray]) -> list[np.ndarray]:
+        return [(k >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (k, n) in enumerate(zip(keys, SLOT_BITS, strict=True))]
+
+
+def _of(table: pa.Table, code: tuple) -> tuple[Bits, np.ndarray]:
+    e = Entries(table.replace_schema_metadata({"n": "long"}))
+    return Bits(e.style, e.n, e.begin, e.size, e.buf, code), e.key
+
+
+def _tables(table: pa.Table, code: tuple) -> pa.Table:
+    """A fragment's share of the bounded tables, by segment: slots with their zeros and ones."""
+    bits, _ = _of(table, code)
+    n = np.zeros(2 * OFFSETS[-1], np.float32)
+    for at, bit, keys in bits.steps():
+        weight, near = bits.n[bits.owner[at]].astype(np.float32), ~bits.local[at]
+        for i, s in enumerate(bits.slots(keys)):
+            some = slice(None) if i < 2 else near  # the word so far is in tables for its first bytes only
+            np.add.at(n, 2 * s[some] + bit[some], weight[some])
+    n = n.reshape(-1, 2)
+    met = np.flatnonzero(n.any(1))
+    out = _rows(met // SEGMENT, {"at": (met % SEGMENT).astype(np.uint16), "v": n[met]})
+    return pa.table({"part": out["part"], "at": out["at"], "v": out["v"]})
+
+
+def _sum_tables(table: pa.Table) -> pa.Table:
+    total = np.zeros((SEGMENT, 2), np.float32)
+    at, v = joined(table["at"], np.uint16), joined(table["v"], np.float32).reshape(-1, 2)
+    np.add.at(total, at, v)
+    met = np.flatnonzero(total.any(1)).astype(np.uint16)
+    return pa.table({"part": table["part"][:1], "at": pa.array([met.tobytes()], pa.binary()), "v": pa.array([total[met].tobytes()], pa.binary())})
 
 
 def _level(n: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(n + 1) * 0.6 + (n > 0), LEVELS - 1).astype(np.uint8)
+    return np.minimum(np.log2(n + 1) * 0.8 + (n > 0), LEVELS - 1).astype(np.int64)
+
+
+GATES, INPUTS = LEVELS * LEVELS * 2, len(SLOT_BITS) + 1
 
 
 class Mixer:
-    """Predictor tables, gated weights and the adaptive map; all of bounded size."""
-
-    def __init__(self, zeros: np.ndarray, ones: np.ndarray, styles: np.ndarray):
-        self.n0, self.n1, self.styles = zeros, ones, styles
-        self.weights = np.full((LEVELS * LEVELS, len(SLOT_BITS)), 0.3, np.float32)
-        grid = (np.arange(APM) - APM // 2) / 2.0
-        self.map = np.tile(1 / (1 + np.exp(-grid)), (KINDS, 1)).astype(np.float32)
-        self.freeze()
-
-    def freeze(self) -> None:
-        n = self.n0 + self.n1
-        self.stretch = np.log((self.n1 + 0.05) / (self.n0 + 0.05)).astype(np.float32)
-        self.level = _level(n)
-
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("n0", "n1")}
-
-    def refine(self, t: np.ndarray, kind: np.ndarray):
-        """Mixed and refined probability of a one for a mixed stretch, and the nearest cell of the map."""
-        np.clip(t, np.float32(-15.9), np.float32(15.9), out=t)
-        p = 1 / (1 + np.exp(-t))
-        at = np.clip(t, np.float32(-7.99), np.float32(7.99)) * np.float32(2) + np.float32(APM // 2)
-        low = at.astype(np.intp)
-        part = at - low.astype(np.float32)
-        cell, flat = kind.astype(np.intp) * APM + low, self.map.reshape(-1)
-        refined = flat[cell] * (1 - part) + flat[cell + 1] * part
-        return p, np.clip((p + refined) / 2, np.float32(2e-6), np.float32(1 - 2e-6)), low + (part > 0.5)
-
-    def chance(self, slots: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
-        """Refined probability of a one."""
-        gate = (self.level[slots[3]] * np.uint8(LEVELS) + self.level[slots[2]]).astype(np.intp)
-        t = np.zeros(len(gate), np.float32)
-        for s, w in zip(slots, np.ascontiguousarray(self.weights.T), strict=True):
-            t += self.stretch[s] * w[gate]
-        return self.refine(t, kind)[1]
-
-    def predict(self, slots: list[np.ndarray], kind: np.ndarray, bit: np.ndarray):
-        """Inputs, gate, mixed and refined probability of a one, the occurrence of `bit` left out."""
-        n = [(np.maximum(self.n0[s] - (bit == 0), 0), np.maximum(self.n1[s] - (bit == 1), 0)) for s in slots]
-        x = np.stack([np.log((b + 0.05) / (a + 0.05)) for a, b in n], 1).astype(np.float32)
-        gate = _level(sum(n[3])).astype(np.int64) * LEVELS + _level(sum(n[2]))
-        return x, gate, *self.refine(np.einsum("ij,ij->i", x, self.weights[gate]), kind)
-
-    def learn(self, bits: Bits, weight: np.ndarray, rate: float, block: int = 8192) -> None:
-        """Online steps over the stream, `block` bits at a time; weight: how often each owner occurs."""
-        weight = weight[bits.owner].astype(np.float64)
-        for bit, slots in bits.steps():
-            for a in range(0, len(bit), block):
-                b, s, kind = bit[a : a + block], [x[a : a + block] for x in slots], bits.kind[a : a + block]
-                v = weight[a : a + block]
-                x, gate, p, _, near = self.predict(s, kind, b)
-                step = ((b - p) * v)[:, None] * x
-                hits = np.bincount(gate, v, len(self.weights))
-                grad = np.stack([np.bincount(gate, step[:, k], len(self.weights)) for k in range(step.shape[1])], 1)
-                self.weights += (rate * grad / np.sqrt(np.maximum(hits, 1) * 64.0)[:, None]).astype(np.float32)
-                cell = kind.astype(np.int64) * APM + near
-                np.clip(self.weights, -1.0, 2.0, out=self.weights)
-                seen, ones = np.bincount(cell, v, KINDS * APM), np.bincount(cell, b * v, KINDS * APM)
-                flat = self.map.reshape(-1)
-                flat += ((ones - seen * flat) / (seen + 2000.0)).astype(np.float32)
-
-    def cost(self, bits: Bits, owners: int) -> np.ndarray:
-        """Bits of each owner."""
-        total = np.zeros(len(bits.byte))
-        for bit, slots in bits.steps():
-            p = self.chance(slots, bits.kind)
-            total -= np.log2(np.where(bit == 1, p, 1 - p))
-        return np.bincount(bits.owner, total, owners)
-
-    def end_costs(self) -> np.ndarray:
-        none = Words(np.empty(0, np.uint8), np.zeros(1, np.int64))
-        return self.cost(Bits(none, np.arange(KINDS), ends=True), KINDS)
+    """Gated logistic mixing of the predictors of some words' bits."""
+
+    def __init__(self, tables: np.ndarray, weights: np.ndarray | None = None):
+        self.tables = tables
+        if weights is None:
+            weights = np.full((GATES, INPUTS), 0.3, np.float32)
+            weights[:, -1] = 0
+        self.weights, self.power = weights, np.full(GATES, 1e-2)
+        self.seen = np.zeros(GATES)
+
+    def _inputs(self, bits: Bits, at: np.ndarray, bit: np.ndarray, keys: list[np.ndarray], left_out: bool):
+        counts, owner_n = [], bits.n[bits.owner[at]].astype(np.float32)
+        local, slots = bits.local[at], bits.slots(keys)
+        for i, s in enumerate(slots):
+            two = self.tables[s]
+            if i >= 2 and local.any():
+                _, which = np.unique(keys[i][local], return_inverse=True)
+                ones = np.bincount(which, owner_n[local] * bit[local])
+                zeros = np.bincount(which, owner_n[local] * (1 - bit[local]))
+                two[local] = np.stack([zeros[which], ones[which]], 1)
+            if left_out:
+                two[np.arange(len(at)), bit] -= 1
+            counts.append(np.maximum(two, 0))
+        n = np.stack([c.sum(1) for c in counts])
+        x = np.stack([np.log((c[:, 1] + 0.1) / (c[:, 0] + 0.1)) for c in counts] + [np.full(len(at), 0.3, np.float32)])
+        one_sided = ((counts[3].min(1) == 0) & (n[3] > 0)).astype(np.int64)
+        return x, (_level(n[3]) * LEVELS + _level(n[1])) * 2 + one_sided
+
+    def _mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(np.einsum("ki,ik->i", x, self.weights[gate]), -16, 16)))
+
+    def learn(self, bits: Bits, rate: float = 0.1, block: int = 4096) -> None:
+        """Online steps over the training words, each occurrence left out of its own counts."""
+        for at, bit, keys in bits.steps():
+            some = bits.n[bits.owner[at]] > 0
+            x, gate = self._inputs(bits, at, bit, keys, True)
+            weight = np.minimum(bits.n[bits.owner[at]], 50)
+            for a in range(0, len(at), block):
+                own = np.flatnonzero(some[a : a + block]) + a
+                g, v = gate[own], x[:, own]
+                e = (bit[own] - self._mix(v, g)) * weight[own]
+                grad = np.stack([np.bincount(g, e * v[k], GATES) for k in range(INPUTS)], 1)
+                self.power += np.bincount(g, (e**2 * (v**2).sum(0)), GATES)
+                self.weights = np.clip(self.weights + rate * grad / np.sqrt(self.power)[:, None], -3, 3).astype(np.float32)
+                self.seen += np.bincount(g, weight[own], GATES)
+
+    def cost(self, bits: Bits) -> np.ndarray:
+        """Bits of each word."""
+        total = np.zeros(len(bits.n))
+        for at, bit, keys in bits.steps():
+            p = self._mix(*self._inputs(bits, at, bit, keys, False))
+            p = np.clip(p, 1e-5, 1 - 1e-5)
+            total += np.bincount(bits.owner[at], -np.log2(np.where(bit == 1, p, 1 - p)), len(total))
+        return total
+
+
+def _learn(table: pa.Table, tables, code: tuple) -> pa.Table:
+    bits, _ = _of(table, code)
+    m = Mixer(tables.value)
+    m.learn(bits)
+    return pa.table({"gate": pa.array(np.arange(GATES), pa.int32()), "seen": m.seen, "w": pa.array(list(m.weights * m.seen[:, None]), pa.list_(pa.float64()))})
+
+
+def _price(table: pa.Table, tables, weights: np.ndarray, code: tuple) -> pa.Table:
+    """Key and cost of each word, for the fragment that knows it."""
+    bits, key = _of(table, code)
+    cost = Mixer(tables.value, weights).cost(bits).astype(np.float32)
+    many = np.array([len(x) // 4 for x in table["size"].to_pylist()], np.int64)
+    out = _rows(np.repeat(table["of"].to_numpy(), many), {"key": key, "cost": cost})
+    return pa.table({k: out[k] for k in ("part", "key", "cost")})
+
+
+def _answer_words(asked: pa.Table, prices: pa.Table) -> pa.Table:
+    """Per run: cost of each word it asked for, and the word's count in any style."""
+    if not asked.num_rows:
+        return pa.table({"run": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+    e = Entries(asked)
+    key, cost = joined(prices["key"], np.uint64), joined(prices["cost"], np.float32)
+    order = np.argsort(key)
+    price = cost[order][np.searchsorted(key[order], e.key)]
+    _, at = np.unique(e.word, return_inverse=True)
+    c = np.bincount(at, e.n).astype(np.int64)[at]
+    edge = np.append(0, np.cumsum([len(x) // 4 for x in asked["size"].to_pylist()]))
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    return pa.table({"run": asked["run"], "kind": pa.array([0] * asked.num_rows, pa.int32()), "part": asked["part"], "a": cut(price), "b": cut(c)})
+
+
+# ---------------------------------------------------------------- followers
 
 
 @tidy
-def _score(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    mixer: Mixer = model.value
-    ends = mixer.end_costs()
-    keys, costs = np.empty(0, np.uint64), np.empty(0)
+def _ask_followers(batches: Iterator[pa.RecordBatch], frame: dict, parts: int) -> Iterator[pa.RecordBatch]:
+    """Per run and fragment: its distinct (context, follower) and how often training texts have each."""
+    for run, t, learned in _each_run(batches, frame):
+        one, which = t.distinct_contexts()
+        n = np.bincount(which, learned[t.asked], len(one))
+        low = (t.ctx[one] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
+        out = _rows(_part(mix64(t.ctx[one]), parts), {"ctx": low, "next": t.next[one], "n": np.minimum(n, 65535).astype(np.uint16)})
+        yield pa.RecordBatch.from_pydict({"run": pa.array([run] * len(out["part"]), pa.int64())} | out)
+
+
+FOLLOWERS = "run long, part long, ctx binary, next binary, n binary"
+
+
+def _sure(best: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How sure counts are, from 1; 0 without any."""
+    alone = best == n
+    level = np.select([n <= 0, alone & (n == 1), alone & (n == 2), alone & (n < 8), alone, best * 2 > n, best * 4 > n], [0, 1, 2, 3, 4, 5, 6], 7)
+    return level.astype(np.uint8)
+
+
+def _answer_followers(table: pa.Table) -> pa.Table:
+    """Per run, for each pair it asked for: sureness and whether the follower is the predicted one, as it is and with one occurrence left out."""
+    low = joined(table["ctx"], np.uint8).reshape(-1, 6)
+    ctx = np.zeros((len(low), 8), np.uint8)
+    ctx[:, :6] = low
+    ctx, nxt, n = ctx.view(np.uint64).ravel(), joined(table["next"], np.uint32).astype(np.uint64), joined(table["n"], np.uint16).astype(np.int64)
+    pair, one, which = np.unique(mix64(ctx + nxt * _SALT[4]), return_index=True, return_inverse=True)
+    c = np.bincount(which, n, len(pair)).astype(np.int64)
+    of, name = ctx[one], nxt[one]
+    order = np.lexsort((name, -c, of))
+    of_s, c_s = of[order], c[order]
+    first = np.flatnonzero(np.append(True, of_s[1:] != of_s[:-1])[: len(of_s)])
+    many = np.diff(np.append(first, len(of_s)))
+    group = np.repeat(np.arange(len(first)), many)
+    best, total = c_s[first], np.add.reduceat(c_s, first) if len(first) else np.zeros(0, np.int64)
+    second = np.where(many > 1, c_s[np.minimum(first + 1, len(c_s) - 1)], 0) if len(first) else best
+    hit = np.zeros(len(c_s), bool)
+    hit[first] = best > 0
+    state = _sure(best[group], total[group]) * 2 + hit
+    still = hit & (c_s - 1 >= second[group]) & (c_s > 1)
+    left = np.where(still, c_s - 1, np.where(hit, second[group], best[group]))
+    loo = _sure(left, total[group] - 1) * 2 + still
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    at = back[which]
+    edge = np.append(0, np.cumsum([len(x) // 4 for x in table["next"].to_pylist()]))
+    cut = lambda x: pa.array([x[a:b].astype(np.uint8).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    return pa.table({"run": table["run"], "kind": pa.array([1] * table.num_rows, pa.int32()), "part": table["part"], "a": cut(state[at]), "b": cut(loo[at])})
+
+
+ANSWER = "run long, kind int, part long, a binary, b binary"
+
+# ---------------------------------------------------------------- texts
+
+
+def _cells(state: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
+    """Per text how often each cell of the map occurs, for predicted places in order."""
+    own = state >= 2
+    state, doc = state[own].astype(np.int64), doc[own]
+    hit, at = state & 1, np.arange(len(state))
+    head = np.append(True, doc[1:] != doc[:-1])[: len(doc)]
+    # Hits in a row before each place, and whether there was a predicted place before it at all.
+    stop = np.maximum.accumulate(np.where(head, at, np.where(np.append(0, 1 - hit[:-1])[: len(at)] == 1, at, 0))) if len(at) else at
+    row = at - stop
+    past = np.where(head, 1, np.where(row == 0, 0, np.where(row < 4, 2, 3)))
+    cell = ((state >> 1) * PAST + past) * 2 + hit
+    return np.bincount(doc * (SURE * PAST * 2) + cell, minlength=texts * SURE * PAST * 2).reshape(texts, -1).astype(np.int32)
+
+
+def _read(run: pa.Table, answers: pa.Table, frame: dict, parts: int, held: int, words: int, follows: int) -> pa.Table:
+    """Per text: tokens, known ones, base sum, bits of written words, cells of the map; one more row with the cells learned."""
+    t = Tokens(run["text"][0].as_buffer(), run["offs"][0].as_buffer(), frame)
+    ids, texts = run["ids"][0].as_py(), len(t.first) - 1
+    kind = answers["kind"].to_numpy()
+
+    def put(k: int, part: np.ndarray, col: str, dtype) -> np.ndarray:
+        own = answers.filter(pa.array(kind == k)).sort_by("part")
+        out = np.empty(len(part), dtype)
+        out[np.argsort(part, kind="stable")] = joined(own[col], dtype)
+        return out
+
+    one, which = t.distinct_words()
+    part = _part(t.hash[one], words)
+    cost, c = put(0, part, "a", np.float32)[which].astype(float), put(0, part, "b", np.int64)[which]
+    state = loo = np.zeros(0, np.uint8)
+    if len(t.asked):
+        one, which = t.distinct_contexts()
+        part = _part(mix64(t.ctx[one]), follows)
+        state, loo = put(1, part, "a", np.uint8)[which], put(1, part, "b", np.uint8)[which]
+    doc = np.repeat(np.arange(texts), np.diff(t.first))
+    sums = lambda v: np.bincount(doc, v, texts)
+    learned = np.frombuffer(run["learned"][0].as_buffer(), np.uint8).astype(bool)
+    state = np.where(learned[doc[t.asked]], loo, state)
+    cost[t.asked[(state & 1) == 1]] = 0  # predicted words are not written
+    cells = _cells(state, doc[t.asked], texts)
+    known = cells[learned].sum(0, dtype=np.int64)
+    table = {
+        "doc_id": pa.array([*ids, None], pa.int64()), "held_out": pa.array([*(fold(i, parts) == held for i in ids), None], pa.bool_()),
+        "n_tokens": pa.array(np.append(np.diff(t.first), 0)), "n_known": pa.array(np.append(sums(c > 0), 0).astype(np.int64)),
+        "base": pa.array(np.append(sums(np.log10(c + 1.0)), 0)), "written": pa.array(np.append(sums(cost), 0)),
+        "n_bytes": pa.array(np.append(sums(t.size + (t.hash != END)), 0).astype(np.int64)),
+        "cells": pa.array([x.astype(np.int64).tobytes() for x in (*cells, known)], pa.binary()), "learned": pa.array([False] * texts + [True]),
+    }
+    return pa.table(table)
+
+
+READ = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, written double, n_bytes long, cells binary, learned boolean"
+
+
+@tidy
+def _finish(batches: Iterator[pa.RecordBatch], chance: np.ndarray, tokens: int, words: int) -> Iterator[pa.RecordBatch]:
+    price = -np.log2(np.stack([1 - chance, chance], -1)).ravel()
     for batch in batches:
-        for a, b, raw, offs in text_chunks(batch.column(1), CHUNK):
-            w = Words(raw, offs, mixer.styles)
-            uniq, one, which = np.unique(w.key, return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(keys, uniq), max(0, len(keys) - 1))
-            known = keys[at] == uniq if len(keys) else np.zeros(len(uniq), bool)
-            value = np.empty(len(uniq))
-            value[known] = costs[at[known]]
-            new = np.flatnonzero(~known)
-            for k in range(0, len(new), FEW):
-                part = new[k : k + FEW]
-                value[part] = mixer.cost(Bits(w, one[part]), len(part))
-            if len(keys) + len(new) > most:  # forgotten costs are worked out again
-                keys, costs = np.empty(0, np.uint64), np.empty(0)
-            keys, costs = np.concatenate([keys, uniq[new]]), np.concatenate([costs, value[new]])
-            order = np.argsort(keys, kind="stable")
-            keys, costs = keys[order], costs[order]
-            sums = np.concatenate([[0], np.cumsum(value[which])])
-            total = sums[w.first[1:]] - sums[w.first[:-1]] + ends[w.last]
-            size = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
-            ids = batch.column(0).slice(a, b - a)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": ids,
-                    "held_out": pa.array([fold(i, parts) == held for i in ids.to_pylist()], pa.bool_()),
-                    "n_tokens": pa.array(np.diff(w.first) + 1),
-                    "name": pa.array(text_hashes(w)),
-                    "bits": pa.array(total),
-                    "n_bytes": pa.array(size[w.first[1:]] - size[w.first[:-1]] + 1),
-                }
-            )
+        batch = batch.filter(pc.invert(batch["learned"]))
+        cells = joined(pa.chunked_array([batch["cells"]]), np.int64).reshape(len(batch), -1)
+        bits = batch["written"].to_numpy() + cells @ price
+        n = batch["n_tokens"].to_numpy()
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": batch["n_tokens"], "n_known": batch["n_known"],
+                "train_tokens": pa.array(np.full(len(batch), tokens)), "base_score": pa.array(batch["base"].to_numpy() - n * np.log10(tokens + words + 1.0)),
+                "score": pa.array(-bits * np.log10(2.0)), "bits_per_byte": pa.array(bits / batch["n_bytes"].to_numpy()),
+            }
+        )
 
 
-def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, sample_docs: int = 1500, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Base and model scores of all texts, learned from ids whose fold is not `held`.
+def _two(df: DataFrame, left: str, other: DataFrame, fn, schema: str) -> DataFrame:
+    def call(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = fn(a, b)
+        give_back()
+        return out
 
-    sample_docs: bound on the training documents the mixing weights are learned on."""
+    return df.groupBy(left).cogroup(other.groupBy(left)).applyInArrow(call, schema)
+
+
+def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Base and model scores of all texts, learned from ids whose fold is not `held`."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    frags = max(LEAST_FRAGMENTS, -(-(size[1] or 0) // PER_FRAGMENT))
-    runs = texts.mapInArrow(
-        partial(_postings, parts=parts, held=held, frags=frags),
-        "frag int, word binary, n binary, text binary, tf binary, name binary, weight binary",
-    )
-    base = materialize(
-        per_group(runs, "frag", _base_parts, "name long, s double, known long, tokens long")
-        .groupBy("name").agg(F.sum("s").alias("s"), F.sum("known").alias("known"), F.sum("tokens").alias("tokens")),
-        "base",
-    )
-    learn = texts.where(fold_column(F.col("doc_id"), parts).isNull() | (fold_column(F.col("doc_id"), parts) != held))
-    ends = learn.count()
-    whole = base.where("name is null").first()
-    total = (whole["tokens"] if whole else 0) + ends  # N
-    distinct = (whole["known"] if whole else 0) + (ends > 0)  # V
-    order = F.xxhash64("doc_id")
-    share = min(1.0, 4.0 * sample_docs / max(1, ends))
-    near = learn.where(F.pmod(order, F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    sample = near.orderBy(order, "doc_id").limit(sample_docs).select("text").toArrow()["text"].combine_chunks()
-    styles = learn_styles(sample)
-    counted = texts.mapInArrow(partial(_count_tables, parts=parts, held=held, styles=styles), "segment int, at binary, n binary")
-    segments = per_group(counted, "segment", _sum_segments, "segment int, at binary, n binary")
-    tables = np.zeros((2, OFFSETS[-1]), np.float32)
-    for segment, at, n in segments.toLocalIterator():  # bounded by OFFSETS
-        tables[:, segment * SEGMENT + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(n, np.float32).reshape(2, -1)
-    mixer = Mixer(*tables, styles)
-    for r in range(2):
-        for _, _, raw, offs in text_chunks(sample, CHUNK):
-            w = Words(raw, offs, styles)
-            if len(w.key):
-                _, one, count = np.unique(w.key, return_index=True, return_counts=True)
-                first = np.argsort(one)
-                for k in range(0, len(first), SLICE):
-                    part = first[k : k + SLICE]
-                    mixer.learn(Bits(w, one[part]), count[part], 0.1 / (1 + r))
-    mixer.freeze()
-    model = spark.sparkContext.broadcast(mixer)  # bounded by OFFSETS
-    scored = texts.mapInArrow(
-        partial(_score, parts=parts, held=held, model=model),
-        "doc_id long, held_out boolean, n_tokens long, name long, bits double, n_bytes long",
-    )
-    scored = materialize(scored, "scored")
-    end = float(np.log10(ends + 1.0))
-    return (
-        scored.join(base.where("name is not null").drop("tokens"), "name", "left")
-        .select(
-            "doc_id", "held_out", "n_tokens",
-            (F.coalesce("known", F.lit(0)) + (1 if ends else 0)).cast("long").alias("n_known"),
-            F.lit(total).cast("long").alias("train_tokens"),
-            (F.coalesce("s", F.lit(0.0)) + end - F.col("n_tokens") * float(np.log10(total + distinct + 1.0))).alias("base_score"),
-            (-F.col("bits") * float(np.log10(2.0))).alias("score"),
-            (F.col("bits") / F.col("n_bytes")).alias("bits_per_byte"),
-        )
+    runs = materialize(texts.mapInArrow(partial(_pack, parts=parts, held=held), RUN), "runs")
+    size = runs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    frags = max(LEAST_FRAGMENTS, -(-(size[0] or 0) // PER_FRAGMENT))
+
+    # Frequent words and the code: bounded lists.
+    top = runs.select("top", "n").mapInArrow(_tops, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    used = runs.select("used").mapInArrow(_uses, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    code = prefix_code(np.bincount([r["at"] for r in used], [r["n"] for r in used], 256))
+    frequent = top["word"].to_numpy().view(np.uint64)
+    anchors = np.sort(frequent[:ANCHORS])
+    frame = {"anchors": anchors, "style": np.zeros(len(anchors), np.int64), "frequent": np.sort(frequent)}
+    if len(anchors):
+        pairs = runs.select("text", "offs", "learned").mapInArrow(partial(_together, anchors=anchors), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        together = np.bincount([r["at"] for r in pairs], [round(r["v"], 6) for r in pairs], len(anchors) ** 2).reshape(len(anchors), -1)
+        frame["style"] = group_anchors(together)
+
+    source = runs.select("run", "text", "offs", "learned")
+    asked = materialize(source.mapInArrow(partial(_ask_words, frame=frame, parts=frags), ASKED), "asked")
+    heads = max(LEAST_FRAGMENTS, frags // 2)
+    vocabulary = materialize(per_group(asked, "part", _vocabulary, VOCABULARY, heads=heads), "vocabulary")
+    whole = vocabulary.agg(F.sum("tokens"), F.sum("words")).first()
+    share = per_group(vocabulary, "part", _tables, "part long, at binary, v binary", code=code)
+    tables = np.zeros((OFFSETS[-1], 2), np.float32)
+    for part, at, v in per_group(share, "part", _sum_tables, "part long, at binary, v binary").toLocalIterator():  # bounded by OFFSETS
+        tables[part * SEGMENT + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(v, np.float32).reshape(-1, 2)
+    sent = spark.sparkContext.broadcast(tables)  # bounded by OFFSETS
+    learned = per_group(vocabulary, "part", _learn, "gate int, seen double, w array<double>", tables=sent, code=code)
+    learned = learned.groupBy("gate").agg(F.sum("seen").alias("seen"), *[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(INPUTS)]).collect()  # GATES rows
+    weights = Mixer(tables).weights
+    for r in learned:
+        if r["seen"] > 0:
+            weights[r["gate"]] = [r[f"w{k}"] / r["seen"] for k in range(INPUTS)]
+    prices = per_group(vocabulary, "part", _price, "part long, key binary, cost binary", tables=sent, weights=weights, code=code)
+    words = _two(asked, "part", prices, _answer_words, ANSWER)
+    follows = source.mapInArrow(partial(_ask_followers, frame=frame, parts=frags), FOLLOWERS)
+    follows = per_group(follows, "part", _answer_followers, ANSWER)
+    read = _two(runs.select("run", "ids", "text", "offs", "learned"), "run", words.union(follows), partial(_read, frame=frame, parts=parts, held=held, words=frags, follows=frags), READ)
+    read = materialize(read, "read")
+    release(runs, asked, vocabulary)
+    cells = np.zeros(SURE * PAST * 2)
+    for r in read.where("learned").select("cells").mapInArrow(_cell_sums, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a cell
+        cells[r["at"]] = r["n"]
+    cells = cells.reshape(-1, 2)
+    chance = np.clip((cells[:, 1] + 0.5) / (cells.sum(1) + 1.0), 1e-4, 1 - 1e-4)
+    return read.mapInArrow(
+        partial(_finish, chance=chance, tokens=int(whole[0] or 0), words=int(whole[1] or 0)),
+        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
     )
 
 
+@tidy
+def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        word, n = (joined(pa.chunked_array([batch[c]]), np.int64) for c in ("top", "n"))
+        names, at = np.unique(word, return_inverse=True)
+        yield pa.RecordBatch.from_pydict({"word": pa.array(names), "n": pa.array(np.bincount(at, n, len(names)).astype(np.int64))})
+
+
+@tidy
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _column_sums(batches, "used", 256)
+
+
+@tidy
+def _cell_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _column_sums(batches, "cells", SURE * PAST * 2)
+
+
+def _column_sums(batches: Iterator[pa.RecordBatch], name: str, width: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(width, np.int64)
+    for batch in batches:
+        total += joined(pa.chunked_array([batch[name]]), np.int64).reshape(-1, width).sum(0)
+    yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(width), pa.int32()), "n": pa.array(total)})
+
+
 def op10_context_mixing(spark, sf_dir: str) -> DataFrame:
     return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
