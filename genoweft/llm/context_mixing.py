@@ -75,6 +75,23 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def shrink(x: np.ndarray) -> bytes:
+    """An array of integers or bytes, compressed; the bytes of each rank lie together."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T if len(x) else np.empty(0, np.uint8)
+    raw = planes.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def grow(column, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """(all arrays of a column of shrink(), joined; length of each)."""
+    width, parts = np.dtype(dtype).itemsize, []
+    for data in column.to_pylist():
+        size = int.from_bytes(data[:8], "little")
+        raw = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
+        parts.append(np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel() if size else np.empty(0, dtype))
+    return np.concatenate(parts) if parts else np.empty(0, dtype), np.array([len(x) for x in parts], np.int64)
+
+
 def _rows(part: np.ndarray, fixed: dict[str, np.ndarray], blob: tuple | None = None) -> dict[str, pa.Array]:
     """Packed columns, one row for each value of `part`; blob: (bytes, size of each entry's)."""
     order = np.argsort(part, kind="stable")
@@ -83,13 +100,13 @@ def _rows(part: np.ndarray, fixed: dict[str, np.ndarray], blob: tuple | None = N
     out = {"part": pa.array(part[edge[:-1]], pa.int64())}
     for name, x in fixed.items():
         x = x[order]
-        out[name] = pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+        out[name] = pa.array([shrink(x[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
     if blob is not None:
         data, size = blob
         begin, size = (np.cumsum(size) - size)[order], size[order]
         data, cut = _gather(data, begin, size), np.append(0, np.cumsum(size))[edge]
-        out["size"] = pa.array([size[a:b].astype(np.int32).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-        out["bytes"] = pa.array([data[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+        out["size"] = pa.array([shrink(size[a:b].astype(np.int32)) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+        out["bytes"] = pa.array([shrink(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
     return out
 
 
@@ -102,36 +119,44 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 
 @tidy
 def _pack(batches: Iterator[pa.RecordBatch], parts: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Runs of texts: ids, lowered bytes, offsets, and of the training texts the frequent words and bytes."""
+    """Runs of texts: ids, lowered bytes, offsets, and of the training texts the frequent words, how the
+    most frequent share texts, and the bytes."""
     for batch in batches:
         for a, b, raw, offs in text_chunks(batch.column(1), CHUNK):
             buf, ids = LOWER[raw], batch.column(0).slice(a, b - a)
             learned = np.array([fold(i, parts) != held for i in ids.to_pylist()])
             start, end = word_bounds(buf, offs)
-            h = word_hashes(buf, start, end)[np.repeat(learned, np.diff(np.searchsorted(start, offs)))]
-            words, n = np.unique(h, return_counts=True)
-            some = n * FREQUENT >= len(h)
+            doc = np.repeat(np.arange(b - a), np.diff(np.searchsorted(start, offs)))
+            own = learned[doc]
+            words, at, n = np.unique(word_hashes(buf, start, end)[own], return_inverse=True, return_counts=True)
+            some = np.flatnonzero(n * FREQUENT >= len(at))
+            most = np.sort(np.lexsort((words, -n))[:ANCHORS])
+            near = np.full(len(words), -1)
+            near[most] = np.arange(len(most))
+            near, of = near[at], doc[own]
+            shares = np.bincount(of[near >= 0] * len(most) + near[near >= 0], minlength=(b - a) * len(most)).reshape(b - a, -1).astype(float) if len(most) else np.zeros((0, 0))
+            shares /= np.maximum(shares.sum(1, keepdims=True), 20) if len(most) else 1
             used = np.bincount(buf[np.repeat(learned, np.diff(offs))], minlength=256)
-            used[32] += len(h)
+            used[32] += len(at)
             used[10] += learned.sum()
+            one = lambda x: pa.array([shrink(x)], pa.binary())
             yield pa.RecordBatch.from_pydict(
                 {
-                    "run": pa.array([random.SystemRandom().getrandbits(62)], pa.int64()),
-                    "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                    "text": pa.array([buf.tobytes()], pa.binary()), "offs": pa.array([offs.astype(np.int64).tobytes()], pa.binary()), "learned": pa.array([learned.astype(np.uint8).tobytes()], pa.binary()),
-                    "top": pa.array([words[some].tobytes()], pa.binary()), "n": pa.array([n[some].astype(np.int64).tobytes()], pa.binary()), "used": pa.array([used.astype(np.int64).tobytes()], pa.binary()),
+                    "run": pa.array([random.SystemRandom().getrandbits(62)], pa.int64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
+                    "text": one(buf), "offs": one(offs.astype(np.int64)), "learned": one(learned.astype(np.uint8)), "n_bytes": pa.array([len(buf)], pa.int64()),
+                    "top": one(words[some]), "n": one(n[some].astype(np.int64)), "used": one(used.astype(np.int64)),
+                    "most": one(words[most]), "shares": one((shares.T @ shares).astype(np.float32).ravel()),
                 }
             )
 
 
-RUN = "run long, ids array<long>, text binary, offs binary, learned binary, top binary, n binary, used binary"
+RUN = "run long, ids array<long>, text binary, offs binary, learned binary, n_bytes long, top binary, n binary, used binary, most binary, shares binary"
 
 
 class Tokens:
     """Words and ends of a run of texts, in order, with style, context and place of each."""
 
-    def __init__(self, text: bytes, offs: bytes, frame: dict):
-        offs, buf = np.frombuffer(offs, np.int64), np.frombuffer(text, np.uint8)
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, frame: dict):
         start, end = word_bounds(buf, offs)
         first = np.searchsorted(start, offs)
         words = word_hashes(buf, start, end)
@@ -161,25 +186,27 @@ class Tokens:
         ctx = np.where(more >= 1, mix64(ctx + back[2] * _SALT[2]), ctx)
         ctx = np.where((more >= 1) & (more + often[2] >= 2), mix64(ctx + back[3] * _SALT[3]), ctx)
         self.asked = np.flatnonzero(place >= 2)  # both words before are words
-        self.ctx, self.next = ctx[self.asked], (self.hash[self.asked] >> np.uint64(32)).astype(np.uint32)
+        # 32 bits of a context within its fragment and 16 of a follower within its context tell them apart.
+        self.ctx, self.next = ctx[self.asked], (self.hash[self.asked] >> np.uint64(16) & np.uint64(0xFFFF))
 
     def distinct_words(self):
         """(first place, number of each token's) of the distinct (style, word)."""
         _, one, which = np.unique(self.key, return_index=True, return_inverse=True)
         return one, which
 
-    def distinct_contexts(self):
-        """(first place, number of each asked token's) of the distinct (context, follower)."""
-        _, one, which = np.unique(mix64(self.ctx + self.next.astype(np.uint64) * _SALT[4]), return_index=True, return_inverse=True)
-        return one, which
+    def distinct_contexts(self, parts: int):
+        """(fragment, context, follower) of the distinct ones, and number of each asked token's."""
+        part = _part(self.ctx, parts)
+        pair = (self.ctx & np.uint64(0xFFFFFFFF)) << np.uint64(16) | self.next
+        key = part.astype(np.uint64) << np.uint64(48) | pair
+        uniq, which = np.unique(key, return_inverse=True)
+        return (uniq >> np.uint64(48)).astype(np.int64), uniq >> np.uint64(16) & np.uint64(0xFFFFFFFF), (uniq & np.uint64(0xFFFF)).astype(np.uint16), which
 
 
-def _each_run(batches: Iterator[pa.RecordBatch], frame: dict):
-    for batch in batches:
-        for r in range(len(batch)):
-            learned = np.frombuffer(batch["learned"][r].as_buffer(), np.uint8).astype(bool)
-            t = Tokens(batch["text"][r].as_buffer(), batch["offs"][r].as_buffer(), frame)
-            yield batch["run"][r].as_py(), t, np.repeat(learned, np.diff(t.first))
+def _tokens(table, r: int, frame: dict):
+    learned = grow(table["learned"].slice(r, 1), np.uint8)[0].astype(bool)
+    t = Tokens(grow(table["text"].slice(r, 1), np.uint8)[0], grow(table["offs"].slice(r, 1), np.int64)[0], frame)
+    return t, learned
 
 
 # ---------------------------------------------------------------- styles
@@ -191,16 +218,10 @@ def _together(batches: Iterator[pa.RecordBatch], anchors: np.ndarray) -> Iterato
     total = np.zeros((len(anchors), len(anchors)))
     for batch in batches:
         for r in range(len(batch)):
-            learned = np.frombuffer(batch["learned"][r].as_buffer(), np.uint8).astype(bool)
-            buf, offs = np.frombuffer(batch["text"][r].as_buffer(), np.uint8), np.frombuffer(batch["offs"][r].as_buffer(), np.int64)
-            start, end = word_bounds(buf, offs)
-            h = word_hashes(buf, start, end)
-            k = np.minimum(np.searchsorted(anchors, h), len(anchors) - 1)
-            doc = np.repeat(np.arange(len(offs) - 1), np.diff(np.searchsorted(start, offs)))
-            own = (anchors[k] == h) & learned[doc]
-            n = np.bincount(doc[own] * len(anchors) + k[own], minlength=(len(offs) - 1) * len(anchors)).reshape(-1, len(anchors)).astype(float)
-            n /= np.maximum(n.sum(1, keepdims=True), 20)
-            total += n.T @ n
+            most, shares = grow(batch["most"].slice(r, 1), np.uint64)[0], grow(batch["shares"].slice(r, 1), np.float32)[0]
+            k = np.minimum(np.searchsorted(anchors, most), len(anchors) - 1)
+            own = np.flatnonzero(anchors[k] == most)
+            total[np.ix_(k[own], k[own])] += shares.reshape(len(most), -1)[np.ix_(own, own)]
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "v": pa.array(total.ravel()[at])})
 
@@ -239,117 +260,161 @@ def prefix_code(used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @tidy
-def _ask_words(batches: Iterator[pa.RecordBatch], frame: dict, parts: int) -> Iterator[pa.RecordBatch]:
-    """Per run and fragment: its distinct (style, word), how often training texts have each, and bytes."""
-    for run, t, learned in _each_run(batches, frame):
-        one, which = t.distinct_words()
-        n = np.bincount(which, learned, len(one)).astype(np.int32)
-        size = t.size[one]
-        out = _rows(_part(t.hash[one], parts), {"style": t.style[one], "n": n}, (_gather(t.buf, t.start[one], size), size))
-        yield pa.RecordBatch.from_pydict({"run": pa.array([run] * len(out["part"]), pa.int64())} | out)
-
-
-ASKED = "run long, part long, style binary, n binary, size binary, bytes binary"
-
-
-class Entries:
-    """Rows of ASKED put together: style, count and bytes of each entry."""
-
-    def __init__(self, table: pa.Table):
-        self.style, self.n, self.size = joined(table["style"], np.uint8), joined(table["n"], np.int64 if table.schema.metadata else np.int32).astype(np.int64), joined(table["size"], np.int32).astype(np.int64)
-        self.buf = joined(table["bytes"], np.uint8)
-        end = np.cumsum(self.size)
-        self.begin = end - self.size
-        self.word = word_hashes(self.buf, self.begin, end)
-        self.word[(self.size == 1) & (self.buf[self.begin] == 10)] = END
-        self.key = mix64(self.word + mix64(self.style.astype(np.uint64) + np.uint64(3)))
-
-
-def _vocabulary(table: pa.Table, heads: int) -> pa.Table:
-    """Distinct (style, word) of a fragment with their counts, by the first bytes of the word."""
-    e = Entries(table)
-    _, one, which = np.unique(e.key, return_index=True, return_inverse=True)
-    n = np.bincount(which, e.n, len(one)).astype(np.int64)
-    words, at = np.unique(e.word[one], return_inverse=True)
-    c = np.bincount(at, n, len(words))
-    few = np.minimum(e.size[one], HEAD)
+def _ask(batches: Iterator[pa.RecordBatch], frame: dict, parts: int) -> Iterator[pa.RecordBatch]:
+    """Per run and fragment its distinct (style, word), with bytes (kind 0), and its distinct (context,
+    follower) (kind 1), and how often training texts have each."""
+    for batch in batches:
+        for r in range(len(batch)):
+            t, learned = _tokens(batch, r, frame)
+            learned = np.repeat(learned, np.diff(t.first))
+            one, which = t.distinct_words()
+            n = np.bincount(which, learned, len(one)).astype(np.uint32)
+            size = t.size[one]
+            out = _rows(_part(t.hash[one], parts), {"a": t.style[one], "n": n}, (_gather(t.buf, t.start[one], size), size))
+            part, ctx, follower, which = t.distinct_contexts(parts)
+            n = np.bincount(which, learned[t.asked], len(part)).astype(np.uint32)
+            first = np.append(True, part[1:] != part[:-1])[: len(part)]
+            gap = np.where(first, ctx, ctx - np.append(0, ctx[:-1]).astype(np.uint64)[: len(ctx)]).astype(np.uint32)  # sorted: only gaps are sent
+            more = _rows(part, {"a": gap, "n": n, "bytes": follower})
+            none = pa.array([None] * len(more["part"]), pa.binary())
+            more["size"] = none
+            for kind, x in ((0, out), (1, more)):
+                yield pa.RecordBatch.from_pydict({"run": pa.array([batch["run"][r].as_py()] * len(x["part"]), pa.int64()), "kind": pa.array([kind] * len(x["part"]), pa.int32())} | {c: x[c] for c in ("part", "a", "n", "size", "bytes")})
+
+
+ASKED = "run long, kind int, part long, a binary, n binary, size binary, bytes binary"
+#: kind 0: words of a fragment for one group of first bytes; 1: followers' answers to a run; 2: a run's words, by number in the fragment.
+KNOWN = "kind int, of long, part long, a binary, n binary, size binary, bytes binary, c binary, tokens long, words long"
+
+
+def _known(table: pa.Table, heads: int) -> pa.Table:
+    if table["kind"][0].as_py():
+        return _answer_followers(table)
+    style, _ = grow(table["a"], np.uint8)
+    n, many = grow(table["n"], np.uint32)
+    size, buf = grow(table["size"], np.int32)[0].astype(np.int64), grow(table["bytes"], np.uint8)[0]
+    end = np.cumsum(size)
+    begin = end - size
+    word = word_hashes(buf, begin, end)
+    word[(size == 1) & (buf[begin] == 10)] = END
+    _, one, which = np.unique(mix64(word + mix64(style.astype(np.uint64) + np.uint64(3))), return_index=True, return_inverse=True)
+    total = np.bincount(which, n, len(one)).astype(np.int64)
+    words, at = np.unique(word[one], return_inverse=True)
+    c = np.bincount(at, total, len(words)).astype(np.int64)
+    few = np.minimum(size[one], HEAD)
     head = np.zeros(len(one), np.uint64)
     for k in range(HEAD):
-        head = np.where(few > k, head * np.uint64(257) + e.buf[np.minimum(e.begin[one] + k, len(e.buf) - 1)] + np.uint64(1), head)
-    out = _rows(_part(mix64(head), heads), {"style": e.style[one], "n": n}, (_gather(e.buf, e.begin[one], e.size[one]), e.size[one]))
-    own = table["part"][0].as_py()
-    out = {"of": pa.array([own] * len(out["part"]), pa.int64())} | out
-    whole = {"tokens": [int(c.sum())] + [0] * (len(out["part"]) - 1), "words": [int((c > 0).sum())] + [0] * (len(out["part"]) - 1)}
-    return pa.table(out | {k: pa.array(v, pa.int64()) for k, v in whole.items()})
+        head = np.where(few > k, head * np.uint64(257) + buf[np.minimum(begin[one] + k, len(buf) - 1)] + np.uint64(1), head)
+    out = _rows(_part(mix64(head), heads), {"a": style[one], "n": total, "c": np.arange(len(one), dtype=np.uint32)}, (_gather(buf, begin[one], size[one]), size[one]))
+    own, rows = table["part"][0].as_py(), len(out["part"])
+    words_of = pa.table({"kind": pa.array([0] * rows, pa.int32()), "of": pa.array([own] * rows, pa.int64()), **{k: out[k] for k in ("part", "a", "n", "size", "bytes", "c")}, "tokens": pa.array([int(c.sum())] + [0] * (rows - 1), pa.int64()), "words": pa.array([int((c > 0).sum())] + [0] * (rows - 1), pa.int64())})
+    edge, count = np.append(0, np.cumsum(many)), c[at][which]
+    cut = lambda x: pa.array([shrink(x[i:j]) for i, j in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    none, zero = pa.array([None] * len(many), pa.binary()), pa.array([0] * len(many), pa.int64())
+    runs = pa.table({"kind": pa.array([2] * len(many), pa.int32()), "of": pa.array([own] * len(many), pa.int64()), "part": table["run"], "a": cut(which.astype(np.uint32)), "n": cut(count), "size": none, "bytes": none, "c": none, "tokens": zero, "words": zero})
+    return pa.concat_tables([words_of, runs.cast(words_of.schema)])
 
 
-VOCABULARY = "of long, part long, style binary, n binary, size binary, bytes binary, tokens long, words long"
+def _heads(table: pa.Table) -> pa.Table:
+    """All words of a group of first bytes in one row."""
+    col = lambda c, t: grow(table[c], t)[0]
+    c, many = grow(table["c"], np.uint32)
+    one = {"of": np.repeat(table["of"].to_numpy(), many), "at": c, "a": col("a", np.uint8), "n": col("n", np.int64), "size": col("size", np.int32), "bytes": col("bytes", np.uint8)}
+    return pa.table({k: pa.array([shrink(v)], pa.binary()) for k, v in one.items()})
+
+
+HEADS = "of binary, at binary, a binary, n binary, size binary, bytes binary"
 
 
 class Bits:
     """The bits of some (style, word): predicted by bounded tables and by the words themselves.
 
-    All words that share their first HEAD bytes must be given together."""
+    All words that share their first HEAD bytes must be given together. Words of one style that begin
+    alike share steps: a step is a byte after all bytes before it, and is worked out once."""
 
-    def __init__(self, style: np.ndarray, n: np.ndarray, begin: np.ndarray, size: np.ndarray, buf: np.ndarray, code: tuple):
-        self.n, ends = n, (size == 1) & (buf[begin] == 10) if len(begin) else np.zeros(0, bool)
+    def __init__(self, style: np.ndarray, n: np.ndarray, size: np.ndarray, buf: np.ndarray, code: tuple):
+        begin = np.cumsum(size) - size
+        ends = (size == 1) & (buf[begin] == 10) if len(begin) else np.zeros(0, bool)
         full = size + ~ends  # a space behind each word
-        self.owner = np.repeat(np.arange(len(n)), full)
+        self.words, self.owner = len(n), np.repeat(np.arange(len(n)), full)
         inside = np.arange(len(self.owner)) - np.repeat(np.cumsum(full) - full, full)
         last = inside >= size[self.owner]
-        self.byte = np.where(last, np.uint8(32), buf[np.minimum(begin[self.owner] + inside, len(buf) - 1)]) if len(buf) else np.zeros(0, np.uint8)
-        b = self.byte.astype(np.uint64) + np.uint64(1)
+        byte = np.where(last, np.uint8(32), buf[np.minimum(begin[self.owner] + inside, len(buf) - 1)]) if len(buf) else np.zeros(0, np.uint8)
+        b = byte.astype(np.uint64) + np.uint64(1)
         back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.uint64), b[:-k]])[: len(b)], np.uint64(0)) for k in (1, 2, 3)]
         s = mix64(style.astype(np.uint64) + np.uint64(11))[self.owner]
         two = back[0] + (back[1] << np.uint64(9))
         three = two + (back[2] << np.uint64(18))
         # The word so far: a running hash, restarted at every word.
-        step = mix64(b + (inside.astype(np.uint64) << np.uint64(16)))
-        upto = np.concatenate([[np.uint64(0)], np.cumsum(step, dtype=np.uint64)])
+        upto = np.concatenate([[np.uint64(0)], np.cumsum(mix64(b + (inside.astype(np.uint64) << np.uint64(16))), dtype=np.uint64)])
         so_far = mix64(upto[:-1] - upto[np.arange(len(b)) - inside] + inside.astype(np.uint64))
-        self.context = [mix64(two + s), mix64(three + s + np.uint64(1)), so_far, mix64(so_far + s)]
-        self.local = inside >= HEAD
+        styled = mix64(so_far + s)
+        _, one, self.step = np.unique(mix64(styled + b), return_index=True, return_inverse=True)
+        self.n = np.bincount(self.step, n[self.owner], len(one)).astype(np.float32)
+        self.byte, self.local = byte[one], inside[one] >= HEAD
+        self.context = [mix64(two[one] + s[one]), mix64(three[one] + s[one] + np.uint64(1)), so_far[one], styled[one]]
         self.value, self.length = code
+        # Steps by word so far and code, in any style and in one: bits that share a context lie together.
+        flush = self.value[self.byte] << (np.uint64(60) - self.length[self.byte].astype(np.uint64))
+        self.flush = flush
+        self.order = [np.lexsort((flush, self.context[i])) for i in (2, 3)]
 
     def steps(self):
-        """For each bit of the code: the bytes that have it, its value, slots of the tables and node keys of the word so far."""
-        for k in range(int(self.length[self.byte].max(initial=0))):
-            at = np.flatnonzero(self.length[self.byte] > k)
-            rest = (self.length[self.byte[at]] - k).astype(np.uint64)
-            value = self.value[self.byte[at]]
-            bit = ((value >> (rest - np.uint64(1))) & np.uint64(1)).astype(np.int64)
-            node = (np.uint64(1) << np.uint64(k) | value >> rest) * np.uint64(0x9E3779B97F4A7C15)
-            yield at, bit, [mix64(c[at] + node) for c in self.context]
-
-    @staticmethod
-    def slots(keys: list[np.ndarray]) -> list[np.ndarray]:
-        return [(k >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (k, n) in enumerate(zip(keys, SLOT_BITS, strict=True))]
-
-
-def _of(table: pa.Table, code: tuple) -> tuple[Bits, np.ndarray]:
-    e = Entries(table.replace_schema_metadata({"n": "long"}))
-    return Bits(e.style, e.n, e.begin, e.size, e.buf, code), e.key
-
-
-def _tables(table: pa.Table, code: tuple) -> pa.Table:
-    """A fragment's share of the bounded tables, by segment: slots with their zeros and ones."""
-    bits, _ = _of(table, code)
-    n = np.zeros(2 * OFFSETS[-1], np.float32)
-    for at, bit, keys in bits.steps():
-        weight, near = bits.n[bits.owner[at]].astype(np.float32), ~bits.local[at]
-        for i, s in enumerate(bits.slots(keys)):
-            some = slice(None) if i < 2 else near  # the word so far is in tables for its first bytes only
-            np.add.at(n, 2 * s[some] + bit[some], weight[some])
-    n = n.reshape(-1, 2)
-    met = np.flatnonzero(n.any(1))
-    out = _rows(met // SEGMENT, {"at": (met % SEGMENT).astype(np.uint16), "v": n[met]})
-    return pa.table({"part": out["part"], "at": out["at"], "v": out["v"]})
+        """For each bit of the code: the steps that have it, its value, slots of the tables, and zeros and ones of the word so far."""
+        lengths = self.length[self.byte]
+        for k in range(int(lengths.max(initial=0))):
+            has = lengths > k
+            at = np.flatnonzero(has)
+            bit = (self.flush[at] >> np.uint64(59 - k) & np.uint64(1)).astype(np.int64)
+            node = (np.uint64(1) << np.uint64(k) | self.flush[at] >> np.uint64(60 - k)) * np.uint64(0x9E3779B97F4A7C15)
+            slots = [(mix64(c[at] + node) >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (c, n) in enumerate(zip(self.context, SLOT_BITS, strict=True))]
+            yield at, bit, slots, k
+
+    def own_counts(self, i: int, k: int) -> np.ndarray:
+        """Zeros and ones, for every step, of its bit k among the words given; i: 0 in any style, 1 in one."""
+        order = self.order[i]
+        order = order[self.length[self.byte[order]] > k]
+        ctx, path = self.context[i + 2][order], self.flush[order] >> np.uint64(60 - k)
+        first = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (path[1:] != path[:-1])))
+        bit = (self.flush[order] >> np.uint64(59 - k) & np.uint64(1)).astype(np.float32)
+        n = self.n[order]
+        two = np.stack([np.add.reduceat(n * (1 - bit), first, dtype=np.float64), np.add.reduceat(n * bit, first, dtype=np.float64)], 1).astype(np.float32)
+        out = np.zeros((len(self.n), 2), np.float32)
+        out[order] = np.repeat(two, np.diff(np.append(first, len(order))), 0)
+        return out
+
+    def of_words(self, steps: np.ndarray) -> np.ndarray:
+        """Sums over the steps of each word."""
+        return np.bincount(self.owner, steps[self.step], self.words)
+
+
+def _of(batch, r: int, code: tuple) -> Bits:
+    col = lambda c, t: grow(batch[c].slice(r, 1), t)[0]
+    return Bits(col("a", np.uint8), col("n", np.int64), col("size", np.int32).astype(np.int64), col("bytes", np.uint8), code)
+
+
+@tidy
+def _tables(batches: Iterator[pa.RecordBatch], code: tuple) -> Iterator[pa.RecordBatch]:
+    """A task's share of the bounded tables, by segment: slots with their zeros and ones."""
+    n, some = np.zeros(2 * OFFSETS[-1], np.float32), False
+    for batch in batches:
+        for r in range(len(batch)):
+            bits, some = _of(batch, r, code), True
+            for at, bit, slots, _ in bits.steps():
+                near = ~bits.local[at]
+                for i, s in enumerate(slots):
+                    own = slice(None) if i < 2 else near  # the word so far is in tables for its first bytes only
+                    np.add.at(n, 2 * s[own] + bit[own], bits.n[at][own])
+    if some:
+        n = n.reshape(-1, 2)
+        met = np.flatnonzero(n.any(1))
+        out = _rows(met // SEGMENT, {"at": (met % SEGMENT).astype(np.uint16), "v": n[met].ravel().view(np.uint32).reshape(-1, 2).view(np.uint64).ravel()})
+        yield pa.RecordBatch.from_pydict({k: out[k] for k in ("part", "at", "v")})
 
 
 def _sum_tables(table: pa.Table) -> pa.Table:
     total = np.zeros((SEGMENT, 2), np.float32)
-    at, v = joined(table["at"], np.uint16), joined(table["v"], np.float32).reshape(-1, 2)
-    np.add.at(total, at, v)
+    np.add.at(total, grow(table["at"], np.uint16)[0], grow(table["v"], np.uint64)[0].view(np.float32).reshape(-1, 2))
     met = np.flatnonzero(total.any(1)).astype(np.uint16)
     return pa.table({"part": table["part"][:1], "at": pa.array([met.tobytes()], pa.binary()), "v": pa.array([total[met].tobytes()], pa.binary())})
 
@@ -372,100 +437,85 @@ class Mixer:
         self.weights, self.power = weights, np.full(GATES, 1e-2)
         self.seen = np.zeros(GATES)
 
-    def _inputs(self, bits: Bits, at: np.ndarray, bit: np.ndarray, keys: list[np.ndarray], left_out: bool):
-        counts, owner_n = [], bits.n[bits.owner[at]].astype(np.float32)
-        local, slots = bits.local[at], bits.slots(keys)
+    def _inputs(self, bits: Bits, at: np.ndarray, bit: np.ndarray, slots: list[np.ndarray], k: int, left_out: bool):
+        counts, local = [], bits.local[at]
         for i, s in enumerate(slots):
             two = self.tables[s]
-            if i >= 2 and local.any():
-                _, which = np.unique(keys[i][local], return_inverse=True)
-                ones = np.bincount(which, owner_n[local] * bit[local])
-                zeros = np.bincount(which, owner_n[local] * (1 - bit[local]))
-                two[local] = np.stack([zeros[which], ones[which]], 1)
+            if i >= 2:
+                two = np.where(local[:, None], bits.own_counts(i - 2, k)[at], two)
             if left_out:
                 two[np.arange(len(at)), bit] -= 1
             counts.append(np.maximum(two, 0))
-        n = np.stack([c.sum(1) for c in counts])
-        x = np.stack([np.log((c[:, 1] + 0.1) / (c[:, 0] + 0.1)) for c in counts] + [np.full(len(at), 0.3, np.float32)])
+        n = [c[:, 0] + c[:, 1] for c in counts]
+        x = np.stack([np.log((c[:, 1] + np.float32(0.1)) / (c[:, 0] + np.float32(0.1))) for c in counts] + [np.full(len(at), 0.3, np.float32)])
         one_sided = ((counts[3].min(1) == 0) & (n[3] > 0)).astype(np.int64)
         return x, (_level(n[3]) * LEVELS + _level(n[1])) * 2 + one_sided
 
     def _mix(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(np.einsum("ki,ik->i", x, self.weights[gate]), -16, 16)))
 
-    def learn(self, bits: Bits, rate: float = 0.1, block: int = 4096) -> None:
+    def learn(self, bits: Bits, rate: float = 0.1, block: int = 8192) -> None:
         """Online steps over the training words, each occurrence left out of its own counts."""
-        for at, bit, keys in bits.steps():
-            some = bits.n[bits.owner[at]] > 0
-            x, gate = self._inputs(bits, at, bit, keys, True)
-            weight = np.minimum(bits.n[bits.owner[at]], 50)
-            for a in range(0, len(at), block):
-                own = np.flatnonzero(some[a : a + block]) + a
+        for at, bit, slots, k in bits.steps():
+            x, gate = self._inputs(bits, at, bit, slots, k, True)
+            weight = np.minimum(bits.n[at], 2000)
+            some = np.flatnonzero(weight > 0)
+            for a in range(0, len(some), block):
+                own = some[a : a + block]
                 g, v = gate[own], x[:, own]
                 e = (bit[own] - self._mix(v, g)) * weight[own]
-                grad = np.stack([np.bincount(g, e * v[k], GATES) for k in range(INPUTS)], 1)
-                self.power += np.bincount(g, (e**2 * (v**2).sum(0)), GATES)
+                grad = np.stack([np.bincount(g, e * v[j], GATES) for j in range(INPUTS)], 1)
+                self.power += np.bincount(g, e**2 * (v**2).sum(0), GATES)
                 self.weights = np.clip(self.weights + rate * grad / np.sqrt(self.power)[:, None], -3, 3).astype(np.float32)
                 self.seen += np.bincount(g, weight[own], GATES)
 
     def cost(self, bits: Bits) -> np.ndarray:
         """Bits of each word."""
         total = np.zeros(len(bits.n))
-        for at, bit, keys in bits.steps():
-            p = self._mix(*self._inputs(bits, at, bit, keys, False))
-            p = np.clip(p, 1e-5, 1 - 1e-5)
-            total += np.bincount(bits.owner[at], -np.log2(np.where(bit == 1, p, 1 - p)), len(total))
-        return total
+        for at, bit, slots, k in bits.steps():
+            p = np.clip(self._mix(*self._inputs(bits, at, bit, slots, k, False)), 1e-5, 1 - 1e-5)
+            total[at] -= np.log2(np.where(bit == 1, p, 1 - p))
+        return bits.of_words(total)
 
 
-def _learn(table: pa.Table, tables, code: tuple) -> pa.Table:
-    bits, _ = _of(table, code)
-    m = Mixer(tables.value)
-    m.learn(bits)
-    return pa.table({"gate": pa.array(np.arange(GATES), pa.int32()), "seen": m.seen, "w": pa.array(list(m.weights * m.seen[:, None]), pa.list_(pa.float64()))})
+@tidy
+def _learn(batches: Iterator[pa.RecordBatch], tables, code: tuple) -> Iterator[pa.RecordBatch]:
+    """Weights learned on each group of words, and how much each gate was used."""
+    for batch in batches:
+        for r in range(len(batch)):
+            m = Mixer(tables.value)
+            m.learn(_of(batch, r, code))
+            yield pa.RecordBatch.from_pydict({"gate": pa.array(np.arange(GATES), pa.int32()), "seen": pa.array(m.seen), "w": pa.array(list(m.weights * m.seen[:, None]), pa.list_(pa.float64()))})
 
 
-def _price(table: pa.Table, tables, weights: np.ndarray, code: tuple) -> pa.Table:
-    """Key and cost of each word, for the fragment that knows it."""
-    bits, key = _of(table, code)
-    cost = Mixer(tables.value, weights).cost(bits).astype(np.float32)
-    many = np.array([len(x) // 4 for x in table["size"].to_pylist()], np.int64)
-    out = _rows(np.repeat(table["of"].to_numpy(), many), {"key": key, "cost": cost})
-    return pa.table({k: out[k] for k in ("part", "key", "cost")})
+@tidy
+def _price(batches: Iterator[pa.RecordBatch], tables, weights: np.ndarray, code: tuple) -> Iterator[pa.RecordBatch]:
+    """Cost of each word, by number, for the fragment that asked."""
+    for batch in batches:
+        for r in range(len(batch)):
+            cost = Mixer(tables.value, weights).cost(_of(batch, r, code)).astype(np.float32)
+            of, at = grow(batch["of"].slice(r, 1), np.int64)[0], grow(batch["at"].slice(r, 1), np.uint32)[0]
+            out = _rows(of, {"at": at, "cost": cost})
+            yield pa.RecordBatch.from_pydict({"of": out["part"], "at": out["at"], "cost": out["cost"]})
 
 
 def _answer_words(asked: pa.Table, prices: pa.Table) -> pa.Table:
     """Per run: cost of each word it asked for, and the word's count in any style."""
-    if not asked.num_rows:
-        return pa.table({"run": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "part": pa.array([], pa.int64()), "a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-    e = Entries(asked)
-    key, cost = joined(prices["key"], np.uint64), joined(prices["cost"], np.float32)
-    order = np.argsort(key)
-    price = cost[order][np.searchsorted(key[order], e.key)]
-    _, at = np.unique(e.word, return_inverse=True)
-    c = np.bincount(at, e.n).astype(np.int64)[at]
-    edge = np.append(0, np.cumsum([len(x) // 4 for x in asked["size"].to_pylist()]))
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-    return pa.table({"run": asked["run"], "kind": pa.array([0] * asked.num_rows, pa.int32()), "part": asked["part"], "a": cut(price), "b": cut(c)})
+    at, cost = grow(prices["at"], np.uint32)[0], grow(prices["cost"], np.float32)[0]
+    price = np.zeros(int(at.max(initial=0)) + 1, np.float32)
+    price[at] = cost
+    which = [grow(asked["a"].slice(r, 1), np.uint32)[0] for r in range(asked.num_rows)]
+    return pa.table(
+        {
+            "run": asked["part"], "kind": pa.array([0] * asked.num_rows, pa.int32()), "part": asked["of"],
+            "a": pa.array([shrink(price[w].astype(np.float16)) for w in which], pa.binary()), "b": asked["n"],
+        }
+    )
 
 
 # ---------------------------------------------------------------- followers
 
 
-@tidy
-def _ask_followers(batches: Iterator[pa.RecordBatch], frame: dict, parts: int) -> Iterator[pa.RecordBatch]:
-    """Per run and fragment: its distinct (context, follower) and how often training texts have each."""
-    for run, t, learned in _each_run(batches, frame):
-        one, which = t.distinct_contexts()
-        n = np.bincount(which, learned[t.asked], len(one))
-        low = (t.ctx[one] & np.uint64((1 << 48) - 1)).view(np.uint8).reshape(-1, 8)[:, :6]
-        out = _rows(_part(mix64(t.ctx[one]), parts), {"ctx": low, "next": t.next[one], "n": np.minimum(n, 65535).astype(np.uint16)})
-        yield pa.RecordBatch.from_pydict({"run": pa.array([run] * len(out["part"]), pa.int64())} | out)
-
-
-FOLLOWERS = "run long, part long, ctx binary, next binary, n binary"
-
-
 def _sure(best: np.ndarray, n: np.ndarray) -> np.ndarray:
     """How sure counts are, from 1; 0 without any."""
     alone = best == n
@@ -473,22 +523,21 @@ def _sure(best: np.ndarray, n: np.ndarray) -> np.ndarray:
     return level.astype(np.uint8)
 
 
-def _answer_followers(table: pa.Table) -> pa.Table:
-    """Per run, for each pair it asked for: sureness and whether the follower is the predicted one, as it is and with one occurrence left out."""
-    low = joined(table["ctx"], np.uint8).reshape(-1, 6)
-    ctx = np.zeros((len(low), 8), np.uint8)
-    ctx[:, :6] = low
-    ctx, nxt, n = ctx.view(np.uint64).ravel(), joined(table["next"], np.uint32).astype(np.uint64), joined(table["n"], np.uint16).astype(np.int64)
-    pair, one, which = np.unique(mix64(ctx + nxt * _SALT[4]), return_index=True, return_inverse=True)
+def followers(ctx: np.ndarray, nxt: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs of a context and a follower, counted in several parts: sureness and whether the follower
+    is the predicted one (2 * sureness + hit), as it is and with one occurrence of the pair left out."""
+    pair, which = np.unique(ctx.astype(np.uint64) << np.uint64(16) | nxt.astype(np.uint64), return_inverse=True)
     c = np.bincount(which, n, len(pair)).astype(np.int64)
-    of, name = ctx[one], nxt[one]
+    of, name = pair >> np.uint64(16), pair & np.uint64(0xFFFF)
     order = np.lexsort((name, -c, of))
     of_s, c_s = of[order], c[order]
     first = np.flatnonzero(np.append(True, of_s[1:] != of_s[:-1])[: len(of_s)])
+    if not len(first):
+        return np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     many = np.diff(np.append(first, len(of_s)))
     group = np.repeat(np.arange(len(first)), many)
-    best, total = c_s[first], np.add.reduceat(c_s, first) if len(first) else np.zeros(0, np.int64)
-    second = np.where(many > 1, c_s[np.minimum(first + 1, len(c_s) - 1)], 0) if len(first) else best
+    best, total = c_s[first], np.add.reduceat(c_s, first)
+    second = np.where(many > 1, c_s[np.minimum(first + 1, len(c_s) - 1)], 0)
     hit = np.zeros(len(c_s), bool)
     hit[first] = best > 0
     state = _sure(best[group], total[group]) * 2 + hit
@@ -497,10 +546,19 @@ def _answer_followers(table: pa.Table) -> pa.Table:
     loo = _sure(left, total[group] - 1) * 2 + still
     back = np.empty(len(order), np.int64)
     back[order] = np.arange(len(order))
-    at = back[which]
-    edge = np.append(0, np.cumsum([len(x) // 4 for x in table["next"].to_pylist()]))
-    cut = lambda x: pa.array([x[a:b].astype(np.uint8).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-    return pa.table({"run": table["run"], "kind": pa.array([1] * table.num_rows, pa.int32()), "part": table["part"], "a": cut(state[at]), "b": cut(loo[at])})
+    return state[back[which]].astype(np.uint8), loo[back[which]].astype(np.uint8)
+
+
+def _answer_followers(table: pa.Table) -> pa.Table:
+    gap, many = grow(table["a"], np.uint32)
+    edge = np.append(0, np.cumsum(many))
+    upto = np.append(0, np.cumsum(gap.astype(np.uint64)))
+    ctx = upto[1:] - np.repeat(upto[edge[:-1]], many)
+    state, loo = followers(ctx, grow(table["bytes"], np.uint16)[0], grow(table["n"], np.uint32)[0])
+    cut = lambda x: pa.array([shrink(x[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    rows = table.num_rows
+    none, zero = pa.array([None] * rows, pa.binary()), pa.array([0] * rows, pa.int64())
+    return pa.table({"kind": pa.array([1] * rows, pa.int32()), "of": table["part"], "part": table["run"], "a": cut(state), "n": cut(loo), "size": none, "bytes": none, "c": none, "tokens": zero, "words": zero})
 
 
 ANSWER = "run long, kind int, part long, a binary, b binary"
@@ -524,27 +582,25 @@ def _cells(state: np.ndarray, doc: np.ndarray, texts: int) -> np.ndarray:
 
 def _read(run: pa.Table, answers: pa.Table, frame: dict, parts: int, held: int, words: int, follows: int) -> pa.Table:
     """Per text: tokens, known ones, base sum, bits of written words, cells of the map; one more row with the cells learned."""
-    t = Tokens(run["text"][0].as_buffer(), run["offs"][0].as_buffer(), frame)
+    t, learned = _tokens(run, 0, frame)
     ids, texts = run["ids"][0].as_py(), len(t.first) - 1
     kind = answers["kind"].to_numpy()
 
     def put(k: int, part: np.ndarray, col: str, dtype) -> np.ndarray:
         own = answers.filter(pa.array(kind == k)).sort_by("part")
         out = np.empty(len(part), dtype)
-        out[np.argsort(part, kind="stable")] = joined(own[col], dtype)
+        out[np.argsort(part, kind="stable")] = grow(own[col], dtype)[0]
         return out
 
     one, which = t.distinct_words()
     part = _part(t.hash[one], words)
-    cost, c = put(0, part, "a", np.float32)[which].astype(float), put(0, part, "b", np.int64)[which]
+    cost, c = put(0, part, "a", np.float16)[which].astype(float), put(0, part, "b", np.int64)[which]
     state = loo = np.zeros(0, np.uint8)
     if len(t.asked):
-        one, which = t.distinct_contexts()
-        part = _part(mix64(t.ctx[one]), follows)
+        part, _, _, which = t.distinct_contexts(follows)
         state, loo = put(1, part, "a", np.uint8)[which], put(1, part, "b", np.uint8)[which]
     doc = np.repeat(np.arange(texts), np.diff(t.first))
     sums = lambda v: np.bincount(doc, v, texts)
-    learned = np.frombuffer(run["learned"][0].as_buffer(), np.uint8).astype(bool)
     state = np.where(learned[doc[t.asked]], loo, state)
     cost[t.asked[(state & 1) == 1]] = 0  # predicted words are not written
     cells = _cells(state, doc[t.asked], texts)
@@ -593,8 +649,8 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = materialize(texts.mapInArrow(partial(_pack, parts=parts, held=held), RUN), "runs")
-    size = runs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    frags = max(LEAST_FRAGMENTS, -(-(size[0] or 0) // PER_FRAGMENT))
+    size = runs.agg(F.sum("n_bytes")).first()[0] or 0
+    frags = max(LEAST_FRAGMENTS, -(-size // PER_FRAGMENT))
 
     # Frequent words and the code: bounded lists.
     top = runs.select("top", "n").mapInArrow(_tops, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
@@ -604,33 +660,33 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
     anchors = np.sort(frequent[:ANCHORS])
     frame = {"anchors": anchors, "style": np.zeros(len(anchors), np.int64), "frequent": np.sort(frequent)}
     if len(anchors):
-        pairs = runs.select("text", "offs", "learned").mapInArrow(partial(_together, anchors=anchors), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-        together = np.bincount([r["at"] for r in pairs], [round(r["v"], 6) for r in pairs], len(anchors) ** 2).reshape(len(anchors), -1)
+        pairs = runs.select("most", "shares").mapInArrow(partial(_together, anchors=anchors), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        together = np.bincount([r["at"] for r in pairs], [round(r["v"], 3) for r in pairs], len(anchors) ** 2).reshape(len(anchors), -1)
         frame["style"] = group_anchors(together)
 
-    source = runs.select("run", "text", "offs", "learned")
-    asked = materialize(source.mapInArrow(partial(_ask_words, frame=frame, parts=frags), ASKED), "asked")
+    asked = runs.select("run", "text", "offs", "learned").mapInArrow(partial(_ask, frame=frame, parts=frags), ASKED)
     heads = max(LEAST_FRAGMENTS, frags // 2)
-    vocabulary = materialize(per_group(asked, "part", _vocabulary, VOCABULARY, heads=heads), "vocabulary")
-    whole = vocabulary.agg(F.sum("tokens"), F.sum("words")).first()
-    share = per_group(vocabulary, "part", _tables, "part long, at binary, v binary", code=code)
+    known = per_group(asked.withColumn("grp", F.col("part") * 2 + F.col("kind")), "grp", _known, KNOWN, heads=heads)
+    known = materialize(known, "known")
+    whole = known.agg(F.sum("tokens"), F.sum("words")).first()
+    words = materialize(per_group(known.where("kind = 0").select("of", "part", "a", "n", "size", "bytes", "c"), "part", _heads, HEADS), "words")
+    share = words.mapInArrow(partial(_tables, code=code), "part long, at binary, v binary")
     tables = np.zeros((OFFSETS[-1], 2), np.float32)
     for part, at, v in per_group(share, "part", _sum_tables, "part long, at binary, v binary").toLocalIterator():  # bounded by OFFSETS
         tables[part * SEGMENT + np.frombuffer(at, np.uint16).astype(np.int64)] = np.frombuffer(v, np.float32).reshape(-1, 2)
     sent = spark.sparkContext.broadcast(tables)  # bounded by OFFSETS
-    learned = per_group(vocabulary, "part", _learn, "gate int, seen double, w array<double>", tables=sent, code=code)
+    learned = words.mapInArrow(partial(_learn, tables=sent, code=code), "gate int, seen double, w array<double>")
     learned = learned.groupBy("gate").agg(F.sum("seen").alias("seen"), *[F.sum(F.col("w")[k]).alias(f"w{k}") for k in range(INPUTS)]).collect()  # GATES rows
     weights = Mixer(tables).weights
     for r in learned:
         if r["seen"] > 0:
-            weights[r["gate"]] = [r[f"w{k}"] / r["seen"] for k in range(INPUTS)]
-    prices = per_group(vocabulary, "part", _price, "part long, key binary, cost binary", tables=sent, weights=weights, code=code)
-    words = _two(asked, "part", prices, _answer_words, ANSWER)
-    follows = source.mapInArrow(partial(_ask_followers, frame=frame, parts=frags), FOLLOWERS)
-    follows = per_group(follows, "part", _answer_followers, ANSWER)
-    read = _two(runs.select("run", "ids", "text", "offs", "learned"), "run", words.union(follows), partial(_read, frame=frame, parts=parts, held=held, words=frags, follows=frags), READ)
+            weights[r["gate"]] = [round(r[f"w{k}"] / r["seen"], 6) for k in range(INPUTS)]  # whatever order sums are taken in
+    prices = words.mapInArrow(partial(_price, tables=sent, weights=weights, code=code), "of long, at binary, cost binary")
+    priced = _two(known.where("kind = 2").select("of", "part", "a", "n"), "of", prices, _answer_words, ANSWER)
+    follow = known.where("kind = 1").select(F.col("part").alias("run"), "kind", F.col("of").alias("part"), "a", F.col("n").alias("b"))
+    read = _two(runs.select("run", "ids", "text", "offs", "learned"), "run", priced.union(follow), partial(_read, frame=frame, parts=parts, held=held, words=frags, follows=frags), READ)
     read = materialize(read, "read")
-    release(runs, asked, vocabulary)
+    release(runs, known, words)
     cells = np.zeros(SURE * PAST * 2)
     for r in read.where("learned").select("cells").mapInArrow(_cell_sums, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # one row a cell
         cells[r["at"]] = r["n"]
@@ -645,25 +701,25 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
 @tidy
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        word, n = (joined(pa.chunked_array([batch[c]]), np.int64) for c in ("top", "n"))
+        word, n = (grow(batch[c], np.int64)[0] for c in ("top", "n"))
         names, at = np.unique(word, return_inverse=True)
         yield pa.RecordBatch.from_pydict({"word": pa.array(names), "n": pa.array(np.bincount(at, n, len(names)).astype(np.int64))})
 
 
 @tidy
 def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _column_sums(batches, "used", 256)
+    total = np.zeros(256, np.int64)
+    for batch in batches:
+        total += grow(batch["used"], np.int64)[0].reshape(-1, 256).sum(0)
+    yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(256), pa.int32()), "n": pa.array(total)})
 
 
 @tidy
 def _cell_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    yield from _column_sums(batches, "cells", SURE * PAST * 2)
-
-
-def _column_sums(batches: Iterator[pa.RecordBatch], name: str, width: int) -> Iterator[pa.RecordBatch]:
+    width = SURE * PAST * 2
     total = np.zeros(width, np.int64)
     for batch in batches:
-        total += joined(pa.chunked_array([batch[name]]), np.int64).reshape(-1, width).sum(0)
+        total += joined(pa.chunked_array([batch["cells"]]), np.int64).reshape(-1, width).sum(0)
     yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(width), pa.int32()), "n": pa.array(total)})
 
 
