@@ -52,11 +52,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialize_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like materialize(), as a table bucketed by `key`: what is grouped by it later is read where it
+    belongs and not shuffled."""
+    spark, table = df.sparkSession, f"genoweft_{name}_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{table}"
+    df.write.bucketBy(buckets, key).format("parquet").option("path", path).saveAsTable(table)
+    _written.append((spark, path))
+    out = spark.table(table)
+    out._genoweft_path, out._genoweft_table = path, table
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Remove tables written by materialize() that no later step reads."""
     for t in tables:
         path = getattr(t, "_genoweft_path", None)
         if path:
+            if getattr(t, "_genoweft_table", None):
+                t.sparkSession.sql(f"DROP TABLE IF EXISTS {t._genoweft_table}")
             drop_path(t.sparkSession, path)
             _written[:] = [w for w in _written if w[1] != path]
 

@@ -50,9 +50,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, fold, give_back, joined, materialize, mix64, per_group, release, text_chunks, tidy, word_bounds, word_hashes
+from .common import LOWER, fold, give_back, joined, materialize, materialize_bucketed, mix64, per_group, release, shuffle_partitions, text_chunks, tidy, word_bounds, word_hashes
 
-CHUNK = 2 << 20
+CHUNK = 4 << 20
 #: log2 of the slots of the bounded tables: last two bytes, last three, first bytes of the word in any style and in one.
 SLOT_BITS = (21, 22, 19, 21)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
@@ -66,7 +66,7 @@ ANCHORS, STYLES, SPAN, FREQUENT = 96, 8, 32, 1000
 SURE, PAST = 8, 4
 END, START = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bytes of text for one fragment.
-PER_FRAGMENT, LEAST_FRAGMENTS = 24 << 20, 32
+PER_FRAGMENT, LEAST_FRAGMENTS = 8 << 20, 32
 _SALT = [np.uint64(x) for x in np.random.default_rng(17).integers(1, 1 << 62, 16) * 2 + 1]
 
 
@@ -171,12 +171,12 @@ class Tokens:
         if len(frame["anchors"]):
             k = np.minimum(np.searchsorted(frame["anchors"], self.hash), len(frame["anchors"]) - 1)
             own = np.where(frame["anchors"][k] == self.hash, frame["style"][k], 0)
-            told = np.zeros((len(at) + 1, STYLES + 1), np.int32)
-            told[1:][at, own] = 1
-            told[:, 0] = 0
-            told = np.cumsum(told, 0, dtype=np.int32)
-            told = told[at] - told[np.maximum(head, at - SPAN)]
-            self.style = np.where(told.max(1) > 0, told.argmax(1), 0).astype(np.uint8)
+            most, since = np.zeros(len(at), np.int32), np.maximum(head, at - SPAN)
+            for s in range(1, STYLES + 1):
+                told = np.append(np.int32(0), np.cumsum(own == s, dtype=np.int32))
+                told = told[:-1] - told[since]
+                more = told > most
+                self.style[more], most[more] = s, told[more]
         self.key = mix64(self.hash + mix64(self.style.astype(np.uint64) + np.uint64(3)))
         place = at - head
         back = [np.where(place >= k, np.concatenate([np.full(k, START), self.hash[:-k]])[: len(at)], START) for k in (1, 2, 3, 4)]
@@ -648,7 +648,7 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
     """Base and model scores of all texts, learned from ids whose fold is not `held`."""
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    runs = materialize(texts.mapInArrow(partial(_pack, parts=parts, held=held), RUN), "runs")
+    runs = materialize_bucketed(texts.mapInArrow(partial(_pack, parts=parts, held=held), RUN), "runs", "run", max(64, shuffle_partitions(spark)))
     size = runs.agg(F.sum("n_bytes")).first()[0] or 0
     frags = max(LEAST_FRAGMENTS, -(-size // PER_FRAGMENT))
 
@@ -665,7 +665,7 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
         frame["style"] = group_anchors(together)
 
     asked = runs.select("run", "text", "offs", "learned").mapInArrow(partial(_ask, frame=frame, parts=frags), ASKED)
-    heads = max(LEAST_FRAGMENTS, frags // 2)
+    heads = max(LEAST_FRAGMENTS, frags // 6)
     known = per_group(asked.withColumn("grp", F.col("part") * 2 + F.col("kind")), "grp", _known, KNOWN, heads=heads)
     known = materialize(known, "known")
     whole = known.agg(F.sum("tokens"), F.sum("words")).first()
