@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, fold, give_back, joined, materialize, materialize_bucketed, mix64, per_group, release, shuffle_partitions, text_chunks, tidy, word_bounds, word_hashes
 
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 #: log2 of the slots of the bounded tables: last two bytes, last three, first bytes of the word in any style and in one.
 SLOT_BITS = (21, 22, 19, 21)
 OFFSETS = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
@@ -180,7 +180,10 @@ class Tokens:
         self.key = mix64(self.hash + mix64(self.style.astype(np.uint64) + np.uint64(3)))
         place = at - head
         back = [np.where(place >= k, np.concatenate([np.full(k, START), self.hash[:-k]])[: len(at)], START) for k in (1, 2, 3, 4)]
-        often = [np.isin(w, frame["frequent"]).astype(np.int8) for w in back[:3]] if len(at) else [np.zeros(0, np.int8)] * 3
+        known, common = frame["frequent"], np.zeros(len(at), np.int8)
+        if len(known):
+            common = (known[np.minimum(np.searchsorted(known, self.hash), len(known) - 1)] == self.hash).astype(np.int8)
+        often = [np.where(place >= k, np.concatenate([np.zeros(k, np.int8), common[:-k]])[: len(at)], np.int8(0)) for k in (1, 2, 3)]
         ctx = mix64(back[0] * _SALT[0] + back[1] * _SALT[1])
         more = often[0] + often[1]
         ctx = np.where(more >= 1, mix64(ctx + back[2] * _SALT[2]), ctx)
