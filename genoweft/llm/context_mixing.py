@@ -75,11 +75,24 @@ def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place of one of each distinct key, in order of key; number of each key). Faster than np.unique, whose places are the first."""
+    order = np.argsort(key)
+    key = key[order]
+    new = np.append(True, key[1:] != key[:-1])[: len(key)]
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[new], which
+
+
+_ZSTD = pa.Codec("zstd")
+
+
 def shrink(x: np.ndarray) -> bytes:
     """An array of integers or bytes, compressed; the bytes of each rank lie together."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T if len(x) else np.empty(0, np.uint8)
     raw = planes.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
 def grow(column, dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +100,7 @@ def grow(column, dtype) -> tuple[np.ndarray, np.ndarray]:
     width, parts = np.dtype(dtype).itemsize, []
     for data in column.to_pylist():
         size = int.from_bytes(data[:8], "little")
-        raw = np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True), np.uint8)
+        raw = np.frombuffer(_ZSTD.decompress(data[8:], size, asbytes=True), np.uint8)
         parts.append(np.ascontiguousarray(raw.reshape(width, -1).T).view(dtype).ravel() if size else np.empty(0, dtype))
     return np.concatenate(parts) if parts else np.empty(0, dtype), np.array([len(x) for x in parts], np.int64)
 
@@ -194,15 +207,15 @@ class Tokens:
 
     def distinct_words(self):
         """(first place, number of each token's) of the distinct (style, word)."""
-        _, one, which = np.unique(self.key, return_index=True, return_inverse=True)
-        return one, which
+        return distinct(self.key)
 
     def distinct_contexts(self, parts: int):
         """(fragment, context, follower) of the distinct ones, and number of each asked token's."""
         part = _part(self.ctx, parts)
         pair = (self.ctx & np.uint64(0xFFFFFFFF)) << np.uint64(16) | self.next
         key = part.astype(np.uint64) << np.uint64(48) | pair
-        uniq, which = np.unique(key, return_inverse=True)
+        one, which = distinct(key)
+        uniq = key[one]
         return (uniq >> np.uint64(48)).astype(np.int64), uniq >> np.uint64(16) & np.uint64(0xFFFFFFFF), (uniq & np.uint64(0xFFFF)).astype(np.uint16), which
 
 
@@ -300,7 +313,7 @@ def _known(table: pa.Table, heads: int) -> pa.Table:
     begin = end - size
     word = word_hashes(buf, begin, end)
     word[(size == 1) & (buf[begin] == 10)] = END
-    _, one, which = np.unique(mix64(word + mix64(style.astype(np.uint64) + np.uint64(3))), return_index=True, return_inverse=True)
+    one, which = distinct(mix64(word + mix64(style.astype(np.uint64) + np.uint64(3))))
     total = np.bincount(which, n, len(one)).astype(np.int64)
     words, at = np.unique(word[one], return_inverse=True)
     c = np.bincount(at, total, len(words)).astype(np.int64)
@@ -352,7 +365,7 @@ class Bits:
         upto = np.concatenate([[np.uint64(0)], np.cumsum(mix64(b + (inside.astype(np.uint64) << np.uint64(16))), dtype=np.uint64)])
         so_far = mix64(upto[:-1] - upto[np.arange(len(b)) - inside] + inside.astype(np.uint64))
         styled = mix64(so_far + s)
-        _, one, self.step = np.unique(mix64(styled + b), return_index=True, return_inverse=True)
+        one, self.step = distinct(mix64(styled + b))
         self.n = np.bincount(self.step, n[self.owner], len(one)).astype(np.float32)
         self.byte, self.local = byte[one], inside[one] >= HEAD
         self.context = [mix64(two[one] + s[one]), mix64(three[one] + s[one] + np.uint64(1)), so_far[one], styled[one]]
@@ -363,27 +376,27 @@ class Bits:
         self.order = [np.lexsort((flush, self.context[i])) for i in (2, 3)]
 
     def steps(self):
-        """For each bit of the code: the steps that have it, its value, slots of the tables, and zeros and ones of the word so far."""
-        lengths = self.length[self.byte]
-        for k in range(int(lengths.max(initial=0))):
-            has = lengths > k
-            at = np.flatnonzero(has)
+        """For each bit of the code: the steps that have it, its value, slots of the tables, and zeros and
+        ones among the words given after the word so far, in any style and in one."""
+        lengths, at, order = self.length[self.byte], np.arange(len(self.byte)), self.order
+        place, k = np.empty(len(at), np.int64), 0
+        while len(at := at[lengths[at] > k]):
+            place[at] = np.arange(len(at))
+            order = [o[lengths[o] > k] for o in order]
             bit = (self.flush[at] >> np.uint64(59 - k) & np.uint64(1)).astype(np.int64)
             node = (np.uint64(1) << np.uint64(k) | self.flush[at] >> np.uint64(60 - k)) * np.uint64(0x9E3779B97F4A7C15)
             slots = [(mix64(c[at] + node) >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (c, n) in enumerate(zip(self.context, SLOT_BITS, strict=True))]
-            yield at, bit, slots, k
+            yield at, bit, slots, lambda k=k, order=order, n=len(at): [self._own(o, c, k, place, n) for o, c in zip(order, self.context[2:], strict=True)]
+            k += 1
 
-    def own_counts(self, i: int, k: int) -> np.ndarray:
-        """Zeros and ones, for every step, of its bit k among the words given; i: 0 in any style, 1 in one."""
-        order = self.order[i]
-        order = order[self.length[self.byte[order]] > k]
-        ctx, path = self.context[i + 2][order], self.flush[order] >> np.uint64(60 - k)
+    def _own(self, order: np.ndarray, context: np.ndarray, k: int, place: np.ndarray, size: int) -> np.ndarray:
+        ctx, flush, n = context[order], self.flush[order], self.n[order]
+        path = flush >> np.uint64(60 - k)
         first = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (path[1:] != path[:-1])))
-        bit = (self.flush[order] >> np.uint64(59 - k) & np.uint64(1)).astype(np.float32)
-        n = self.n[order]
-        two = np.stack([np.add.reduceat(n * (1 - bit), first, dtype=np.float64), np.add.reduceat(n * bit, first, dtype=np.float64)], 1).astype(np.float32)
-        out = np.zeros((len(self.n), 2), np.float32)
-        out[order] = np.repeat(two, np.diff(np.append(first, len(order))), 0)
+        ones = n * (flush >> np.uint64(59 - k) & np.uint64(1)).astype(np.float32)
+        total, ones = np.add.reduceat(n, first, dtype=np.float64), np.add.reduceat(ones, first, dtype=np.float64)
+        out = np.empty((size, 2), np.float32)
+        out[place[order]] = np.repeat(np.stack([total - ones, ones], 1).astype(np.float32), np.diff(np.append(first, len(order))), 0)
         return out
 
     def of_words(self, steps: np.ndarray) -> np.ndarray:
@@ -440,12 +453,14 @@ class Mixer:
         self.weights, self.power = weights, np.full(GATES, 1e-2)
         self.seen = np.zeros(GATES)
 
-    def _inputs(self, bits: Bits, at: np.ndarray, bit: np.ndarray, slots: list[np.ndarray], k: int, left_out: bool):
-        counts, local = [], bits.local[at]
+    def _inputs(self, bits: Bits, at: np.ndarray, bit: np.ndarray, slots: list[np.ndarray], own, left_out: bool):
+        counts, far, own = [], ~bits.local[at], own()
         for i, s in enumerate(slots):
-            two = self.tables[s]
-            if i >= 2:
-                two = np.where(local[:, None], bits.own_counts(i - 2, k)[at], two)
+            if i < 2:
+                two = self.tables[s]
+            else:
+                two = own[i - 2]
+                two[far] = self.tables[s[far]]
             if left_out:
                 two[np.arange(len(at)), bit] -= 1
             counts.append(np.maximum(two, 0))
@@ -459,8 +474,8 @@ class Mixer:
 
     def learn(self, bits: Bits, rate: float = 0.1, block: int = 8192) -> None:
         """Online steps over the training words, each occurrence left out of its own counts."""
-        for at, bit, slots, k in bits.steps():
-            x, gate = self._inputs(bits, at, bit, slots, k, True)
+        for at, bit, slots, counts in bits.steps():
+            x, gate = self._inputs(bits, at, bit, slots, counts, True)
             weight = np.minimum(bits.n[at], 2000)
             some = np.flatnonzero(weight > 0)
             for a in range(0, len(some), block):
@@ -475,8 +490,8 @@ class Mixer:
     def cost(self, bits: Bits) -> np.ndarray:
         """Bits of each word."""
         total = np.zeros(len(bits.n))
-        for at, bit, slots, k in bits.steps():
-            p = np.clip(self._mix(*self._inputs(bits, at, bit, slots, k, False)), 1e-5, 1 - 1e-5)
+        for at, bit, slots, counts in bits.steps():
+            p = np.clip(self._mix(*self._inputs(bits, at, bit, slots, counts, False)), 1e-5, 1 - 1e-5)
             total[at] -= np.log2(np.where(bit == 1, p, 1 - p))
         return bits.of_words(total)
 
@@ -529,7 +544,9 @@ def _sure(best: np.ndarray, n: np.ndarray) -> np.ndarray:
 def followers(ctx: np.ndarray, nxt: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For pairs of a context and a follower, counted in several parts: sureness and whether the follower
     is the predicted one (2 * sureness + hit), as it is and with one occurrence of the pair left out."""
-    pair, which = np.unique(ctx.astype(np.uint64) << np.uint64(16) | nxt.astype(np.uint64), return_inverse=True)
+    pair = ctx.astype(np.uint64) << np.uint64(16) | nxt.astype(np.uint64)
+    one, which = distinct(pair)
+    pair = pair[one]
     c = np.bincount(which, n, len(pair)).astype(np.int64)
     of, name = pair >> np.uint64(16), pair & np.uint64(0xFFFF)
     order = np.lexsort((name, -c, of))
@@ -588,20 +605,20 @@ def _read(run: pa.Table, answers: pa.Table, frame: dict, parts: int, held: int,
     t, learned = _tokens(run, 0, frame)
     ids, texts = run["ids"][0].as_py(), len(t.first) - 1
     kind = answers["kind"].to_numpy()
+    answers = [answers.filter(pa.array(kind == k)).sort_by("part") for k in (0, 1)]
 
-    def put(k: int, part: np.ndarray, col: str, dtype) -> np.ndarray:
-        own = answers.filter(pa.array(kind == k)).sort_by("part")
-        out = np.empty(len(part), dtype)
-        out[np.argsort(part, kind="stable")] = grow(own[col], dtype)[0]
+    def put(k: int, order: np.ndarray, col: str, dtype) -> np.ndarray:
+        out = np.empty(len(order), dtype)
+        out[order] = grow(answers[k][col], dtype)[0]
         return out
 
     one, which = t.distinct_words()
-    part = _part(t.hash[one], words)
-    cost, c = put(0, part, "a", np.float16)[which].astype(float), put(0, part, "b", np.int64)[which]
+    order = np.argsort(_part(t.hash[one], words), kind="stable")
+    cost, c = put(0, order, "a", np.float16)[which].astype(float), put(0, order, "b", np.int64)[which]
     state = loo = np.zeros(0, np.uint8)
     if len(t.asked):
-        part, _, _, which = t.distinct_contexts(follows)
-        state, loo = put(1, part, "a", np.uint8)[which], put(1, part, "b", np.uint8)[which]
+        part, _, _, which = t.distinct_contexts(follows)  # in order of fragment
+        state, loo = put(1, np.arange(len(part)), "a", np.uint8)[which], put(1, np.arange(len(part)), "b", np.uint8)[which]
     doc = np.repeat(np.arange(texts), np.diff(t.first))
     sums = lambda v: np.bincount(doc, v, texts)
     state = np.where(learned[doc[t.asked]], loo, state)
