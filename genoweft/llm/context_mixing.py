@@ -357,10 +357,7 @@ class Bits:
         last = inside >= size[self.owner]
         byte = np.where(last, np.uint8(32), buf[np.minimum(begin[self.owner] + inside, len(buf) - 1)]) if len(buf) else np.zeros(0, np.uint8)
         b = byte.astype(np.uint64) + np.uint64(1)
-        back = [np.where(inside >= k, np.concatenate([np.zeros(k, np.uint64), b[:-k]])[: len(b)], np.uint64(0)) for k in (1, 2, 3)]
         s = mix64(style.astype(np.uint64) + np.uint64(11))[self.owner]
-        two = back[0] + (back[1] << np.uint64(9))
-        three = two + (back[2] << np.uint64(18))
         # The word so far: a running hash, restarted at every word.
         upto = np.concatenate([[np.uint64(0)], np.cumsum(mix64(b + (inside.astype(np.uint64) << np.uint64(16))), dtype=np.uint64)])
         so_far = mix64(upto[:-1] - upto[np.arange(len(b)) - inside] + inside.astype(np.uint64))
@@ -368,7 +365,10 @@ class Bits:
         one, self.step = distinct(mix64(styled + b))
         self.n = np.bincount(self.step, n[self.owner], len(one)).astype(np.float32)
         self.byte, self.local = byte[one], inside[one] >= HEAD
-        self.context = [mix64(two[one] + s[one]), mix64(three[one] + s[one] + np.uint64(1)), so_far[one], styled[one]]
+        back = [np.where(inside[one] >= k, b[np.maximum(one - k, 0)], np.uint64(0)) for k in (1, 2, 3)]
+        two = back[0] + (back[1] << np.uint64(9))
+        three = two + (back[2] << np.uint64(18))
+        self.context = [mix64(two + s[one]), mix64(three + s[one] + np.uint64(1)), so_far[one], styled[one]]
         self.value, self.length = code
         # Steps by word so far and code, in any style and in one: bits that share a context lie together.
         flush = self.value[self.byte] << (np.uint64(60) - self.length[self.byte].astype(np.uint64))
@@ -385,7 +385,9 @@ class Bits:
             order = [o[lengths[o] > k] for o in order]
             bit = (self.flush[at] >> np.uint64(59 - k) & np.uint64(1)).astype(np.int64)
             node = (np.uint64(1) << np.uint64(k) | self.flush[at] >> np.uint64(60 - k)) * np.uint64(0x9E3779B97F4A7C15)
-            slots = [(mix64(c[at] + node) >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (c, n) in enumerate(zip(self.context, SLOT_BITS, strict=True))]
+            far = np.flatnonzero(~self.local[at])  # the word so far is in tables for its first bytes only
+            some = (slice(None), slice(None), far, far)
+            slots = [(mix64(c[at[o]] + node[o]) >> np.uint64(64 - n)).astype(np.int64) + OFFSETS[i] for i, (c, n, o) in enumerate(zip(self.context, SLOT_BITS, some, strict=True))]
             yield at, bit, slots, lambda k=k, order=order, n=len(at): [self._own(o, c, k, place, n) for o, c in zip(order, self.context[2:], strict=True)]
             k += 1
 
@@ -417,10 +419,10 @@ def _tables(batches: Iterator[pa.RecordBatch], code: tuple) -> Iterator[pa.Recor
         for r in range(len(batch)):
             bits, some = _of(batch, r, code), True
             for at, bit, slots, _ in bits.steps():
-                near = ~bits.local[at]
+                far, weight = np.flatnonzero(~bits.local[at]), bits.n[at]
                 for i, s in enumerate(slots):
-                    own = slice(None) if i < 2 else near  # the word so far is in tables for its first bytes only
-                    np.add.at(n, 2 * s[own] + bit[own], bits.n[at][own])
+                    own = slice(None) if i < 2 else far
+                    np.add.at(n, 2 * s + bit[own], weight[own])
     if some:
         n = n.reshape(-1, 2)
         met = np.flatnonzero(n.any(1))
@@ -454,13 +456,13 @@ class Mixer:
         self.seen = np.zeros(GATES)
 
     def _inputs(self, bits: Bits, at: np.ndarray, bit: np.ndarray, slots: list[np.ndarray], own, left_out: bool):
-        counts, far, own = [], ~bits.local[at], own()
+        counts, far, own = [], np.flatnonzero(~bits.local[at]), own()
         for i, s in enumerate(slots):
             if i < 2:
                 two = self.tables[s]
             else:
                 two = own[i - 2]
-                two[far] = self.tables[s[far]]
+                two[far] = self.tables[s]
             if left_out:
                 two[np.arange(len(at)), bit] -= 1
             counts.append(np.maximum(two, 0))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
 import re
@@ -83,6 +84,86 @@ def test_base_score(spark, rows):
     assert len(got) == len(rows)
 
 
+def test_followers_by_brute_force():
+    rnd = random.Random(6)
+    rows = [(rnd.randrange(12), rnd.randrange(4), rnd.randrange(3)) for _ in range(200)]
+    ctx, nxt, n = (np.array(x) for x in zip(*rows))
+    total = Counter()
+    for c, f, k in rows:
+        total[c, f] += k
+
+    def state(counts, f):
+        best, n = max(counts.values(), default=0), sum(counts.values())
+        if n <= 0:
+            return 0
+        sure = (1 if n == 1 else 2 if n == 2 else 3 if n < 8 else 4) if best == n else 5 if best * 2 > n else 6 if best * 4 > n else 7
+        return sure * 2 + (f == min(counts, key=lambda g: (-counts[g], g)))
+
+    got = context_mixing.followers(ctx, nxt, n)
+    for (c, f, _), plain, left in zip(rows, *got, strict=True):
+        counts = {g: k for (d, g), k in total.items() if d == c}
+        assert plain == state(counts, f)
+        if counts[f]:
+            less = {**counts, f: counts[f] - 1}
+            tie = [g for g in less if less[g] == max(less.values())]
+            assert left >> 1 == state(less, f) >> 1 and (len(tie) > 1 or left == state(less, f))
+
+
+def test_cells_by_brute_force():
+    rnd = random.Random(7)
+    state, doc = np.array([rnd.randrange(16) for _ in range(300)]), np.sort([rnd.randrange(9) for _ in range(300)])
+    want = Counter()
+    row, last = None, None
+    for s, d in zip(state, doc, strict=True):
+        if s < 2:
+            continue
+        row = None if d != last else row
+        past = 1 if row is None else 0 if row == 0 else 2 if row < 4 else 3
+        want[d, ((s >> 1) * 4 + past) * 2 + (s & 1)] += 1
+        row, last = ((row or 0) + 1 if s & 1 else 0), d
+    got = context_mixing._cells(state.astype(np.uint8), doc, 9)
+    assert {(i, k): v for i, r in enumerate(got) for k, v in enumerate(r) if v} == dict(want)
+
+
+def test_word_model_is_a_distribution():
+    """The costs of all words of up to two letters over a small alphabet, and of the end, leave no probability out and use none twice."""
+    code = context_mixing.prefix_code(np.array([50 if b in b"ab \n" else 0 for b in range(256)]))
+    assert math.isclose(sum(2.0 ** -float(n) for n in code[1]), 1.0)
+    words = [b"", *(bytes(w) for n in (1, 2, 3) for w in itertools.product(b"ab", repeat=n))]
+    full = [b"\n" if not w else w for w in words]
+    n = np.array([4] + [3 if len(w) == 1 else 0 for w in words[1:]])
+    bits = context_mixing.Bits(np.ones(len(full), np.uint8), n, np.array([len(w) for w in full]), np.frombuffer(b"".join(full), np.uint8), code)
+    tables = np.zeros((context_mixing.OFFSETS[-1], 2), np.float32)
+    for at, bit, slots, _ in bits.steps():
+        far = np.flatnonzero(~bits.local[at])
+        for i, s in enumerate(slots):
+            own = slice(None) if i < 2 else far
+            np.add.at(tables, (s, bit[own]), bits.n[at][own])
+    mixer = context_mixing.Mixer(tables)
+    before = (mixer.cost(bits) * n).sum()
+    mixer.learn(bits)
+    cost = mixer.cost(bits)
+    assert (cost * n).sum() < before and 0.5 < (2.0 ** -cost).sum() <= 1 + 1e-6
+
+
+def test_scores_know_copies(spark):
+    """Texts that others share cost less than their own like; equal texts cost the same; held-out texts beat the base."""
+    rnd = random.Random(9)
+    make = lambda: " ".join(rnd.choice(WORDS) + rnd.choice(WORDS) for _ in range(120))
+    texts = [make() for _ in range(80)]
+    texts += texts[:10] + [None, "", "x" * 30_000]
+    data = [(i, t, "en", "s", 0, "x") for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 0, "x"), (None, "kasa", "en", "s", 0, "x")]
+    rows = context_mixing.score_texts(_docs(spark, data).withColumn("run", F.lit(1)).withColumn("part", F.lit("p"))).collect()
+    assert len(rows) == len(data)
+    held = {i for i in range(len(data)) if zlib.crc32(str(i).encode()) % 7 == 2}
+    per = {r.doc_id: r.score / r.n_tokens for r in rows}
+    twice = [i for i in range(10) if i not in held and i + 80 not in held]
+    once = [i for i in range(10, 80) if i not in held]
+    assert max(once, key=per.get) not in twice and min(per[i] for i in twice) > max(per[i] for i in once) + 0.3
+    assert all(math.isclose(per[i], per[i + 80], rel_tol=1e-9) for i in twice if i != 3)
+    assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
+
+
 def test_next_and_fingerprints(spark, rows):
     got = {r.doc_id: r for r in simhash.with_next(_docs(spark, rows)).where("not ghost").collect()}
     for i in range(len(rows)):
