@@ -99,7 +99,10 @@ def _leaves(table: pa.Table, leaf: int, spill: float, seed: int) -> pa.Table:
     """(cid, leaf) of a group: recursion until leaves are small."""
     label, dim, tree, top = (table[c][0].as_py() for c in ("label", "dim", "tree", "node"))
     cid, unit = table["cid"].to_numpy(), _units(table["vec"], dim)
-    root = int(mix64(np.array([label & (2**64 - 1), dim, tree, top & (2**64 - 1)], np.uint64) + np.arange(4, dtype=np.uint64)).cumsum(dtype=np.uint64)[-1])
+    root = np.zeros(1, np.uint64)
+    for part in (label, dim, tree, top):  # in order: no two groups share a name
+        root = mix64(root * np.uint64(0xD6E8FEB86659FD93) + np.uint64(part & (2**64 - 1)) + np.uint64(1))
+    root = int(root[0])
     out_c, out_l, todo = [], [], [(np.arange(len(cid)), 1)]
     while todo:
         rows, path = todo.pop()

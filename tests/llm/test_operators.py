@@ -396,6 +396,15 @@ def test_forest_by_brute_force(spark, deal):
     assert projection_forest.near_vectors(table.limit(0)).count() == 0
 
 
+def test_leaves_have_names_of_their_own():
+    """Leaves of different labels, lengths, trees and nodes never share a name."""
+    names = []
+    for label, dim, tree, node in itertools.product((0, 1, 3, 9), (2, 3, 8), range(12), (1, 2)):
+        table = pa.table({"label": [label] * 2, "dim": [dim] * 2, "tree": [tree] * 2, "node": [node] * 2, "cid": [1, 2], "vec": [[1.0] * dim, [2.0] * dim]})
+        names += set(projection_forest._leaves(table, 4, 0.05, 11)["leaf"].to_pylist())
+    assert len(names) == len(set(names)) == 4 * 3 * 12 * 2
+
+
 def test_html_blocks():
     page = "<html><head><title>t</title><script>x</p></script></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Big &amp; bold</h1><p>one\n two<p>three<br>four</article><footer>f</footer>"
     assert [t for z, t in html_text.blocks(page) if z == "main"] == ["Big & bold", "one two", "three", "four"]
