@@ -22,7 +22,9 @@ The components are therefore exact at any size of group.
 
 Edge cases: null, empty or blank texts have an empty set and link with nothing; texts with
 fewer words than n have one n-gram, the whole sequence; repeated rows and equal texts share a
-class; an empty table gives an empty result; other columns are ignored.
+class; texts of any length are read whole; null ids take part and name no component;
+an empty table gives an empty result; other columns,
+of whatever names, are ignored.
 """
 
 from __future__ import annotations

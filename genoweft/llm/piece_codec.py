@@ -14,7 +14,8 @@ Parity with the sentencepiece library is verified for every row (codec_report).
 
 Edge cases: null and empty texts have no ids and decode to the empty string; equal texts get
 equal ids; texts of any length are encoded whole; repeated rows stay; an empty table gives an
-empty result; other columns are ignored.
+empty result; other columns,
+of whatever names, are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ fingerprints are one row with a count, so copies never multiply.
 
 Edge cases: null or blank texts have no terms and fingerprint 0; equal texts have equal
 fingerprints; repeated ids are ordered by text; null ids come first; an empty table gives an
-empty result; columns beside id and text are ignored.
+empty result; texts of any length are read whole; columns beside id and text, of whatever names,
+are ignored.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Sections are the document's lines with the line feed that ends them; spans are i
 
 Edge cases: a null or empty text has one empty section with no tokens; blank lines are sections;
 texts of any length are encoded whole; repeated rows stay; special-token strings are ordinary
-text; an empty table gives an empty result; other columns are ignored.
+text; an empty table gives an empty result; other columns,
+of whatever names, are ignored.
 """
 
 from __future__ import annotations

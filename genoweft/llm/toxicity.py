@@ -15,8 +15,9 @@ tasks; texts stay where they are read.
 
 Edge cases: null and empty texts get the score of a text without a telling word; unlabelled rows
 teach the character model only; conflicting labels of one id both count; null ids are scored,
-never held out and carry no label; repeated rows stay; with no labelled row all scores are 0;
-an empty table gives an empty result; other columns are ignored.
+never held out and carry no label; texts of any length are read whole; repeated rows stay; with no labelled row all scores are 0;
+an empty table gives an empty result; other columns,
+of whatever names, are ignored.
 """
 
 from __future__ import annotations

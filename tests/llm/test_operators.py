@@ -572,6 +572,6 @@ def test_language(spark):
     assert all(got[i].lang_pred == ("en" if i % 2 else "de") for i in range(120))
 
 
-@pytest.mark.parametrize("run", [ngram_join.jaccard_components, context_mixing.score_texts, source_mix.mix_sources, language_net.identify, token_counts.section_tokens, piece_codec.codec_report])
+@pytest.mark.parametrize("run", [ngram_join.jaccard_components, context_mixing.score_texts, source_mix.mix_sources, language_net.identify, token_counts.section_tokens, piece_codec.codec_report, lambda d: toxicity.score_toxicity(d, d.selectExpr("doc_id", "1 AS toxic"))])
 def test_empty_tables(spark, run):
     assert run(_docs(spark, [])).count() == 0
