@@ -214,6 +214,17 @@ def per_group(df: DataFrame, key: str, fn, schema: str, **kw) -> DataFrame:
     return df.groupBy(key).applyInArrow(call, schema)
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, total: int, parts: int = 1000) -> DataFrame:
+    """`left` with the columns of `right`, null where none fits. `right` has one row of each key, and in
+    `held` the number of rows of `left` that have it; `left` has `total` rows. Keys that hold more than
+    1/parts of these are fewer than `parts`: only they are broadcast, so the shuffle meets no hot key."""
+    hot = F.broadcast(right.where(F.col("held") * parts > total).drop("held"))
+    cold = right.where(F.col("held") * parts <= total).drop("held")
+    rest = left.where(F.col(key).isNotNull()).join(hot.select(key), key, "left_anti").join(cold, key, "left")
+    none = left.where(F.col(key).isNull())
+    return left.join(hot, key).unionByName(rest).unionByName(none, allowMissingColumns=True)
+
+
 # ---------------------------------------------------------------- components
 
 #: Up to so many distinct links (16 MB) one task finds the components; beyond, star rounds do.

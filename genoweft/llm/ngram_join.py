@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, connected_components, joined, materialize, mix64, per_group, text_chunks, tidy, word_bounds, word_hashes
+from .common import LOWER, connected_components, joined, lookup, materialize, mix64, per_group, text_chunks, tidy, word_bounds, word_hashes
 
 #: n-grams that one fragment should hold, and the least number of fragments.
 PER_FRAGMENT, LEAST_FRAGMENTS = 1_000_000, 32
@@ -365,15 +365,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, chanc
         if not more.isEmpty():
             comp = materialize(connected_components(known.union(more)), "comp")
             known = comp.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-    classes = light.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn(
-        "component", F.coalesce("component", "cls")
-    )
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("cls", "component_id")
-    return light.join(named, "cls", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    classes = light.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.count("*").alias("held"))
+    classes = materialize(classes.join(comp.withColumnRenamed("node", "cls"), "cls", "left"), "classes")
+    # Classes of one document and no link keep its id; only the others are looked up.
+    alone = classes.where("component is null and held > 1").select("cls", "held", F.col("least").alias("component_id"))
+    linked = classes.where("component is not null")
+    least = linked.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("held"))
+    named = lookup(linked, materialize(least, "least"), "component", linked.count()).select("cls", "held", "component_id")
+    found = lookup(light, materialize(alone.unionByName(named), "named"), "cls", light.count())
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -71,6 +71,16 @@ def test_components_agree(spark, monkeypatch):
     assert one == {tuple(r) for r in common.connected_components(edges).collect()}
 
 
+@pytest.mark.parametrize("parts", [1, 3, 1000])
+def test_lookup(spark, parts):
+    rnd = random.Random(6)
+    keys = [7] * 40 + [rnd.randrange(30) for _ in range(60)] + [None] * 5
+    left = spark.createDataFrame(list(enumerate(keys)), "i long, k long")
+    right = spark.createDataFrame([(k, keys.count(k), f"v{k}") for k in sorted({*keys} - {None, 3})], "k long, held long, v string")
+    got = {(r.i, r.k, r.v) for r in common.lookup(left, right, "k", len(keys), parts).collect()}
+    assert got == {(i, k, None if k in (None, 3) else f"v{k}") for i, k in enumerate(keys)}
+
+
 def test_base_score(spark, rows):
     got = context_mixing.score_texts(_docs(spark, rows)).collect()
     tokens = {i: [*_words(t), None] for i, t, *_ in rows}
