@@ -6,7 +6,7 @@ each stage's result as Parquet in the shared folder and reads it again for the n
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from genoweft.llm.common import materialize
@@ -31,8 +31,8 @@ def _kept(decided: DataFrame) -> DataFrame:
 
 
 def _one_each(rows: DataFrame) -> DataFrame:
-    """One of the rows that share `row`."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("row").orderBy("row"))).where("nth = 1").drop("nth")
+    """One of the rows that share `row`; repeated rows meet before the shuffle."""
+    return rows.dropDuplicates(["row"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
