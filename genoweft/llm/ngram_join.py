@@ -13,10 +13,13 @@ each fragment is one group that knows every holder of its n-grams:
    part) with its other holders; the sums per pair prove most links with one row per member
    instead of one per pair;
 5. in `chance_rounds` rounds each place in a prefix proposes its next holder of another
-   component, in a random order; proposals are verified on their n-grams and links join
-   components, so that groups of near copies grow together at a cost linear in their size;
-6. last, all pairs of different components that meet in their prefixes are found per fragment;
-   those whose bitmaps do not rule a link out are listed, verified and added. Pairs inside one component cannot change it and are not listed.
+   component, in a random order, and two of those that pass the bounds of the last round;
+   proposals are verified on their n-grams and links join components, so that groups of near
+   copies grow together at a cost linear in their size;
+6. last, all pairs of different components that meet in their prefixes are found per fragment, at
+   n-grams from which on both hold enough shared n-grams for a link (the first that two linked
+   sets share is such a one); those whose bitmaps do not rule a link out are listed, verified
+   and added. Pairs inside one component cannot change it and are not listed.
 
 The components are therefore exact at any size of group.
 
@@ -86,23 +89,24 @@ def _classes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
         )
 
 
-RUNS = "frag int, tok binary, cls binary, n binary, aux binary, cnt binary, bits binary"
+RUNS = "frag int, tok binary, cls binary, n binary, aux binary, cnt binary, bits binary, left binary"
 
 
-def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cnt: np.ndarray, frags: int, bits: np.ndarray | None = None) -> pa.RecordBatch | None:
-    """Rows of RUNS: per fragment its n-grams and the runs (class, size, aux, length) they come in."""
+def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cnt: np.ndarray, frags: int, bits: np.ndarray | None = None, left: np.ndarray | None = None) -> pa.RecordBatch | None:
+    """Rows of RUNS: per fragment its n-grams and the runs (class, size, aux, length) they come in; bits are of runs, left of n-grams."""
     if not len(tok):
         return None
     frag = ((tok >> np.uint64(40)) * np.uint64(frags) >> np.uint64(24)).astype(np.int32)
     run = np.repeat(np.arange(len(cnt)), cnt)
     order = np.argsort(frag, kind="stable")
     frag, run, tok = frag[order], run[order], tok[order]
+    left = None if left is None else left[order]
     cut = np.flatnonzero(np.diff(frag)) + 1
     edge = np.concatenate([[0], np.flatnonzero((np.diff(run) != 0) | (np.diff(frag) != 0)) + 1, [len(run)]])
     heads, sizes = run[edge[:-1]], np.diff(edge).astype(np.int32)
     bounds = np.concatenate([[0], cut, [len(tok)]])
     at = np.searchsorted(edge[:-1], bounds)
-    out: dict[str, list] = {k: [] for k in ("frag", "tok", "cls", "n", "aux", "cnt", "bits")}
+    out: dict[str, list] = {k: [] for k in ("frag", "tok", "cls", "n", "aux", "cnt", "bits", "left")}
     for k in range(len(bounds) - 1):
         a, b, r = bounds[k], bounds[k + 1], slice(at[k], at[k + 1])
         out["frag"].append(int(frag[a]))
@@ -111,7 +115,8 @@ def _packed(tok: np.ndarray, cls: np.ndarray, n: np.ndarray, aux: np.ndarray, cn
             out[name].append(values[heads[r]].tobytes())
         out["cnt"].append(sizes[r].tobytes())
         out["bits"].append(b"" if bits is None else bits[heads[r]].tobytes())
-    kinds = [pa.int32()] + [pa.binary()] * 6
+        out["left"].append(b"" if left is None else left[a:b].tobytes())
+    kinds = [pa.int32()] + [pa.binary()] * 7
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], list(out))
 
 
@@ -146,13 +151,16 @@ class _Fragment:
         tok, cnt = joined(table["tok"], np.uint64), joined(table["cnt"], np.int32)
         self.cls, self.n = joined(table["cls"], np.int64), joined(table["n"], np.int32)
         self.aux, self.bits = joined(table["aux"], np.int64), joined(table["bits"], np.uint64).reshape(-1, BITMAP + 1)
+        self.left = joined(table["left"], np.int32)
         # Equal sets that came from several batches: one run of each class stays.
         once = np.zeros(len(self.cls), bool)
         once[np.unique(self.cls, return_index=True)[1]] = True
         if once.all():
             self.tok, self.cnt = tok, cnt
         else:
-            self.tok, self.cnt = tok[np.repeat(once, cnt)], cnt[once]
+            held = np.repeat(once, cnt)
+            self.tok, self.cnt = tok[held], cnt[once]
+            self.left = self.left[held] if len(self.left) else self.left
             self.bits = self.bits[once] if len(self.bits) else self.bits
         self.cls, self.n, self.aux = self.cls[once], self.n[once], self.aux[once]
         self.run = np.repeat(np.arange(len(self.cnt), dtype=np.int32), self.cnt)
@@ -227,9 +235,11 @@ def _bitmaps(toks: list[np.ndarray], rest: np.ndarray) -> np.ndarray:
 
 @tidy
 def _cut_classes(batches: Iterator[pa.RecordBatch], frags: int, prefixes: bool) -> Iterator[pa.RecordBatch]:
-    """Classes (cls, n, shared, prefix, tok, aux) to RUNS; only the prefixes, with bitmaps, if so asked."""
+    """Classes (cls, n, shared, prefix, tok, aux) to RUNS; only the prefixes, with bitmaps and the
+    number of shared n-grams from each on, if so asked."""
     for batch in batches:
         whole = [np.frombuffer(t, np.uint64) for t in batch["tok"].to_pylist()]
+        left = [np.arange(len(t), len(t) - p, -1, dtype=np.int32) for t, p in zip(whole, batch["prefix"].to_pylist(), strict=True)]
         rest = (batch["n"].to_numpy() - batch["shared"].to_numpy()).astype(np.uint64)
         toks = [t[:p] for t, p in zip(whole, batch["prefix"].to_pylist(), strict=True)] if prefixes else whole
         a = 0
@@ -239,7 +249,8 @@ def _cut_classes(batches: Iterator[pa.RecordBatch], frags: int, prefixes: bool)
                 held += len(whole[b])
                 b += 1
             cols = [batch[c].to_numpy(zero_copy_only=False)[a:b] for c in ("cls", "n", "aux")]
-            out = _packed(np.concatenate(toks[a:b]), *cols, np.array([len(t) for t in toks[a:b]], np.int64), frags, _bitmaps(whole[a:b], rest[a:b]) if prefixes else None)
+            more = (_bitmaps(whole[a:b], rest[a:b]), np.concatenate(left[a:b])) if prefixes else ()
+            out = _packed(np.concatenate(toks[a:b]), *cols, np.array([len(t) for t in toks[a:b]], np.int64), frags, *more)
             if out is not None:
                 yield out
             a = b
@@ -265,47 +276,75 @@ def _star_overlaps(table: pa.Table) -> pa.Table:
 
 def _crossing(table: pa.Table, percent: int, salt: int | None = None) -> pa.Table:
     """Pairs of classes of different components (aux) that meet in a prefix and whose sizes allow a
-    link: all of them, or, with a salt, at most one for each place in a prefix. Bits that differ
-    and n-grams that no other class holds are each an n-gram of one side only; pairs with more of
-    these than a link allows are none (never a link lost: the count is a lower bound)."""
+    link: all that may link, or, with a salt, at most three for each place in a prefix.
+
+    Two sets that link share so many n-grams that, at the first they share, either holds (n of both)
+    * percent / (100 + percent) shared n-grams or more from there on. So a holder reaches partners up
+    to a size, and pairs that do not reach each other at an n-gram are left to others. Bits that
+    differ and n-grams that no other class holds are each an n-gram of one side only; pairs with more
+    of these than a link allows are none (never a link lost: the count is a lower bound)."""
     f = _Fragment(table)
 
+    def may(x, y) -> np.ndarray:
+        apart = np.bitwise_count(f.bits[x, :BITMAP] ^ f.bits[y, :BITMAP]).sum(-1, dtype=np.int64) + (f.bits[x, BITMAP] + f.bits[y, BITMAP]).astype(np.int64)
+        return apart * (100 + percent) <= (f.n[x].astype(np.int64) + f.n[y]) * (100 - percent)
+
     def possible(pairs: list[np.ndarray]) -> np.ndarray:
         pair = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
         good = np.empty(len(pair), bool)
         for k in range(0, len(pair), 20_000):
             x, y = pair[k : k + 20_000] // len(f.cls), pair[k : k + 20_000] % len(f.cls)
-            apart = np.bitwise_count(f.bits[x, :BITMAP] ^ f.bits[y, :BITMAP]).sum(1, dtype=np.int64) + (f.bits[x, BITMAP] + f.bits[y, BITMAP]).astype(np.int64)
-            good[k : k + 20_000] = apart * (100 + percent) <= (f.n[x].astype(np.int64) + f.n[y]) * (100 - percent)
+            good[k : k + 20_000] = may(x, y)
         return pair[good]
 
-    sorted_tok = f.tok[f.order]
+    def mixed(first: np.ndarray) -> np.ndarray:
+        return np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+
+    tok, run = f.tok[f.order], f.run[f.order].astype(np.int64)
     found: list[np.ndarray] = []
-    run = f.run[f.order].astype(np.int64)
-    comp = f.aux[run]
+    held, most = 0, 2_000_000
+    if len(run) and salt is not None:
+        comp = f.aux[run]
+        some = mixed(f.first)
+        for a, m in zip(f.first[some], f.df[some], strict=True):
+            runs = run[a : a + m]  # each holder with the next in a random order
+            runs = runs[np.argsort(mix64(f.cls[runs].view(np.uint64) ^ mix64(tok[a : a + 1] + np.uint64(salt))), kind="stable")]
+            x, y = runs[:-1], runs[1:]
+            small, large = np.minimum(f.n[x], f.n[y]).astype(np.int64), np.maximum(f.n[x], f.n[y]).astype(np.int64)
+            fit = (f.aux[x] != f.aux[y]) & (small * 100 >= large * percent)
+            found.append(np.minimum(x, y)[fit] * len(f.cls) + np.maximum(x, y)[fit])
     if len(run):
-        mixed = (np.minimum.reduceat(comp, f.first) != np.maximum.reduceat(comp, f.first)) & (f.df > 1)
-        for a, m in zip(f.first[mixed], f.df[mixed], strict=True):
-            runs = run[a : a + m]
-            if salt is not None:  # each holder with the next in a random order
-                runs = runs[np.argsort(mix64(f.cls[runs].view(np.uint64) ^ mix64(sorted_tok[a : a + 1] + np.uint64(salt))), kind="stable")]
-                x, y = runs[:-1], runs[1:]
-                small, large = np.minimum(f.n[x], f.n[y]).astype(np.int64), np.maximum(f.n[x], f.n[y]).astype(np.int64)
-                fit = (f.aux[x] != f.aux[y]) & (small * 100 >= large * percent)
-                found.append(np.minimum(x, y)[fit] * len(f.cls) + np.maximum(x, y)[fit])
-                continue
-            runs = runs[np.argsort(f.n[runs], kind="stable")]
-            n, c = f.n[runs].astype(np.int64), f.aux[runs]
-            first, last = np.searchsorted(n, -(-n * percent // 100), "left"), np.searchsorted(n, n * 100 // percent, "right")
-            names, size = np.unique(c, return_counts=True)
-            for i in np.flatnonzero(c != names[np.argmax(size)]):  # pairs inside the largest component are none
-                j = np.arange(first[i], last[i])
-                j = j[c[j] != c[i]]
+        # By n-gram and size; holders that reach none of the n-gram's sizes leave.
+        at = np.lexsort((f.n[run], tok))
+        tok, run, n = tok[at], run[at], f.n[run[at]].astype(np.int64)
+        reach = f.left[f.order][at].astype(np.int64) * (100 + percent) // percent - n
+        alive = (reach >= np.repeat(n[f.first], f.df)) & (n <= np.repeat(np.maximum.reduceat(reach, f.first), f.df))
+        tok, run, n, reach = tok[alive], run[alive], n[alive], reach[alive]
+        comp = f.aux[run]
+        first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1])) if len(tok) else np.empty(0, np.int64)
+        df = np.diff(np.append(first, len(tok)))
+        some = mixed(first) if len(tok) else np.empty(0, bool)
+        for a, m in zip(first[some], df[some], strict=True):
+            runs, size, far, c = run[a : a + m], n[a : a + m], reach[a : a + m], comp[a : a + m]
+            low = np.searchsorted(size, -(-size * percent // 100), "left")
+            high = np.searchsorted(size, np.minimum(size * 100 // percent, far), "right")
+            names, count = np.unique(c, return_counts=True)
+            for i in np.flatnonzero((c != names[np.argmax(count)]) & (low < high)):  # pairs inside the largest component are none
+                if salt is None:
+                    j = np.arange(low[i], high[i])
+                else:  # a few of those in reach, by chance
+                    dice = mix64(np.arange(min(high[i] - low[i], 64), dtype=np.uint64) + mix64(f.cls[runs[i : i + 1]].view(np.uint64) ^ mix64(tok[a : a + 1] + np.uint64(salt))))
+                    j = low[i] + (np.argsort(dice) if high[i] - low[i] <= 64 else (dice % np.uint64(high[i] - low[i])).astype(np.int64))
+                j = j[(c[j] != c[i]) & (far[j] >= size[i])]
+                if salt is not None and len(j):
+                    j = j[may(runs[i], runs[j])][:2]
                 if len(j):
-                    x, y = np.minimum(runs[i], runs[j]), np.maximum(runs[i], runs[j])
-                    found.append(x * len(f.cls) + y)
-            if sum(map(len, found)) > 2_000_000:
+                    found.append(np.minimum(runs[i], runs[j]) * len(f.cls) + np.maximum(runs[i], runs[j]))
+                    held += len(j)
+            if held > most:
                 found = [possible(found)]
+                held = len(found[0])
+                most = 2_000_000 + 2 * held
     pair = possible(found)
     return pa.table({"a": f.cls[pair // max(1, len(f.cls))], "b": f.cls[pair % max(1, len(f.cls))]})
 

@@ -63,6 +63,75 @@ def test_jaccard_components(spark, rows):
     assert got == {i: (len(s), find(i)) for i, s in sets.items()}
 
 
+def _near_copies(rnd, count, edits, size=400):
+    """Texts of `size` words, each a copy of one text with some of `edits` words of its own."""
+    base = [f"w{k}" for k in range(size)]
+    out = []
+    for i in range(count):
+        v = list(base)
+        for k in rnd.sample(range(size), rnd.choice(edits)):
+            v[k] = f"x{i}y{k}"
+        out.append(" ".join(v))
+    return out
+
+
+def _crossing_of(texts, percent=80):
+    """Pairs (places of texts) that the last round lists when no two texts are joined yet, and their sets."""
+    sets = [g for _, g in ngram_join.shingle_sets(pa.array(texts), 5)]
+    df = Counter(x for g in sets for x in g.tolist())
+    cols = {k: [] for k in ("cls", "n", "shared", "prefix", "tok", "aux")}
+    for i, g in enumerate(sets):
+        tok = sorted((x for x in g.tolist() if df[x] > 1), key=lambda x: (df[x], x))
+        prefix = len(tok) - -(-percent * len(g) // 100) + 1
+        if prefix >= 1:
+            for k, v in zip(cols, (i, len(g), len(tok), prefix, np.array(tok, np.uint64).tobytes(), i), strict=True):
+                cols[k].append(v)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols.values(), kinds, strict=True)], list(cols))
+    listed = set()
+    for part in ngram_join._cut_classes([batch], 4, True):
+        for k in range(len(part)):
+            found = ngram_join._crossing(pa.Table.from_batches([part.slice(k, 1)]), percent)
+            listed |= {(min(a, b), max(a, b)) for a, b in zip(found["a"].to_pylist(), found["b"].to_pylist())}
+    return listed, sets
+
+
+def test_crossing_leaves_out_hopeless_pairs(monkeypatch):
+    """Near copies that all meet at the same n-grams, but are each too far from any other, are not paired."""
+    seen = []
+    count = np.bitwise_count
+    monkeypatch.setattr(ngram_join.np, "bitwise_count", lambda x: seen.append(len(x)) or count(x))
+    listed, _ = _crossing_of(_near_copies(random.Random(3), 200, [11, 12, 13]))
+    assert not listed
+    assert sum(seen) < 1000  # all pairs, in each of four fragments: 4 * 200 * 199 / 2
+
+
+@pytest.mark.parametrize(("edits", "size"), [([0, 1, 4, 8, 9, 12], 400), ([0, 1, 2, 3], 60), ([0, 1], 14)])
+def test_crossing_by_brute_force(edits, size):
+    rnd = random.Random(8)
+    texts = _near_copies(rnd, 60, edits, size)
+    texts += [t[: rnd.randrange(len(t) * 6 // 10, len(t))] for t in texts[:40]]  # other sizes
+    texts = list(dict.fromkeys(texts))
+    listed, sets = _crossing_of(texts)
+    sets = [set(g.tolist()) for g in sets]
+    links = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert links and links <= listed
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_near_copy_components(spark, rounds):
+    texts = _near_copies(random.Random(5), 70, [2, 4, 5, 8, 9, 12], 300)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(sets)))
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if least[a] != least[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((least[a], least[b]))
+            least = [x if c == y else c for c in least]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, chance_rounds=rounds).collect()}
+    assert got == dict(enumerate(least)) and 1 < len({*least}) < len(least)
+
+
 def test_components_agree(spark, monkeypatch):
     rnd = random.Random(2)
     edges = spark.createDataFrame([(rnd.randrange(200), rnd.randrange(200)) for _ in range(120)], "u long, v long")
