@@ -156,7 +156,7 @@ def fit(docs: DataFrame, parts: int, held: int, sample_per_lang: int, windows_pe
 
 
 @tidy
-def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, keep: dict[str, str]) -> Iterator[pa.RecordBatch]:
     net: ByteNet | None = model.value
     for batch in batches:
         for a, b, raw, offs in text_chunks(batch["text"], 1 << 19):
@@ -173,7 +173,7 @@ def _predict(batches: Iterator[pa.RecordBatch], parts: int, held: int, model, ke
                     score[some] = np.clip(total.max(1), 0, 1)
             ids = batch["doc_id"].slice(a, b - a)
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": ids, "held_out": pa.array([fold(i, parts) == held for i in ids.to_pylist()], pa.bool_()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)} | {c: batch[c].slice(a, b - a) for c in keep}
+                {"doc_id": ids, "held_out": pa.array([fold(i, parts) == held for i in ids.to_pylist()], pa.bool_()), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)} | {c: batch[s].slice(a, b - a) for c, s in keep.items()}
             )
 
 
@@ -181,10 +181,10 @@ def identify(docs: DataFrame, parts: int = 5, held: int = 0, sample_per_lang: in
     """(doc_id, held_out, lang_pred, score, kept_* of the columns in `keep`) for every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = docs.sparkSession.sparkContext.broadcast(fit(rows, parts, held, sample_per_lang, windows_per_text, sample_rows))  # a few thousand numbers
-    kept, names, kinds = kept_columns(docs, keep)
+    kept, sent, kinds = kept_columns(docs, keep, text_col)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
     return read.mapInArrow(
-        partial(_predict, parts=parts, held=held, model=model, keep=names), "doc_id long, held_out boolean, lang_pred string, score double" + kinds
+        partial(_predict, parts=parts, held=held, model=model, keep=sent), "doc_id long, held_out boolean, lang_pred string, score double" + kinds
     )
 
 

@@ -285,6 +285,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
         for a in range(0, len(texts), 500):
             ids, offs, _ = c.encode(texts[a : a + 500])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.ListArray.from_arrays(offs.astype(np.int32), ids)], ["doc_id", "ids"])
+    c._forget()  # the worker goes on to other tasks
 
 
 @tidy

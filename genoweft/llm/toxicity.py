@@ -232,13 +232,13 @@ def _hit_rows(batches: Iterator[pa.RecordBatch], restore, labels, scorer: Scorer
 
 
 @tidy
-def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held: int, keep: list[str]) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], restore, model, parts: int, held: int, keep: dict[str, str]) -> Iterator[pa.RecordBatch]:
     scorer: Scorer | None = model.value
     read = Reader(restore.value, scorer.at if scorer else {})
     for batch in batches:
         ids = batch["doc_id"].to_pylist()
         score = [scorer.score(sorted(read(t))) if scorer else 0.0 for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": pa.array([fold(i, parts) == held for i in ids], pa.bool_()), "score": pa.array(score, pa.float64())} | {c: batch[c] for c in keep})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "held_out": pa.array([fold(i, parts) == held for i in ids], pa.bool_()), "score": pa.array(score, pa.float64())} | {c: batch[s] for c, s in keep.items()})
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, parts: int = 4, held: int = 2, label_rows: int = 200_000, sample_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -273,9 +273,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
         got = sorted(map(tuple, sample.mapInArrow(partial(_hit_rows, restore=restore, labels=found, scorer=model), "doc_id long, hits array<int>, toxic int").collect()))
         model.fit([list(h) for _, h, _ in got], np.array([t for _, _, t in got], float))
     sent = spark.sparkContext.broadcast(model)  # TELLING words
-    kept, names, kinds = kept_columns(docs, keep)
+    kept, source, kinds = kept_columns(docs, keep, text_col)
     read = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
-    scored = read.mapInArrow(partial(_score, restore=restore, model=sent, parts=parts, held=held, keep=names), "doc_id long, held_out boolean, score double" + kinds)
+    scored = read.mapInArrow(partial(_score, restore=restore, model=sent, parts=parts, held=held, keep=source), "doc_id long, held_out boolean, score double" + kinds)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 

@@ -641,6 +641,29 @@ def test_kept_columns(spark, rows):
         assert Counter((r.kept_doc_id, r.kept_text) for r in got.collect()) == want
 
 
+def test_kept_text_is_sent_once(spark, rows, monkeypatch):
+    docs = _docs(spark, rows).withColumn("other", F.concat(F.lit("x"), "text"))
+    seen = []
+    own = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **k: seen.append(self.columns) or own(self, *a, **k))
+    labels = spark.createDataFrame([(0, 1, 1)], "doc_id long, quality int, toxic int")
+    for run in (language_net.identify, lambda d, **k: toxicity.score_toxicity(d, labels, **k)):
+        for text_col, want in (("text", ["doc_id", "text", "kept_doc_id", "kept_other"]), ("doc_id", ["doc_id", "text", "kept_doc_id", "kept_text", "kept_other"])):
+            out = run(docs, text_col=text_col, keep=("doc_id", "text", "other"))
+            assert seen[-1] == want
+            got = Counter((r.kept_doc_id, r.kept_text, r.kept_other) for r in out.collect())
+            assert got == Counter((i, t, None if t is None else "x" + t) for i, t, *_ in rows)
+
+
+def test_encoding_leaves_no_units():
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "text": [" ".join(WORDS), None, WORDS[0]]})
+    got = [x for b in piece_codec._encode(iter([batch]), piece_codec.MODEL) for x in b["ids"].to_pylist()]
+    c = piece_codec.codec(piece_codec.MODEL)
+    assert not c.known and not len(c.flat)
+    assert len(got[0]) and got[1] == [] and len(got[2])
+    assert [x for b in piece_codec._encode(iter([batch]), piece_codec.MODEL) for x in b["ids"].to_pylist()] == got
+
+
 def test_language(spark):
     rnd = random.Random(3)
     make = lambda parts: " ".join("".join(rnd.choice(parts) for _ in range(3)) for _ in range(60))
