@@ -126,11 +126,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
-def word_bounds(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and one-past-last byte of each word; a word never crosses a document's end."""
+def word_bounds(buf: np.ndarray, offs: np.ndarray, parts: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """First and one-past-last byte of each word; a word never crosses a document's end. `parts`: which bytes part words."""
     if not len(buf):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    black = ~IS_SPACE[buf]
+    black = ~parts[buf]
     before = np.empty_like(black)
     before[0], before[1:] = False, black[:-1]
     before[offs[:-1][offs[:-1] < len(buf)]] = False

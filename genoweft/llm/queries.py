@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import collocations
+from .collocations import op11_suffix_automata
 from .context_mixing import op10_context_mixing
 from .html_text import op7_html_text
 from .language_net import op5_byte_cnn
@@ -17,7 +19,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_simhash, op3_pareto_mix, op4_ngram_jaccard_join, op5_byte_cnn,
-        op6_projection_forest, op7_html_text, op8_token_counts, op9_toxicity, op10_context_mixing,
+        op6_projection_forest, op7_html_text, op8_token_counts, op9_toxicity, op10_context_mixing, op11_suffix_automata,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_suffix_automata": collocations.SQL}
