@@ -47,7 +47,8 @@ _ENDS[list(PIECE_ENDS)] = True
 _PARTS = _ENDS.copy()
 _PARTS[list(BLANKS)] = True
 
-BLOCKS = "frag int, lang string, n_words int, nodes binary, counts binary, kids binary"
+#: A row holds the nodes of one fragment of a shard: lines `lang word ...`, the lang in hexadecimal.
+BLOCKS = "frag int, n_words int, nodes binary, counts binary, kids binary"
 COUNTED = "lang string, n_words int, phrase string, f long"
 
 
@@ -104,9 +105,8 @@ def link_tree(buf: np.ndarray, offs: np.ndarray, lang: np.ndarray, most_words: i
     rank[order] = np.arange(len(order))
     word = rank[told.indices.to_numpy()] if len(start) else np.empty(0, np.int64)
     text = np.searchsorted(offs, start, "right") - 1
-    ends = np.zeros(len(buf) + 1, np.int64)
-    np.cumsum(_ENDS[buf], out=ends[1:])
-    near = (text[1:] == text[:-1]) & (ends[start[1:]] == ends[start[:-1]])
+    piece = np.searchsorted(np.union1d(np.flatnonzero(_ENDS[buf]) + 1, offs), start, "right")
+    near = piece[1:] == piece[:-1]
     n, levels = max(1, len(words)), []
     parent, at = lang[text], np.arange(len(word))  # of each occurrence: its link's node, its first word
     for _ in range(most_words):
@@ -119,10 +119,10 @@ def link_tree(buf: np.ndarray, offs: np.ndarray, lang: np.ndarray, most_words: i
 
 
 def _blocks(text: pa.ChunkedArray, lang: pa.ChunkedArray, most_words: int, frags: int, most: int) -> Iterator[dict]:
-    names = lang.combine_chunks() if isinstance(lang, pa.ChunkedArray) else lang
-    told = names.dictionary_encode()
-    tongues, tongue = told.dictionary.to_pylist(), told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    salt = np.array([zlib.crc32(t.encode()) for t in tongues], np.uint64) << np.uint64(32)
+    told = lang.combine_chunks().dictionary_encode()
+    names, tongue = told.dictionary.to_pylist(), told.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    salt = np.array([zlib.crc32(t.encode()) for t in names], np.uint64) << np.uint64(32)
+    marks = pa.array([t.encode().hex().encode() for t in names], pa.large_binary())
     for a, b, buf, offs in text_chunks(text, most):
         words, levels = link_tree(LOWER[buf], offs, tongue[a:b], most_words)
         if not len(words):
@@ -131,21 +131,20 @@ def _blocks(text: pa.ChunkedArray, lang: pa.ChunkedArray, most_words: int, frags
         hashed = word_hashes(data, at[:-1], at[1:])
         lines = pc.binary_join_element_wise(words, _bytes(b""), _bytes(b"\n"))
         own, word, count = levels[0]
-        yield from _cut(lines.take(pa.array(word)), count, [], own, mix64(hashed[word] ^ salt[own]), frags, tongues, 1)
+        ones = pc.binary_join_element_wise(marks.take(pa.array(own)), lines.take(pa.array(word)), _bytes(b" "))
+        yield from _cut(ones, count, [], mix64(hashed[word] ^ salt[own]), frags, 1)
         if most_words < 2:
             continue
         under, first, count = levels[1]
-        last = word[under]
-        pairs = pc.binary_join_element_wise(words.take(pa.array(first)), lines.take(pa.array(last)), _bytes(b" "))
-        where = mix64(hashed[last] * np.uint64(3) + mix64(hashed[first]) ^ salt[own[under]])
-        yield from _cut(pairs, count, [(up, lines.take(pa.array(w)), c) for up, w, c in levels[2:]], own[under], where, frags, tongues, 2)
+        last, own = word[under], own[under]
+        pairs = pc.binary_join_element_wise(marks.take(pa.array(own)), words.take(pa.array(first)), lines.take(pa.array(last)), _bytes(b" "))
+        where = mix64(hashed[last] * np.uint64(3) + mix64(hashed[first]) ^ salt[own])
+        yield from _cut(pairs, count, [(up, lines.take(pa.array(w)), c) for up, w, c in levels[2:]], where, frags, 2)
 
 
-def _cut(nodes: pa.Array, count: np.ndarray, deeper: list, own: np.ndarray, where: np.ndarray, frags: int, tongues: list[str], n_words: int) -> Iterator[dict]:
-    """Rows of BLOCKS: the nodes of one lang and fragment, with all that hangs on them."""
-    if not len(nodes):
-        return
-    group = own * frags + (where % np.uint64(frags)).astype(np.int64)
+def _cut(nodes: pa.Array, count: np.ndarray, deeper: list, where: np.ndarray, frags: int, n_words: int) -> Iterator[dict]:
+    """Rows of BLOCKS: the nodes of each fragment, with all that hangs on them."""
+    group = (where % np.uint64(frags)).astype(np.int64)
     order = np.argsort(group, kind="stable")
     layers = [(nodes.take(pa.array(order)), count[order], None)]
     for up, left, c in deeper:  # children lie in the order of their parents
@@ -161,18 +160,17 @@ def _cut(nodes: pa.Array, count: np.ndarray, deeper: list, own: np.ndarray, wher
     flat = [_flat(x) for x, _, _ in layers]
     for g in range(len(first)):
         cut = [(b[g], b[g + 1]) for b in bound]
-        texts = [bytes(d[o[i] : o[j]]) for (d, o), (i, j) in zip(flat, cut, strict=True)]
         yield {
-            "frag": int(group[first[g]] % frags), "lang": tongues[group[first[g]] // frags], "n_words": n_words,
-            "nodes": _pack(b"".join(texts)),
-            "counts": _pack(b"".join(np.ascontiguousarray(c[i:j]).astype("<u4").tobytes() for (_, c, _), (i, j) in zip(layers, cut, strict=True))),
-            "kids": _pack(b"".join(np.ascontiguousarray(k[p:q]).astype("<u4").tobytes() for (_, _, k), (p, q) in zip(layers[1:], cut[:-1], strict=True))),
+            "frag": int(group[first[g]]), "n_words": n_words,
+            "nodes": _pack(b"".join(bytes(d[o[i] : o[j]]) for (d, o), (i, j) in zip(flat, cut, strict=True))),
+            "counts": _pack(b"".join(c[i:j].astype("<u4").tobytes() for (_, c, _), (i, j) in zip(layers, cut, strict=True))),
+            "kids": _pack(b"".join(k[p:q].astype("<u4").tobytes() for (_, _, k), (p, q) in zip(layers[1:], cut[:-1], strict=True))),
         }
 
 
 @tidy
-def _shards(batches: Iterator[pa.RecordBatch], most_words: int, frags: int, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("frag", pa.int32()), ("lang", pa.string()), ("n_words", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("kids", pa.binary())])
+def _shards(batches: Iterator[pa.RecordBatch], most_words: int, frags: int, most: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("frag", pa.int32()), ("n_words", pa.int32()), ("nodes", pa.binary()), ("counts", pa.binary()), ("kids", pa.binary())])
 
     def give(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(held)
@@ -198,17 +196,18 @@ def _shards(batches: Iterator[pa.RecordBatch], most_words: int, frags: int, most
         yield from give(held)
 
 
-def _summed(table: pa.Table, least: int, most_words: int) -> pa.Table:
+def _summed(table: pa.Table, least: int) -> pa.Table:
     """Counts over all shards of one fragment; nodes below `least` and all that hangs on them go.
     A row of no words holds the word occurrences of a lang in this fragment."""
-    out = {"lang": [], "n_words": [], "phrase": [], "f": []}
-    rows = table.select(["lang", "n_words", "nodes", "counts", "kids"]).to_pylist()
-    by: dict[tuple[str, int], list[dict]] = {}
-    for r in rows:
-        by.setdefault((r["lang"], r["n_words"]), []).append(r)
-    for (lang, n_words), blocks in by.items():
+    out: dict[str, list] = {"lang": [], "n_words": [], "phrase": [], "f": []}
+
+    def add(lang: list, n_words: list, phrase: list, f: list) -> None:
+        for k, v in zip(out, (lang, n_words, phrase, f), strict=True):
+            out[k] += v
+
+    for n_words in (1, 2):
         levels: list[list[tuple]] = []
-        for r in blocks:
+        for r in table.filter(pc.equal(table["n_words"], n_words)).select(["nodes", "counts", "kids"]).to_pylist():
             names, counts, kids = _lines(_unpack(r["nodes"])), np.frombuffer(_unpack(r["counts"]), "<u4"), np.frombuffer(_unpack(r["kids"]), "<u4").astype(np.int64)
             a, k, d, size = 0, 0, 0, len(counts) - int(kids.sum())
             while True:
@@ -219,19 +218,24 @@ def _summed(table: pa.Table, least: int, most_words: int) -> pa.Table:
                 if own is None:
                     break
                 a, k, d, size = a + size, k + size, d + 1, int(own.sum())
-        up = names = None
+        up = names = tongue = None
         for d, parts in enumerate(levels):
             told = pa.chunked_array([x for x, _, _ in parts], pa.large_binary()).combine_chunks().dictionary_encode()
             code, count = told.indices.to_numpy().astype(np.int64), np.concatenate([c for _, c, _ in parts])
             n = max(1, len(told.dictionary))
             if d == 0:
                 node = code
-                total = np.zeros(n, np.int64)
+                total = np.zeros(len(told.dictionary), np.int64)
                 np.add.at(total, code, count)
-                if n_words == 1:
-                    out["lang"].append(lang), out["n_words"].append(0), out["phrase"].append(None), out["f"].append(int(total.sum()))
                 keep = total >= least
-                found = told.dictionary.filter(pa.array(keep))
+                found = [x.split(b" ", 1) for x in told.dictionary.filter(pa.array(keep)).to_pylist()]
+                tongue, names = [bytes.fromhex(x.decode()).decode() for x, _ in found], pa.array([x for _, x in found], pa.large_binary())
+                if n_words == 1:
+                    sums: dict[bytes, int] = {}
+                    for line, f in zip(told.dictionary.to_pylist(), total.tolist(), strict=True):
+                        mark = line[: line.index(b" ")]
+                        sums[mark] = sums.get(mark, 0) + f
+                    add([bytes.fromhex(m.decode()).decode() for m in sums], [0] * len(sums), [None] * len(sums), list(sums.values()))
             else:
                 live = up >= 0
                 distinct, node_live = np.unique(up[live] * n + code[live], return_inverse=True)
@@ -241,14 +245,11 @@ def _summed(table: pa.Table, least: int, most_words: int) -> pa.Table:
                 node[live] = node_live
                 keep = total >= least
                 at = distinct[keep]
-                found = pc.binary_join_element_wise(told.dictionary.take(pa.array(at % n)), names.take(pa.array(at // n)), _bytes(b" "))
+                names = pc.binary_join_element_wise(told.dictionary.take(pa.array(at % n)), names.take(pa.array(at // n)), _bytes(b" "))
+                tongue = [tongue[i] for i in (at // n).tolist()]
             number = np.full(len(keep) + 1, -1)
             number[:-1][keep] = np.arange(int(keep.sum()))
-            names = found
-            out["lang"] += [lang] * len(found)
-            out["n_words"] += [n_words + d] * len(found)
-            out["phrase"] += found.to_pylist()
-            out["f"] += total[keep].tolist()
+            add(tongue, [n_words + d] * len(names), names.to_pylist(), total[keep].tolist())
             if d + 1 < len(levels):
                 # A level's rows lie block by block; every block has rows of all levels above its deepest.
                 up = np.concatenate([np.repeat(number[node[i : i + len(c)]], own) for i, (_, c, own) in zip(np.cumsum([0] + [len(c) for _, c, _ in parts[:-1]]), parts, strict=True) if own is not None])
@@ -263,9 +264,9 @@ def phrase_counts(docs: DataFrame, most_words: int = 3, least: int = 10, text_co
     if most_words < 1 or least < 1:
         raise ValueError("most_words and least must be at least 1")
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    frags = max(shuffle_partitions(docs.sparkSession), 4 * rows.rdd.getNumPartitions())
+    frags = max(shuffle_partitions(docs.sparkSession), rows.rdd.getNumPartitions())
     blocks = rows.mapInArrow(partial(_shards, most_words=most_words, frags=frags), BLOCKS)
-    return per_group(blocks, "frag", _summed, COUNTED, least=least, most_words=most_words)
+    return per_group(blocks, "frag", _summed, COUNTED, least=least)
 
 
 def collocations(docs: DataFrame, most_words: int = 3, least: int = 10, top: int = 2000, inside: int = 50, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
