@@ -194,10 +194,10 @@ def _sql(templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tup
     return rf"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
 t AS (SELECT * FROM (VALUES {told}) v(label, width, own, need)), p AS (SELECT * FROM (VALUES {said}) v(said, label)),
-b AS (SELECT id, label, i - 1 AS at FROM (SELECT id, w, said, label, unnest(range(1, len(w) - len(said) + 2)) AS i FROM w, p) WHERE w[i:i + len(said) - 1] = said),
+b AS (SELECT id, label, i - 1 AS place FROM (SELECT id, w, said, label, unnest(range(1, len(w) - len(said) + 2)) AS i FROM w, p) WHERE w[i:i + len(said) - 1] = said),
 s AS (SELECT id, width, list_distinct(w[i + 1:i + width]) AS s FROM (SELECT id, w, width, unnest(range(0, len(w), width // 2)) AS i FROM w, (SELECT DISTINCT width FROM t))),
 m AS (SELECT id, label, len(list_intersect(s, own)) / len(own) AS share FROM s JOIN t ON t.width = s.width AND len(list_intersect(s, own)) >= need),
-x AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word FROM b GROUP BY 1),
+x AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM b GROUP BY 1),
 y AS (SELECT id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT id, label FROM b UNION SELECT id, label FROM m) GROUP BY 1), z AS (SELECT id, max(share) AS share FROM m GROUP BY 1)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(share, 0) END AS score
 FROM w LEFT JOIN x USING (id) LEFT JOIN y USING (id) LEFT JOIN z USING (id)"""
