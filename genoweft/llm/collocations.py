@@ -264,7 +264,7 @@ def phrase_counts(docs: DataFrame, most_words: int = 3, least: int = 10, text_co
     if most_words < 1 or least < 1:
         raise ValueError("most_words and least must be at least 1")
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"))
-    frags = max(shuffle_partitions(docs.sparkSession), rows.rdd.getNumPartitions())
+    frags = 2 * max(shuffle_partitions(docs.sparkSession), rows.rdd.getNumPartitions())
     blocks = rows.mapInArrow(partial(_shards, most_words=most_words, frags=frags), BLOCKS)
     return per_group(blocks, "frag", _summed, COUNTED, least=least)
 
