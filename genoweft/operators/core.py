@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels
+from .blocked_nmf import fit_blocks
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -115,9 +116,12 @@ def preprocess(expr: DataFrame, cells: DataFrame, n_genes: int, target_sum: floa
 FACTORS = "record string, sample_id long, k int, k_idx int, pos int, item long, value double"
 
 
-def nmf_fit(expr: DataFrame, cells: DataFrame, n_genes: int, k: Sequence[int] = (7, 8, 9, 10), min_cells: int = 5, target_sum: float = 1e4, normalize: bool = True, log1p: bool = True, clip_quantile: float | None = 0.999, center: bool = True, solver: str = "cd", loss: str = "frobenius", init: str = "nndsvda", alpha: float = 0.0, l1_ratio: float = 0.0, tol: float = 1e-5, max_iter: int = 10000, keep_scores: bool = False, seed: int = 123) -> DataFrame:
+def nmf_fit(expr: DataFrame, cells: DataFrame, n_genes: int, k: Sequence[int] = (7, 8, 9, 10), min_cells: int = 5, target_sum: float = 1e4, normalize: bool = True, log1p: bool = True, clip_quantile: float | None = 0.999, center: bool = True, solver: str = "cd", loss: str = "frobenius", init: str = "nndsvda", alpha: float = 0.0, l1_ratio: float = 0.0, tol: float = 1e-5, max_iter: int = 10000, keep_scores: bool = False, seed: int = 123, block_entries: int = 8_000_000) -> DataFrame:
     """One factorisation per (sample, rank). Rows of record `gene` hold loadings by gene_idx, of
-    record `cell` (with keep_scores) scores by cell_id. A group is one sample's dense block."""
+    record `cell` (with keep_scores) scores by cell_id.
+
+    A sample of up to block_entries values (cells x genes) is one dense block in one group; a larger one
+    is cut into blocks of that size, with the same result (blocked_nmf)."""
     if isinstance(k, int):
         raise TypeError("k must be a sequence of ranks")
     if any(r < 1 for r in k):
@@ -139,21 +143,31 @@ def nmf_fit(expr: DataFrame, cells: DataFrame, n_genes: int, k: Sequence[int] =
         data.groupBy("cell_id").agg(F.collect_list("gene_idx").alias("genes"), F.collect_list("value").alias("values")), "cell_id", "left"
     )
 
+    large = sizes.where(F.col("n_cells") * n_genes > block_entries)
+    parts = []
+    if not large.isEmpty():
+        own = rows.join(large.select("sample_id"), "sample_id", "left_semi")
+        parts = fit_blocks(own, large, n_genes, k, solver, loss, init, alpha, l1_ratio, tol, max_iter, keep_scores, seed, block_entries)
+        rows = rows.join(large.select("sample_id"), "sample_id", "left_anti")
+
     def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
         x = np.zeros((len(pdf), n_genes))
         for i, (g, v) in enumerate(zip(pdf["genes"], pdf["values"], strict=True)):
             if g is not None:
                 x[i, np.asarray(g, int)] = v
-        cell_ids, parts = pdf["cell_id"].to_numpy(), []
+        cell_ids, made = pdf["cell_id"].to_numpy(), []
         for index, rank in enumerate(k):
-            w, h = kernels.nmf(x, int(rank), solver, loss, init, alpha, l1_ratio, tol, max_iter, seed)
+            w, h = kernels.nmf(x, int(rank), solver, loss, init, alpha, l1_ratio, tol, max_iter, seed, cell_ids)
             blocks = [("gene", np.arange(n_genes), h)] + ([("cell", cell_ids, w.T)] if keep_scores else [])
             for record, items, m in blocks:
-                parts.append(pd.DataFrame({"record": record, "sample_id": key[0], "k": rank, "k_idx": index, "pos": np.repeat(np.arange(rank), len(items)), "item": np.tile(items, rank), "value": m.ravel()}))
-        return pd.concat(parts)
+                made.append(pd.DataFrame({"record": record, "sample_id": key[0], "k": rank, "k_idx": index, "pos": np.repeat(np.arange(rank), len(items)), "item": np.tile(items, rank), "value": m.ravel()}))
+        return pd.concat(made)
 
-    return rows.groupBy("sample_id").applyInPandas(fit, FACTORS)
+    out = rows.groupBy("sample_id").applyInPandas(fit, FACTORS)
+    for p in parts:
+        out = out.unionByName(p)
+    return out
 
 
 def factor_loadings(loadings: DataFrame, keep: DataFrame | None = None, kept_only: bool = True, samples: Sequence | None = None, per_sample: int | None = None) -> DataFrame:

@@ -13,33 +13,60 @@ INITS = ("random", "nndsvd", "nndsvda", "nndsvdar")
 LOSSES = ("frobenius", "kullback-leibler", "itakura-saito")
 
 
-def nndsvd(x: np.ndarray, k: int, fill: str = "mean", seed: int = 123) -> tuple[np.ndarray, np.ndarray]:
-    """Non-negative start from the SVD; zeros stay ("zero"), become the mean of x ("mean") or small random values ("random")."""
-    u, s, vt = np.linalg.svd(x, full_matrices=False)
-    w, h = np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
-    w[:, 0], h[0] = np.sqrt(s[0]) * np.abs(u[:, 0]), np.sqrt(s[0]) * np.abs(vt[0])
-    for j in range(1, k):
-        pos = np.maximum(u[:, j], 0), np.maximum(vt[j], 0)
-        neg = np.maximum(-u[:, j], 0), np.maximum(-vt[j], 0)
-        a, b = max((pos, neg), key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
-        na, nb = np.linalg.norm(a), np.linalg.norm(b)
-        if na > 0 and nb > 0:
-            scale = np.sqrt(s[j] * na * nb)
-            w[:, j], h[j] = scale * a / na, scale * b / nb
-    w[w < 1e-6], h[h < 1e-6] = 0, 0
-    if fill == "mean":
-        w[w == 0], h[h == 0] = x.mean(), x.mean()
-    elif fill == "random":
-        rng = np.random.default_rng(seed)
-        for m in (w, h):
-            m[m == 0] = np.abs(x.mean() * rng.standard_normal(int((m == 0).sum())) / 100)
-    return w, h
+def hashed_normals(seed: int, ids: np.ndarray, k: int) -> np.ndarray:
+    """Standard normal values by (seed, id, column): the same wherever a row lies."""
+    x = ids.astype(np.int64).astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * k, dtype=np.uint64)[None] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed & 0xFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = (x >> np.uint64(11)).astype(float) * 2.0**-53 + 2.0**-54
+    return np.sqrt(-2 * np.log(u[:, :k])) * np.cos(2 * np.pi * u[:, k:])
+
+
+def singular_parts(v: np.ndarray, s: np.ndarray, positive: np.ndarray, negative: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the non-negative start: which sign of each singular pair is taken, the factor of its left
+    part, and h. positive, negative: squared sizes of the left vectors' parts; v: right vectors as rows."""
+    k = len(s)
+    sign, factor, h = np.ones(k), np.zeros(k), np.zeros_like(v)
+    for j in range(k):
+        if j == 0:  # all of one sign but for rounding
+            sign[0], factor[0], h[0] = 0, np.sqrt(s[0]), np.sqrt(s[0]) * np.abs(v[0])
+            continue
+        parts = [(np.sqrt(size), np.maximum(g * v[j], 0), g) for g, size in ((1, positive[j]), (-1, negative[j]))]
+        a, b, g = max(parts, key=lambda p: p[0] * np.linalg.norm(p[1]))
+        n = np.linalg.norm(b)
+        if a > 0 and n > 0:
+            scale = np.sqrt(s[j] * a * n)
+            sign[j], factor[j], h[j] = g, scale / a, scale * b / n
+    return sign, factor, h
 
 
-def random_start(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    scale = np.sqrt(x.mean() / k)
-    return np.abs(scale * rng.standard_normal((x.shape[0], k))), np.abs(scale * rng.standard_normal((k, x.shape[1])))
+def left_start(u: np.ndarray, sign: np.ndarray, factor: np.ndarray) -> np.ndarray:
+    """The rows of w that belong to rows of the left vectors `u`."""
+    return np.where(sign == 0, np.abs(u), np.maximum(u * sign, 0)) * factor
+
+
+def fill_zeros(m: np.ndarray, mean: float, fill: str, seed: int, ids: np.ndarray) -> np.ndarray:
+    """Zeros stay ("zero"), become the mean ("mean") or small random values ("random")."""
+    m = np.where(m < 1e-6, 0, m)
+    if fill == "zero":
+        return m
+    return np.where(m == 0, mean if fill == "mean" else np.abs(mean * hashed_normals(seed, ids, m.shape[1])) / 100, m)
+
+
+FILLS = {"nndsvd": "zero", "nndsvda": "mean", "nndsvdar": "random"}
+
+
+def nmf_start(x: np.ndarray, k: int, init: str, seed: int, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Start of w and h; ids: what names the rows to random numbers."""
+    ids = np.arange(len(x)) if ids is None else ids
+    genes = np.arange(x.shape[1])
+    if init == "random":
+        scale = np.sqrt(x.mean() / k)
+        return np.abs(scale * hashed_normals(seed, ids, k)), np.abs(scale * hashed_normals(seed + 1, genes, k)).T
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    u, s, vt = u[:, :k], s[:k], vt[:k]
+    sign, factor, h = singular_parts(vt, s, (np.maximum(u, 0) ** 2).sum(0), (np.maximum(-u, 0) ** 2).sum(0))
+    return fill_zeros(left_start(u, sign, factor), x.mean(), FILLS[init], seed, ids), fill_zeros(h.T, x.mean(), FILLS[init], seed + 1, genes).T
 
 
 def _sweep(a: np.ndarray, gram: np.ndarray, cross: np.ndarray, l1: float, l2: float) -> float:
@@ -54,51 +81,100 @@ def _sweep(a: np.ndarray, gram: np.ndarray, cross: np.ndarray, l1: float, l2: fl
     return moved
 
 
-def nmf(x: np.ndarray, k: int, solver: str = "cd", loss: str = "frobenius", init: str = "nndsvda", alpha: float = 0.0, l1_ratio: float = 0.0, tol: float = 1e-5, max_iter: int = 10000, seed: int = 123) -> tuple[np.ndarray, np.ndarray]:
-    """x ~ w @ h, all >= 0."""
+_TINY = 1e-12
+
+
+def nmf_rows(x: np.ndarray, w: np.ndarray, h: np.ndarray, solver: str, loss: str, l1: float, l2: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """New w of a block of rows, and what the block adds to the sums that nmf_columns() needs."""
+    w = w.copy()
+    if solver == "cd":
+        moved = _sweep(w, h @ h.T, x @ h.T, l1, l2)
+        return w, [w.T @ w, w.T @ x, np.array([moved])]
+    if loss == "frobenius":
+        w *= (x @ h.T) / (w @ (h @ h.T) + l1 + l2 * w + _TINY)
+        return w, [w.T @ w, w.T @ x]
+    if loss == "kullback-leibler":
+        w *= ((x / (w @ h + _TINY)) @ h.T) / (h.sum(1) + l1 + l2 * w + _TINY)
+        return w, [w.sum(0), w.T @ (x / (w @ h + _TINY))]
+    y = w @ h + _TINY  # itakura-saito
+    w *= np.sqrt(((x / y**2) @ h.T) / ((1 / y) @ h.T + l1 + l2 * w + _TINY))
+    y = w @ h + _TINY
+    return w, [w.T @ (1 / y), w.T @ (x / y**2)]
+
+
+def nmf_columns(h: np.ndarray, sums: list[np.ndarray], solver: str, loss: str, l1: float, l2: float) -> tuple[np.ndarray, float]:
+    """New h from the sums over all rows, and how far both steps moved (cd)."""
+    if solver == "cd":
+        ht = np.ascontiguousarray(h.T)
+        moved = _sweep(ht, sums[0], np.ascontiguousarray(sums[1].T), l1, l2)
+        return ht.T, float(sums[2][0]) + moved
+    if loss == "frobenius":
+        return h * (sums[1] / (sums[0] @ h + l1 + l2 * h + _TINY)), 0.0
+    if loss == "kullback-leibler":
+        return h * (sums[1] / (sums[0][:, None] + l1 + l2 * h + _TINY)), 0.0
+    return h * np.sqrt(sums[1] / (sums[0] + l1 + l2 * h + _TINY)), 0.0
+
+
+def nmf_error(x: np.ndarray, w: np.ndarray, h: np.ndarray) -> float:
+    """Squared distance of a block."""
+    return float(((x - w @ h) ** 2).sum())
+
+
+class Convergence:
+    """When to stop: by the step relative to the first (cd), or by the error's gain every tenth round (mu)."""
+
+    def __init__(self, solver: str, tol: float, max_iter: int):
+        self.solver, self.tol, self.max_iter, self.round, self.done = solver, tol, max_iter, 0, max_iter < 1
+        self.first: float | None = None
+        self.last: float | None = None
+
+    def stepped(self, moved: float) -> None:
+        self.round += 1
+        if self.solver == "cd":
+            self.first = moved if self.first is None else self.first
+            self.done = self.first == 0 or moved / self.first <= self.tol
+        self.done = self.done or self.round >= self.max_iter
+
+    def wants_error(self) -> bool:
+        return self.solver == "mu" and self.round % 10 == 0 and self.round > 0
+
+    def told(self, squares: float) -> None:
+        e = float(np.sqrt(squares))
+        self.first = e if self.first is None else self.first
+        if self.last is not None and (self.last - e) / max(self.first, _TINY) < self.tol:
+            self.done = True
+        self.last = e
+
+
+def penalties(alpha: float, l1_ratio: float, size: int) -> tuple[float, float]:
+    return alpha * l1_ratio * size, alpha * (1 - l1_ratio) * size
+
+
+def check_nmf(n: int, m: int, k: int, solver: str, loss: str, init: str) -> None:
     if init not in INITS:
         raise ValueError(f"init must be one of {INITS}")
     if loss not in LOSSES:
         raise ValueError(f"loss must be one of {LOSSES}")
     if solver not in ("cd", "mu"):
         raise ValueError("solver must be 'cd' or 'mu'")
-    if init.startswith("nndsvd") and k > min(x.shape):
-        raise ValueError(f"k={k} exceeds the least side of a {x.shape[0]} x {x.shape[1]} block")
-    if not x.any():
-        return np.zeros((x.shape[0], k)), np.zeros((k, x.shape[1]))
-    fill = {"nndsvd": "zero", "nndsvda": "mean", "nndsvdar": "random"}.get(init)
-    w, h = nndsvd(x, k, fill, seed) if fill else random_start(x, k, seed)
+    if init.startswith("nndsvd") and k > min(n, m):
+        raise ValueError(f"k={k} exceeds the least side of a {n} x {m} block")
+
+
+def nmf(x: np.ndarray, k: int, solver: str = "cd", loss: str = "frobenius", init: str = "nndsvda", alpha: float = 0.0, l1_ratio: float = 0.0, tol: float = 1e-5, max_iter: int = 10000, seed: int = 123, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """x ~ w @ h, all >= 0, of one block of rows."""
     n, m = x.shape
-    l1w, l2w = alpha * l1_ratio * m, alpha * (1 - l1_ratio) * m
-    l1h, l2h = alpha * l1_ratio * n, alpha * (1 - l1_ratio) * n
-    if solver == "cd":
-        start = None
-        ht = np.ascontiguousarray(h.T)
-        for _ in range(max_iter):
-            moved = _sweep(w, ht.T @ ht, x @ ht, l1w, l2w) + _sweep(ht, w.T @ w, x.T @ w, l1h, l2h)
-            start = moved if start is None else start
-            if start == 0 or moved / start <= tol:
-                break
-        return w, ht.T
-    tiny, last, first = 1e-12, None, None
-    for it in range(max_iter):
-        if loss == "frobenius":
-            w *= (x @ h.T) / (w @ (h @ h.T) + l1w + l2w * w + tiny)
-            h *= (w.T @ x) / ((w.T @ w) @ h + l1h + l2h * h + tiny)
-        elif loss == "kullback-leibler":
-            w *= ((x / (w @ h + tiny)) @ h.T) / (h.sum(1) + l1w + l2w * w + tiny)
-            h *= (w.T @ (x / (w @ h + tiny))) / (w.sum(0)[:, None] + l1h + l2h * h + tiny)
-        else:  # itakura-saito
-            y = w @ h + tiny
-            w *= np.sqrt(((x / y**2) @ h.T) / ((1 / y) @ h.T + l1w + l2w * w + tiny))
-            y = w @ h + tiny
-            h *= np.sqrt((w.T @ (x / y**2)) / (w.T @ (1 / y) + l1h + l2h * h + tiny))
-        if it % 10 == 9:
-            e = float(np.linalg.norm(x - w @ h))
-            first = e if first is None else first
-            if last is not None and (last - e) / max(first, tiny) < tol:
-                break
-            last = e
+    check_nmf(n, m, k, solver, loss, init)
+    if not x.any():
+        return np.zeros((n, k)), np.zeros((k, m))
+    w, h = nmf_start(x, k, init, seed, ids)
+    until = Convergence(solver, tol, max_iter)
+    while not until.done:
+        w, sums = nmf_rows(x, w, h, solver, loss, *penalties(alpha, l1_ratio, m))
+        h, moved = nmf_columns(h, sums, solver, loss, *penalties(alpha, l1_ratio, n))
+        until.stepped(moved)
+        if until.wants_error():
+            until.told(nmf_error(x, w, h))
     return w, h
 
 

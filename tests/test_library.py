@@ -51,7 +51,7 @@ def test_nmf_loss_never_rises(loss, value):
 
 def test_svd_starts():
     x, _, _ = _low_rank()
-    zero, mean, rand = (kernels.nndsvd(x, 3, f)[0] for f in ("zero", "mean", "random"))
+    zero, mean, rand = (kernels.nmf_start(x, 3, f, 123)[0] for f in ("nndsvd", "nndsvda", "nndsvdar"))
     assert (zero == 0).any() and (mean > 0).all() and (rand > 0).all()
     assert np.allclose(mean[zero == 0], x.mean()) and (rand[zero == 0] < x.mean() / 10).all()
 
