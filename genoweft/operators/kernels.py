@@ -300,21 +300,6 @@ def _min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def display_order(s: np.ndarray, labels: np.ndarray, method: str = "average") -> list[int]:
-    """Positions of retained rows: clusters by size, each in leaf order, pairs by mean, singles as they are."""
-    out: list[int] = []
-    names, size = np.unique(labels[labels >= 0], return_counts=True)
-    for c in names[np.lexsort((names, -size))]:
-        own = np.flatnonzero(labels == c)
-        if len(own) > 2:
-            d = 1.0 - s[np.ix_(own, own)]
-            own = own[optimal_leaf_order(linkage_tree(d, method), d)[::-1]]
-        elif len(own) == 2:
-            own = own[np.argsort(-s[own].mean(1), kind="stable")]
-        out += own.tolist()
-    return out
-
-
 # ---------------------------------------------------------------- clustering
 
 
@@ -387,72 +372,86 @@ def centroid_clusters(s: np.ndarray, samples: np.ndarray, threshold: float, min_
     return np.full(len(s), -1)
 
 
-def frequent_genes(members: list[int], top: list[np.ndarray], loadings: np.ndarray, k: int) -> list[int]:
-    """The k genes of most members; ties by greatest loading among the members, then by gene."""
-    freq = np.zeros(loadings.shape[1], np.int64)
-    best = np.zeros(loadings.shape[1])
-    for f in members:
-        freq[top[f]] += 1
-        best[top[f]] = np.maximum(best[top[f]], loadings[f, top[f]])
-    held = np.flatnonzero(freq)
-    return held[np.lexsort((held, -best[held], -freq[held]))][:k].tolist()
-
+def progressive_clusters(top: list[np.ndarray], loads: list[np.ndarray], samples: np.ndarray, k: int, min_overlap: int, min_founder: int, min_cluster: int, partners: np.ndarray | None = None) -> np.ndarray:
+    """Labels, -1 for unassigned, of factors given by their top genes and those genes' loadings.
 
-def progressive_clusters(top: list[np.ndarray], loadings: np.ndarray, samples: np.ndarray, k: int, min_overlap: int, min_founder: int, min_cluster: int) -> np.ndarray:
-    """Labels, -1 for unassigned. A founder whose cluster has too few samples is set aside, so the loop ends."""
+    Postings (gene -> factors) give the factors that an added or dropped gene of the program touches, and
+    the partners that an assigned factor had. A founder whose cluster has too few samples is set aside,
+    so the loop ends. partners: of each factor, how many share min_overlap genes with it, if known."""
     n = len(top)
-    sets = [set(t.tolist()) for t in top]
-    overlap = np.array([[len(a & b) for b in sets] for a in sets]).reshape(n, n)
-    np.fill_diagonal(overlap, 0)
+    flat, size = (np.concatenate(top) if n else np.empty(0, np.int64)), np.array([len(t) for t in top], np.int64)
+    order = np.argsort(flat, kind="stable")
+    genes, start = np.unique(flat[order], return_index=True)
+    holders = np.split(np.repeat(np.arange(n), size)[order], start[1:]) if n else []
+    top = [np.searchsorted(genes, t) for t in top]
+
+    def sharing(i: int) -> np.ndarray:
+        """Factors that share min_overlap genes with factor i, itself left out."""
+        met, times = np.unique(np.concatenate([holders[g] for g in top[i]]), return_counts=True)
+        return met[(times >= min_overlap) & (met != i)]
+
+    count = np.array([len(sharing(i)) for i in range(n)], np.int64) if partners is None else partners.astype(np.int64).copy()
     labels, free, barred, label = np.full(n, -1), np.ones(n, bool), np.zeros(n, bool), 0
     while True:
-        able = free & ~barred
-        if not able.any():
+        able = np.where(free & ~barred, count, -1)
+        if not n or able.max() < 0:
             return labels
-        partners = np.where(able, (overlap[:, free] >= min_overlap).sum(1), -1)
-        founder = int(np.argmax(partners))
-        if partners[founder] <= min_founder:
+        founder = int(np.argmax(able))
+        if able[founder] <= min_founder:
             return labels
-        members, program = [founder], sets[founder]
+        members, freq, best = [], np.zeros(len(genes), np.int64), np.zeros(len(genes))
+        match, inside = np.zeros(n, np.int64), np.zeros(len(genes), bool)
         waiting = free.copy()
-        waiting[founder] = False
-        while waiting.any():
-            match = np.array([len(sets[i] & program) if waiting[i] else -1 for i in range(n)])
-            best = int(np.argmax(match))
-            if match[best] < min_overlap:
+        joined, program = founder, top[founder]
+        while True:
+            members.append(joined)
+            waiting[joined] = False
+            freq[top[joined]] += 1
+            best[top[joined]] = np.maximum(best[top[joined]], loads[joined])
+            if len(members) > 1:
+                held = np.flatnonzero(freq)
+                program = held[np.lexsort((held, -best[held], -freq[held]))][:k]
+            now = np.zeros(len(genes), bool)
+            now[program] = True
+            for g in np.flatnonzero(now & ~inside):
+                match[holders[g]] += 1
+            for g in np.flatnonzero(inside & ~now):
+                match[holders[g]] -= 1
+            inside = now
+            able = np.where(waiting, match, -1)
+            joined = int(np.argmax(able))
+            if able[joined] < min_overlap:
                 break
-            members.append(best)
-            waiting[best] = False
-            program = set(frequent_genes(members, top, loadings, k))
         if len(set(samples[members])) < min_cluster:
             barred[founder] = True
             continue
         labels[members] = label
         free[members] = False
+        for i in members:
+            count[sharing(i)] -= 1
         label += 1
 
 
-def partition_scores(s: np.ndarray, labels: np.ndarray) -> dict[str, float | None]:
-    """Mean similarity inside (zero diagonal included) and outside clusters, and the silhouette of 1 - s."""
+def part_scores(s: np.ndarray, labels: np.ndarray) -> tuple[int, int, int, float, float, float, float]:
+    """Of one connected part: factors, clusters, sum of squared cluster sizes, sums of similarities
+    inside and outside clusters, and the sums of silhouettes if all clusters are here, and if others
+    are elsewhere (at distance 1)."""
     same = labels[:, None] == labels[None, :]
-    inner = float(s[same].mean()) if same.any() else None
-    outer = float(s[~same].mean()) if (~same).any() else None
-    names = np.unique(labels)
-    sil = None
-    if 1 < len(names) < len(labels) - 1:
-        d = 1 - s
-        np.fill_diagonal(d, 0)
-        sums = np.stack([d[:, labels == c].sum(1) for c in names], 1)
-        size = np.array([(labels == c).sum() for c in names])
-        own = np.searchsorted(names, labels)
-        at = np.arange(len(labels))
-        a = sums[at, own] / np.maximum(size[own] - 1, 1)
-        other = sums / size
-        other[at, own] = np.inf
-        b = other.min(1)
-        score = np.where(size[own] > 1, (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
-        sil = float(score.mean())
-    return {"inner": inner, "outer": outer, "silhouette": sil}
+    names, own, size = np.unique(labels, return_inverse=True, return_counts=True)
+    d = 1 - s
+    np.fill_diagonal(d, 0)
+    sums = np.stack([d[:, labels == c].sum(1) for c in names], 1)
+    at = np.arange(len(labels))
+    a = sums[at, own] / np.maximum(size[own] - 1, 1)
+    other = sums / size
+    other[at, own] = np.inf
+    near = other.min(1)
+    values = []
+    for b in (near, np.minimum(near, 1.0)):
+        with np.errstate(invalid="ignore"):
+            score = np.where((size[own] > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, b), 1e-300), 0.0)
+        values.append(float(score.sum()))
+    return len(labels), len(names), int((size**2).sum()), float(s[same].sum()), float(s[~same].sum()), *values
 
 
 # ---------------------------------------------------------------- models

@@ -14,48 +14,83 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import adjust_pvalues, hypergeom_sf
+from ..sources.storage import Workspace
 from . import kernels
 from .core import combined_score, require_columns, top_genes
+from .graph import components
 
 METHODS = ("single", "complete", "average", "ward")
 METRICS = ("ratio", "delta", "silhouette")
-LABELS = "factor_id int, sample_id long, program int, display_pos int"
 
 # ---------------------------------------------------------------- clustering
 
 
-def _similarity_matrix(pdf: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
-    s = np.zeros((len(ids), len(ids)))
-    edges = pdf[pdf["i"] >= 0]
-    a, b = np.searchsorted(ids, edges["i"]), np.searchsorted(ids, edges["j"])
-    s[a, b] = s[b, a] = edges["sim"]
-    return s
-
+def _graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Factors (factor_id, sample_id), and the similarities other than 0 among them."""
+    n = nodes.select(F.col("factor_id").cast("int").alias("factor_id"), F.col("sample_id").cast("long").alias("sample_id")).distinct()
+    e = edges.where("sim <> 0").select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), F.col("sim").cast("double").alias("sim"))
+    return n, e.join(n.select(F.col("factor_id").alias("i")), "i", "left_semi").join(n.select(F.col("factor_id").alias("j")), "j", "left_semi")
 
-def _finish(ids: np.ndarray, samples: np.ndarray, labels: np.ndarray, s: np.ndarray, reorder: bool, method: str) -> pd.DataFrame:
-    order = kernels.display_order(s, labels, method) if reorder else np.flatnonzero(labels >= 0).tolist()
-    new: dict[int, int] = {}
-    for i in order:
-        new.setdefault(int(labels[i]), len(new))
-    return pd.DataFrame({"factor_id": ids[order], "sample_id": samples[order], "program": [new[int(labels[i])] for i in order], "display_pos": range(len(order))})
 
-
-def _nodes_and_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One group of rows: factors (i < 0) and edges. Factors are ranks times samples, a metadata-sized table."""
-    n = nodes.select(F.lit(0).alias("g"), F.col("factor_id").cast("int"), F.col("sample_id").cast("long"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0.0).alias("sim")).distinct()
-    kept = edges.join(nodes.select(F.col("factor_id").alias("i")), "i", "left_semi").join(nodes.select(F.col("factor_id").alias("j")), "j", "left_semi")
-    e = kept.select(F.lit(0).alias("g"), F.lit(-1).alias("factor_id"), F.lit(-1).cast("long").alias("sample_id"), F.col("i").cast("int"), F.col("j").cast("int"), F.col("sim").cast("double"))
-    return n.unionByName(e)
+def _by_part(nodes: DataFrame, edges: DataFrame, part: DataFrame) -> DataFrame:
+    """Factors (i < 0) and similarities of each part, to be grouped by it. part: (factor_id, part)."""
+    n = nodes.join(part, "factor_id").select("part", "factor_id", "sample_id", F.lit(-1).alias("i"), F.lit(-1).alias("j"), F.lit(0.0).alias("sim"))
+    other = part.select(F.col("factor_id").alias("j"), F.col("part").alias("pj"))
+    e = edges.join(part.withColumnRenamed("factor_id", "i"), "i").join(other, "j").where("part = pj")
+    return n.unionByName(e.select("part", F.lit(-1).alias("factor_id"), F.lit(-1).cast("long").alias("sample_id"), "i", "j", "sim"))
 
 
 def _split(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     nodes = pdf[pdf["factor_id"] >= 0].sort_values("factor_id")
     ids = nodes["factor_id"].to_numpy()
-    return ids, nodes["sample_id"].to_numpy(), _similarity_matrix(pdf, ids)
+    s = np.zeros((len(ids), len(ids)))
+    edges = pdf[pdf["i"] >= 0]
+    a, b = np.searchsorted(ids, edges["i"]), np.searchsorted(ids, edges["j"])
+    s[a, b] = s[b, a] = edges["sim"]
+    return ids, nodes["sample_id"].to_numpy(), s
+
+
+def _parts(nodes: DataFrame, edges: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Rows of each connected part, and the factors without a similarity.
+
+    Merging above a threshold of at least 0 joins no two parts: between them all similarities are 0."""
+    part = work.write(components(edges).select(F.col("node").alias("factor_id"), F.col("component").alias("part")))
+    lone = nodes.join(part, "factor_id", "left_anti")
+    return _by_part(nodes, edges, part), lone
+
+
+def ordered(labels: DataFrame, edges: DataFrame, reorder: bool = True, method: str = "average") -> DataFrame:
+    """(factor_id, sample_id, program, display_pos) of labels(factor_id, sample_id, cluster) and the
+    similarities among all factors: clusters by size, each in leaf order, pairs by mean similarity, one
+    group per program; then every program's first position is added. Without reorder, by factor."""
+    own = labels.groupBy("cluster").agg(F.count("*").alias("n"), F.min("factor_id").alias("least"))
+    if not reorder:
+        own = own.withColumn("program", (F.row_number().over(Window.orderBy("least")) - 1).cast("int"))
+        placed = labels.join(own.select("cluster", "program"), "cluster")
+        return placed.select("factor_id", "sample_id", "program", (F.row_number().over(Window.orderBy("factor_id")) - 1).cast("int").alias("display_pos"))
+    rank = Window.orderBy(F.desc("n"), "cluster")
+    own = own.select("cluster", "n", (F.row_number().over(rank) - 1).cast("int").alias("program"), (F.sum("n").over(rank.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).cast("int").alias("offset"))
+    placed = labels.join(own, "cluster")
+
+    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, _, s = _split(pdf)
+        d = 1.0 - s
+        order = kernels.optimal_leaf_order(kernels.linkage_tree(d, method), d)[::-1]
+        return pd.DataFrame({"factor_id": ids[order], "at": range(len(ids))})
+
+    many = placed.where("n > 2").select("factor_id", F.col("program").alias("part"))
+    in_leaf_order = _by_part(labels.select("factor_id", "sample_id"), edges, many).groupBy("part").applyInPandas(leaves, "factor_id int, at int")
+    ends = edges.select(F.col("i").alias("factor_id"), "sim").union(edges.select("j", "sim"))
+    total = ends.join(placed.where("n <= 2").select("factor_id"), "factor_id", "left_semi").groupBy("factor_id").agg(F.round(F.sum("sim"), 12).alias("total"))
+    few = placed.where("n <= 2").select("factor_id", "program").join(total, "factor_id", "left").withColumn("total", F.coalesce("total", F.lit(0.0)))
+    by_mean = Window.partitionBy("program").orderBy(F.desc("total"), "factor_id")
+    at = in_leaf_order.union(few.select("factor_id", (F.row_number().over(by_mean) - 1).cast("int")))
+    return placed.join(at, "factor_id").select("factor_id", "sample_id", "program", (F.col("offset") + F.col("at")).alias("display_pos"))
 
 
 def programs_centroid(nodes: DataFrame, edges: DataFrame, threshold: float = 0.1, min_cluster: int = 2, method: str = "average", reorder: bool = True, inter_only: bool = False) -> DataFrame:
-    """Members by average-linkage merging above `threshold`."""
+    """Members by average-linkage merging above `threshold`, one group per connected part of the
+    similarities: a part of n factors takes n^2 values."""
     if not 0 <= threshold <= 1:
         raise ValueError("threshold must be in [0, 1]")
     if min_cluster < 1:
@@ -64,38 +99,55 @@ def programs_centroid(nodes: DataFrame, edges: DataFrame, threshold: float = 0.1
         raise ValueError(f"method must be one of {METHODS}")
     if method == "ward":
         warnings.warn("ward on similarities is an approximation", UserWarning, stacklevel=2)
+    work = Workspace(nodes.sparkSession, "centroid")
+    n, e = _graph(nodes, edges)
+    e = work.write(e)
+    rows, lone = _parts(n, e, work)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, samples, s = _split(pdf)
         labels = kernels.centroid_clusters(s, samples, threshold, min_cluster, inter_only)
-        return _finish(ids, samples, labels, s, reorder, method)
+        own = labels >= 0
+        first = {c: ids[labels == c].min() for c in np.unique(labels[own])}
+        return pd.DataFrame({"factor_id": ids[own], "sample_id": samples[own], "cluster": [first[c] for c in labels[own]]})
 
-    return _nodes_and_edges(nodes, edges).groupBy("g").applyInPandas(run, LABELS)
+    labels = rows.groupBy("part").applyInPandas(run, "factor_id int, sample_id long, cluster int")
+    if min_cluster == 1:
+        labels = labels.union(lone.select("factor_id", "sample_id", "factor_id"))
+    return ordered(work.write(labels), e, reorder, method)
 
 
 def programs_progressive(loadings: DataFrame, edges: DataFrame, n_genes: int, top_k: int = 50, min_overlap: int = 10, min_founder_overlaps: int = 6, min_cluster: int = 2, reorder: bool = True) -> DataFrame:
-    """Members by founders that grow with the overlap of their evolving gene set."""
+    """Members by founders that grow with the overlap of their evolving gene set.
+
+    Founders follow each other, so one task finds them; it holds the factors' top genes as postings
+    (top_k per factor), never a factors x genes or factors x factors matrix. How many partners each
+    factor begins with is an equi-join on genes before that."""
     if top_k < 1 or min_overlap < 1 or min_founder_overlaps < 0 or min_cluster < 1:
         raise ValueError("top_k, min_overlap and min_cluster must be at least 1, min_founder_overlaps at least 0")
     if min_overlap > top_k:
         raise ValueError("min_overlap must not exceed top_k")
     if top_k > n_genes:
         raise ValueError("top_k exceeds the number of genes")
-    nodes = loadings.groupBy("factor_id", "sample_id").agg(F.collect_list(F.struct("gene_idx", "loading")).alias("v"))
-    rows = _nodes_and_edges(nodes, edges).join(nodes.select("factor_id", "v"), "factor_id", "left")
+    work = Workspace(loadings.sparkSession, "progressive")
+    n, e = _graph(loadings, edges)
+    e = work.write(e)
+    top = work.write(top_genes(loadings, top_k).select(F.col("factor_id").cast("int").alias("factor_id"), F.col("sample_id").cast("long").alias("sample_id"), F.col("gene_idx").cast("int").alias("gene_idx"), "loading"))
+    a, b = top.select(F.col("factor_id").alias("a"), "gene_idx"), top.select(F.col("factor_id").alias("b"), "gene_idx")
+    shared = a.join(b, "gene_idx").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= min_overlap)
+    partners = shared.select(F.explode(F.array("a", "b")).alias("factor_id")).groupBy("factor_id").agg(F.count("*").alias("partners"))
+    rows = top.groupBy("factor_id", "sample_id").agg(F.collect_list("gene_idx").alias("genes"), F.collect_list("loading").alias("values")).join(partners, "factor_id", "left").withColumn("g", F.lit(0))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, samples, s = _split(pdf)
-        values = pdf[pdf["factor_id"] >= 0].drop_duplicates("factor_id").sort_values("factor_id")["v"]
-        x = np.zeros((len(ids), n_genes))
-        for i, v in enumerate(values):
-            for entry in v:
-                x[i, entry["gene_idx"]] = entry["loading"]
-        top = [np.argsort(r, kind="stable")[-top_k:] for r in x]
-        labels = kernels.progressive_clusters(top, x, samples, top_k, min_overlap, min_founder_overlaps, min_cluster)
-        return _finish(ids, samples, labels, s, reorder, "average")
+        pdf = pdf.sort_values("factor_id")
+        labels = kernels.progressive_clusters(
+            [np.asarray(g) for g in pdf["genes"]], [np.asarray(v) for v in pdf["values"]], pdf["sample_id"].to_numpy(), top_k, min_overlap, min_founder_overlaps, min_cluster, pdf["partners"].fillna(0).to_numpy(np.int64)
+        )
+        own = labels >= 0
+        return pd.DataFrame({"factor_id": pdf["factor_id"].to_numpy()[own], "sample_id": pdf["sample_id"].to_numpy()[own], "cluster": labels[own]})
 
-    return rows.groupBy("g").applyInPandas(run, LABELS)
+    labels = work.write(rows.groupBy("g").applyInPandas(run, "factor_id int, sample_id long, cluster int"))
+    return ordered(labels, e, reorder, "average")
 
 
 def programs_cluster(strategy: str, *args, **kw) -> DataFrame:
@@ -115,41 +167,49 @@ def programs_threshold(nodes: DataFrame, edges: DataFrame, thresholds: Sequence[
     if min_cluster < 1:
         raise ValueError("min_cluster must be at least 1")
     grid = np.linspace(0, 1, 50) if thresholds is None else np.asarray(thresholds, float)
+    work = Workspace(nodes.sparkSession, "sweep")
+    n, e = _graph(nodes, edges)
+    rows, lone = _parts(n, work.write(e), work)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, samples, s = _split(pdf)
-        values: list[float | None] = []
+        _, samples, s = _split(pdf)
         known: dict = {}
-        for t in grid:
+        made = []
+        for i, t in enumerate(grid):
             labels = kernels.centroid_clusters(s, samples, float(t), min_cluster, known=known)
             own = labels >= 0
-            names = np.unique(labels[own])
-            value = None
-            if len(names) >= 2 and len(names) < own.sum():
-                q = kernels.partition_scores(s[np.ix_(own, own)], labels[own])
-                if metric == "silhouette":
-                    value = q["silhouette"]
-                elif metric == "delta":
-                    value = q["inner"] - q["outer"]
-                else:
-                    value = q["inner"] / q["outer"] if q["outer"] > 0 else None
-            values.append(value)
-        if all(v is None for v in values):
-            raise ValueError("no threshold gives a valid partition")
-        y = np.array([-np.inf if v is None else v for v in values])
-        with np.errstate(invalid="ignore"):
-            sign = np.sign(np.nan_to_num(np.diff(y), nan=0.0, posinf=1, neginf=-1))
-        peak = np.zeros(len(grid), bool)
-        peak[1:-1] = np.diff(sign) < 0
-        peak &= np.isfinite(y)
-        best = np.where(peak, y, -np.inf) if peak.any() else y
-        chosen = np.zeros(len(grid), bool)
-        if np.isfinite(best).any():
-            chosen[int(np.argmax(best))] = True
-        return pd.DataFrame({"threshold": grid, "metric": [np.nan if v is None else v for v in values], "is_local_max": peak, "is_optimal": chosen})
-
-    out = _nodes_and_edges(nodes, edges).groupBy("g").applyInPandas(run, "threshold double, metric double, is_local_max boolean, is_optimal boolean")
-    return out.withColumn("metric", F.when(~F.isnan("metric"), F.col("metric")))
+            if own.any():
+                made.append((i, *kernels.part_scores(s[np.ix_(own, own)], labels[own])))
+        return pd.DataFrame(made, columns=["at", "factors", "clusters", "squares", "inner", "outer", "alone", "among"])
+
+    kind = "at int, factors long, clusters long, squares long, inner double, outer double, alone double, among double"
+    parts = rows.groupBy("part").applyInPandas(run, kind)
+    if min_cluster == 1:  # factors without a similarity are clusters of their own at any threshold
+        one = F.col("n")
+        single = lone.agg(F.count("*").alias("n")).where("n > 0").select(F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("at"), one.alias("factors"), one.alias("clusters"), one.alias("squares"), *[F.lit(0.0).alias(c) for c in ("inner", "outer", "alone", "among")])
+        parts = parts.unionByName(single)
+    parts = work.write(parts)
+    every = parts.groupBy("at").agg(F.sum("clusters").alias("total"))
+    # A cluster of another part is at distance 1 of a factor.
+    silhouette = F.sum(F.when(F.col("total") > F.col("clusters"), F.col("among")).otherwise(F.col("alone")))
+    sums = parts.join(every, "at").groupBy("at").agg(F.sum("factors").alias("f"), F.first("total").alias("c"), F.sum("squares").alias("q"), F.sum("inner").alias("si"), F.sum("outer").alias("so"), silhouette.alias("sil"))
+    inner, outer = F.col("si") / F.col("q"), F.col("so") / (F.col("f") * F.col("f") - F.col("q"))
+    if metric == "silhouette":
+        value = F.when(F.col("c") < F.col("f") - 1, F.col("sil") / F.col("f"))
+    else:
+        value = inner - outer if metric == "delta" else F.when(outer > 0, inner / outer)
+    found = {r["at"]: r["v"] for r in sums.where("c >= 2 and c < f").select("at", value.alias("v")).collect()}  # a row per threshold
+    y = np.array([-np.inf if found.get(i) is None else found[i] for i in range(len(grid))])
+    if not np.isfinite(y).any():
+        raise ValueError("no threshold gives a valid partition")
+    with np.errstate(invalid="ignore"):
+        sign = np.sign(np.nan_to_num(np.diff(y), nan=0.0, posinf=1, neginf=-1))
+    peak = np.zeros(len(grid), bool)
+    peak[1:-1] = np.diff(sign) < 0
+    peak &= np.isfinite(y)
+    best = int(np.argmax(np.where(peak, y, -np.inf) if peak.any() else y))
+    rows = [(float(t), found.get(i), bool(peak[i]), i == best) for i, t in enumerate(grid)]
+    return nodes.sparkSession.createDataFrame(rows, "threshold double, metric double, is_local_max boolean, is_optimal boolean")
 
 
 def best_threshold(sweep: DataFrame) -> float:
@@ -301,18 +361,12 @@ def _contiguous(members: DataFrame) -> DataFrame:
 
 def rebuild(members: DataFrame, edges: DataFrame, method: str = "average") -> DataFrame:
     """(factor_id, sample_id, program, display_pos) of members whose labels changed: display order
-    found anew, labels contiguous in it. One group: members are ranks times samples."""
+    found anew, labels contiguous in it."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
-    label = members.select(F.col("factor_id").cast("int"), F.col("program").cast("int").alias("program")).distinct()
-    rows = _nodes_and_edges(members, edges).join(label, "factor_id", "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, samples, s = _split(pdf)
-        labels = pdf[pdf["factor_id"] >= 0].sort_values("factor_id")["program"].to_numpy().astype(int)
-        return _finish(ids, samples, labels, s, True, method)
-
-    return rows.groupBy("g").applyInPandas(run, LABELS)
+    _, e = _graph(members, edges)
+    label = members.select(F.col("factor_id").cast("int").alias("factor_id"), F.col("sample_id").cast("long").alias("sample_id"), F.col("program").cast("int").alias("cluster")).distinct()
+    return ordered(label, e, True, method)
 
 
 def finalise(members: DataFrame, loadings: DataFrame, edges: DataFrame, n_top: int = 50, member_top: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -171,7 +171,7 @@ def test_progressive():
         x = np.concatenate([b + 0.1 * rng.random((5, 30)) for b in base])
         top = [np.argsort(r, kind="stable")[-8:] for r in x]
         samples = rng.integers(0, 3, len(x))
-        got = kernels.progressive_clusters(top, x, samples, 8, 4, 1, 2)
+        got = kernels.progressive_clusters(top, [r[t] for r, t in zip(x, top, strict=True)], samples, 8, 4, 1, 2)
         assert got.tolist() == _naive_progressive([set(t.tolist()) for t in top], x, samples, 8, 4, 1, 2)
 
 
