@@ -3,7 +3,7 @@
 A template is a label and a notice; its set are its distinct words. A block is a window of a text's
 words; windows of a template overlap by half and are at least twice as long as it, so what fits a
 template's length lies whole in one. A block meets a template when it holds at least `threshold` of
-the template's words. Words are ordered by the number of rows of the whole table that hold them,
+the template's words. Blocks are cut only in texts that hold as much as a whole. Words are ordered by the number of rows of the whole table that hold them,
 rarest first, ties by the word. Then
 
 * prefix: of a template of n words that must share o, one of the first n - o + 1 is in the block, and
@@ -65,11 +65,14 @@ def _array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
-def spaced(text: Column) -> Column:
-    """The words of a text, one space before and after each; one space if there is none."""
-    low = F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
-    words = F.trim(F.regexp_replace(low, _BETWEEN, " "))
-    return F.when(words == "", " ").otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def words_of(text: Column, plain: bool) -> Column:
+    """The words of a text, A-Z in lower case. plain: letters other than A-Z may change case too, as no
+    word that is sought has one; two signs whose small letters are ASCII are kept from that."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.translate(text, _UPPER, _LOWER)
+    if plain:
+        low = F.when(text.contains("\u212a") | text.contains("\u0130"), low).otherwise(F.lower(text))
+    return F.array_remove(F.split(low, _BETWEEN), "")
 
 
 def _spaces(text: Column) -> Column:
@@ -77,7 +80,8 @@ def _spaces(text: Column) -> Column:
 
 
 def _phrase_places(norm: Column, phrase: str) -> tuple[Column, Column, Column]:
-    """Number of places, first and last word of a phrase in spaced words (0 and nulls without one)."""
+    """Number of places, first and last word of a phrase in words with a space before and after each
+    (0 and nulls without one)."""
     held = " " + " ".join(template_words(phrase)) + " "
     there = norm.contains(held)
     n = F.when(there, F.regexp_count(norm, F.lit(" (?=" + re.escape(held[1:]).replace("\\ ", " ") + ")")).cast("long")).otherwise(0)
@@ -87,30 +91,40 @@ def _phrase_places(norm: Column, phrase: str) -> tuple[Column, Column, Column]:
     return n, word(first), word(last)
 
 
-class Ordered:
-    """Templates as sets in the global order: bounded by the templates given."""
+class Templates:
+    """Templates as sets: bounded by the templates given. Words in no order until ordered()."""
 
-    def __init__(self, templates: Sequence[tuple[str, str]], threshold: float, held: dict[str, int]):
-        self.rows = []  # label, width of its blocks, words in order, words that must be shared
+    def __init__(self, templates: Sequence[tuple[str, str]], threshold: float):
+        self.rows = []  # label, width of its blocks, words, words that must be shared
         for label, text in templates:
             words = template_words(text)
             if not words:
                 raise ValueError(f"template of {label!r} has no word")
-            own = sorted(set(words), key=lambda w: (held.get(w, 0), w.encode()))
-            width = 2 << max(0, math.ceil(math.log2(len(words))))
-            self.rows.append((label, width, own, max(1, math.ceil(threshold * len(own) - 1e-9))))
+            own = sorted(set(words))
+            self.rows.append((label, 2 << max(0, math.ceil(math.log2(len(words)))), own, max(1, math.ceil(threshold * len(own) - 1e-9))))
         self.widths = sorted({r[1] for r in self.rows})
-        every = {w for _, _, own, _ in self.rows for w in own}
-        self.order = sorted(every, key=lambda w: (held.get(w, 0), w.encode()))
+        self.words = sorted({w for r in self.rows for w in r[2]})
+
+    def ordered(self, held: dict[str, int]) -> Templates:
+        """With words in the global order: those of the fewest rows first, ties by the word."""
+        rank = lambda w: (held.get(w, 0), w.encode())
+        self.words = sorted(self.words, key=rank)
+        self.rows = [(label, width, sorted(own, key=rank), need) for label, width, own, need in self.rows]
+        return self
 
     def of(self, width: int) -> tuple[list[str], int]:
         """Words of the templates of a width, in order, and the least that one must share."""
         mine = [r for r in self.rows if r[1] == width]
         words = {w for r in mine for w in r[2]}
-        return [w for w in self.order if w in words], min(r[3] for r in mine)
+        return [w for w in self.words if w in words], min(r[3] for r in mine)
 
-    def prefix(self, width: int) -> list[str]:
-        return sorted({w for r in self.rows if r[1] == width for w in r[2][: len(r[2]) - r[3] + 1]})
+    def near(self, held: Column, width: int | None = None) -> Column:
+        """Whether a set of words holds enough of some template (of a width)."""
+        out = F.lit(False)
+        for _, w, own, need in self.rows:
+            if width in (None, w):
+                out = out | (F.size(F.array_intersect(held, _array(own))) >= need)
+        return out
 
     def index(self, spark) -> DataFrame:
         """(width, word, at, template, label, words, need): the prefix words of each template."""
@@ -121,36 +135,30 @@ class Ordered:
         return spark.range(1).select(F.inline(F.array(*rows)))
 
 
-def word_rows(docs: DataFrame, words: Sequence[str], text_col: str = "text") -> dict[str, int]:
-    """Rows of the whole table that hold each of `words`; as many results as words at most."""
-    held = F.array_intersect(_array(words), F.split(spaced(F.col(text_col)), " "))
-    return {r["w"]: r["n"] for r in docs.select(F.explode(held).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-
-
-def _windows(words: Column, n_words: Column, ordered: Ordered) -> Column:
-    """Distinct (width, s) of a text's blocks that could meet a template: s, its template words in order."""
+def _windows(words: Column, held: Column, templates: Templates) -> Column:
+    """Distinct (width, s) of the blocks of a text that could meet a template: s, its template words.
+    held: the template words of the whole text, which leave out widths of which none can be met."""
     out = []
-    for width in ordered.widths:
-        own, least = ordered.of(width)
+    for width in templates.widths:
+        own, least = templates.of(width)
         step = width // 2
-        starts = F.sequence(F.lit(0), F.greatest(n_words - 1, F.lit(0)), F.lit(step).cast("long"))
-        blocks = F.transform(starts, lambda i: F.array_intersect(_array(own), F.slice(words, (i + 1).cast("int"), width)))
-        first = _array(ordered.prefix(width))
-        blocks = F.filter(blocks, lambda s: (F.size(s) >= least) & F.arrays_overlap(s, first))
-        out.append(F.transform(F.array_distinct(blocks), lambda s: F.struct(F.lit(width).alias("width"), s.alias("s"))))
+        starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(step))
+        blocks = F.transform(starts, lambda i: F.array_intersect(_array(own), F.slice(words, i + 1, width)))
+        found = F.transform(F.array_distinct(F.filter(blocks, lambda s: F.size(s) >= least)), lambda s: F.struct(F.lit(width).alias("width"), s.alias("s")))
+        out.append(F.when(templates.near(held, width), found).otherwise(F.array().cast("array<struct<width:int,s:array<string>>>")))
     return F.concat(*out)
 
 
-def set_join(blocks: DataFrame, ordered: Ordered) -> DataFrame:
+def set_join(blocks: DataFrame, ordered: Templates) -> DataFrame:
     """(width, s, label, share): every block set that meets a template, by the greatest share of one."""
-    sets = blocks.select("width", "s").distinct()
+    sets = blocks.select("width", "s").distinct().withColumnRenamed("s", "given").withColumn("s", F.array_intersect(_array(ordered.words), "given"))
     least = F.coalesce(*[F.when(F.col("width") == w, ordered.of(w)[1]) for w in ordered.widths])
-    probe = sets.select("width", "s", F.posexplode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("place", "word"))
+    probe = sets.select("width", "given", "s", F.posexplode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("place", "word"))
     met = probe.join(F.broadcast(ordered.index(blocks.sparkSession)), ["width", "word"])
     follow = 1 + F.least(F.size("s") - F.col("place") - 1, F.size("words") - F.col("at") - 1)
-    pairs = met.where((F.size("s") >= F.col("need")) & (follow >= F.col("need"))).select("width", "s", "template", "label", "words", "need").distinct()
+    pairs = met.where((F.size("s") >= F.col("need")) & (follow >= F.col("need"))).select("width", "given", "s", "template", "label", "words", "need").distinct()
     both = F.size(F.array_intersect("words", "s"))
-    return pairs.where(both >= F.col("need")).groupBy("width", "s", "label").agg(F.max(both / F.size("words")).alias("share"))
+    return pairs.where(both >= F.col("need")).groupBy("width", F.col("given").alias("s"), "label").agg(F.max(both / F.size("words")).alias("share"))
 
 
 def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,18 +166,24 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     1 with a base phrase, else the greatest share of a template that was met, else 0."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    ordered = Ordered(templates, threshold, word_rows(docs, sorted({w for _, t in templates for w in template_words(t)}), text_col))
-    rows = docs.select(F.col(id_col).alias("doc_id"), spaced(F.col(text_col)).alias("norm"))
+    told = Templates(templates, threshold)
+    said = {w for p, _ in phrases for w in template_words(p)}
+    rows = docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col), all(w.isascii() for w in {*said, *told.words})).alias("words"))
+    rows = rows.select("doc_id", "words", F.array_intersect(_array(sorted({*said, *told.words})), "words").alias("held"))
+    phrased = F.lit(False)
+    for p, _ in phrases:
+        phrased = phrased | (F.size(F.array_intersect("held", _array(sorted(set(template_words(p)))))) == len(set(template_words(p))))
+    rows = rows.select("doc_id", "words", "held", F.when(phrased, F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))).otherwise(" ").alias("norm"))
     places = [_phrase_places(F.col("norm"), p) for p, _ in phrases]
-    n_words = F.greatest(_spaces(F.col("norm")) - 1, F.lit(0).cast("long"))
     hits = F.array_sort(F.array_distinct(F.filter(F.array(*[F.when(n > 0, F.lit(label)) for (n, _, _), (_, label) in zip(places, phrases, strict=True)]), lambda x: x.isNotNull())))
     ends = lambda f, k: f(*[p[k] for p in places], *[F.lit(None).cast("long")] * 2)
-    words = F.slice(F.split("norm", " "), F.lit(2), n_words.cast("int"))
-    rows = rows.select(
-        "doc_id", n_words.alias("n_words"), sum((p[0] for p in places), F.lit(0)).cast("long").alias("n_base"), ends(F.least, 1).alias("first_word"), ends(F.greatest, 2).alias("last_word"), hits.alias("hits"),
-        F.when(F.arrays_overlap(F.split("norm", " "), _array(sorted({w for x in ordered.widths for w in ordered.prefix(x)}))), F.struct(F.sha2("norm", 256).alias("digest"), _windows(words, n_words, ordered).alias("blocks"))).alias("b"),
-    )
-    rows = materialize(rows.withColumn("b", F.when(F.size("b.blocks") > 0, F.col("b"))), "license-blocks")
+    rows = materialize(rows.select(
+        "doc_id", F.size("words").cast("long").alias("n_words"), sum((p[0] for p in places), F.lit(0)).cast("long").alias("n_base"), ends(F.least, 1).alias("first_word"), ends(F.greatest, 2).alias("last_word"), hits.alias("hits"), "held",
+        F.when(told.near(F.col("held")), F.struct(F.sha2(F.array_join("words", " "), 256).alias("digest"), _windows(F.col("words"), F.col("held"), told).alias("blocks"))).alias("b"),
+    ), "license-blocks")
+    counted = rows.select(F.explode("held").alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    ordered = told.ordered({r["w"]: r["n"] for r in counted.collect()})
+    rows = rows.withColumn("b", F.when(F.size("b.blocks") > 0, F.col("b")))
     some, none = rows.where("b is not null").select("*", "b.digest"), rows.where("b is null")
     blocks = some.select("digest", F.inline("b.blocks")).distinct()
     found = blocks.join(set_join(blocks, ordered), ["width", "s"]).groupBy("digest").agg(F.collect_set("label").alias("found"), F.max("share").alias("share"))
@@ -189,7 +203,7 @@ def op13_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql(templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Sequence[tuple[str, str]] = PHRASES, threshold: float = 0.9) -> str:
     """The same by brute force: every window of every text against every template."""
     text = lambda values: "[" + ", ".join(f"'{v}'" for v in values) + "]"
-    told = ", ".join(f"('{label}', {width}, {text(own)}, {need})" for label, width, own, need in Ordered(templates, threshold, {}).rows)
+    told = ", ".join(f"('{label}', {width}, {text(own)}, {need})" for label, width, own, need in Templates(templates, threshold).rows)
     said = ", ".join(f"({text(template_words(p))}, '{label}')" for p, label in phrases)
     return rf"""
 WITH w AS (SELECT doc_id, row_number() OVER () AS id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
