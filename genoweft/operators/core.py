@@ -14,8 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
+from ..sources.storage import Workspace
 from . import kernels
 from .blocked_nmf import fit_blocks
+from .graph import components
 
 
 def require_columns(df: DataFrame, *names: str) -> DataFrame:
@@ -87,7 +90,7 @@ def sample_quantiles(expr: DataFrame, cells: DataFrame, n_genes: int, q: float =
     held = some.groupBy("sample_id").agg(F.count("*").alias("nnz"))
     zeros = sizes.join(held, "sample_id", "left").select("sample_id", F.lit(0.0).alias("value"), (F.col("n_cells") * n_genes - F.coalesce("nnz", F.lit(0))).alias("f"))
     both = some.unionByName(zeros).where("f > 0").groupBy("sample_id", "value").agg(F.sum("f").alias("f"))
-    return both.groupBy("sample_id").agg(F.percentile("value", q, F.col("f")).alias("q"))
+    return exact_quantiles(both, "value", [q], ["sample_id"], "f").select("sample_id", F.col("q")[0].alias("q"))
 
 
 def clip_quantile(expr: DataFrame, cells: DataFrame, n_genes: int, q: float = 0.999) -> DataFrame:
@@ -231,6 +234,42 @@ def jaccard_pairs(top: DataFrame, inter_only: bool = False) -> DataFrame:
     return both.agg(F.count("*").alias("c"), F.first("a.n").alias("na"), F.first("b.n").alias("nb")).select("i", "j", (c / (F.col("na") + F.col("nb") - c)).alias("sim"))
 
 
+def threshold_candidates(top: DataFrame, min_similarity: float, inter_only: bool = False, most: int = 2000) -> DataFrame:
+    """(i, j) of factor pairs i < j that may reach a Jaccard of min_similarity: they share a gene among the
+    first n - ceil(t n) + 1 of each set of n, rarest genes first; sizes and what follows the gene allow it.
+
+    A gene that more than `most` factors hold among these is met in blocks of holders: pairs of blocks
+    are apart, so no task meets all its holders with each other."""
+    held = top.groupBy("gene_idx").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("factor_id").orderBy("df", "gene_idx")
+    size = Window.partitionBy("factor_id")
+    placed = top.join(held, "gene_idx").select("factor_id", "sample_id", "gene_idx", F.row_number().over(order).alias("at"), F.count("*").over(size).alias("n"))
+    first = placed.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * min_similarity - 1e-9) + 1)
+    blocks = first.groupBy("gene_idx").agg(F.ceil(F.count("*") / most).cast("int").alias("blocks")).where("blocks > 1")
+    first = first.join(blocks, "gene_idx", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("factor_id"), F.col("blocks")).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    a = first.withColumn("other", F.explode(every)).select("gene_idx", F.col("own").alias("ba"), F.col("other").alias("bb"), F.col("factor_id").alias("i"), F.col("sample_id").alias("si"), F.col("at").alias("ai"), F.col("n").alias("ni"))
+    b = first.withColumn("other", F.explode(every)).select("gene_idx", F.col("other").alias("ba"), F.col("own").alias("bb"), F.col("factor_id").alias("j"), F.col("sample_id").alias("sj"), F.col("at").alias("aj"), F.col("n").alias("nj"))
+    both = a.join(b, ["gene_idx", "ba", "bb"]).where("i < j")
+    if inter_only:
+        both = both.where("si <> sj")
+    need = F.ceil(min_similarity / (1 + min_similarity) * (F.col("ni") + F.col("nj")) - 1e-9)
+    follow = 1 + F.least(F.col("ni") - F.col("ai"), F.col("nj") - F.col("aj"))
+    # The first gene that both share has only others after it; a later one is met as well but adds no pair.
+    return both.where(follow + F.least(F.col("ai"), F.col("aj")) - 1 >= need).select("i", "j").distinct()
+
+
+def threshold_pairs(top: DataFrame, min_similarity: float, inter_only: bool = False) -> DataFrame:
+    """(i, j, sim) of the pairs of jaccard_pairs() with a similarity of at least min_similarity (over 0)."""
+    if not 0 < min_similarity <= 1:
+        raise ValueError("min_similarity must be in (0, 1]")
+    sets = top.groupBy("factor_id").agg(F.collect_set("gene_idx").alias("genes"))
+    pairs = threshold_candidates(top, min_similarity, inter_only)
+    both = pairs.join(sets.select(F.col("factor_id").alias("i"), F.col("genes").alias("gi")), "i").join(sets.select(F.col("factor_id").alias("j"), F.col("genes").alias("gj")), "j")
+    c = F.size(F.array_intersect("gi", "gj")).cast("double")
+    return both.select("i", "j", (c / (F.size("gi") + F.size("gj") - c)).alias("sim")).where(F.col("sim") >= min_similarity - 1e-12)
+
+
 def cosine(x: np.ndarray, y: np.ndarray) -> float:
     n = float(np.linalg.norm(x) * np.linalg.norm(y))
     return float(x @ y) / n if n > 0 else 0.0
@@ -276,8 +315,9 @@ def metric_pairs(loadings: DataFrame, metric: Callable, top_k: int | None, inter
     return pairs.mapInPandas(run, "i int, j int, sim double")
 
 
-def similarity(loadings: DataFrame, metric: str | Callable = "jaccard", top_k: int | None = 50, intra_sample: bool = True, use_combined: bool = False, n_genes: int | None = None) -> DataFrame:
-    """Pairs with a non-zero similarity. n_genes, if told, bounds top_k."""
+def similarity(loadings: DataFrame, metric: str | Callable = "jaccard", top_k: int | None = 50, intra_sample: bool = True, use_combined: bool = False, n_genes: int | None = None, min_similarity: float | None = None) -> DataFrame:
+    """Pairs with a non-zero similarity, or of at least min_similarity: a Jaccard threshold bounds which
+    pairs meet at all. n_genes, if told, bounds top_k."""
     require_columns(loadings, "factor_id", "sample_id", "gene_idx", "loading")
     if not callable(metric) and metric != "jaccard":
         raise ValueError("metric must be 'jaccard' or callable")
@@ -288,10 +328,12 @@ def similarity(loadings: DataFrame, metric: str | Callable = "jaccard", top_k: i
     if top_k is not None and n_genes is not None and top_k > n_genes:
         raise ValueError("top_k exceeds the number of genes")
     if callable(metric):
-        return metric_pairs(loadings, metric, top_k, not intra_sample).where("sim <> 0")
+        out = metric_pairs(loadings, metric, top_k, not intra_sample).where("sim <> 0")
+        return out if min_similarity is None else out.where(F.col("sim") >= min_similarity)
     live = loadings.join(loadings.groupBy("factor_id").agg(F.sum("loading").alias("s")).where("s <> 0"), "factor_id", "left_semi")
     scored = combined_score(live) if use_combined else live
-    return jaccard_pairs(top_genes(scored, top_k, "score" if use_combined else "loading"), not intra_sample)
+    top = top_genes(scored, top_k, "score" if use_combined else "loading")
+    return jaccard_pairs(top, not intra_sample) if min_similarity is None else threshold_pairs(top, min_similarity, not intra_sample)
 
 
 def similarity_compute(loadings: DataFrame, distance: str | Callable = "jaccard", **kw) -> DataFrame:
@@ -380,19 +422,28 @@ def recurrence(factors: DataFrame, matches: DataFrame) -> DataFrame:
 
 def deduplicate(top: DataFrame, threshold: float) -> DataFrame:
     """(factor_id) kept: of every component of {Jaccard >= threshold} within a sample, the member of
-    highest mean similarity in its group, the lowest id of equals. A group is one sample's factors."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["factor_id"])
-        sets = {f: set(g) for f, g in pdf.groupby("factor_id")["gene_idx"]}
-        s = np.array([[0.0 if x == y else len(sets[x] & sets[y]) / max(1, len(sets[x] | sets[y])) for y in ids] for x in ids])
-        label = np.arange(len(ids))
-        for i, j in np.argwhere(np.triu(s >= threshold, 1)):
-            label[label == label[j]] = label[i]
-        keep = [own[int(np.argmax(np.round(s[np.ix_(own, own)].mean(1), 9)))] for c in np.unique(label) for own in [np.flatnonzero(label == c)]]
-        return pd.DataFrame({"factor_id": ids[sorted(keep)]})
-
-    return top.groupBy("sample_id").applyInPandas(run, "factor_id int")
+    highest mean similarity in its group, the lowest id of equals.
+
+    Similarities come from the gene join within samples, components from label passing, the member from
+    an aggregate; at threshold 0 a sample's factors are one component."""
+    ids = top.select("factor_id", "sample_id").distinct()
+    one = top.select("factor_id", F.col("sample_id").alias("s"), "gene_idx")
+    sim = jaccard_pairs(one.select("factor_id", "s", F.struct("s", "gene_idx").alias("gene_idx"), F.col("s").alias("sample_id")))
+    work = Workspace(top.sparkSession, "dedup")
+    sim = work.write(sim)
+    if threshold <= 0:
+        part = ids.withColumn("component", F.min("factor_id").over(Window.partitionBy("sample_id")))
+    else:
+        linked = components(sim.where(F.col("sim") >= threshold)).withColumnRenamed("node", "factor_id")
+        part = ids.join(linked, "factor_id", "left").withColumn("component", F.coalesce("component", "factor_id"))
+    part = work.write(part.select("factor_id", "component"))
+    ends = sim.select("i", "j", "sim").union(sim.select("j", "i", "sim"))
+    own = ends.join(part.select(F.col("factor_id").alias("i"), "component"), "i").join(part.select(F.col("factor_id").alias("j"), F.col("component").alias("cj")), "j").where("component = cj")
+    total = own.groupBy(F.col("i").alias("factor_id")).agg(F.sum("sim").alias("total"))
+    size = part.groupBy("component").agg(F.count("*").alias("n"))
+    mean = part.join(size, "component").join(total, "factor_id", "left").withColumn("mean", F.round(F.coalesce("total", F.lit(0.0)) / F.col("n"), 9))
+    best = mean.groupBy("component").agg(F.min(F.struct((-F.col("mean")).alias("m"), "factor_id")).alias("b"))
+    return best.select("b.factor_id")
 
 
 def nmf_prune(loadings: DataFrame, n_ranks: int, top_k: int = 50, min_similarity: float = 0.1, dedup_similarity: float = 0.7, min_other_resolutions: int = 1, matching: str = "hungarian", deduplicate_factors: bool = True, use_combined: bool = False, n_genes: int | None = None) -> DataFrame:

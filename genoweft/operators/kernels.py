@@ -482,64 +482,76 @@ def t_two_sided(t: float, df: float) -> float:
     return betainc(df / 2, 0.5, df / (df + t * t))
 
 
-def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Coefficients, standard errors and two-sided t p-values."""
-    beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    rest = y - x @ beta
-    df = len(y) - np.linalg.matrix_rank(x)
+def ols_from_sums(n: int, xtx: np.ndarray, xty: np.ndarray, yty: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Coefficients, standard errors and two-sided t p-values from cross products."""
+    inverse = np.linalg.pinv(xtx, rcond=1e-12, hermitian=True)
+    beta = inverse @ xty
+    df = n - np.linalg.matrix_rank(xtx, tol=1e-10 * max(np.abs(xtx).max(initial=0), 1e-300), hermitian=True)
     if df <= 0:
         return beta, np.full(len(beta), np.nan), np.full(len(beta), np.nan)
-    se = np.sqrt(np.maximum(0, np.diag(np.linalg.pinv(x.T @ x)) * (rest @ rest) / df))
-    p = np.array([t_two_sided(b / e, df) if e > 0 else np.nan for b, e in zip(beta, se, strict=True)])
-    return beta, se, p
+    rest = max(0.0, yty - 2 * beta @ xty + beta @ xtx @ beta)
+    se = np.sqrt(np.maximum(0, np.diag(inverse) * rest / df))
+    return beta, se, np.array([t_two_sided(b / e, df) if e > 0 else np.nan for b, e in zip(beta, se, strict=True)])
+
+
+def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return ols_from_sums(len(y), x.T @ x, x.T @ y, float(y @ y))
+
 
+def intercept_from_sums(n: int, xtx: np.ndarray, xty: np.ndarray, yty: float, groups: list[tuple], reml: bool = True, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Linear mixed model with one random intercept, profiled over the variance ratio; Wald z p-values.
 
-def random_intercept(x: np.ndarray, y: np.ndarray, groups: np.ndarray, reml: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Linear mixed model with one random intercept, profiled over the variance ratio; Wald z p-values."""
+    groups: for each size of groups, their number and the cross products of their sums of x and y. A
+    ratio shrinks all groups of one size alike, so these are all that the likelihood needs."""
     from math import erfc, sqrt
 
-    if np.linalg.matrix_rank(x) < x.shape[1]:
+    p = len(xty)
+    if np.linalg.matrix_rank(xtx, tol=1e-10 * max(np.abs(xtx).max(initial=0), 1e-300), hermitian=True) < p:
         raise np.linalg.LinAlgError("Singular matrix")
-    codes = np.unique(groups, return_inverse=True)[1]
-    n, p = x.shape
-    size = np.bincount(codes).astype(float)
-
-    def fit(ratio: float):
-        shrink = ratio / (1 + ratio * size)
-        sx = np.stack([np.bincount(codes, x[:, k]) for k in range(p)], 1)
-        sy = np.bincount(codes, y)
-        xtx = x.T @ x - sx.T @ (shrink[:, None] * sx)
-        xty = x.T @ y - sx.T @ (shrink * sy)
-        beta = np.linalg.solve(xtx, xty)
-        r = y - x @ beta
-        sr = np.bincount(codes, r)
-        q = r @ r - (shrink * sr) @ sr
+
+    def fit(r: float):
+        a, b, c, logs = xtx.copy(), xty.copy(), yty, 0.0
+        for size, count, gxx, gxy, gyy in groups:
+            shrink = r / (1 + r * size)
+            a, b, c, logs = a - shrink * gxx, b - shrink * gxy, c - shrink * gyy, logs + count * np.log1p(r * size)
+        beta = np.linalg.solve(a, b)
+        q = c - 2 * beta @ b + beta @ a @ beta
         df = n - p if reml else n
-        value = df * np.log(max(q, 1e-300) / df) + np.log1p(ratio * size).sum()
+        value = df * np.log(max(q, 1e-300) / df) + logs
         if reml:
-            value += np.linalg.slogdet(xtx)[1]
-        return value, beta, xtx, q / df
-
-    grid = np.concatenate([[0.0], np.logspace(-6, 6, 121)])
-    values = [fit(r)[0] for r in grid]
-    k = int(np.argmin(values))
-    a, b = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
-    phi = (sqrt(5) - 1) / 2
-    c, d = b - phi * (b - a), a + phi * (b - a)
-    for _ in range(100):
-        if fit(c)[0] < fit(d)[0]:
-            b, d = d, c
-            c = b - phi * (b - a)
-        else:
-            a, c = c, d
-            d = a + phi * (b - a)
-    ratio = min(((a + b) / 2, grid[k]), key=lambda r: fit(r)[0])
+            value += np.linalg.slogdet(a)[1]
+        return value, beta, a, q / df
+
+    if ratio is None:
+        grid = np.concatenate([[0.0], np.logspace(-6, 6, 121)])
+        values = [fit(r)[0] for r in grid]
+        k = int(np.argmin(values))
+        a, b = grid[max(0, k - 1)], grid[min(len(grid) - 1, k + 1)]
+        phi = (sqrt(5) - 1) / 2
+        c, d = b - phi * (b - a), a + phi * (b - a)
+        for _ in range(100):
+            if fit(c)[0] < fit(d)[0]:
+                b, d = d, c
+                c = b - phi * (b - a)
+            else:
+                a, c = c, d
+                d = a + phi * (b - a)
+        ratio = min(((a + b) / 2, grid[k]), key=lambda r: fit(r)[0])
     _, beta, xtx, scale = fit(ratio)
     se = np.sqrt(np.maximum(0, np.diag(np.linalg.inv(xtx)) * scale))
     z = np.where(se > 0, beta / np.where(se > 0, se, 1), np.nan)
     return beta, se, np.array([erfc(abs(v) / sqrt(2)) if v == v else np.nan for v in z])
 
 
+def random_intercept(x: np.ndarray, y: np.ndarray, groups: np.ndarray, reml: bool = True, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of rows."""
+    codes = np.unique(groups, return_inverse=True)[1]
+    size = np.bincount(codes)
+    sx, sy = np.stack([np.bincount(codes, c) for c in x.T], 1), np.bincount(codes, y)
+    sums = [(int(n), int((size == n).sum()), sx[size == n].T @ sx[size == n], sx[size == n].T @ sy[size == n], float(sy[size == n] @ sy[size == n])) for n in np.unique(size)]
+    return intercept_from_sums(len(y), x.T @ x, x.T @ y, float(y @ y), sums, reml, ratio)
+
+
 def two_normals(x: np.ndarray, rounds: int = 300, starts: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means and deviations of two normals, means ascending, by EM from several starts."""
     rng = np.random.default_rng(seed)

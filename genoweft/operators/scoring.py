@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import exact_quantiles
 from ..functions.stats import adjust_pvalues, normal_sf
 from . import kernels
 from .core import require_columns
+from .formula import Formula, split_groups
 
 # ---------------------------------------------------------------- scores
 
@@ -64,7 +66,7 @@ def warn_if_raw(expr: DataFrame, most: float = 40.0) -> DataFrame:
 
 def gene_bins(means: DataFrame, bins: int = 25) -> DataFrame:
     """`means` with `bin`: number of percentile edges at or below the mean, less one; the last edge is nudged."""
-    edges = means.agg(F.percentile("mean_expr", [i / bins for i in range(bins + 1)]).alias("e"))
+    edges = exact_quantiles(means, "mean_expr", [i / bins for i in range(bins + 1)]).withColumnRenamed("q", "e")
     nudged = F.transform("e", lambda x, i: F.when(i == bins, x + 1e-6).otherwise(x))
     return means.crossJoin(edges).select("gene_idx", "mean_expr", (F.size(F.filter(nudged, lambda x: x <= F.col("mean_expr"))) - 1).alias("bin"))
 
@@ -118,8 +120,12 @@ def score_aggregate(scores: DataFrame, cells: DataFrame, programs: Sequence[int]
     missing = [c for c in obs_cols if c not in cells.columns]
     if missing:
         raise KeyError(f"missing columns: {missing}")
-    how = F.avg("score") if agg == "mean" else F.percentile("score", 0.5)
-    per = scores.join(cells.select("cell_id", "sample_id"), "cell_id").groupBy("sample_id").pivot("program", list(programs)).agg(how)
+    rows = scores.join(cells.select("cell_id", "sample_id"), "cell_id")
+    if agg == "mean":
+        per = rows.groupBy("sample_id", "program").agg(F.avg("score").alias("v"))
+    else:
+        per = exact_quantiles(rows, "score", [0.5], ["sample_id", "program"]).select("sample_id", "program", F.col("q")[0].alias("v"))
+    per = per.groupBy("sample_id").pivot("program", list(programs)).agg(F.max("v"))
     per = per.select("sample_id", *[F.col(str(p)).alias(f"P{p}") for p in programs])
     first = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("cell_id"))).alias(c) for c in obs_cols]
     counts = cells.groupBy("sample_id").agg(F.count("*").alias("n_cells"), *first)
@@ -177,56 +183,56 @@ def score_classify(scores: DataFrame, expr: DataFrame, cells: DataFrame, genes:
 
 def parse_formula(formula: str) -> tuple[str, list[str]]:
     """Fixed part and random-intercept groups of a formula such as 'age + (1|study)'."""
-    if not formula or not formula.strip():
-        raise ValueError("formula must not be empty")
-    groups = re.findall(r"\(\s*1\s*\|\s*([\w.]+)\s*\)", formula)
-    fixed = re.sub(r"\(\s*1\s*\|[^)]*\)", "", formula)
-    parts = [p.strip() for p in fixed.split("+") if p.strip()]
-    return " + ".join(parts), groups
+    return split_groups(formula)
 
 
 def formula_variables(formula: str) -> list[str]:
-    """Names in a formula, in order, once each; transformed terms such as np.log(x) or Q('x') are left out."""
+    """Bare names in a formula, in order, once each; transformed terms such as np.log(x) or Q('x') are left out."""
     text = re.sub(r"\bC\(\s*([\w.]+)[^)]*\)", r"\1", formula)
-    text = re.sub(r"\b(?:np\.\w+|Q|I)\([^)]*\)", " ", text)
-    names = [t for t in re.split(r"[+*:|~()\s]+", text) if t and not re.fullmatch(r"[\d.]+", t)]
+    text = re.sub(r"\b(?:np\.\w+|Q|I)\((?:[^()]|\([^()]*\))*\)", " ", text)
+    names = [t for t in re.split(r"[-+*:|~()\s]+", text) if t and not re.fullmatch(r"[\d.]+", t)]
     return list(dict.fromkeys(names))
 
 
-def _design(pdf: pd.DataFrame, fixed: str) -> tuple[np.ndarray, list[str]]:
-    """Intercept, numeric terms, treatment-coded categories and products."""
-    cols, names = [np.ones(len(pdf))], ["Intercept"]
+ASSOCIATION = "program string, covariate string, beta double, se double, pval double, n_obs int, model string, groups string"
 
-    def term(t: str) -> list[tuple[str, np.ndarray]]:
-        m = re.fullmatch(r"C\(\s*([\w.]+)\s*\)", t)
-        x = pdf[m[1] if m else t]
-        if m or not pd.api.types.is_numeric_dtype(x):
-            return [(f"{t}[T.{v}]", (x == v).to_numpy(float)) for v in sorted(x.dropna().unique())[1:]]
-        return [(t, x.to_numpy(float))]
 
-    for part in (p.strip() for p in fixed.split("+")):
-        pieces = [part] if "*" not in part else [*part.split("*"), ":".join(part.split("*"))]
-        for piece in pieces:
-            made = [("", np.ones(len(pdf)))]
-            for t in (x.strip() for x in piece.split(":")):
-                made = [(f"{a}:{b}" if a else b, x * y) for a, x in made for b, y in term(t)]
-            for name, x in made:
-                if name not in names:
-                    names.append(name)
-                    cols.append(x)
-    return np.stack(cols, 1), names
+def _sums(long: DataFrame, p: int) -> tuple[dict, dict]:
+    """What the models need of rows(program, y, x0.., g): n, x'x, x'y and y'y per program, and the same of
+    the sums of groups, put together by the groups' size. Cross products of a design, never rows."""
+    xs = [f"x{i}" for i in range(p)]
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    whole = long.groupBy("program").agg(
+        F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(F.col(x) * F.col("y")).alias(f"{x}y") for x in xs], *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q{i}_{j}") for i, j in pairs]
+    )
+    group = long.groupBy("program", "g").agg(F.count("*").alias("size"), F.sum("y").alias("y"), *[F.sum(x).alias(x) for x in xs])
+    by_size = group.groupBy("program", "size").agg(
+        F.count("*").alias("n"), F.sum(F.col("y") * F.col("y")).alias("yy"), *[F.sum(F.col(x) * F.col("y")).alias(f"{x}y") for x in xs], *[F.sum(F.col(xs[i]) * F.col(xs[j])).alias(f"q{i}_{j}") for i, j in pairs]
+    )
 
+    def told(r) -> tuple:
+        q = np.zeros((p, p))
+        for i, j in pairs:
+            q[i, j] = q[j, i] = r[f"q{i}_{j}"]
+        return r["n"], q, np.array([r[f"{x}y"] for x in xs]), r["yy"]
 
-ASSOCIATION = "program string, covariate string, beta double, se double, pval double, n_obs int, model string, groups string"
+    groups: dict[str, list] = {}
+    for r in by_size.collect():
+        groups.setdefault(r["program"], []).append((r["size"], *told(r)))
+    return {r["program"]: told(r) for r in whole.collect()}, groups
 
 
-def score_associate(samples: DataFrame, formula: str, reml: bool = True, padj_method: str = "fdr_bh") -> DataFrame:
-    """Association of each program's standardised score with the first fixed covariate."""
+def score_associate(samples: DataFrame, formula: str, reml: bool = True, padj_method: str = "fdr_bh", ratio: float | None = None) -> DataFrame:
+    """Association of each program's standardised score with the first fixed covariate.
+
+    The formula is compiled to columns (formula.Formula); models are fitted from cross products summed by
+    Spark. ratio: variance of the groups over that of the rest, if it is not to be estimated."""
     fixed, groups = parse_formula(formula)
     if not fixed:
         raise ValueError("formula has no fixed effects")
     names = formula_variables(fixed)
-    missing = [v for v in [*names, *groups] if v not in samples.columns]
+    model = Formula(fixed)
+    missing = [v for v in [*names, *model.columns(), *groups] if v not in samples.columns]
     if missing:
         raise KeyError(f"variables not found: {missing}")
     if not names:
@@ -234,37 +240,50 @@ def score_associate(samples: DataFrame, formula: str, reml: bool = True, padj_me
     programs = [c for c in samples.columns if re.fullmatch(r"P\d+", c)]
     if not programs:
         raise ValueError("no program columns")
-    rest = list(dict.fromkeys([*names, *groups]))
-    long = samples.select(*rest, F.explode(F.create_map(*[x for p in programs for x in (F.lit(p), F.col(p).cast("double"))])).alias("program", "y"))
-    label = "_".join(groups) or None
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        n_obs = len(pdf)
-        pdf = pdf.dropna(subset=["y", *names])
-        columns = ["program", "covariate", "beta", "se", "pval", "n_obs", "model", "groups"]
-        if len(pdf) < 2 or pdf["y"].std(ddof=1) == 0:
-            warnings.warn(f"{key[0]}: zero variance", UserWarning, stacklevel=1)
-            return pd.DataFrame(columns=columns)
-        y = ((pdf["y"] - pdf["y"].mean()) / pdf["y"].std(ddof=1)).to_numpy()
-        x, terms = _design(pdf, fixed)
-        model = "ols"
-        if groups:
-            g = pdf[groups].astype(str).agg("_".join, axis=1).to_numpy()
-            if len(set(g)) >= 2:
+    terms, columns = model.design(samples)
+    p, label = len(terms), "_".join(groups) or None
+    g = F.concat_ws("_", *[F.coalesce(F.col(x).cast("string"), F.lit("None")) for x in groups]) if groups else F.lit("")
+    wide = samples.select(*programs, *[c.alias(f"x{i}") for i, c in enumerate(columns)], g.alias("g"))
+    whole = F.lit(True)
+    for i in range(p):
+        whole = whole & F.col(f"x{i}").isNotNull() & ~F.isnan(f"x{i}")
+    about = wide.agg(
+        F.count("*").alias("rows"), F.count_distinct(F.when(whole, F.col("g"))).alias("groups"), *[F.avg(c).alias(f"m_{c}") for c in programs], *[F.stddev_samp(c).alias(f"s_{c}") for c in programs],
+        *[F.avg(F.when(whole, F.col(f"x{i}"))).alias(f"mx{i}") for i in range(p)], *[F.stddev_pop(F.when(whole, F.col(f"x{i}"))).alias(f"sx{i}") for i in range(p)],
+    ).first()
+    live = [c for c in programs if about[f"s_{c}"] is not None and about[f"s_{c}"] > 0]
+    for c in programs:
+        if c not in live:
+            warnings.warn(f"{c}: zero variance", UserWarning, stacklevel=2)
+    # Columns about their mean (with an intercept) and in units of their spread: the sums stay accurate.
+    shift = [about[f"mx{i}"] or 0.0 if model.intercept and i else 0.0 for i in range(p)]
+    unit = [about[f"sx{i}"] or 1.0 if i or not model.intercept else 1.0 for i in range(p)]
+    scaled = wide.where(whole).select("*", *[((F.col(f"x{i}") - shift[i]) / unit[i]).alias(f"z{i}") for i in range(p)])
+    rows = []
+    if live:
+        each = F.explode(F.create_map(*[x for c in live for x in (F.lit(c), (F.col(c).cast("double") - float(about[f"m_{c}"])) / float(about[f"s_{c}"]))])).alias("program", "y")
+        long = scaled.select(each, *[F.col(f"z{i}").alias(f"x{i}") for i in range(p)], "g").where("y is not null")
+        sums, by_size = _sums(long, p)
+        mixed = bool(groups) and about["groups"] >= 2
+        if groups and not mixed:
+            warnings.warn("fewer than 2 groups: using OLS", UserWarning, stacklevel=2)
+        at = terms.index(names[0]) if names[0] in terms else None
+        for c in live:
+            if c not in sums or sums[c][0] < 2:
+                continue
+            kind, n = "ols", sums[c][0]
+            if mixed:
                 try:
-                    beta, se, p = kernels.random_intercept(x, y, g, reml)
-                    model = "lmm"
+                    beta, se, pval = kernels.intercept_from_sums(*sums[c], by_size[c], reml, ratio)
+                    kind = "lmm"
                 except np.linalg.LinAlgError:
-                    warnings.warn(f"{key[0]}: singular model, using OLS", UserWarning, stacklevel=1)
-        if model == "ols":
-            beta, se, p = kernels.ols(x, y)
-        at = terms.index(names[0]) if names[0] in terms else None
-        values = (None, None, None) if at is None else (beta[at], se[at], p[at])
-        return pd.DataFrame([(key[0], names[0], *values, n_obs, model, label)], columns=columns)
-
-    out = long.groupBy("program").applyInPandas(fit, ASSOCIATION)
-    clean = [F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("beta", "se", "pval")]
-    out = out.select("program", "covariate", *clean, "n_obs", "model", "groups")
+                    warnings.warn(f"{c}: singular model, using OLS", UserWarning, stacklevel=2)
+            if kind == "ols":
+                beta, se, pval = kernels.ols_from_sums(*sums[c])
+            value = lambda x: None if at is None or not np.isfinite(x[at]) else float(x[at])
+            b, e = value(beta), value(se)
+            rows.append((c, names[0], None if b is None else b / unit[at], None if e is None else e / unit[at], value(pval), int(about["rows"]), kind, label))
+    out = samples.sparkSession.createDataFrame(rows, ASSOCIATION)
     return adjust_pvalues(out, "pval", "padj", padj_method).orderBy(F.asc_nulls_last("padj"), "program")
 
 
@@ -284,8 +303,13 @@ def associate_native(samples: DataFrame, programs: Sequence[str], covariate: str
 
 def retention_curve(max_sim: DataFrame, points: int = 100) -> DataFrame:
     """(threshold, n): factors whose best similarity reaches each of `points` thresholds on [0, 1]."""
-    t = max_sim.sparkSession.range(points).select((F.col("id") / float(points - 1)).alias("threshold"))
-    return t.crossJoin(max_sim.select("max_sim")).groupBy("threshold").agg(F.sum((F.col("max_sim") >= F.col("threshold")).cast("long")).alias("n"))
+    t = max_sim.sparkSession.range(points).select(F.col("id").alias("at"), (F.col("id") / float(points - 1)).alias("threshold"))
+    # The last threshold that a value reaches, exact at the edges; then counts from the right.
+    guess = F.floor(F.col("max_sim") * (points - 1))
+    reached = F.greatest(*[F.when((guess + k) / float(points - 1) <= F.col("max_sim"), guess + k) for k in (-1, 0, 1)], F.lit(-1))
+    held = max_sim.where(F.col("max_sim") >= 0).groupBy(F.least(reached, F.lit(points - 1)).alias("at")).agg(F.count("*").alias("c"))
+    right = Window.orderBy(F.desc("at"))
+    return t.join(held, "at", "left").select("threshold", F.sum(F.coalesce("c", F.lit(0))).over(right).alias("n"))
 
 
 def histogram(max_sim: DataFrame, bins: int = 50, low: float = 0.0, high: float = 1.0) -> DataFrame:
@@ -306,7 +330,7 @@ def similarity_cutoff(max_sim: DataFrame) -> DataFrame:
 
 def heatmap_limits(edges: DataFrame) -> DataFrame:
     """(vmin, vmax): 1st and 99th percentile of positive similarities."""
-    q = edges.where("sim > 0").agg(F.percentile("sim", [0.01, 0.99]).alias("q"))
+    q = exact_quantiles(edges.where("sim > 0"), "sim", [0.01, 0.99])
     return q.select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias("vmin"), F.coalesce(F.col("q")[1], F.lit(1.0)).alias("vmax"))
 
 
@@ -323,7 +347,7 @@ def heatmap_cells(members: DataFrame, edges: DataFrame, transform: bool = False)
 def heatmap_scale(cells: DataFrame) -> DataFrame:
     """(vmin, vmax) of heatmap cells off the diagonal: 1st and 99th percentile of positive values;
     0 and the greatest if these are within 1e-6; 0 and 1 without any."""
-    q = cells.where("row <> col and value > 0").agg(F.percentile("value", [0.01, 0.99]).alias("q"), F.max("value").alias("top"))
+    q = exact_quantiles(cells.where("row <> col and value > 0"), "value", [0.01, 0.99, 1.0]).withColumn("top", F.col("q")[2])
     flat = F.col("q")[1] - F.col("q")[0] < 1e-6
     return q.select(
         F.coalesce(F.when(flat, 0.0).otherwise(F.col("q")[0]), F.lit(0.0)).alias("vmin"), F.coalesce(F.when(flat, F.col("top")).otherwise(F.col("q")[1]), F.lit(1.0)).alias("vmax")
@@ -344,7 +368,7 @@ def loading_bars(cents: DataFrame, genes: DataFrame) -> DataFrame:
 def colour_limits(scores: DataFrame, centre: float = 0.0) -> DataFrame:
     """(vmin, vmax, two_slope): 1st and 99th percentile of finite scores, and whether the centre lies
     between; equal limits are parted by 1e-6."""
-    q = scores.where(~F.isnan("score") & (F.abs("score") < float("inf"))).agg(F.percentile("score", [0.01, 0.99]).alias("q"))
+    q = exact_quantiles(scores, "score", [0.01, 0.99])
     low, high = F.col("q")[0], F.col("q")[1]
     high = F.when(low == high, low + 1e-6).otherwise(high)
     return q.select(low.alias("vmin"), high.alias("vmax"), ((low < centre) & (high > centre)).alias("two_slope"))
