@@ -552,20 +552,28 @@ def random_intercept(x: np.ndarray, y: np.ndarray, groups: np.ndarray, reml: boo
     return intercept_from_sums(len(y), x.T @ x, x.T @ y, float(y @ y), sums, reml, ratio)
 
 
-def two_normals(x: np.ndarray, rounds: int = 300, starts: int = 5, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Weights, means and deviations of two normals, means ascending, by EM from several starts."""
+def two_normals(x: np.ndarray, rounds: int = 300, starts: int = 5, seed: int = 0, count: np.ndarray | None = None, spread: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights, means and deviations of two normals, means ascending, by EM from several starts.
+
+    count, spread: how many values each x stands for as their mean, and the variance among these."""
     rng = np.random.default_rng(seed)
+    count = np.ones(len(x)) if count is None else count.astype(float)
+    spread = np.zeros(len(x)) if spread is None else spread
+    share, order = count / count.sum(), np.argsort(x, kind="stable")
+    upto = np.cumsum(share[order])
+    middle = (share * x).sum()
+    whole = np.sqrt((share * ((x - middle) ** 2 + spread)).sum())
     best = (-np.inf, None)
     for s in range(starts):
-        mean = np.quantile(x, [0.25, 0.75]) if s == 0 else np.sort(rng.choice(x, 2, len(x) < 2))
-        dev, weight = np.full(2, x.std() + 1e-6), np.full(2, 0.5)
+        mean = x[order][np.minimum(np.searchsorted(upto, [0.25, 0.75]), len(x) - 1)] if s == 0 else np.sort(rng.choice(x, 2, True, share))
+        dev, weight = np.full(2, whole + 1e-6), np.full(2, 0.5)
         for _ in range(rounds):
             dense = weight * np.exp(-0.5 * ((x[:, None] - mean) / dev) ** 2) / (dev * np.sqrt(2 * np.pi)) + 1e-300
-            resp = dense / dense.sum(1, keepdims=True)
+            resp = count[:, None] * dense / dense.sum(1, keepdims=True)
             n = resp.sum(0) + 1e-12
             weight, mean = n / n.sum(), (resp * x[:, None]).sum(0) / n
-            dev = np.sqrt((resp * (x[:, None] - mean) ** 2).sum(0) / n + 1e-6)
-        like = np.log(dense.sum(1)).sum()
+            dev = np.sqrt((resp * ((x[:, None] - mean) ** 2 + spread[:, None])).sum(0) / n + 1e-6)
+        like = (count * np.log(dense.sum(1))).sum()
         if like > best[0]:
             best = (like, (weight, mean, dev))
     weight, mean, dev = best[1]
@@ -573,12 +581,12 @@ def two_normals(x: np.ndarray, rounds: int = 300, starts: int = 5, seed: int = 0
     return weight[order], mean[order], dev[order]
 
 
-def crossover(x: np.ndarray) -> float | None:
+def crossover(x: np.ndarray, count: np.ndarray | None = None, spread: np.ndarray | None = None) -> float | None:
     """First of 500 points on [0, 1] where the higher normal is at least as likely as the lower; null below 4 values."""
     x = np.asarray(x, float)
-    if len(x) < 4:
+    if (len(x) if count is None else count.sum()) < 4:
         return None
-    weight, mean, dev = two_normals(x)
+    weight, mean, dev = two_normals(x, count=count, spread=spread)
     if mean[1] - mean[0] < 0.05:
         warnings.warn("the two components have close means; the threshold may be unreliable", UserWarning, stacklevel=2)
     grid = np.linspace(0, 1, 500)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import adjust_pvalues, normal_sf
+from ..sources.storage import Workspace
 from . import kernels
 from .core import require_columns
 from .formula import Formula, split_groups
@@ -152,11 +153,15 @@ def score_classify(scores: DataFrame, expr: DataFrame, cells: DataFrame, genes:
     empty = scores.select("program").distinct().join(genes, "program", "left_anti").collect()
     if empty:
         warnings.warn(f"programs without genes: {sorted(r['program'] for r in empty)}", UserWarning, stacklevel=2)
+    work = Workspace(scores.sparkSession, "classify")
+    genes = work.write(genes.select("program", "gene_idx").distinct())
+    scores = work.write(scores)
     n_cells = cells.count()
     take = min(n_cells, n_cells_per_shuffle)
     size = genes.groupBy("program").agg(F.count("*").alias("n"))
-    sums = expr.join(genes.select("program", "gene_idx"), "gene_idx").groupBy("cell_id", "program").agg(F.sum("value").alias("v"))
+    wanted = expr
     if take == n_cells:
+        sums = wanted.join(genes, "gene_idx").groupBy("cell_id", "program").agg(F.sum("value").alias("v"))
         nulls = sums.groupBy("program").agg(F.sum("v").alias("t")).join(size, "program").select("program", (F.col("t") / (F.col("n") * take)).alias("mean"), F.lit(1e-8).alias("std"))
     else:
         drawn = cells.select("cell_id", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles - 1))).alias("s"))
@@ -166,7 +171,10 @@ def score_classify(scores: DataFrame, expr: DataFrame, cells: DataFrame, genes:
         last = upto.where((F.col("upto") >= take) & (F.col("upto") - F.col("m") < take)).select("s", F.col("b").alias("last"), (take - F.col("upto") + F.col("m")).alias("more"))
         drawn = drawn.join(F.broadcast(last), "s")  # one row per shuffle
         edge = drawn.where("b = last").withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("u", "cell_id"))).where("r <= more")
-        drawn = drawn.where("b < last").select("cell_id", "s").union(edge.select("cell_id", "s"))
+        drawn = work.write(drawn.where("b < last").select("cell_id", "s").union(edge.select("cell_id", "s")))
+        # Only drawn cells are summed.
+        wanted = expr.join(drawn.select("cell_id").distinct(), "cell_id", "left_semi")
+        sums = wanted.join(genes, "gene_idx").groupBy("cell_id", "program").agg(F.sum("value").alias("v"))
         per = drawn.join(sums, "cell_id").groupBy("s", "program").agg(F.sum("v").alias("t")).join(size, "program")
         every = genes.select("program").distinct().crossJoin(cells.sparkSession.range(n_shuffles).select(F.col("id").cast("int").alias("s")))
         per = every.join(per, ["program", "s"], "left").select("program", F.coalesce(F.col("t") / (F.col("n") * take), F.lit(0.0)).alias("x"))
@@ -318,14 +326,16 @@ def histogram(max_sim: DataFrame, bins: int = 50, low: float = 0.0, high: float
     return max_sim.groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def similarity_cutoff(max_sim: DataFrame) -> DataFrame:
-    """(threshold): crossover of a two-normal mixture; null when there are too few values."""
+def similarity_cutoff(max_sim: DataFrame, bins: int = 4096) -> DataFrame:
+    """(threshold): crossover of a two-normal mixture; null when there are too few values.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"threshold": [kernels.crossover(pdf["max_sim"].to_numpy())]}, dtype=float)
-
-    out = max_sim.select(F.lit(0).alias("g"), "max_sim").groupBy("g").applyInPandas(run, "threshold double")
-    return out.select(F.when(~F.isnan("threshold"), F.col("threshold")).alias("threshold"))
+    The mixture is fitted to counts, means and variances of `bins` bins on [0, 1], one aggregate, so what
+    it reads does not grow with the factors."""
+    v = F.col("max_sim").cast("double")
+    at = F.least(F.floor(F.greatest(v, F.lit(0.0)) * bins), F.lit(bins - 1))
+    held = max_sim.where(v.isNotNull() & ~F.isnan(v)).groupBy(at.alias("b")).agg(F.count("*").alias("n"), F.avg(v).alias("m"), F.var_pop(v).alias("s")).orderBy("b").collect()
+    told = kernels.crossover(np.array([r["m"] for r in held]), np.array([r["n"] for r in held]), np.array([r["s"] for r in held])) if held else None
+    return max_sim.sparkSession.createDataFrame([(told,)], "threshold double")
 
 
 def heatmap_limits(edges: DataFrame) -> DataFrame:
