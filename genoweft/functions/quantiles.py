@@ -29,11 +29,15 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
     data = work.write(data.where("w > 0"))
     met = (lambda d: d) if keys else F.broadcast  # without keys: as many ranges as ranks at most
     stats = data.groupBy("k").agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    most = stats.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("n")))).first()[0] or 0
     place = F.col("p") * (F.col("n") - 1)
+    if most > few:
+        stats = work.write(stats)
     wanted = stats.withColumn("p", F.explode(F.array(*[F.lit(float(q)) for q in dict.fromkeys(qs)])))
-    wanted = work.write(wanted.select("k", "n", "lo", "hi", "p", F.floor(place).alias("below"), F.ceil(place).alias("above"), (place - F.floor(place)).alias("part")))
-    ranks = work.write(wanted.select("k", F.explode(F.array_distinct(F.array("below", "above"))).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("less"), "n").distinct())
-    while not ranks.where((F.col("lo") < F.col("hi")) & (F.col("n") > few)).isEmpty():
+    wanted = wanted.select("k", "n", "lo", "hi", "p", (place - F.floor(place)).alias("part"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.floor(place).alias("rank")), F.struct(F.lit(1).alias("side"), F.ceil(place).alias("rank")))).alias("s"))
+    wanted = wanted.select("k", "n", "lo", "hi", "p", "part", "s.side", "s.rank")
+    ranks = wanted.select("k", "rank", "lo", "hi", F.lit(0).cast("long").alias("less"), "n").distinct()
+    while most > few:
         wide = ranks.where((F.col("lo") < F.col("hi")) & (F.col("n") > few))
         inside = data.join(met(wide.select("k", "lo", "hi").distinct()), "k").where("v between lo and hi")
         part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1))
@@ -42,17 +46,16 @@ def exact_quantiles(df: DataFrame, value: str, qs: Sequence[float], keys: Sequen
         after = wide.select("k", "lo", "rank", "less").join(upto, ["k", "lo"]).where("less + upto > rank and less + upto - c <= rank")
         after = after.select("k", "rank", F.col("a").alias("lo"), F.col("z").alias("hi"), (F.col("less") + F.col("upto") - F.col("c")).alias("less"), F.col("c").alias("n"))
         done = ranks.where((F.col("lo") == F.col("hi")) | (F.col("n") <= few))
-        before, ranks = ranks, work.write(done.unionByName(after))
-        work.drop(before)
+        ranks = work.write(done.unionByName(after))
+        most = ranks.agg(F.max(F.when(F.col("lo") < F.col("hi"), F.col("n")))).first()[0] or 0
     left = ranks.where("lo < hi")
     inside = data.join(met(left.select("k", "lo", "hi", "less").distinct()), "k").where("v between lo and hi").groupBy("k", "lo", "less", "v").agg(F.sum("w").alias("c"))
     upto = inside.select("k", "lo", "v", "c", (F.col("less") + F.sum("c").over(Window.partitionBy("k", "lo").orderBy("v"))).alias("upto"))
     found = left.select("k", "lo", "rank").join(upto, ["k", "lo"]).where("upto > rank and upto - c <= rank").select("k", "rank", F.col("v").alias("x"))
-    found = work.write(found.unionByName(ranks.where("lo = hi").select("k", "rank", F.col("lo").alias("x"))))
-    both = wanted.select("k", "p", "below", "above", "part").join(found.select("k", F.col("rank").alias("below"), F.col("x").alias("x0")), ["k", "below"])
-    both = both.join(found.select("k", F.col("rank").alias("above"), F.col("x").alias("x1")), ["k", "above"]).withColumn("x", F.col("x0") + F.col("part") * (F.col("x1") - F.col("x0")))
-    value_of = lambda q: F.max(F.when(F.col("p") == float(q), F.col("x")))
-    q = F.array(*[value_of(q) for q in qs]).alias("q")
+    found = found.unionByName(ranks.where("lo = hi").select("k", "rank", F.col("lo").alias("x")))
+    both = wanted.select("k", "p", "part", "side", "rank").join(found, ["k", "rank"])
+    end = lambda q, side, c: F.max(F.when((F.col("p") == float(q)) & (F.col("side") == side), F.col(c)))
+    q = F.array(*[end(q, 0, "x") + end(q, 0, "part") * (end(q, 1, "x") - end(q, 0, "x")) for q in qs]).alias("q")
     if not keys:
         return both.agg(q).select(F.when(F.col("q")[0].isNotNull(), F.col("q")).alias("q"))
     return both.groupBy("k").agg(q).select("k.*", "q")

@@ -97,15 +97,6 @@ def adjust_pvalues(df: DataFrame, p: str = "pval", out: str = "padj", method: st
         inner = Window.partitionBy("_b").orderBy(F.col("_p") if rising else F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
         pick = F.greatest if rising else F.least
         ranked = ranked.join(edge, "_b").withColumn("_v", pick(most("_v").over(inner), F.coalesce("_other", most("_v").over(inner))))
-    table = ranked.select("_p", F.least("_v", F.lit(1.0)).alias(out), "_n")
-    # A p-value (1, say) may be on most rows. Those on more than a 1/1000 of them are fewer than 1,000:
-    # they are looked up by broadcast, the others by a join that meets no hot key.
-    whole = parts.agg(F.max("_m").alias("_all"))
-    table = table.crossJoin(F.broadcast(whole)).withColumn("_hot", F.col("_n") * 1000 > F.col("_all")).drop("_n", "_all")
-    hot = F.broadcast(table.where("_hot").drop("_hot"))
-    found = df.join(hot, df[p] == hot["_p"]).drop("_p")
-    rest = df.where(F.col(p).isNotNull()).join(hot, df[p] == hot["_p"], "left_anti")
-    cold = table.where("not _hot").drop("_hot")
-    rest = rest.join(cold, rest[p] == cold["_p"], "left").drop("_p")
-    none = df.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
-    return found.unionByName(rest).unionByName(none)
+    table = ranked.select("_p", F.least("_v", F.lit(1.0)).alias(out))
+    # A p-value that is on many rows is hot on the left alone, which an adaptive skew join splits.
+    return df.join(table, df[p] == table["_p"], "left").drop("_p")

@@ -402,13 +402,16 @@ def rank_grid(factors: DataFrame, pairs: DataFrame) -> DataFrame:
 def match_hungarian(pairs: DataFrame, min_similarity: float = 0.0) -> DataFrame:
     """(sample_id, ka, kb, a, b, sim): one-to-one matches of greatest total similarity, per rank
     pair. pairs: those of rank_grid(), or only such as share a gene; a match of 0 counts at
-    min_similarity 0 if its pair is given."""
+    min_similarity 0 if its pair is given. Of equal totals both directions take the one of least sum of
+    (place in the lower rank) x sqrt(place in the higher rank), places from 1 by factor."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = np.unique(pdf["a"]), np.unique(pdf["b"])
         gain = np.full((len(a), len(b)), np.nan)
         gain[np.searchsorted(a, pdf["a"]), np.searchsorted(b, pdf["b"])] = pdf["sim"]
-        rows = [(*key, a[i], b[j], gain[i, j]) for i, j in kernels.assign(np.nan_to_num(gain)) if gain[i, j] >= min_similarity]
+        first, second = np.arange(1.0, len(a) + 1)[:, None], np.arange(1.0, len(b) + 1)[None]
+        tie = first * np.sqrt(second) if key[1] < key[2] else np.sqrt(first) * second
+        rows = [(*key, a[i], b[j], gain[i, j]) for i, j in kernels.assign(np.nan_to_num(gain) - 1e-9 * tie / tie.max()) if gain[i, j] >= min_similarity]
         return pd.DataFrame(rows, columns=["sample_id", "ka", "kb", "a", "b", "sim"])
 
     return pairs.groupBy("sample_id", "ka", "kb").applyInPandas(run, "sample_id long, ka int, kb int, a int, b int, sim double")

@@ -114,7 +114,7 @@ def programs_centroid(nodes: DataFrame, edges: DataFrame, threshold: float = 0.1
     labels = rows.groupBy("part").applyInPandas(run, "factor_id int, sample_id long, cluster int")
     if min_cluster == 1:
         labels = labels.union(lone.select("factor_id", "sample_id", "factor_id"))
-    return ordered(work.write(labels), e, reorder, method)
+    return work.write(ordered(work.write(labels), e, reorder, method))
 
 
 def programs_progressive(loadings: DataFrame, edges: DataFrame, n_genes: int, top_k: int = 50, min_overlap: int = 10, min_founder_overlaps: int = 6, min_cluster: int = 2, reorder: bool = True) -> DataFrame:
@@ -147,7 +147,7 @@ def programs_progressive(loadings: DataFrame, edges: DataFrame, n_genes: int, to
         return pd.DataFrame({"factor_id": pdf["factor_id"].to_numpy()[own], "sample_id": pdf["sample_id"].to_numpy()[own], "cluster": labels[own]})
 
     labels = work.write(rows.groupBy("g").applyInPandas(run, "factor_id int, sample_id long, cluster int"))
-    return ordered(labels, e, reorder, "average")
+    return work.write(ordered(labels, e, reorder, "average"))
 
 
 def programs_cluster(strategy: str, *args, **kw) -> DataFrame:
@@ -364,9 +364,10 @@ def rebuild(members: DataFrame, edges: DataFrame, method: str = "average") -> Da
     found anew, labels contiguous in it."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
+    work = Workspace(members.sparkSession, "rebuild")
     _, e = _graph(members, edges)
     label = members.select(F.col("factor_id").cast("int").alias("factor_id"), F.col("sample_id").cast("long").alias("sample_id"), F.col("program").cast("int").alias("cluster")).distinct()
-    return ordered(label, e, True, method)
+    return work.write(ordered(work.write(label), work.write(e), True, method))
 
 
 def finalise(members: DataFrame, loadings: DataFrame, edges: DataFrame, n_top: int = 50, member_top: DataFrame | None = None) -> dict[str, DataFrame]:

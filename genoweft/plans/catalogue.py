@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.stats import adjust_pvalues
 from ..operators import core, programs, scoring
 from ..sources import gene_sets
+from ..sources.storage import Workspace
+from ..streaming import scoring as stream
 
 GENES, TOP, N_TOP = 64, 20, 15
 
@@ -161,9 +163,9 @@ def _collections(s, d):
     return g.select("gene_set", "collection", F.size("genes").cast("long").alias("n_genes"))
 
 
-@query("gene_select", "SELECT CAST(i AS INT) AS gene_idx, i < 21 OR i IN (40, 41) AS selected FROM range(0, 64) t(i)")
+@query("gene_select", "SELECT p_partkey AS gene_idx, p_size <= 20 OR p_partkey IN (40, 41) AS selected FROM part")
 def _gene_select(s, d):
-    genes = s.range(GENES).select(F.col("id").cast("int").alias("gene_idx"), F.concat(F.lit("G"), "id").alias("gene"), (F.col("id") <= 20).alias("highly_variable"))
+    genes = s.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("gene_idx"), F.concat(F.lit("G"), "p_partkey").alias("gene"), (F.col("p_size") <= 20).alias("highly_variable"))
     return core.select_genes(genes, "highly_variable", ["G40", "G41"]).select("gene_idx", "selected")
 
 
@@ -193,6 +195,7 @@ def _sparse(s, d):
     t = lambda n: s.read.parquet(f"{d}/{n}.parquet")
     x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
     x = x.groupBy(F.col("c_mktsegment").alias("sample_id"), F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene_idx")).agg(F.sum("l_quantity").alias("value"))
+    x = Workspace(s, "counts").write(x)  # the join is made once: for the values, and for the cells of each sample
     out = core.preprocess(x, x.select("cell_id", "sample_id").distinct(), 25, q=None)
     return out.groupBy("sample_id", F.col("gene_idx").alias("gene")).agg(F.round(F.sum("value"), 4).alias("sum_value"), F.count_if(F.col("value") > 0).alias("nnz"))
 
@@ -235,6 +238,7 @@ def _scores_wide(s, d):
 
 
 query("factor_similarity", f"WITH {_SIM} SELECT i, j, round(sim, 6) AS sim FROM sim")(lambda s, d: _r(edges(s, d), "sim"))
+query("factor_similarity_threshold", f"WITH {_SIM} SELECT i, j, round(sim, 6) AS sim FROM sim WHERE sim >= 0.35")(lambda s, d: _r(core.similarity(factors(s, d), top_k=TOP, min_similarity=0.35), "sim"))
 query("factor_similarity_inter", f"WITH {_SIM} SELECT i, j, round(sim, 6) AS sim FROM sim WHERE si <> sj")(lambda s, d: _r(core.similarity(factors(s, d), top_k=TOP, intra_sample=False), "sim"))
 query("factor_similarity_combined", f"""WITH {_PF}, c AS (SELECT *, greatest(loading * ln(loading / (avg(loading) OVER (PARTITION BY gene_idx) + 1e-8) + 1e-8), 0) AS score FROM pf),
 t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY score DESC, gene_idx DESC) AS r FROM c) WHERE r <= 20)
@@ -266,13 +270,16 @@ def _hungarian(s, d):
     return _r(found.groupBy("sample_id", "ka", "kb").agg(F.count("*").alias("n"), F.sum("sim").alias("total")), "total")
 
 
-query("prune_dedup")(lambda s, d: core.nmf_prune(factors(s, d), 2, TOP, 0.2, 0.5))
-query("prune_greedy", f"""WITH RECURSIVE {_XR}, kp AS (SELECT factor_id, prune_matches, prune_matches >= 1 AS ok FROM mt), sg AS (SELECT a.factor_id AS a, b.factor_id AS b, any_value(a.sample_id) AS sample_id, count(*) / (40.0 - count(*)) AS sim
+_ONE_TO_ONE = _HUN + """, am AS (SELECT p.sample_id, arg_max([{'f': p.a, 's': p.sim}, {'f': p.b, 's': p.sim}, {'f': q.a, 's': q.sim}, {'f': q.b, 's': q.sim}], p.sim + q.sim - 1e-9 * ((p.a % 5 + 1) * sqrt(p.b % 5 - 1) + (q.a % 5 + 1) * sqrt(q.b % 5 - 1)) / (2 * sqrt(3))) AS m FROM xs p JOIN xs q ON p.sample_id = q.sample_id AND p.a < q.a AND p.b <> q.b GROUP BY 1),
+mm AS (SELECT e.f FROM (SELECT unnest(m) AS e FROM am) WHERE e.s >= 0.2), mt AS (SELECT DISTINCT factor_id, CAST(factor_id IN (SELECT f FROM mm) AS BIGINT) AS prune_matches FROM pf)"""
+_DEDUP = """, kp AS (SELECT factor_id, prune_matches, prune_matches >= 1 AS ok FROM mt), sg AS (SELECT a.factor_id AS a, b.factor_id AS b, any_value(a.sample_id) AS sample_id, count(*) / (40.0 - count(*)) AS sim
  FROM tg a JOIN tg b ON a.gene_idx = b.gene_idx AND a.sample_id = b.sample_id AND a.factor_id <> b.factor_id JOIN kp x ON x.factor_id = a.factor_id AND x.ok JOIN kp y ON y.factor_id = b.factor_id AND y.ok GROUP BY 1, 2),
-rc(f, g) AS (SELECT factor_id, factor_id FROM kp WHERE ok UNION SELECT rc.f, sg.b FROM rc JOIN sg ON sg.a = rc.g AND sim >= 0.3),
+rc(f, g) AS (SELECT factor_id, factor_id FROM kp WHERE ok UNION SELECT rc.f, sg.b FROM rc JOIN sg ON sg.a = rc.g AND sim >= LEAST),
 cp AS (SELECT f, min(g) AS c FROM rc GROUP BY 1), ms AS (SELECT x.f, x.c, round(coalesce(sum(sg.sim) / (SELECT count(*) FROM cp z WHERE z.c = x.c), 0), 9) AS m FROM cp x LEFT JOIN (SELECT sg.*, cp.c FROM sg JOIN cp ON cp.f = sg.b) sg ON sg.a = x.f AND sg.c = x.c GROUP BY 1, 2),
 kt AS (SELECT f FROM (SELECT f, row_number() OVER (PARTITION BY c ORDER BY m DESC, f) AS r FROM ms) WHERE r = 1)
-SELECT factor_id, prune_matches, ok AND factor_id IN (SELECT f FROM kt) AS keep FROM kp""")(lambda s, d: core.nmf_prune(factors(s, d), 2, TOP, 0.3, 0.3, matching="greedy"))
+SELECT factor_id, prune_matches, ok AND factor_id IN (SELECT f FROM kt) AS keep FROM kp"""
+query("prune_dedup", f"WITH RECURSIVE {_ONE_TO_ONE}{_DEDUP.replace('LEAST', '0.5')}")(lambda s, d: core.nmf_prune(factors(s, d), 2, TOP, 0.2, 0.5))
+query("prune_greedy", f"WITH RECURSIVE {_XR}{_DEDUP.replace('LEAST', '0.3')}")(lambda s, d: core.nmf_prune(factors(s, d), 2, TOP, 0.3, 0.3, matching="greedy"))
 query("drop_zeros", f"WITH {_SIM}, st AS (SELECT * FROM sim WHERE sim >= 0.35) SELECT DISTINCT factor_id FROM pf WHERE factor_id IN (SELECT i FROM st UNION ALL SELECT j FROM st)")(lambda s, d: core.drop_zeros(factors(s, d).select("factor_id").distinct(), edges(s, d).where("sim >= 0.35")))
 query("similarity_filter", f"WITH {_MAX} SELECT factor_id, round(max_sim, 6) AS max_sim, max_sim >= 0.35 AS keep FROM mx")(lambda s, d: _r(core.similarity_filter(factors(s, d), edges(s, d), 0.35), "max_sim"))
 
@@ -352,6 +359,15 @@ query("stability_table", f"WITH {_LEFT}, c AS (SELECT program, donor, gene_idx,
 query("gene_bins", f"WITH {_BIN} SELECT gene_idx, round(mean_expr, 6) AS mean_expr, bin FROM bn")(lambda s, d: _r(scoring.gene_bins(scoring.gene_means(expr(s, d), cells(s, d).count(), GENES)), "mean_expr"))
 query("control_genes", f"WITH {_CTL} SELECT CAST(program AS INT) AS program, gene_idx FROM ctl")(controls)
 query("cell_scores", f"WITH {_SCO} SELECT cell_id, program, round(score, 6) AS score FROM sc")(lambda s, d: _r(cell_scores(s, d), "score"))
+
+
+@query("cell_scores_packed", f"WITH {_SCO} SELECT cell_id, program, round(score, 6) AS score FROM sc")
+def _packed(s, d):
+    """The form that scores a stream, on the whole table: a cell is one row."""
+    packed = _emb(s, d).select(F.col("vec_id").alias("cell_id"), F.sequence(F.lit(0), F.size("embedding") - 1).alias("genes"), F.transform("embedding", lambda v: F.greatest(v.cast("double"), F.lit(0.0))).alias("values"))
+    return _r(stream.score_rows(packed, stream.frozen_weights(program_table(s, d), controls(s, d))), "score")
+
+
 query("sample_scores_mean", f"WITH {_SCO} " + _SAM.format(p=", ".join(f"round(avg(score) FILTER (WHERE program = {p}), 6) AS P{p}" for p in range(5))))(lambda s, d: _r(sample_scores(s, d), *[f"P{p}" for p in range(5)]))
 query("sample_scores_median", f"WITH {_SCO} " + _SAM.format(p=", ".join(f"round(quantile_cont(score, 0.5) FILTER (WHERE program = {p}), 6) AS P{p}" for p in range(5))))(lambda s, d: _r(sample_scores(s, d, "median"), *[f"P{p}" for p in range(5)]))
 
@@ -384,6 +400,16 @@ for _method, _value in {
 _OLS = _SCO + ", ss AS (SELECT sample_id, program, avg(score) AS y, 30.0 + 5 * sample_id AS x FROM sc GROUP BY 1, 2 HAVING count(*) >= 10), z AS (SELECT program, x, (y - avg(y) OVER (PARTITION BY program)) / stddev_samp(y) OVER (PARTITION BY program) AS y FROM ss), b AS (SELECT program, regr_slope(y, x) AS beta, sqrt((regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) / regr_sxx(y, x)) AS se FROM z GROUP BY 1)"
 query("associate_ols", f"WITH {_OLS} SELECT 'P' || program AS program, round(beta, 6) AS beta, round(se, 6) AS se FROM b")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age").select("program", "beta", "se"), "beta", "se"))
 query("associate_native", f"WITH {_OLS} SELECT 'P' || program AS program, round(beta, 6) AS beta, round(se, 6) AS se FROM b")(lambda s, d: _r(scoring.associate_native(sample_scores(s, d), [f"P{p}" for p in range(5)], "age"), "beta", "se"))
+_ROWS = _SCO + ", ss AS (SELECT sample_id, program, avg(score) AS y, 30.0 + 5 * sample_id AS x, sample_id % 3 AS g FROM sc GROUP BY 1, 2 HAVING count(*) >= 10), z AS (SELECT program, x, ln(x) AS lx, g, (y - avg(y) OVER (PARTITION BY program)) / stddev_samp(y) OVER (PARTITION BY program) AS y FROM ss)"
+query("associate_transformed", f"""WITH {_ROWS}, f AS (SELECT program, regr_slope(x, lx) AS bx, regr_intercept(x, lx) AS ax, regr_slope(y, lx) AS by_, regr_intercept(y, lx) AS ay FROM z GROUP BY 1),
+e AS (SELECT z.program, x - ax - bx * lx AS x, y - ay - by_ * lx AS y FROM z JOIN f USING (program)), b AS (SELECT program, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, sum(y * y) AS yy, count(*) AS n FROM e GROUP BY 1)
+SELECT 'P' || program AS program, round(beta, 5) AS beta, round(sqrt((yy - beta * beta * xx) / (n - 3) / xx), 5) AS se FROM b""")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age + np.log(age)").select("program", "beta", "se"), "beta", "se", digits=5))
+query("associate_no_intercept", f"""WITH {_ROWS}, b AS (SELECT program, sum(x * y) / sum(x * x) AS beta, sum(x * x) AS xx, sum(y * y) AS yy, count(*) AS n FROM z GROUP BY 1)
+SELECT 'P' || program AS program, round(beta, 6) AS beta, round(sqrt((yy - beta * beta * xx) / (n - 1) / xx), 6) AS se FROM b""")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age - 1").select("program", "beta", "se"), "beta", "se"))
+query("associate_lmm_ratio", f"""WITH {_ROWS}, gs AS (SELECT program, g, count(*) AS n, sum(x) AS x, sum(y) AS y, 0.5 / (1 + 0.5 * count(*)) AS s FROM z GROUP BY 1, 2),
+ww AS (SELECT program, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy, sum(y * y) AS yy FROM z GROUP BY 1), k AS (SELECT program, sum(s * n * n) AS nn, sum(s * n * x) AS nx, sum(s * n * y) AS ny, sum(s * x * x) AS xx, sum(s * x * y) AS xy, sum(s * y * y) AS yy FROM gs GROUP BY 1),
+a AS (SELECT program, ww.n, ww.n - nn AS a, ww.x - nx AS b, ww.xx - k.xx AS d, ww.y - ny AS u, ww.xy - k.xy AS v, ww.yy - k.yy AS c FROM ww JOIN k USING (program)), t AS (SELECT *, (a * v - b * u) / (a * d - b * b) AS b1, (d * u - b * v) / (a * d - b * b) AS b0 FROM a)
+SELECT 'P' || program AS program, round(b1, 5) AS beta, round(sqrt((c - b0 * u - b1 * v) / (n - 2) * a / (a * d - b * b)), 5) AS se FROM t""")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age + (1|study)", ratio=0.5).select("program", "beta", "se"), "beta", "se", digits=5))
 query("associate_lmm")(lambda s, d: _r(scoring.score_associate(sample_scores(s, d), "age + (1|study)").select("program", "beta", "se", "pval", "padj"), "beta", "se", "pval", "padj", digits=4))
 _FOREST = _OLS + """, tt AS (SELECT program, beta, se, abs(beta / se) AS t FROM b), th AS (SELECT *, atan(t / sqrt(8.0)) AS h FROM tt),
 pv AS (SELECT *, 1 - sin(h) * (1 + pow(cos(h), 2) / 2 + 3 * pow(cos(h), 4) / 8 + 5 * pow(cos(h), 6) / 16) AS p FROM th),

@@ -87,11 +87,13 @@ def _json_text(key: str, value: str):
     return F.concat(F.to_json(F.array(key)).substr(F.lit(2), F.length(F.to_json(F.array(key))) - 2), F.lit(":"), F.to_json(value))
 
 
-def _write_object(entries: DataFrame, name: str) -> str:
-    """One JSON object of all (n, entry) rows, in order of n: a file is one object, so one task joins the entries."""
+def _write_object(entries: DataFrame, name: str, per_file: int = 5000) -> str:
+    """JSON objects of all (n, entry) rows, per_file entries to a file, each in order of n: no task joins more."""
     path = f"{shared_folder(entries.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    whole = entries.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda e: e["entry"]), ",").alias("v"))
-    whole.select(F.concat(F.lit("{"), "v", F.lit("}")).alias("value")).coalesce(1).write.text(path)
+    parts = max(1, -(-entries.count() // per_file))
+    dealt = entries.withColumn("file", F.pmod(F.xxhash64("n"), F.lit(parts))).groupBy("file")
+    whole = dealt.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "entry"))), lambda e: e["entry"]), ",").alias("v"))
+    whole.select("file", F.concat(F.lit("{"), "v", F.lit("}")).alias("value")).write.partitionBy("file").text(path)
     return path
 
 
