@@ -16,7 +16,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from genoweft.llm import collocations, conversation_repair, license_scan
+from genoweft.llm import collocations, context_mixing, conversation_repair, language_net, license_scan
 from genoweft.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -282,3 +282,22 @@ def test_sql(spark, name, module):
     plain = lambda v: round(v, 9) if isinstance(v, float) else v
     got = sorted((tuple(plain(r[c]) for c in columns) for r in QUERIES[name](spark, DATA).collect()), key=repr)
     assert got == sorted((tuple(plain(v) for v in r) for r in want.fetchall()), key=repr)
+
+
+# ---------------------------------------------------------------- models that must not hang on the layout
+
+
+def test_language_scores_whatever_the_layout(spark):
+    """Also held-out accuracy on rows that taught nothing."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    found = [{r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_net.identify(docs.repartition(n)).collect()} for n in (2, 9)]
+    assert found[0].keys() == found[1].keys()
+    assert all(a[0] == found[1][i][0] and abs(a[1] - found[1][i][1]) < 1e-9 for i, a in found[0].items())
+    held = [r for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["lang"]]
+    assert sum(found[0][r["doc_id"]][0] == r["lang"] for r in held) >= 0.9 * len(held)
+
+
+def test_score_of_a_long_word_is_finite(spark):
+    rows = [(i, f"some short text number {i} and again some text") for i in range(21)] + [(30, "short " + "q" * 60_000 + " end")]
+    got = {r["doc_id"]: r["score"] for r in context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(np.isfinite(v) and v < 0 for v in got.values()) and got[30] < got[0]
