@@ -528,7 +528,7 @@ def _answer_words(asked: pa.Table, prices: pa.Table) -> pa.Table:
     return pa.table(
         {
             "run": asked["part"], "kind": pa.array([0] * asked.num_rows, pa.int32()), "part": asked["of"],
-            "a": pa.array([shrink(price[w].astype(np.float16)) for w in which], pa.binary()), "b": asked["n"],
+            "a": pa.array([shrink(price[w].astype(np.float32)) for w in which], pa.binary()), "b": asked["n"],
         }
     )
 
@@ -616,7 +616,7 @@ def _read(run: pa.Table, answers: pa.Table, frame: dict, parts: int, held: int,
 
     one, which = t.distinct_words()
     order = np.argsort(_part(t.hash[one], words), kind="stable")
-    cost, c = put(0, order, "a", np.float16)[which].astype(float), put(0, order, "b", np.int64)[which]
+    cost, c = put(0, order, "a", np.float32)[which].astype(float), put(0, order, "b", np.int64)[which]
     state = loo = np.zeros(0, np.uint8)
     if len(t.asked):
         part, _, _, which = t.distinct_contexts(follows)  # in order of fragment
