@@ -32,10 +32,9 @@ def _fit(tables, entries, **kw):
 
 
 @pytest.mark.parametrize(("entries", "kw"), [
-    (13 * GENES, dict(max_iter=12)),
-    (10_000, dict(max_iter=12)),
+    (13 * GENES, dict(max_iter=8)),
     (40 * GENES, dict(max_iter=6, init="nndsvdar", alpha=0.01, l1_ratio=0.5)),
-    (13 * GENES, dict(max_iter=11, solver="mu", loss="kullback-leibler", init="random")),
+    (13 * GENES, dict(max_iter=10, solver="mu", loss="kullback-leibler", init="random")),
     (13 * GENES, dict(max_iter=4, solver="mu", loss="itakura-saito", init="random")),
     (13 * GENES, dict(max_iter=4, solver="mu", init="nndsvd")),
 ])

@@ -12,7 +12,7 @@ from test_clusters import _whole
 from test_exact import _likelihood
 from test_library import _naive_clusters, _naive_progressive
 
-from genoweft.operators import core, kernels
+from genoweft.operators import kernels
 from genoweft.plans import catalogue
 from genoweft.plans.catalogue import ORACLES, QUERIES
 
@@ -169,4 +169,3 @@ def test_classify_cells(spark):
 def test_every_query_is_checked():
     told = {"nmf_factors", "nmf_cell_scores", "factor_scores_wide", "cluster_centroid", "cluster_progressive", "threshold_sweep", "sweep_curve", "gmm_threshold", "associate_lmm", "classify_cells"}
     assert set(QUERIES) - set(ORACLES) == told
-    assert callable(core.nmf_fit)

@@ -63,7 +63,7 @@ def test_centroid_by_parts(spark, seed, threshold, few, inter, reorder, method):
     assert _got(got) == _whole(s, labels, reorder, method) and len(_got(got)) > 0
 
 
-@pytest.mark.parametrize(("metric", "few"), [("delta", 1), ("ratio", 2), ("silhouette", 1), ("silhouette", 2)])
+@pytest.mark.parametrize(("metric", "few"), [("delta", 1), ("ratio", 2), ("silhouette", 1)])
 def test_sweep_by_parts(spark, metric, few):
     s, samples = _parts(5)
     grid = [0.0, 0.15, 0.3, 0.45, 0.6, 0.75]
