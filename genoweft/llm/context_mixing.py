@@ -22,6 +22,10 @@ asks each fragment for its distinct words and contexts once and gets an answer a
 question, so that nothing a task holds is larger than its share. Words are gathered by their
 first bytes, for the predictors of the word so far, after equal ones of all runs have become one.
 
+Frequent words are those that make at least 1 in FREQUENT of all training words, counted exactly over
+the whole table, so scores do not hang on how it is cut (up to the rounding of counts beyond 2**24).
+A learning step weighs a (style, word) as often as it occurs, 2,000 times at most.
+
 Every word and flag is priced as often as it occurs; that a word in a style costs the same
 wherever it stands lets its bits be worked out once.
 
@@ -132,8 +136,8 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 
 @tidy
 def _pack(batches: Iterator[pa.RecordBatch], parts: int, held: int) -> Iterator[pa.RecordBatch]:
-    """Runs of texts: ids, lowered bytes, offsets, and of the training texts the frequent words, how the
-    most frequent share texts, and the bytes."""
+    """Runs of texts: ids, lowered bytes, offsets, and of the training texts a summary of the words that
+    may be frequent, and the bytes."""
     for batch in batches:
         for a, b, raw, offs in text_chunks(batch.column(1), CHUNK):
             buf, ids = LOWER[raw], batch.column(0).slice(a, b - a)
@@ -141,29 +145,21 @@ def _pack(batches: Iterator[pa.RecordBatch], parts: int, held: int) -> Iterator[
             start, end = word_bounds(buf, offs)
             doc = np.repeat(np.arange(b - a), np.diff(np.searchsorted(start, offs)))
             own = learned[doc]
-            words, at, n = np.unique(word_hashes(buf, start, end)[own], return_inverse=True, return_counts=True)
-            some = np.flatnonzero(n * FREQUENT >= len(at))
-            most = np.sort(np.lexsort((words, -n))[:ANCHORS])
-            near = np.full(len(words), -1)
-            near[most] = np.arange(len(most))
-            near, of = near[at], doc[own]
-            shares = np.bincount(of[near >= 0] * len(most) + near[near >= 0], minlength=(b - a) * len(most)).reshape(b - a, -1).astype(float) if len(most) else np.zeros((0, 0))
-            shares /= np.maximum(shares.sum(1, keepdims=True), 20) if len(most) else 1
+            words, n = lessened(*np.unique(word_hashes(buf, start, end)[own], return_counts=True))
             used = np.bincount(buf[np.repeat(learned, np.diff(offs))], minlength=256)
-            used[32] += len(at)
+            used[32] += own.sum()
             used[10] += learned.sum()
             one = lambda x: pa.array([shrink(x)], pa.binary())
             yield pa.RecordBatch.from_pydict(
                 {
                     "run": pa.array([random.SystemRandom().getrandbits(62)], pa.int64()), "ids": pa.array([ids.to_pylist()], pa.list_(pa.int64())),
-                    "text": one(buf), "offs": one(offs.astype(np.int64)), "learned": one(learned.astype(np.uint8)), "n_bytes": pa.array([len(buf)], pa.int64()),
-                    "top": one(words[some]), "n": one(n[some].astype(np.int64)), "used": one(used.astype(np.int64)),
-                    "most": one(words[most]), "shares": one((shares.T @ shares).astype(np.float32).ravel()),
+                    "text": one(buf), "offs": one(offs.astype(np.int64)), "learned": one(learned.astype(np.uint8)), "n_bytes": pa.array([len(buf)], pa.int64()), "n_words": pa.array([own.sum()], pa.int64()),
+                    "top": one(words), "n": one(n.astype(np.int64)), "used": one(used.astype(np.int64)),
                 }
             )
 
 
-RUN = "run long, ids array<long>, text binary, offs binary, learned binary, n_bytes long, top binary, n binary, used binary, most binary, shares binary"
+RUN = "run long, ids array<long>, text binary, offs binary, learned binary, n_bytes long, n_words long, top binary, n binary, used binary"
 
 
 class Tokens:
@@ -219,6 +215,16 @@ class Tokens:
         return (uniq >> np.uint64(48)).astype(np.int64), uniq >> np.uint64(16) & np.uint64(0xFFFFFFFF), (uniq & np.uint64(0xFFFF)).astype(np.uint16), which
 
 
+def _trained(table, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word of a run's training texts."""
+    learned = grow(table["learned"].slice(r, 1), np.uint8)[0].astype(bool)
+    buf, offs = grow(table["text"].slice(r, 1), np.uint8)[0], grow(table["offs"].slice(r, 1), np.int64)[0]
+    start, end = word_bounds(buf, offs)
+    doc = np.repeat(np.arange(len(learned)), np.diff(np.searchsorted(start, offs)))
+    own = learned[doc]
+    return word_hashes(buf, start, end)[own], doc[own]
+
+
 def _tokens(table, r: int, frame: dict):
     learned = grow(table["learned"].slice(r, 1), np.uint8)[0].astype(bool)
     t = Tokens(grow(table["text"].slice(r, 1), np.uint8)[0], grow(table["offs"].slice(r, 1), np.int64)[0], frame)
@@ -228,16 +234,46 @@ def _tokens(table, r: int, frame: dict):
 # ---------------------------------------------------------------- styles
 
 
+def lessened(words: np.ndarray, n: np.ndarray, most: int = 2 * FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` of the words, their counts less the next largest one: merged in any order, such
+    summaries keep every word that is more than 1 in `most` of all."""
+    if len(n) > most:
+        n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+    return words[n > 0], n[n > 0]
+
+
+def _merged(table: pa.Table) -> pa.Table:
+    words, at = np.unique(table["word"].to_numpy(), return_inverse=True)
+    words, n = lessened(words, np.bincount(at, table["n"].to_numpy(), len(words)).astype(np.int64))
+    return pa.table({"word": pa.array(words, pa.int64()), "n": pa.array(n, pa.int64())})
+
+
+@tidy
+def _counts(batches: Iterator[pa.RecordBatch], words: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Training occurrences of each of `words`."""
+    total = np.zeros(len(words), np.int64)
+    for batch in batches:
+        for r in range(len(batch)):
+            own, _ = _trained(batch, r)
+            k = np.minimum(np.searchsorted(words, own), len(words) - 1)
+            total += np.bincount(k[words[k] == own], minlength=len(words))
+    yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(words)), pa.int32()), "n": pa.array(total)})
+
+
 @tidy
 def _together(batches: Iterator[pa.RecordBatch], anchors: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """How much pairs of anchors share training texts: sums over texts of the product of their shares."""
-    total = np.zeros((len(anchors), len(anchors)))
+    """How much pairs of anchors share training texts: sums over texts of the product of their shares, in
+    whole 1/1024, so that the order of the sum does not matter."""
+    total, size = np.zeros((len(anchors), len(anchors)), np.int64), len(anchors)
     for batch in batches:
         for r in range(len(batch)):
-            most, shares = grow(batch["most"].slice(r, 1), np.uint64)[0], grow(batch["shares"].slice(r, 1), np.float32)[0]
-            k = np.minimum(np.searchsorted(anchors, most), len(anchors) - 1)
-            own = np.flatnonzero(anchors[k] == most)
-            total[np.ix_(k[own], k[own])] += shares.reshape(len(most), -1)[np.ix_(own, own)]
+            own, doc = _trained(batch, r)
+            k = np.minimum(np.searchsorted(anchors, own), size - 1)
+            met = anchors[k] == own
+            texts = int(doc.max(initial=-1)) + 1
+            n = np.bincount(doc[met] * size + k[met], minlength=texts * size).reshape(texts, size)
+            shares = (n * 1024 // np.maximum(n.sum(1, keepdims=True), 20)).astype(float)
+            total += (shares.T @ shares).astype(np.int64)  # whole numbers far below 2**53
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_pydict({"at": pa.array(at.astype(np.int32)), "v": pa.array(total.ravel()[at])})
 
@@ -332,7 +368,8 @@ def _known(table: pa.Table, heads: int) -> pa.Table:
 
 
 def _heads(table: pa.Table) -> pa.Table:
-    """All words of a group of first bytes in one row."""
+    """All words of a group of first bytes in one row, in order of fragment."""
+    table = table.sort_by("of")
     col = lambda c, t: grow(table[c], t)[0]
     c, many = grow(table["c"], np.uint32)
     one = {"of": np.repeat(table["of"].to_numpy(), many), "at": c, "a": col("a", np.uint8), "n": col("n", np.int64), "size": col("size", np.int32), "bytes": col("bytes", np.uint8)}
@@ -431,10 +468,10 @@ def _tables(batches: Iterator[pa.RecordBatch], code: tuple) -> Iterator[pa.Recor
 
 
 def _sum_tables(table: pa.Table) -> pa.Table:
-    total = np.zeros((SEGMENT, 2), np.float32)
+    total = np.zeros((SEGMENT, 2))
     np.add.at(total, grow(table["at"], np.uint16)[0], grow(table["v"], np.uint64)[0].view(np.float32).reshape(-1, 2))
     met = np.flatnonzero(total.any(1)).astype(np.uint16)
-    return pa.table({"part": table["part"][:1], "at": pa.array([met.tobytes()], pa.binary()), "v": pa.array([total[met].tobytes()], pa.binary())})
+    return pa.table({"part": table["part"][:1], "at": pa.array([met.tobytes()], pa.binary()), "v": pa.array([total[met].astype(np.float32).tobytes()], pa.binary())})
 
 
 def _level(n: np.ndarray) -> np.ndarray:
@@ -671,19 +708,27 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     runs = materialize_bucketed(texts.mapInArrow(partial(_pack, parts=parts, held=held), RUN), "runs", "run", max(64, shuffle_partitions(spark)))
-    size = runs.agg(F.sum("n_bytes")).first()[0] or 0
+    size, total = (x or 0 for x in runs.agg(F.sum("n_bytes"), F.sum("n_words")).first())
     frags = max(LEAST_FRAGMENTS, -(-size // PER_FRAGMENT))
 
-    # Frequent words and the code: bounded lists.
-    top = runs.select("top", "n").mapInArrow(_tops, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    # Frequent words, at least 1 in FREQUENT of all training words, and the code: bounded lists. Summaries
+    # of 2 * FREQUENT words hold every such word; these are then counted over all runs.
     used = runs.select("used").mapInArrow(_uses, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
     code = prefix_code(np.bincount([r["at"] for r in used], [r["n"] for r in used], 256))
-    frequent = top["word"].to_numpy().view(np.uint64)
-    anchors = np.sort(frequent[:ANCHORS])
-    frame = {"anchors": anchors, "style": np.zeros(len(anchors), np.int64), "frequent": np.sort(frequent)}
+    some = runs.select("top", "n").mapInArrow(_tops, "word long, n long").groupBy(F.spark_partition_id() % 32).applyInArrow(_merged, "word long, n long")
+    maybe = np.sort(_merged(some.toArrow())["word"].to_numpy().view(np.uint64))  # 32 summaries
+    n = np.zeros(len(maybe), np.int64)
+    if len(maybe):
+        counted = runs.select("text", "offs", "learned").mapInArrow(partial(_counts, words=maybe), "at int, n long")
+        for r in counted.groupBy("at").agg(F.sum("n").alias("n")).collect():
+            n[r["at"]] = r["n"]
+    often = np.flatnonzero(n * FREQUENT >= max(total, 1))
+    frequent = maybe[often]
+    anchors = np.sort(frequent[np.lexsort((frequent, -n[often]))[:ANCHORS]])
+    frame = {"anchors": anchors, "style": np.zeros(len(anchors), np.int64), "frequent": frequent}
     if len(anchors):
-        pairs = runs.select("most", "shares").mapInArrow(partial(_together, anchors=anchors), "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()
-        together = np.bincount([r["at"] for r in pairs], [round(r["v"], 3) for r in pairs], len(anchors) ** 2).reshape(len(anchors), -1)
+        pairs = runs.select("text", "offs", "learned").mapInArrow(partial(_together, anchors=anchors), "at int, v long").groupBy("at").agg(F.sum("v").alias("v")).collect()
+        together = np.bincount([r["at"] for r in pairs], [r["v"] for r in pairs], len(anchors) ** 2).reshape(len(anchors), -1)
         frame["style"] = group_anchors(together)
 
     asked = runs.select("run", "text", "offs", "learned").mapInArrow(partial(_ask, frame=frame, parts=frags), ASKED)
@@ -722,10 +767,13 @@ def score_texts(docs: DataFrame, parts: int = 7, held: int = 2, id_col: str = "d
 
 @tidy
 def _tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One summary of a task's runs."""
+    words, total = np.empty(0, np.int64), np.empty(0, np.int64)
     for batch in batches:
-        word, n = (grow(batch[c], np.int64)[0] for c in ("top", "n"))
-        names, at = np.unique(word, return_inverse=True)
-        yield pa.RecordBatch.from_pydict({"word": pa.array(names), "n": pa.array(np.bincount(at, n, len(names)).astype(np.int64))})
+        more, n = (grow(batch[c], np.int64)[0] for c in ("top", "n"))
+        words, at = np.unique(np.concatenate([words, more]), return_inverse=True)
+        words, total = lessened(words, np.bincount(at, np.concatenate([total, n]), len(words)).astype(np.int64))
+    yield pa.RecordBatch.from_pydict({"word": pa.array(words), "n": pa.array(total)})
 
 
 @tidy

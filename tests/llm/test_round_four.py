@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
@@ -301,3 +302,27 @@ def test_score_of_a_long_word_is_finite(spark):
     rows = [(i, f"some short text number {i} and again some text") for i in range(21)] + [(30, "short " + "q" * 60_000 + " end")]
     got = {r["doc_id"]: r["score"] for r in context_mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(np.isfinite(v) and v < 0 for v in got.values()) and got[30] < got[0]
+
+
+def test_mixing_scores_whatever_the_layout(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(400)
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    found = [{r["doc_id"]: r["score"] for r in context_mixing.score_texts(docs.repartition(n)).collect()} for n in (1, 3, 13)]
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(math.isclose(s, other[i], rel_tol=1e-6) for i, s in found[0].items())
+
+
+def test_summaries_keep_frequent_words():
+    """Every word above its share is kept, in whatever order summaries of a skewed corpus are merged."""
+    rng = np.random.default_rng(3)
+    parts = [np.concatenate([rng.zipf(1.2, 3000) % 5000, rng.integers(10_000, 90_000, 2000), np.full(40 * (k % 2), 7_777)]) for k in range(9)]
+    for order in (parts, parts[::-1]):
+        words, n = np.empty(0, np.int64), np.empty(0, np.int64)
+        for part in order:
+            w, c = context_mixing.lessened(*np.unique(part, return_counts=True), most=200)
+            words, at = np.unique(np.concatenate([words, w]), return_inverse=True)
+            words, n = context_mixing.lessened(words, np.bincount(at, np.concatenate([n, c])).astype(np.int64), most=200)
+            assert len(words) <= 200
+        every, true = np.unique(np.concatenate(parts), return_counts=True)
+        assert set(every[true * 200 > true.sum()]) <= set(words.tolist())
