@@ -55,7 +55,7 @@ class ByteNet:
 
     def forward(self, windows: np.ndarray):
         spread = self._spread(windows)
-        y = (spread.reshape(-1, spread.shape[2]) @ self.filters).reshape(len(windows), STEP, -1)
+        y = spread @ self.filters  # a product for each window: rounded alike wherever it lies
         pooled = y.max(1) + self.bias
         z = np.maximum(pooled, 0) @ self.out + self.out_bias
         e = np.exp(z - z.max(1, keepdims=True))
