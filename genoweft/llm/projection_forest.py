@@ -2,7 +2,10 @@
 
 Equal vectors of one label form a class. Every tree splits the classes of a label again and
 again at the middle of a random projection; rows within `spill` of the middle (in rank) go to
-both sides, until a leaf holds `leaf` rows at most. Groups beyond `group_rows` are split first
+both sides, until a leaf holds `leaf` rows at most. A split that would part a dense mass is
+not made: where at least 1 in DENSE of sampled pairs from either side of a cut link, the group stays
+one leaf, compared whole; so groups of many near copies lose no links to cuts. Rows that a projection
+does not tell apart (ends of the spill within TIE of each other) go to one side together. Groups beyond `group_rows` are split first
 across tasks, in as many rounds as their size needs: each round fits cut points of up to
 `round_levels` levels on a sample of every such group (64 rows for each node it makes), in the
 group's own task, and deals all rows by them; so every task recurses on a bounded group whatever
@@ -33,6 +36,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, mix64, per_group, release, tidy
 
 
+#: Sampled pairs across a cut, of which 1 in DENSE that links tells a dense mass; difference of projections that counts as none.
+PAIRS, DENSE, TIE = 512, 50, 1e-9
+
+
 def _direction(seed: int, tree: int, node: int, level: int, dim: int) -> np.ndarray:
     return np.random.default_rng([seed, tree, node & (2**64 - 1), level]).standard_normal(dim)
 
@@ -42,6 +49,21 @@ def _cuts(x: np.ndarray, spill: float) -> tuple[float, float]:
     return float(lo), float(hi)
 
 
+def _sides(x: np.ndarray, lo, hi) -> tuple[np.ndarray, np.ndarray]:
+    """Rows on the left and on the right of a cut with its spill."""
+    tied = np.asarray(hi - lo <= TIE)
+    return x <= hi + TIE * tied, np.where(tied, x > hi + TIE, x >= lo)
+
+
+def _parts_mass(unit: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, rng) -> bool:
+    """Whether a cut goes through a dense mass, by pairs of a row on the left only and one on the right only."""
+    a, b = np.flatnonzero(left & ~right), np.flatnonzero(right & ~left)
+    if not len(a) or not len(b):
+        return False
+    i, j = a[rng.integers(0, len(a), PAIRS)], b[rng.integers(0, len(b), PAIRS)]
+    return int((np.einsum("nd,nd->n", unit[i], unit[j]) >= least).sum()) * DENSE >= PAIRS
+
+
 def _units(column: pa.Array, dim: int) -> np.ndarray:
     """Unit vectors of a column of lists of `dim` numbers."""
     if isinstance(column, pa.ChunkedArray):
@@ -85,7 +107,7 @@ def _route(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
                     while len(cuts):
                         here, cuts = cuts[: 1 << level], cuts[1 << level :]
                         x = unit[own] @ _direction(seed, tree, node, level, dim)
-                        left, right = x <= here[at, 1], x >= here[at, 0]
+                        left, right = _sides(x, here[at, 0], here[at, 1])
                         own, at = np.concatenate([own[left], own[right]]), np.concatenate([at[left] * 2, at[right] * 2 + 1])
                         level += 1
                     at = mix64(np.uint64(node & (2**64 - 1)) + mix64(at.astype(np.uint64) + np.uint64(1))).view(np.int64)
@@ -95,8 +117,8 @@ def _route(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([*(batch[c].take(take) for c in ("label", "dim", "tree")), pa.array(at), batch["cid"].take(take), batch["vec"].take(take)], ["label", "dim", "tree", "node", "cid", "vec"])
 
 
-def _leaves(table: pa.Table, leaf: int, spill: float, seed: int) -> pa.Table:
-    """(cid, leaf) of a group: recursion until leaves are small."""
+def _leaves(table: pa.Table, leaf: int, spill: float, seed: int, least: float = 0.93) -> pa.Table:
+    """(cid, leaf) of a group: recursion until leaves are small or dense."""
     label, dim, tree, top = (table[c][0].as_py() for c in ("label", "dim", "tree", "node"))
     cid, unit = table["cid"].to_numpy(), _units(table["vec"], dim)
     root = np.zeros(1, np.uint64)
@@ -109,8 +131,9 @@ def _leaves(table: pa.Table, leaf: int, spill: float, seed: int) -> pa.Table:
         parts: list[np.ndarray] = []
         if len(rows) > leaf:
             x = unit[rows] @ _direction(seed, tree, top, path, dim)
-            lo, hi = _cuts(x, spill)
-            parts = [rows[x <= hi], rows[x >= lo]]
+            left, right = _sides(x, *_cuts(x, spill))
+            if not _parts_mass(unit[rows], left, right, least, np.random.default_rng([seed, tree, top & (2**64 - 1), path])):
+                parts = [rows[left], rows[right]]
         if not parts or max(map(len, parts)) == len(rows):  # nothing splits them: they stay together
             out_c.append(cid[rows])
             name = int(mix64(np.array([(root + path * 0x9E3779B97F4A7C15) & (2**64 - 1)], np.uint64)).view(np.int64)[0])
@@ -131,31 +154,42 @@ def _compare(table: pa.Table, least: float) -> pa.Table:
     for rows in np.split(order, np.flatnonzero(np.diff(leaf[order])) + 1):
         if len(rows) < 2:
             continue
-        unit = _units(vectors.take(pa.array(rows)), len(vectors[int(rows[0])]))
         # Lesser leaves of each row: pairs that share one count there.
         n = edge[rows + 1] - edge[rows]
         flat = member[np.repeat(edge[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         who, less = np.repeat(np.arange(len(rows)), n), flat < leaf[rows[0]]
-        names, at = np.unique(flat[less], return_inverse=True)
+        names, at, many = np.unique(flat[less], return_inverse=True, return_counts=True)
+        if many.max(initial=0) == len(rows):  # a lesser leaf holds them all
+            continue
+        unit = _units(vectors.take(pa.array(rows)), len(vectors[int(rows[0])]))
         shared = np.zeros((len(rows), len(names)), np.float32)
         shared[who[less], at] = 1
+        shared = shared[:, many > 1]
+        step = max(1, (1 << 24) // max(1, shared.shape[1]))
         links, label = np.zeros(len(rows), np.int64), np.arange(len(rows))
-        near: list[np.ndarray] = []
         for a in range(0, len(rows), 1024):
-            i, j = np.nonzero(unit[a : a + 1024] @ unit.T >= least)
-            own = i + a != j
-            i, j = i[own] + a, j[own]
-            new = np.concatenate([(shared[i[k : k + 65536]] * shared[j[k : k + 65536]]).sum(1) == 0 for k in range(0, len(i), 65536)]) if len(i) else np.empty(0, bool)
-            links += np.bincount(i[new], size[rows[j[new]]], len(rows)).astype(np.int64)
-            near.append(np.stack([i, j]))
-        i, j = np.concatenate(near, 1)
-        while True:  # the least row reachable
-            low = label.copy()
-            np.minimum.at(low, i, label[j])
-            low = low[low]
-            if (low == label).all():
-                break
-            label = low
+            near = unit[a : a + 1024] @ unit.T >= least
+            k = np.arange(len(near))
+            near[k, a + k] = False
+            i, j = np.nonzero(near)
+            if len(i) * 8 > near.size:  # dense: leaves that pairs share, all at once
+                new = near & (shared[a : a + 1024] @ shared.T == 0)
+                links[a : a + 1024] += (new @ size[rows].astype(float)).astype(np.int64)  # whole numbers below 2**53
+                i += a
+            else:
+                i += a
+                new = [(shared[i[k : k + step]] * shared[j[k : k + step]]).sum(1) == 0 for k in range(0, len(i), step)]
+                new = np.concatenate(new) if new else np.empty(0, bool)
+                links += np.bincount(i[new], size[rows[j[new]]], len(rows)).astype(np.int64)
+            while True:  # the least row reachable, by the links of the blocks so far
+                apart = label[i] != label[j]
+                i, j = i[apart], j[apart]
+                if not len(i):
+                    break
+                u, v = label[i], label[j]
+                np.minimum.at(label, np.maximum(u, v), np.minimum(u, v))
+                while (label[label] != label).any():
+                    label = label[label]
         some = (links > 0) | (label != np.arange(len(rows)))
         out["u"].append(cid[rows[some]])
         out["v"].append(cid[rows[label[some]]])
@@ -197,7 +231,7 @@ def near_vectors(table: DataFrame, least: float = 0.93, trees: int = 12, leaf: i
     classes = rows.where(good).groupBy("label", "vec").agg(F.min("vec_id").alias("least"), size.cast("long").alias("size"))
     classes = materialize(classes.withColumn("cid", F.xxhash64("label", "vec")), "vectors")
     dealt = deal(classes, trees, spill, group_rows, round_levels, seed)
-    leaves = per_group(dealt.withColumn("grp", F.xxhash64("label", "dim", "tree", "node")), "grp", _leaves, "cid long, leaf long", leaf=leaf, spill=spill, seed=seed)
+    leaves = per_group(dealt.withColumn("grp", F.xxhash64("label", "dim", "tree", "node")), "grp", _leaves, "cid long, leaf long", leaf=leaf, spill=spill, seed=seed, least=least)
     lists = leaves.groupBy("cid").agg(F.collect_set("leaf").alias("leaves"))
     whole = classes.join(lists, "cid")
     buckets = max(16, -(-classes.count() * trees // 2048))
