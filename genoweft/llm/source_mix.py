@@ -9,7 +9,7 @@ certain. The rest of its target is a sample of unequal probability: inclusion pr
 are proportional to size ** size_power and scaled so that the expected words equal the rest;
 documents whose pi would reach 1 are certain, and the others are scaled anew to what these
 leave. The others are ranked by random odds u/(1-u) over inclusion odds pi/(1-pi) (u a hash of
-id and seed, so reruns agree) and taken in that order while the rest of the target holds them.
+id, or of text where that is null, and seed, so reruns agree) and taken in that order while the rest of the target holds them.
 `top_ups` further documents that fit the gap best are then taken per source.
 
 Prefix sums run over (source, bucket), a bucket being a range of the logarithm of the rank. That
@@ -18,8 +18,8 @@ unit of it holds more than a quarter of a source: ranges of 1/g hold n / 4g, abo
 most. What is known of a source comes from its (size, count) table.
 
 Edge cases: null text has size 0 and takes 0 words; a null source is a source of its own; empty
-sources get target 0; null ids draw one number; equal ids tie in the draw and go by size; texts
-of any length are counted whole; repeated rows are documents of their own; an empty table gives
+sources get target 0; rows without an id draw by their texts; equal ids, and equal texts without
+one, tie in the draw and go by size; texts of any length are counted whole; repeated rows are documents of their own; an empty table gives
 an empty result; other columns, of whatever names, are ignored.
 """
 
@@ -72,9 +72,9 @@ def inclusion(hist: DataFrame, source: DataFrame, power: float) -> DataFrame:
     return source.join(cut, "skey", "left").fillna({"cut": 0, "factor": 0.0, "sure": 0})
 
 
-def ranked(sizes: DataFrame, source: DataFrame, power: float, seed: int) -> DataFrame:
+def ranked(sizes: DataFrame, source: DataFrame, power: float, seed: int, draw: str = "doc_id") -> DataFrame:
     """Documents that are not certain, with bucket, place and words up to it in their bucket."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    u = (F.pmod(F.xxhash64(F.lit(seed), F.col(draw)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     rows = sizes.join(source, "skey").where("size <= cut or size = 0")
     pi = F.greatest(F.least(F.col("factor") * _measure(F.col("size"), power), F.lit(1 - 1e-12)), F.lit(1e-12))
     rows = rows.withColumn("lq", F.log(u / (1 - u)) - F.log(pi / (1 - pi)))
@@ -92,6 +92,7 @@ def mix_sources(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, size_pow
             F.col(id_col).cast("long").alias("doc_id"),
             F.when(name.isNull(), "1").otherwise(F.concat(F.lit("0"), name)).alias("skey"),
             F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))).alias("draw"),
         ),
         "sizes",
     )
@@ -101,7 +102,7 @@ def mix_sources(docs: DataFrame, ratio: float = 1.5, most: float = 2.0, size_pow
     source = source.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     source = materialize(inclusion(hist, source, size_power), "sources")
 
-    rows = ranked(sizes, source, size_power, seed)
+    rows = ranked(sizes, source, size_power, seed, "draw")
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     prior = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("skey", "bucket", F.coalesce(F.sum("words").over(prior), F.lit(0)).alias("prior"))

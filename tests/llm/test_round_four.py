@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from genoweft.llm import collocations, context_mixing, conversation_repair, language_net, license_scan
+from genoweft.llm import collocations, context_mixing, conversation_repair, language_net, license_scan, projection_forest, source_mix
 from genoweft.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -326,3 +326,61 @@ def test_summaries_keep_frequent_words():
             assert len(words) <= 200
         every, true = np.unique(np.concatenate(parts), return_counts=True)
         assert set(every[true * 200 > true.sum()]) <= set(words.tolist())
+
+
+# ---------------------------------------------------------------- embeddings in dense groups
+
+
+def test_forest_loses_no_links_in_dense_groups(spark):
+    """2,000 near copies of one vector among others, and 1,500 scaled copies of another."""
+    rng = np.random.default_rng(5)
+    near = rng.normal(size=16) + 0.03 * rng.normal(size=(2000, 16))
+    scaled = np.outer(np.linspace(0.5, 2, 1500), rng.normal(size=16))
+    v = np.concatenate([near, scaled, rng.normal(size=(500, 16))])
+    label = np.repeat([0, 1, 0], [2000, 1500, 500])
+    table = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (x, y) in enumerate(zip(v, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in projection_forest.near_vectors(table).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = ((unit @ unit.T >= 0.93) & (label[:, None] == label)).sum(1) - 1
+    links = np.array([got[i].n_links for i in range(len(v))])
+    assert (links <= want).all() and links.sum() >= 0.9 * want.sum()
+    assert (links[2000:3500] == 1499).all() and all(got[i].component_id == 2000 for i in range(2000, 3500))
+
+
+def test_mix_of_rows_without_ids(spark):
+    """They draw by their texts: no bucket holds them all, and their source comes near its target."""
+    n = 3 * source_mix.PER_BUCKET
+    docs = spark.range(n).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("a b "), F.col("id")).alias("text"), F.when(F.col("id") % 3 == 0, "p").otherwise("q").alias("source"))
+    got = source_mix.mix_sources(docs).collect()
+    assert len(got) == n and len({r["copies"] for r in got}) > 1
+    for size in {r["source_size"] for r in got}:
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 3
+
+
+# ---------------------------------------------------------------- pipeline with its own models
+
+
+def test_pipeline_stages_keep_whole_rows(spark):
+    """Every stage on an empty table; then on rows with a long text, repeats and nulls, by the real models."""
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select(*cp.COLUMNS)
+    for _, stage in cp.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), DATA).select(*cp.COLUMNS).count() == 0
+    assert cp.encoding(spark, docs.limit(0), DATA).count() == 0
+    base = [tuple(r) for r in docs.collect()]
+    long = (None, " ".join(r[1] for r in base if r[1] and r[2] == "en") * 3, "en", None, None)
+    rows = [*base, base[0], long, (5000, None, None, None, None), (5001, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, docs.schema)
+    known = cp.language_id(spark, docs, DATA).select(*cp.COLUMNS)
+    kept = Counter(map(tuple, known.collect()))
+    assert not kept - Counter(rows) and kept[long] == 1 and kept[rows[-2]] == kept[rows[-1]] == 0
+    assert kept[base[0]] in (0, 2) and sum(kept.values()) >= 0.8 * len(rows)
+    clean = Counter(map(tuple, cp.toxicity(spark, docs, DATA).collect()))
+    assert not clean - Counter(rows) and clean[rows[-2]] == clean[rows[-1]] == 1 and sum(clean.values()) >= 0.8 * len(rows)
+    once = cp.near_duplicates(spark, docs, DATA)
+    assert max(Counter(map(tuple, once.collect())).values()) == 1
+    mixed = Counter(map(tuple, cp.mixing(spark, once, DATA).collect()))
+    assert not set(mixed) - set(rows)
+    assert cp.encoding(spark, once, DATA).count() == once.count()
