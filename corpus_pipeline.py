@@ -1,7 +1,8 @@
 """A corpus pipeline: language ID, toxicity, n-gram near-duplicates, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; run() writes
-each stage's result as Parquet in the shared folder and reads it again for the next.
+each stage's result as Parquet in the shared folder and reads it again for the next. Texts of any
+length are taken whole by every stage; an empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.4
 
 
+#: What tells rows apart: their columns, nulls told apart.
+TOLD = [x for c in COLUMNS for x in (c, f"{c} IS NULL")]
+
+
 def _row(docs: DataFrame) -> DataFrame:
-    """Adds `row`, a 64-bit hash of all columns, nulls told apart: equal only for rows that are equal."""
-    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*[x for c in COLUMNS for x in (F.col(c), F.col(c).isNull())]))
+    """Adds `row`, a 64-bit hash of all columns."""
+    return docs.select(*COLUMNS).withColumn("row", F.xxhash64(*map(F.expr, TOLD)))
 
 
 def _kept(decided: DataFrame) -> DataFrame:
@@ -31,8 +36,9 @@ def _kept(decided: DataFrame) -> DataFrame:
 
 
 def _one_each(rows: DataFrame) -> DataFrame:
-    """One of the rows that share `row`; repeated rows meet before the shuffle."""
-    return rows.dropDuplicates(["row"])
+    """One of the rows that are equal by `row` and a second hash, 128 bits in all: different rows that
+    share `row` both stay. Repeated rows meet before the shuffle."""
+    return rows.withColumn("again", F.xxhash64(F.lit(1), *map(F.expr, TOLD))).dropDuplicates(["row", "again"])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
