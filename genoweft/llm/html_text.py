@@ -21,7 +21,7 @@ page whose article element is a teaser): then both, in page order.
 
 The array of a host lies in as many tasks as its pages need: hosts beyond `frag_pages` pages are
 cut into ranges of the hash, hosts beyond `part_pages` also into parts by page, whose supports
-are added (a part in which a repeat is on less than one page in 1,000 adds nothing). Boilerplate
+are added, those of one page too: the sum is exact however a host is cut. Boilerplate
 windows of a host are at most 1 / share times those of its mean page; they are joined to the
 pages by host. No page is sent anywhere to be compared.
 
@@ -247,7 +247,8 @@ def _marks(hosts: np.ndarray) -> np.ndarray:
 
 
 def _supports(table: pa.Table, least: int) -> pa.Table:
-    """(host, suffix, support) of a fragment's suffixes on `least` pages or more; a null suffix has the number of pages."""
+    """(host, suffix, support) of a fragment's suffixes on `least` pages or more, in a part of a host of all
+    its suffixes; a null suffix has the number of pages."""
     low = joined(table["suffix"], np.uint8).reshape(-1, SUFFIX_BYTES)
     suffix = np.zeros((len(low), 8), np.uint8)
     suffix[:, :SUFFIX_BYTES] = low
@@ -256,7 +257,7 @@ def _supports(table: pa.Table, least: int) -> pa.Table:
     host = np.repeat(np.repeat(joined(table["host"], np.uint64), joined(table["pages"], np.int32)), size)
     page = np.repeat(page.astype(np.int32), size)
     if (joined(table["parts"], np.uint64) > 1).any():  # one part of one host
-        least = max(1, len(names) // 1000)
+        least = 1
     order = np.lexsort((page, suffix))  # the fragment's part of the suffix array
     suffix, page, host = suffix[order], page[order], host[order]
     new = np.append(True, suffix[1:] != suffix[:-1])[: len(suffix)]

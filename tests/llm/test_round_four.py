@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from genoweft.llm import collocations, context_mixing, conversation_repair, language_net, license_scan, projection_forest, source_mix
+from genoweft.llm import collocations, context_mixing, conversation_repair, html_text, language_net, license_scan, projection_forest, source_mix
 from genoweft.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -384,3 +384,22 @@ def test_pipeline_stages_keep_whole_rows(spark):
     mixed = Counter(map(tuple, cp.mixing(spark, once, DATA).collect()))
     assert not set(mixed) - set(rows)
     assert cp.encoding(spark, once, DATA).count() == once.count()
+
+
+# ---------------------------------------------------------------- pages of hosts in parts
+
+
+def test_parts_of_a_host_add_every_page():
+    """A repeat on one page of a part in thousands still counts."""
+    host, n = np.array([7], np.uint64), 2500
+    suffix = [[10_000 + p, *([99] if p == 3 else [])] for p in range(n)]
+    table = pa.table(
+        {
+            "host": pa.array([host.tobytes()], pa.binary()), "parts": pa.array([np.array([2], np.uint64).tobytes()], pa.binary()),
+            "pages": pa.array([np.array([n], np.int32).tobytes()], pa.binary()), "name": pa.array([np.arange(n, dtype=np.uint64).tobytes()], pa.binary()),
+            "size": pa.array([np.array([len(s) for s in suffix], np.int32).tobytes()], pa.binary()),
+            "suffix": pa.array([b"".join(int(x).to_bytes(html_text.SUFFIX_BYTES, "little") for s in suffix for x in s)], pa.binary()),
+        }
+    )
+    got = {r["suffix"]: r["support"] for r in html_text._supports(table, 3).to_pylist()}
+    assert got[99] == 1 and len(got) == n + 1
