@@ -403,3 +403,47 @@ def test_parts_of_a_host_add_every_page():
     )
     got = {r["suffix"]: r["support"] for r in html_text._supports(table, 3).to_pylist()}
     assert got[99] == 1 and len(got) == n + 1
+
+
+# ---------------------------------------------------------------- fingerprints
+
+
+def test_fingerprints_by_brute_force(spark, tmp_path):
+    """The whole query: edited texts, their hashes, both prints by votes, likeness to the next document and near counts."""
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["ab", "c", "défg", "hij klm", "x" * 30]) for _ in range(rnd.randrange(1, 40))) for _ in range(60)]
+    texts += [None, "", "  \t ", "one", "\U0001f600 two  three\n", texts[3], texts[3], "long " * 40_000]
+    rows = [(7 * i, t) for i, t in enumerate(texts)]
+    folder = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("x")).withColumn("bucket", F.lit(1)).write.parquet(f"{folder}/documents.parquet")
+    texts = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][: len(t) // 4] for i, t in enumerate(texts)]
+
+    def terms(text):
+        w = re.split("[ \t\n\x0b\f\r]+", text.strip(" \t\n\x0b\f\r"))
+        return [(w[k], w[k + 1] if k + 1 < len(w) else None) for k in range(len(w))]
+
+    every = sorted({t for x in (*texts, *edited) for t in terms(x)}, key=repr)
+    hashes = dict(zip(every, [r.h & (2**64 - 1) for r in spark.createDataFrame(list(enumerate(every)), "i int, t struct<a string, b string>").select("i", F.xxhash64("t.a", "t.b").alias("h")).orderBy("i").collect()], strict=True))
+
+    def fingerprint(text):
+        votes = [0] * 64
+        for t in terms(text):
+            v = min(16, len(t[0]) + len(t[1] or ""))
+            for bit in range(64):
+                votes[bit] += v if hashes[t] >> bit & 1 else -v
+        return sum(1 << bit for bit in range(64) if votes[bit] > 0)
+
+    prints, after = [fingerprint(t) for t in texts], [fingerprint(t) for t in edited]
+    like = lambda a, b: 1 - (a ^ b).bit_count() / 64
+    got = {r["doc_id"]: r for r in QUERIES["op2_simhash"](spark, folder).collect()}
+    assert len(got) == len(rows)
+    for i, (doc, _) in enumerate(rows):
+        r = got[doc]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(texts[i]), hashlib.sha256(edited[i].encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (f"{prints[i]:016x}", f"{after[i]:016x}")
+        assert math.isclose(r["near_edited"], like(prints[i], after[i])) and math.isclose(r["near_next"], like(prints[i], prints[(i + 1) % len(prints)]))
+        if doc % 50 == 0:
+            assert r["n_near"] == sum((prints[i] ^ p).bit_count() <= 3 for p in prints) - 1
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{folder}/none/documents.parquet")
+    assert QUERIES["op2_simhash"](spark, f"{folder}/none").count() == 0
