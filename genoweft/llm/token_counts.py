@@ -8,9 +8,11 @@ crosses a boundary is allocated by an explicit rule:
 - "majority": to the section that holds most of its bytes, the earlier one if equal;
 - "share": to every section by its part of the bytes.
 
-Sections are the document's lines with the line feed that ends them; spans are in code points.
+Sections are the document's lines with the line feed that ends them, or its fields: text columns
+joined by line feeds, each field with the one that ends it. Spans are in code points.
 
-Edge cases: a null or empty text has one empty section with no tokens; blank lines are sections;
+Edge cases: a null or empty text has one empty section with no tokens; blank lines are sections; a
+null field is an empty one;
 texts of any length are encoded whole; repeated rows stay; special-token strings are ordinary
 text; an empty table gives an empty result; other columns,
 of whatever names, are ignored.
@@ -57,23 +59,26 @@ def attribute(first: np.ndarray, size: np.ndarray, starts: np.ndarray, total: in
     n = len(starts)
     a = np.searchsorted(starts, first, "right") - 1
     b = np.searchsorted(starts, first + size - 1, "right") - 1
-    crossing = np.bincount(a[a != b], minlength=n)
+    over = np.flatnonzero(a != b)
+    crossing = np.bincount(a[over], minlength=n)
+    if rule == "start" or not len(over):
+        return np.bincount(a, minlength=n).astype(float), crossing
+    # Every section that a crossing token meets, with the bytes it has there.
+    met = b[over] - a[over] + 1
+    k = np.repeat(over, met)
+    at = a[k] + np.arange(len(k)) - np.repeat(np.cumsum(met) - met, met)
+    held = np.minimum(first[k] + size[k], np.append(starts[1:], total)[at]) - np.maximum(first[k], starts[at])
     if rule == "share":
         tokens = np.bincount(a[a == b], minlength=n).astype(float)
-        ends = np.append(starts[1:], total)
-        for k in np.flatnonzero(a != b):
-            for s in range(a[k], b[k] + 1):
-                tokens[s] += (min(first[k] + size[k], ends[s]) - max(first[k], starts[s])) / size[k]
+        np.add.at(tokens, at, held / size[k])
         return tokens, crossing
-    if rule == "majority":
-        ends = np.append(starts[1:], total)
-        for k in np.flatnonzero(a != b):
-            held = [min(first[k] + size[k], ends[s]) - max(first[k], starts[s]) for s in range(a[k], b[k] + 1)]
-            a[k] += int(np.argmax(held))
+    order = np.lexsort((at, -held, k))
+    a[over] = at[order][np.append(True, np.diff(k[order]) > 0)]
     return np.bincount(a, minlength=n).astype(float), crossing
 
 
-def _sections(batches: Iterator[pa.RecordBatch], path: str, rule: str) -> Iterator[pa.RecordBatch]:
+def _sections(batches: Iterator[pa.RecordBatch], path: str, rule: str, fields: int = 0) -> Iterator[pa.RecordBatch]:
+    """Sections of (id, text), or with `fields` of (id, list of so many fields)."""
     enc, size_of = encoder(path)
     names = ("doc_id", "section", "start_char", "end_char", "n_tokens", "n_crossing")
     for batch in batches:
@@ -85,9 +90,13 @@ def _sections(batches: Iterator[pa.RecordBatch], path: str, rule: str) -> Iterat
             return pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(rows))), *map(pa.array, arrays)], list(names))
 
         for i, text in enumerate(batch.column(1).to_pylist()):
-            text = text or ""
+            parts = [x or "" for x in text] if fields else []
+            text = "\n".join(parts) if fields else text or ""
             data = text.encode("utf-8")
-            starts = line_starts(text, data)
+            if fields:
+                starts = np.cumsum([0, *(len(x.encode("utf-8")) + 1 for x in parts[:-1])])
+            else:
+                starts = line_starts(text, data)
             if data:
                 size = size_of[np.array(enc.encode_ordinary(text), np.int64)]
                 tokens, crossing = attribute(np.cumsum(size) - size, size, starts, len(data), rule)
@@ -118,5 +127,19 @@ def section_tokens(docs: DataFrame, rule: str = "start", vocabulary: str = VOCAB
     )
 
 
+def field_tokens(docs: DataFrame, fields: list[str], rule: str = "start", vocabulary: str = VOCABULARY, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, field, start_char, end_char, n_tokens, n_crossing): the fields of a row are encoded as one
+    text, line feeds between them, and its tokens are told apart by field."""
+    if rule not in RULES or not fields:
+        raise ValueError(f"rule must be one of {RULES}, and one field is needed")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.array(*[F.col(c).cast("string") for c in fields]).alias("parts"))
+    found = rows.mapInArrow(
+        partial(_sections, path=vocabulary, rule=rule, fields=len(fields)),
+        "doc_id long, section long, start_char long, end_char long, n_tokens double, n_crossing long",
+    )
+    name = F.element_at(F.array(*map(F.lit, fields)), F.col("section").cast("int") + 1)
+    return found.select("doc_id", name.alias("field"), "start_char", "end_char", "n_tokens", "n_crossing")
+
+
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     return section_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"))

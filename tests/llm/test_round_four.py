@@ -17,7 +17,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from genoweft.llm import collocations, context_mixing, conversation_repair, html_text, language_net, license_scan, projection_forest, source_mix
+from genoweft.llm import collocations, context_mixing, conversation_repair, html_text, language_net, license_scan, projection_forest, source_mix, token_counts
 from genoweft.llm.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -447,3 +447,48 @@ def test_fingerprints_by_brute_force(spark, tmp_path):
             assert r["n_near"] == sum((prints[i] ^ p).bit_count() <= 3 for p in prints) - 1
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{folder}/none/documents.parquet")
     assert QUERIES["op2_simhash"](spark, f"{folder}/none").count() == 0
+
+
+# ---------------------------------------------------------------- token counts
+
+
+def _brute_tokens(parts, rule):
+    """Tokens and crossing tokens of each part of one text, a byte at a time."""
+    enc, _ = token_counts.encoder(token_counts.VOCABULARY)
+    data = [p.encode() for p in parts]
+    of = [k for k, d in enumerate(data) for _ in d]
+    n, crossing, at = [0.0] * len(parts), [0] * len(parts), 0
+    for token in enc.encode_ordinary("".join(parts)):
+        size = len(enc.decode_single_token_bytes(token))
+        met = Counter(of[at : at + size])
+        crossing[of[at]] += len(met) > 1
+        if rule == "share":
+            for k, c in met.items():
+                n[k] += c / size
+        else:
+            n[of[at] if rule == "start" else min(met, key=lambda k: (-met[k], k))] += 1
+        at += size
+    return [(round(a, 9), b) for a, b in zip(n, crossing, strict=True)]
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_tokens_of_sections_and_fields(spark, rule):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(["one ", "zwei\n", "\n\n\n", "  ", "\n ", "d\u00e9j\u00e0", "\U0001f600\n", "12345", "!!\n\n"]) for _ in range(rnd.randrange(1, 60))) for _ in range(50)]
+    texts += [None, "", "\n", "word " * 30_000 + "\n\n end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("section", F.lit("x"))
+    got: dict = {}
+    for r in token_counts.section_tokens(docs, rule=rule).orderBy("doc_id", "section").collect():
+        got.setdefault(r["doc_id"], []).append((round(r["n_tokens"], 9), r["n_crossing"], r["start_char"], r["end_char"]))
+    for i, text in enumerate(texts):
+        lines = re.findall("[^\n]*\n|[^\n]+$", text or "") or [""]
+        edges = np.cumsum([0, *map(len, lines)]).tolist()
+        assert got[i] == [(*x, a, b) for x, a, b in zip(_brute_tokens(lines, rule), edges, edges[1:], strict=False)]
+    rows = [(i, texts[i], texts[(i * 7 + 1) % len(texts)], None if i % 3 else "\u00e9 end") for i in range(len(texts))]
+    fields = ["a", "b", "c"]
+    table = spark.createDataFrame(rows, "doc_id long, a string, b string, c string")
+    got = {(r["doc_id"], r["field"]): (round(r["n_tokens"], 9), r["n_crossing"]) for r in token_counts.field_tokens(table, fields, rule=rule).collect()}
+    for i, *parts in rows:
+        parts = [(p or "") + "\n" * (k < 2) for k, p in enumerate(parts)]
+        assert [got[i, f] for f in fields] == _brute_tokens(parts, rule)
+    assert token_counts.field_tokens(table.limit(0), fields, rule=rule).count() == 0
