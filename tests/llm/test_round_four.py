@@ -378,7 +378,11 @@ def test_pipeline_stages_keep_whole_rows(spark):
     assert not kept - Counter(rows) and kept[long] == 1 and kept[rows[-2]] == kept[rows[-1]] == 0
     assert kept[base[0]] in (0, 2) and sum(kept.values()) >= 0.8 * len(rows)
     clean = Counter(map(tuple, cp.toxicity(spark, docs, DATA).collect()))
-    assert not clean - Counter(rows) and clean[rows[-2]] == clean[rows[-1]] == 1 and sum(clean.values()) >= 0.8 * len(rows)
+    assert not clean - Counter(rows) and clean[rows[-2]] == clean[rows[-1]] == 1
+    told = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{DATA}/labels.parquet").collect()}
+    fine = [r for r in base if told.get(r[0]) == 0]
+    share = sum(clean[r] > 0 for r in fine) / len(fine)
+    assert share >= 0.7, share  # a model of 150 labelled rows, most of them clean
     once = cp.near_duplicates(spark, docs, DATA)
     assert max(Counter(map(tuple, once.collect())).values()) == 1
     mixed = Counter(map(tuple, cp.mixing(spark, once, DATA).collect()))
