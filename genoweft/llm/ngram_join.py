@@ -51,7 +51,7 @@ _STEP = [np.uint64(x) for x in np.random.default_rng(5).integers(1, 1 << 62, 64)
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct n-gram hashes) of each text of an Arrow column."""
-    for a, b, buf, offs in text_chunks(column):
+    for a, b, buf, offs in text_chunks(column, 1 << 19):
         buf = LOWER[buf]
         start, end = word_bounds(buf, offs)
         h = word_hashes(buf, start, end)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import text_chunks, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -217,7 +217,7 @@ class Codec:
                     todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
         return agree
 
-    def encode(self, texts: list[str], most: int = 600_000, theirs=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = 120_000, theirs=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of each, whether the library `theirs` agrees on normalised text and units)."""
         marked = [self.normalise(t) for t in texts]
         same = np.array([theirs.Normalize(t) == m for t, m in zip(texts, marked, strict=True)], bool) if theirs is not None else np.ones(len(texts), bool)
@@ -277,14 +277,20 @@ def _same(texts: list[str], ids: np.ndarray, offs: np.ndarray, back: list[bytes]
     return [ids[a:b].tolist() == w and d.decode("utf-8", "replace") == theirs.decode(w) for a, b, w, d in zip(offs[:-1], offs[1:], want, back, strict=True)]
 
 
+def _slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
+    """(first row, row after the last, texts) of runs of whole texts of about `most` bytes; only one run is
+    in Python strings at a time."""
+    for a, b, _, _ in text_chunks(column, most, 500):
+        yield a, b, [t or "" for t in column.slice(a, b - a).to_pylist()]
+
+
 @tidy
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     c = codec(path)
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a in range(0, len(texts), 500):
-            ids, offs, _ = c.encode(texts[a : a + 500])
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.ListArray.from_arrays(offs.astype(np.int32), ids)], ["doc_id", "ids"])
+        for a, b, texts in _slices(batch.column(1)):
+            ids, offs, _ = c.encode(texts)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offs.astype(np.int32), ids)], ["doc_id", "ids"])
     c._forget()  # the worker goes on to other tasks
 
 
@@ -294,9 +300,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, whole: bool) -> Iterat
     c._forget()  # units of other uses of this worker were not compared
     whole = whole or c.unit is None or c.lead is None
     for batch in batches:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for a in range(0, len(texts), 500):
-            part = texts[a : a + 500]
+        for a, b, part in _slices(batch.column(1)):
             ids, offs, same = c.encode(part, theirs=None if whole else theirs)
             back = c.decode(ids, offs)
             if whole:
@@ -306,7 +310,7 @@ def _digest(batches: Iterator[pa.RecordBatch], path: str, whole: bool) -> Iterat
             runs = [ids[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "doc_id": batch.column(0).slice(a, 500),
+                    "doc_id": batch.column(0).slice(a, b - a),
                     "n_tokens": pa.array(np.diff(offs)),
                     "ids_sha256": pa.array([hashlib.sha256(r.astype("<i4").tobytes()).hexdigest() for r in runs]),
                     "decoded_sha256": pa.array([hashlib.sha256(b).hexdigest() for b in back]),
