@@ -35,6 +35,9 @@ def _within(value: float, low: float, high: float, name: str) -> None:
 
 # ---------------------------------------------------------------- selection and normalisation
 
+#: Up to so many means (some 10 MB) go to all tasks.
+FEW_MEANS = 100_000
+
 
 def select_genes(genes: DataFrame, selector: str | Sequence[str] | None = None, force: Sequence[str] | None = None, name_col: str = "gene") -> DataFrame:
     """`genes` with `selected`: a boolean column, a list of names, or all; forced names are added.
@@ -99,10 +102,15 @@ def clip_quantile(expr: DataFrame, cells: DataFrame, n_genes: int, q: float = 0.
 
 
 def center_relu(expr: DataFrame, cells: DataFrame) -> DataFrame:
-    """Values less their gene's mean within the sample, floored at 0; zeros stay zeros."""
+    """Values less their gene's mean within the sample, floored at 0; zeros stay zeros.
+
+    The means, one for each sample and gene, are written first. Few are sent to all tasks: a shuffle by so
+    few keys would give a task all cells of a sample and gene. With more, each key is a small share."""
     sizes = cells.groupBy("sample_id").agg(F.count("*").alias("n_cells"))
     sums = expr.groupBy("sample_id", "gene_idx").agg(F.sum("value").alias("s"))
     means = sums.join(sizes, "sample_id").select("sample_id", "gene_idx", (F.col("s") / F.col("n_cells")).alias("mean"))
+    means = Workspace(expr.sparkSession, "means").write(means)
+    means = F.broadcast(means) if means.count() <= FEW_MEANS else means
     return expr.join(means, ["sample_id", "gene_idx"]).withColumn("value", F.greatest(F.col("value") - F.col("mean"), F.lit(0.0))).drop("mean")
 
 

@@ -194,8 +194,11 @@ SELECT sample_id, gene, round(sum(greatest(y - t / c, 0)), 4) AS sum_value, coun
 def _sparse(s, d):
     t = lambda n: s.read.parquet(f"{d}/{n}.parquet")
     x = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("part"), F.col("l_partkey") == F.col("p_partkey"))
-    x = x.groupBy(F.col("c_mktsegment").alias("sample_id"), F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene_idx")).agg(F.sum("l_quantity").alias("value"))
-    x = Workspace(s, "counts").write(x)  # the join is made once: for the values, and for the cells of each sample
+    # Dealt by cell once: the sums, the cells of each sample and the values of each cell are all worked out where a cell lies.
+    parts = max(64, int(s.conf.get("spark.sql.shuffle.partitions")), t("lineitem").count() // 250_000)
+    x = x.select(F.col("c_mktsegment").alias("sample_id"), F.col("l_orderkey").alias("cell_id"), F.col("p_brand").alias("gene_idx"), "l_quantity").repartition(parts, "cell_id")
+    x = x.groupBy("sample_id", "cell_id", "gene_idx").agg(F.sum("l_quantity").alias("value"))
+    x = Workspace(s, "counts").write(x, parts, ("cell_id",))  # the join is made once: for the values, and for the cells of each sample
     out = core.preprocess(x, x.select("cell_id", "sample_id").distinct(), 25, q=None)
     return out.groupBy("sample_id", F.col("gene_idx").alias("gene")).agg(F.round(F.sum("value"), 4).alias("sum_value"), F.count_if(F.col("value") > 0).alias("nnz"))
 
