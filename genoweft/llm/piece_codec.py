@@ -7,9 +7,11 @@ the metaspace marker and the model are rebuilt: Unigram from the scores, or BPE
 ranked by the score of the piece they make, each with byte fallback.
 
 No piece holds the marker after another sign, nor a sign that only byte fallback can write; so a
-text parts into units there, and the units' ids joined are the text's. Distinct units of a task
-are encoded once, in multithreaded batches, and their ids gathered for all texts. Units with a
-run of markers, whose merges tie in score, go through an exact leftmost-best merge instead.
+text parts into units there, and the units' ids joined are the text's. Distinct units are encoded
+in batches, and their ids gathered for all texts. A worker holds a bounded number of units; when
+there are more, the most met of those in several runs of texts stay, and the others are learned
+anew if they come again. Units with a run of markers, whose merges tie in score, go through an
+exact leftmost-best merge instead.
 Parity with the sentencepiece library is verified for every row (codec_report).
 
 Edge cases: null and empty texts have no ids and decode to the empty string; equal texts get
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import itertools
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -73,6 +75,7 @@ class Codec:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models, normalizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks fill the cores
         with open(path, "rb") as f:
             parts = list(fields(f.read()))
         self.pieces: list[tuple[str, float, int]] = []
@@ -104,7 +107,7 @@ class Codec:
         written = set().union(*self.real) if self.real else set()
         parted = all(MARK not in p.lstrip(MARK) for p in self.real)
         alone = "".join(c for c in "\n\t\r" if c not in written) if self.fallback else ""
-        self.unit = re.compile(f"[{alone}]|{MARK}*[^{MARK}{alone}]+|{MARK}+" if alone else f"{MARK}*[^{MARK}]+|{MARK}+") if parted and self.kind == BPE else None
+        self.parts = parted and self.kind == BPE
         self.byte_id = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         out = [b"" if t == CONTROL else bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t != UNKNOWN else " ⁇ ".encode() for p, _, t in self.pieces]
         self.size = np.array([len(x) for x in out], np.int64)
@@ -112,8 +115,10 @@ class Codec:
         self.blob = np.frombuffer(b"".join(out), np.uint8)
         self._forget()
         # A text that begins with a sign parted from all others shows the library a unit as it stands inside a text.
-        self.lead = alone[:1] if self.unit is not None and alone and not self.squeeze else None
+        self.lead = alone[:1] if self.parts and alone and not self.squeeze else None
         self.parting = frozenset(alone)
+        self.stands_alone = np.zeros(256, bool)
+        self.stands_alone[list(alone.encode())] = True
 
     def normalise(self, text: str) -> str:
         if self.map is not None:
@@ -157,7 +162,25 @@ class Codec:
                 out.append(self.unk)
         return out
 
-    def _encode_units(self, units: list[str], chunk: int = 4000) -> tuple[np.ndarray, np.ndarray]:
+    def _units(self, marked: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """(all units of the normalised texts, how many lie before each text and in all). A unit is a parting sign,
+        or markers and what follows up to the next one; units cover the texts, so they lie on the texts' own bytes."""
+        raw = [m.encode() for m in marked]
+        data, edge = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        buf = np.frombuffer(data, np.uint8)
+        mark, alone = np.zeros(len(buf), bool), self.stands_alone[buf]
+        a, b, c = MARK.encode()
+        mark[:-2] = (buf[:-2] == a) & (buf[1:-1] == b) & (buf[2:] == c)
+        first = mark.copy()
+        first[3:] &= ~mark[:-3]
+        first |= alone
+        first[1:] |= alone[:-1]
+        first[edge[:-1][edge[:-1] < len(buf)]] = True
+        at = np.flatnonzero(first)
+        offs = np.append(at, len(buf)).astype(np.int64)
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offs), pa.py_buffer(data)), np.searchsorted(at, edge)
+
+    def _encode_units(self, units: list[str], chunk: int = 1000) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all units, how many each has). Units go to the tokenizer by the line, parted by a
         sign that no piece holds; those with a run of markers, or such a sign, through merge()."""
         odd = [k for k, u in enumerate(units) if MARK + MARK in u or self.lead is None or u in self.parting]
@@ -171,10 +194,14 @@ class Codec:
         size = np.diff(np.append(-1, at)) - 1
         ids = ids[~end]
         if odd:
-            merged = {k: self.merge(units[k]) for k in odd}
-            begin, rest = np.cumsum(size) - size, iter(range(len(plain)))
-            parts = [np.array(merged[k], np.int32) if k in own else ids[begin[n] : begin[n] + size[n]] for k in range(len(units)) for n in [0 if k in own else next(rest)]]
-            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+            merged = [self.merge(units[k]) for k in odd]
+            apart, sizes = np.zeros(len(units), bool), np.empty(len(units), np.int64)
+            apart[odd] = True
+            sizes[odd], sizes[~apart] = [len(m) for m in merged], size
+            theirs = np.repeat(apart, sizes)
+            out = np.empty(len(theirs), np.int32)
+            out[theirs], out[~theirs] = np.concatenate([np.array(m, np.int32) for m in merged]), ids
+            return out, sizes
         return ids, size
 
     def _with_bytes(self, text: str, found) -> list[int]:
@@ -186,10 +213,22 @@ class Codec:
         return out
 
     def _forget(self) -> None:
-        """No unit known: number of each, and per number its ids' place and count and whether the library agrees."""
+        """No unit known: number of each, in order, and per number its ids' place and count, whether the library
+        agrees and in how many runs of texts it was met (halved when others are dropped)."""
         self.known: dict[str, int] = {}
         self.flat, self.begin_of, self.size_of = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.agree = np.empty(0, bool)
+        self.agree, self.met = np.empty(0, bool), np.empty(0, np.int64)
+
+    def _forget_rare(self, most: int) -> None:
+        """Only units met in more than one run stay known, the `most` most met ones at most."""
+        stay = np.flatnonzero(self.met > 1)
+        if len(stay) > most:
+            stay = np.sort(stay[np.argsort(-self.met[stay], kind="stable")[:most]])
+        names, size = list(self.known), self.size_of[stay]
+        self.known = {names[k]: n for n, k in enumerate(stay.tolist())}
+        self.flat = _gather(self.flat, self.begin_of[stay], size)
+        self.begin_of, self.size_of = np.cumsum(size) - size, size
+        self.agree, self.met = self.agree[stay], self.met[stay] // 2
 
     def _learn(self, units: list[str], theirs) -> None:
         ids, size = self._encode_units(units)
@@ -197,20 +236,21 @@ class Codec:
         agree = np.ones(len(units), bool) if theirs is None else self._compare(units, ids, size, theirs)
         self.begin_of = np.concatenate([self.begin_of, len(self.flat) + np.cumsum(size) - size])
         self.size_of, self.agree = np.concatenate([self.size_of, size]), np.concatenate([self.agree, agree])
+        self.met = np.append(self.met, np.zeros(len(units), np.int64))
         self.flat = np.concatenate([self.flat, ids])
 
-    def _compare(self, units: list[str], ids: np.ndarray, size: np.ndarray, theirs, chunk: int = 4000) -> np.ndarray:
+    def _compare(self, units: list[str], ids: np.ndarray, size: np.ndarray, theirs, chunk: int = 1000) -> np.ndarray:
         """Whether the library gives each unit the same ids, where it stands between parting signs."""
         sign = self.byte_id[ord(self.lead)]
-        head = [*self.merge(self.normalise(self.lead)[:-1]), sign]
+        head = np.array([*self.merge(self.normalise(self.lead)[:-1]), sign], np.int32)
         edge = np.concatenate([[0], np.cumsum(size)])
         agree = np.ones(len(units), bool)
         todo = [(a, min(a + chunk, len(units))) for a in range(0, len(units), chunk)]
         while todo:
             a, b = todo.pop()
-            want = theirs.encode(self.lead + self.lead.join(units[a:b]).replace(MARK, " "), num_threads=1)
-            got = np.insert(ids[edge[a] : edge[b]], edge[a + 1 : b] - edge[a], sign).tolist()
-            if head + got != want:
+            want = theirs.encode(self.lead + self.lead.join(units[a:b]).replace(MARK, " "), num_threads=1, return_type="numpy")
+            got = np.insert(ids[edge[a] : edge[b]], edge[a + 1 : b] - edge[a], sign)
+            if not np.array_equal(np.concatenate([head, got]), want):
                 if b - a == 1:
                     agree[a] = False
                 else:
@@ -221,18 +261,21 @@ class Codec:
         """(ids of all texts, offsets of each, whether the library `theirs` agrees on normalised text and units)."""
         marked = [self.normalise(t) for t in texts]
         same = np.array([theirs.Normalize(t) == m for t, m in zip(texts, marked, strict=True)], bool) if theirs is not None else np.ones(len(texts), bool)
-        if self.unit is None:
+        if not self.parts:
             ids = [self._with_bytes(m, e) for m, e in zip(marked, self.tokenizer.encode_batch(marked, add_special_tokens=False), strict=True)]
             return np.concatenate([np.array(i, np.int32) for i in ids] or [np.empty(0, np.int32)]), np.cumsum([0, *map(len, ids)]), same
-        parts = [self.unit.findall(m) for m in marked]
+        found, units = self._units(marked)
+        found = found.dictionary_encode()
+        names = found.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > most:
-            self._forget()
-        new = list(set().union(*parts) - self.known.keys())
+            self._forget_rare(most // 2)
+        new = [u for u in names if u not in self.known]
         if new:
             self._learn(new, theirs)
-        at = np.fromiter(map(self.known.__getitem__, itertools.chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
+        number = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))
+        self.met[number] += 1
+        at = number[found.indices.to_numpy()]
         ids = _gather(self.flat, self.begin_of[at], self.size_of[at])
-        units = np.cumsum([0, *map(len, parts)])
         bad = np.concatenate([[0], np.cumsum(~self.agree[at])])[units]
         return ids, np.concatenate([[0], np.cumsum(self.size_of[at])])[units], same & (np.diff(bad) == 0)
 
@@ -298,15 +341,15 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def _digest(batches: Iterator[pa.RecordBatch], path: str, whole: bool) -> Iterator[pa.RecordBatch]:
     c, theirs = codec(path), reference_processor(path)
     c._forget()  # units of other uses of this worker were not compared
-    whole = whole or c.unit is None or c.lead is None
+    whole = whole or not c.parts or c.lead is None
     for batch in batches:
         for a, b, part in _slices(batch.column(1)):
-            ids, offs, same = c.encode(part, theirs=None if whole else theirs)
+            ids, offs, same = c.encode(part, most=300_000, theirs=None if whole else theirs)
             back = c.decode(ids, offs)
             if whole:
                 same = _same(part, ids, offs, back, path)
             else:
-                same = [bool(s) and d.decode("utf-8", "replace") == theirs.decode(i.tolist()) for s, d, i in zip(same, back, np.split(ids, offs[1:-1]), strict=True)]
+                same = [bool(s) and d.decode("utf-8", "replace") == theirs.decode(i) for s, d, i in zip(same, back, np.split(ids, offs[1:-1]), strict=True)]
             runs = [ids[x:y] for x, y in zip(offs[:-1], offs[1:], strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 import tracemalloc
 
 import numpy as np
@@ -42,6 +44,43 @@ def test_encoding_holds_few_units():
     c._forget()
 
 
+def test_common_units_are_learned_once(monkeypatch):
+    """When rare units are dropped, those that come in every run stay, with what the library says of them."""
+    c, theirs = piece_codec.Codec(piece_codec.MODEL), piece_codec.reference_processor(piece_codec.MODEL)
+    common = [f"c{i}" for i in range(500)]
+    runs = [[" ".join(common), " ".join(f"r{k}x{i}" for i in range(800))] for k in range(12)]
+    asked, good = [], c._encode_units
+
+    def wrong(units):
+        asked.extend(units)
+        ids, size = good(units)
+        return np.where(np.repeat(np.array([u == "▁c7" for u in units]), size), 5, ids).astype(np.int32), size
+
+    monkeypatch.setattr(c, "_encode_units", wrong)
+    for texts in runs:
+        ids, offs, same = c.encode(texts, most=3000, theirs=theirs)
+        assert same.tolist() == [False, True] and ids[offs[1] :].tolist() == theirs.encode(texts[1])
+        assert len(c.known) <= 3000 + 1300 and list(c.known.values()) == list(range(len(c.known)))
+    assert len(asked) == len(set(asked)) == 500 + 12 * 800
+    assert len(c.known) == len(c.size_of) == len(c.agree) == len(c.met) and len(c.flat) == c.size_of.sum()
+
+
+def test_units_by_brute_force():
+    """Units read off the bytes are those of the rule, sign by sign; the ids of each are those of its merges."""
+    c, rnd = piece_codec.Codec(piece_codec.MODEL), random.Random(4)
+    alone = "".join(sorted(c.parting))
+    rule = re.compile(f"[{alone}]|▁*[^▁{alone}]+|▁+")
+    texts = ["", "▁", "▁▁", "\n", "▁\n▁", "a", "é", "▁a▁", "▁▁中\t▁▁b"] + ["".join(rnd.choice("▁▁▁\n\taé中😀.") for _ in range(rnd.randrange(12))) for _ in range(400)]
+    rnd.shuffle(texts)
+    units, before = c._units(texts)
+    units = units.to_pylist()
+    assert [units[a:b] for a, b in zip(before[:-1], before[1:], strict=True)] == [rule.findall(t) for t in texts]
+    units = list(dict.fromkeys(units))
+    ids, size = c._encode_units(units)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [c.merge(u) for u in units]
+    assert c._units([])[0].to_pylist() == c._units([""])[0].to_pylist() == []
+
+
 # ---------------------------------------------------------------- hashes
 
 
